@@ -52,7 +52,23 @@ SELECT doc.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS
 FROM doc LEFT JOIN covered ON doc.doc_id = covered.doc_id LEFT JOIN named ON doc.doc_id = named.doc_id
 """
 
+EMBEDDING_DEDUP = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a, min(least(a, b)) AS component FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(c.component, e.vec_id) AS component_id, e.vec_id = coalesce(c.component, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN degree d ON e.vec_id = d.a LEFT JOIN least c ON e.vec_id = c.a
+"""
+
 ORACLE_SQL = {
+    "op4_embedding_dedup": EMBEDDING_DEDUP,
     "op9_line_dedup": LINE_DEDUP,
     "op10_decontaminate": DECONTAMINATE,
 }

@@ -6,10 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaline.llm import decontaminate as op10
+from tessaline.llm import embedding_dedup as op4
+from tessaline.llm import html_text as op5
 from tessaline.llm import line_dedup as op9
+from tessaline.llm import pieces as op8
+from tessaline.llm import quality as op6
+from tessaline.llm import simhash as op7
+from tessaline.llm import token_counts as op3
 from tessaline.llm.common import table
 
 
+def op3_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.section_tokens(table(spark, sf_dir, "documents"), *op3.default_vocabulary())
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op4.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = op6.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(op6.fold(F.col("doc_id")) == op6.HELD_OUT, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op7.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.encode(table(spark, sf_dir, "documents"), op8.default_model())
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = op9.apply_keep_runs(docs, op9.dedup_lines(docs))
@@ -22,6 +56,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_section_tokens": op3_section_tokens,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_main_text": op5_main_text,
+    "op6_quality": op6_quality,
+    "op7_simhash": op7_simhash,
+    "op8_pieces": op8_pieces,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
