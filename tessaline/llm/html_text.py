@@ -43,6 +43,7 @@ BOILERPLATE_NAMES = frozenset(
 )
 REGIONS = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CUT_OFF = re.compile(r"<[A-Za-z/!][^<>]*\Z")  # a tag that the page's end cuts off
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
@@ -160,7 +161,7 @@ def threshold(values: np.ndarray) -> float:
 
 def main_text(html: str | None) -> str:
     reader = BlockReader()
-    reader.feed(html or "")
+    reader.feed(CUT_OFF.sub("", html or ""))
     reader.close()
     blocks, texts = [], []
     for block in reader.blocks:

@@ -11,11 +11,21 @@ from tessaline.llm import html_text as op5
 from tessaline.llm import line_dedup as op9
 from tessaline.llm import pieces as op8
 from tessaline.llm import quality as op6
+from tessaline.llm import recurrent_lm as op2
+from tessaline.llm import run_index as op1
 from tessaline.llm import simhash as op7
 from tessaline.llm import token_counts as op3
 from tessaline.llm.common import table
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2.score(table(spark, sf_dir, "documents"))
+
+
 def op3_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.section_tokens(table(spark, sf_dir, "documents"), *op3.default_vocabulary())
 
@@ -56,6 +66,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
+    "op2_recurrent_lm": op2_recurrent_lm,
     "op3_section_tokens": op3_section_tokens,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_main_text": op5_main_text,
