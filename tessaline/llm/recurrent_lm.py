@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from tessaline.llm.common import cut, text_bytes
 
 FOLDS, HELD_OUT = 7, 2
-MAX_WORDS, TOP_CLASSES = 2048, 32
-EMBED, STATE, STEPS, STREAMS = 16, 24, 16, 256
+MAX_WORDS, TOP_CLASSES = 1024, 24
+EMBED, STATE, STEPS, STREAMS = 12, 16, 16, 384
 BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 16
 ROUNDS = ((0, 1, 1e-2), (1, 4, 5e-3), (4, 16, 2e-3))  # sixteenths of the blocks, from and to, and the learning rate
 PIECE = 1024  # longest run of one stream between resets while training
@@ -113,12 +113,16 @@ class Vocabulary:
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.clip(x, -20, 20, out=x)
-    return 1 / (1 + np.exp(-x))
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x
 
 
 class GatedModel:
@@ -195,8 +199,8 @@ class GatedModel:
         dgates = dgates.reshape(len(x), -1)
         grads["wx"], grads["b"] = x.T @ dgates, dgates.sum(axis=0)
         grads["wh"] = np.concatenate(before).T @ dg.reshape(len(x), -1)
-        grads["embed"] = np.zeros_like(w["embed"])
-        np.add.at(grads["embed"], inputs.ravel(), dgates @ w["wx"].T)
+        dx, at = dgates @ w["wx"].T, inputs.ravel()
+        grads["embed"] = np.stack([np.bincount(at, dx[:, d], len(w["embed"])) for d in range(EMBED)], axis=1).astype(dx.dtype)
         return grads, h
 
     def train(self, docs: list[tuple[np.ndarray, np.ndarray]], rate: float) -> int:
@@ -309,14 +313,15 @@ def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _encode(docs: pa.Table, words: pa.Table, vocabulary: Vocabulary):
+def _encode(docs: pa.Table, words: pa.Table, vocabulary: Vocabulary, training: bool = False):
     """Token arrays of a block's documents, by the numbers of the block's words."""
     names, counts = words.column("word").to_pylist(), words.column("c").to_numpy()
     inputs, classes, inner = vocabulary.place(names, counts)
     number = {w: i for i, w in enumerate(names)}.__getitem__
     for text in docs.column("text"):
-        at = np.fromiter(map(number, tokens(text.as_py())), dtype=np.int64)
-        yield inputs[at], classes[at], inner[at], counts[at]
+        own = tokens(text.as_py())
+        at = np.fromiter(map(number, own), dtype=np.int64, count=len(own))
+        yield (inputs[at], classes[at]) if training else (inputs[at], classes[at], inner[at], counts[at])
 
 
 WEIGHTS = "chunk int, tokens long, part binary"
@@ -373,7 +378,7 @@ def train(docs: DataFrame, words: DataFrame, vocabulary: Vocabulary, blocks: int
 
         def fit(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             model = GatedModel(vocabulary, _unflat(begin, vocabulary.start()))
-            seen = model.train([(ids, classes) for ids, classes, _, _ in _encode(left, right, vocabulary)], rate) if left.num_rows else 0
+            seen = model.train(list(_encode(left, right, vocabulary, training=True)), rate) if left.num_rows else 0
             flat = _flat(model.w) if seen else np.empty(0, np.float32)
             parts = [flat[i : i + CHUNK].astype(np.float32).tobytes() for i in range(0, len(flat), CHUNK)]
             block = key[0].as_py()
