@@ -1 +1,11 @@
-"""Part of tessaline."""
+"""Queries over the test tables, with SQL for the same rows."""
+
+from __future__ import annotations
+
+
+def load_queries() -> tuple[dict, dict]:
+    """All queries of this package and their SQL, by name."""
+    from tessaline.plans import registry, retrieval
+
+    assert retrieval
+    return registry.QUERIES, registry.ORACLE
