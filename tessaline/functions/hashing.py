@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,8 +66,6 @@ def index_version(canonical: Column, digits: int = 8) -> Column:
 
 def blake2b_128(text: Column) -> Column:
     """BLAKE2b with 16 bytes; Spark has no built-in, so batches go through Arrow."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def digest(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else hashlib.blake2b(v.encode(), digest_size=16).hexdigest())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +15,6 @@ MAX_CHARS, SEPARATOR = 512, " | "
 
 def nfkc(text: Column) -> Column:
     """NFKC; only rows with other than ASCII characters go through Arrow."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def normal(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
@@ -83,6 +82,6 @@ def looks_like_ip(text: Column) -> Column:
 
 def client_ip(forwarded: Column, peer: Column, trusted: int) -> Column:
     """The trusted-th address from the right of a forwarding header, else the peer, else unknown."""
-    hops = F.transform(F.split(forwarded, ","), F.trim)
+    hops = F.transform(F.split(forwarded, ","), lambda hop: F.trim(hop))
     chosen = F.try_element_at(hops, F.lit(-trusted)) if trusted else F.lit(None).cast("string")
     return F.when(looks_like_ip(chosen), chosen).when(looks_like_ip(peer), peer).otherwise("unknown")
