@@ -42,9 +42,9 @@ from pyspark.sql import functions as F
 from tessaline.llm.common import cut, text_bytes
 
 FOLDS, HELD_OUT = 7, 2
-MAX_WORDS, TOP_CLASSES = 1024, 24
+MAX_WORDS, TOP_CLASSES = 512, 16
 EMBED, STATE, STEPS, STREAMS = 12, 16, 16, 384
-BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 16
+BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 16
 ROUNDS = ((0, 1, 1e-2), (1, 4, 5e-3), (4, 16, 2e-3))  # sixteenths of the blocks, from and to, and the learning rate
 PIECE = 1024  # longest run of one stream between resets while training
 FLUSH_WORDS = 400_000
@@ -96,7 +96,7 @@ class Vocabulary:
         share = np.maximum(counts[rest], 1) / total
         share = np.where(counts[rest] == 0, self.unknown_share, np.where(band == 0, share * (1 - self.unknown_share), share))
         inner[rest] = np.log(share)
-        return inputs, classes, inner
+        return inputs.astype(np.int32), classes.astype(np.int32), inner
 
     def start(self) -> dict[str, np.ndarray]:
         """First weights: random, with the counts as output biases."""
@@ -222,7 +222,7 @@ class GatedModel:
             lanes[k].append(i)
             load[k] += len(pieces[i][1])
         length = -(-max(load) // STEPS) * STEPS
-        inputs, target, classes = (np.zeros((length, streams), np.int64) for _ in range(3))
+        inputs, target, classes = (np.zeros((length, streams), np.int32) for _ in range(3))
         keep, valid = np.ones((length, streams), np.float32), np.zeros((length, streams), bool)
         for k, lane in enumerate(lanes):
             at = 0

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tessaline.llm.common import shuffle_partitions, text_bytes
 
 LENGTH, GRAM = 50, 16
-BLOCK_BYTES, LEAST_BLOCKS, MOST_BUCKETS = 16 << 20, 8, 1 << 18
+BLOCK_BYTES, LEAST_BLOCKS, MOST_BUCKETS = 8 << 20, 8, 1 << 18
 HOT = 1 << 16  # occurrences of a key beyond which its windows are dealt one by one
 CHUNK = 1 << 20  # bytes of segments in one index
 LONGEST = 128  # windows in a segment
@@ -95,26 +95,26 @@ class Block:
     def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, first window, windows, key) of all segments of rows with a doc_id."""
         keys = window_keys(self.data)
-        sizes = np.diff(self.bounds)
-        row_of = np.repeat(np.arange(len(sizes)), sizes)[: len(keys)]
-        inside = np.arange(len(keys)) + LENGTH <= self.bounds[1:][row_of] if len(keys) else np.empty(0, bool)
-        inside &= self.known[row_of]
+        if not len(keys):
+            none = np.empty(0, np.int64)
+            return none, none, none, np.empty(0, np.uint64)
         new = np.empty(len(keys), bool)
-        if len(keys):
-            new[0] = True
-            np.not_equal(keys[1:], keys[:-1], out=new[1:])
-            new[1:] |= row_of[1:] != row_of[:-1]
-        starts = np.flatnonzero(new & inside)
-        ends = np.append(np.flatnonzero(new)[1:], len(keys)) if len(keys) else np.empty(0, np.int64)
-        ends = ends[np.searchsorted(np.flatnonzero(new), starts)]
-        ends = np.minimum(ends, self.bounds[1:][row_of[starts]] - LENGTH + 1)
+        new[0] = True
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        new[self.bounds[self.bounds < len(keys)]] = True
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(keys))
+        row = np.searchsorted(self.bounds, starts, side="right") - 1
+        last = self.bounds[row + 1] - LENGTH + 1  # behind a row's last window
+        fits = (starts < last) & self.known[row]
+        starts, ends, row = starts[fits], np.minimum(ends, last)[fits], row[fits]
         count = ends - starts
         pieces = -(-count // LONGEST)
         at = np.repeat(starts, pieces)
         nth = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         at = at + nth * LONGEST
         windows = np.minimum(np.repeat(ends, pieces) - at, LONGEST)
-        return row_of[at] if len(at) else np.empty(0, np.int64), at, windows, keys[at]
+        return np.repeat(row, pieces), at, windows, keys[at]
 
 
 def split_key(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -401,7 +401,7 @@ def remove_marked(table: pa.Table, marks: pa.Table) -> pa.Table:
         at = own.bounds[np.frombuffer(rows, np.int32)] + np.frombuffer(starts, np.int32)
         np.add.at(change, at, 1)
         np.add.at(change, at + np.frombuffer(windows, np.int32) + LENGTH - 1, -1)
-    gone = np.cumsum(change[:-1]) > 0
+    gone = np.cumsum(change[:-1], dtype=np.int32) > 0
     removed, spans, kept = [], [], []
     for s, e in zip(own.bounds[:-1].tolist(), own.bounds[1:].tolist()):
         mask = gone[s:e]
