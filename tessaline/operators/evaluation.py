@@ -31,12 +31,11 @@ def query_metrics(results: DataFrame, golden: DataFrame, k: int) -> DataFrame:
 
 def fidelity(approximate: DataFrame, exact: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, fidelity): shared top-k items by k; 1 if both are empty."""
-    cut = lambda df: df.filter(F.col("rank") <= k).select("query_id", "item_id").distinct()
-    a, e = cut(approximate), cut(exact)
-    shared = a.join(e, ["query_id", "item_id"]).groupBy("query_id").agg(F.count("*").alias("shared"))
-    some = a.select("query_id").unionByName(e.select("query_id")).distinct().withColumn("some", F.lit(True))
-    joined = queries.select("query_id").join(shared, "query_id", "left").join(some, "query_id", "left")
-    return joined.select("query_id", F.when(F.col("some").isNull(), 1.0).otherwise(F.coalesce("shared", F.lit(0)) / k).alias("fidelity"))
+    cut = lambda df, flag: df.filter(F.col("rank") <= k).select("query_id", "item_id", F.lit(1).alias(flag)).distinct()
+    pairs = cut(approximate, "a").join(cut(exact, "e"), ["query_id", "item_id"], "full_outer")
+    shared = pairs.groupBy("query_id").agg(F.count(F.when(F.col("a").isNotNull() & F.col("e").isNotNull(), 1)).alias("shared"))
+    joined = queries.select("query_id").join(shared, "query_id", "left")
+    return joined.select("query_id", F.when(F.col("shared").isNull(), 1.0).otherwise(F.col("shared") / k).alias("fidelity"))
 
 
 def report(metrics: DataFrame) -> DataFrame:

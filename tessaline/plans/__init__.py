@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load_queries() -> tuple[dict, dict]:
     """All queries of this package and their SQL, by name."""
-    from tessaline.plans import activity, catalog, registry, retrieval
+    from tessaline.plans import activity, catalog, registry, retrieval, small
 
-    assert activity and catalog and retrieval
+    assert activity and catalog and retrieval and small
     return registry.QUERIES, registry.ORACLE

@@ -24,6 +24,12 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
     return spark
 
 
+def settle(spark: SparkSession) -> None:
+    """Spark 4.1 lets a union report its inputs' partitioning, which adaptive coalescing can then change for one input only; without it, a shuffle is planned."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data, by any path that Spark's readers can open."""
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,0 +1,226 @@
+"""Settings files and environment: thresholds, experiments, hot configuration, run state."""
+
+from __future__ import annotations
+
+import datetime as dt
+import hashlib
+import json
+import os
+import re
+from dataclasses import dataclass, field
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+SECRET_KEY = re.compile(r"secret|password|token|salt|api_key", re.I)
+INFORMATIONAL = "informational"
+
+
+def parse_simple_yaml(text: str) -> dict:
+    """Nested maps, lists of scalars and scalars: the part of YAML that configuration files here use."""
+
+    def scalar(s: str):
+        s = s.strip()
+        if s and s[0] in "\"'" and s[-1] == s[0]:
+            return s[1:-1]
+        if s in ("null", "~", ""):
+            return None
+        if s in ("true", "false"):
+            return s == "true"
+        if s.startswith("[") and s.endswith("]"):
+            return [scalar(x) for x in s[1:-1].split(",") if x.strip()]
+        for kind in (int, float):
+            try:
+                return kind(s)
+            except ValueError:
+                pass
+        return s
+
+    lines = []
+    for number, raw in enumerate(text.splitlines(), 1):
+        body = re.sub(r"(^|\s)#.*$", "", raw).rstrip()
+        if body.strip():
+            lines.append((number, len(body) - len(body.lstrip()), body.strip()))
+
+    def block(at: int, indent: int):
+        if lines[at][2].startswith("- ") or lines[at][2] == "-":
+            out = []
+            while at < len(lines) and lines[at][1] == indent and lines[at][2].startswith("-"):
+                number, _, body = lines[at]
+                rest = body[1:].strip()
+                if re.match(r"[^\"'\[{][^:]*:(\s|$)", rest):
+                    lines[at] = (number, indent + 2, rest)
+                    value, at = block(at, indent + 2)
+                else:
+                    value, at = scalar(rest), at + 1
+                out.append(value)
+            return out, at
+        out = {}
+        while at < len(lines) and lines[at][1] == indent:
+            number, _, body = lines[at]
+            key, colon, rest = body.partition(":")
+            if not colon:
+                raise ValueError(f"line {number}: expected key: value")
+            key = scalar(key)
+            if key in out:
+                raise ValueError(f"line {number}: repeated key {key}")
+            at += 1
+            if rest.strip():
+                out[key] = scalar(rest)
+            elif at < len(lines) and (lines[at][1] > indent or lines[at][1] == indent and lines[at][2].startswith("-")):
+                out[key], at = block(at, lines[at][1])
+            else:
+                out[key] = None
+        if at < len(lines) and lines[at][1] > indent:
+            raise ValueError(f"line {lines[at][0]}: unexpected indent")
+        return out, at
+
+    return block(0, lines[0][1])[0] if lines else {}
+
+
+def read_document(path: str) -> dict:
+    text = Path(path).read_text(encoding="utf-8")
+    return json.loads(text) if path.endswith(".json") else parse_simple_yaml(text)
+
+
+def thresholds(spark: SparkSession, document: dict) -> DataFrame:
+    """Long table (system, metric, kind, threshold): floors for all, informational ceilings for all, and per-system maps. Null thresholds are left out."""
+    if document.get("schema_version") != 1:
+        raise ValueError("schema_version must be 1")
+    rows = []
+    informational = set(document.get(INFORMATIONAL) or {})
+    for name, values in document.items():
+        if not isinstance(values, dict):
+            continue
+        if name == "floors":
+            rows += [(None, m, "floor", float(v)) for m, v in values.items() if v is not None]
+        elif name == INFORMATIONAL:
+            rows += [(None, m, INFORMATIONAL, float(v)) for m, v in values.items() if v is not None]
+        else:
+            if both := informational & set(values):
+                raise ValueError(f"{name}: {sorted(both)} are informational")
+            rows += [(name, m, "per_system", float(v)) for m, v in values.items() if v is not None]
+    return spark.createDataFrame(rows, "system string, metric string, kind string, threshold double")
+
+
+EXPERIMENT_FIELDS = ("name", "salt", "status", "allocation", "started_at", "stopped_at", "description")
+
+
+def experiments(spark: SparkSession, document: dict) -> DataFrame:
+    """Experiment definitions in declared order; unknown fields and timestamps without an offset are rejected."""
+    rows = []
+    for e in document.get("experiments") or []:
+        if extra := set(e) - set(EXPERIMENT_FIELDS):
+            raise ValueError(f"unknown fields: {sorted(extra)}")
+        for at in ("started_at", "stopped_at"):
+            if e.get(at) and dt.datetime.fromisoformat(str(e[at]).replace("Z", "+00:00")).tzinfo is None:
+                raise ValueError(f"{at} needs an offset")
+        rows.append((e["name"], e["salt"], e["status"], [(v, int(p)) for v, p in e["allocation"].items()], e.get("started_at"), e.get("stopped_at"), e.get("description")))
+    return spark.createDataFrame(rows, "name string, salt string, status string, allocation array<struct<variant:string,pct:int>>, started_at string, stopped_at string, description string")
+
+
+@dataclass
+class HotConfig:
+    """A configuration file that is read again when it changes; the last good values stay after an error."""
+
+    path: str
+    values: dict = field(default_factory=dict)
+    error: str | None = None
+    _seen: float = -1.0
+
+    def refresh(self) -> dict:
+        try:
+            changed = os.stat(self.path).st_mtime_ns
+            if changed != self._seen:
+                document = read_document(self.path)
+                if bad := [k for k in document if SECRET_KEY.search(str(k))]:
+                    raise ValueError(f"secrets do not belong here: {bad}")
+                self.values, self._seen, self.error = document, changed, None
+        except (OSError, ValueError) as e:
+            self.error = str(e)
+        return self.values
+
+
+@dataclass(frozen=True)
+class Settings:
+    environment: str = "dev"
+    user_hash_salt: str = ""
+    page_size: int = 10
+
+    @classmethod
+    def from_env(cls, env: dict[str, str] | None = None) -> Settings:
+        env = os.environ if env is None else env
+        own = cls(env.get("TESSALINE_ENV", "dev"), env.get("TESSALINE_USER_HASH_SALT", ""), int(env.get("TESSALINE_PAGE_SIZE", "10")))
+        if own.environment == "prod" and len(own.user_hash_salt) < 16:
+            raise ValueError("production needs a salt of 16 characters or more")
+        return own
+
+
+def config_hash(knobs: dict) -> str:
+    text = json.dumps(knobs, sort_keys=True, separators=(",", ":"))
+    return "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+
+
+def run_id(now: dt.datetime, model_version: str, taken: set[str]) -> str:
+    """A run's name from the time and model; repeats within a second get -01 to -99."""
+    stamp = now.astimezone(dt.UTC).strftime("%Y-%m-%dT%H-%M-%SZ")
+    for n in range(100):
+        name = f"{stamp}{f'-{n:02d}' if n else ''}__{model_version}"
+        if name not in taken:
+            return name
+    raise ValueError("more than 100 runs in one second")
+
+
+def resolve_collision(canonical: str, known: dict[str, str]) -> tuple[str, bool]:
+    """(index version, whether it exists): 8 hash digits, 12 if another identity has these; known maps versions to identities."""
+    digest = hashlib.sha256(canonical.encode()).hexdigest()
+    for digits in (8, 12):
+        version = f"idx-{digest[:digits]}"
+        if version not in known:
+            return version, False
+        if known[version] == canonical:
+            return version, True
+    raise ValueError("identity collision")
+
+
+def state_problem(state: dict | None, expected: dict) -> str | None:
+    """The first reason why a stored state cannot be continued: missing, malformed, or the first of the expected fields that differs."""
+    if state is None:
+        return "missing"
+    if not isinstance(state, dict) or not isinstance(state.get("hashes"), dict):
+        return "malformed"
+    return next((k for k, v in expected.items() if state.get(k) != v), None)
+
+
+def write_pointer(folder: str, target: str, name: str = "current") -> None:
+    """Point at a finished run: written beside and renamed, so readers see the old or the new one."""
+    path = Path(folder) / name
+    beside = path.with_suffix(".tmp")
+    with beside.open("w") as file:
+        file.write(target)
+        file.flush()
+        os.fsync(file.fileno())
+    os.replace(beside, path)
+
+
+def read_pointer(folder: str, name: str = "current") -> str | None:
+    path = Path(folder) / name
+    return path.read_text().strip() if path.exists() else None
+
+
+class RunLock:
+    """A lock file that one run holds at a time."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __enter__(self):
+        try:
+            self.handle = os.open(self.path, os.O_CREAT | os.O_EXCL)
+        except FileExistsError as e:
+            raise RuntimeError(f"another run holds {self.path}") from e
+        return self
+
+    def __exit__(self, *exc):
+        os.close(self.handle)
+        os.unlink(self.path)
