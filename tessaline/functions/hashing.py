@@ -77,3 +77,13 @@ def credential_bucket(key: bytes, credential: Column) -> Column:
     """A credential's rate-limit bucket: stripped, cut to 4096 characters, keyed hash of 32 digits; null if empty."""
     text = F.substring(F.trim(credential), 1, 4096)
     return F.when(F.length(text) > 0, F.substring(hmac_sha256(key, text), 1, 32))
+
+
+def cache_key(endpoint: str, fields: Column, variant: Column | None = None, prefix: str = "cache:v1") -> Column:
+    """Key of a cached candidate list: prefix, endpoint, hash of the canonical request, and the variant if there is one."""
+    return F.concat_ws(":", F.lit(prefix), F.lit(endpoint), blake2b_128(fields), *([variant] if variant is not None else []))
+
+
+def jittered_ttl(base_s: Column, random: Column) -> Column:
+    """Whole seconds of a lifetime spread by a tenth either way, at least 1; random lies in 0..1."""
+    return F.greatest(F.lit(1), F.floor(base_s * (0.9 + 0.2 * random)).cast("int"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHED_WORDS = 300_000  # a worker forgets its words beyond so many; results do not depend on it
+CACHED_WORDS, CACHED_PAIRS = 400_000, 1_000_000  # a worker forgets its words and pairs beyond so many; results do not depend on it
 
 
 class Pieces:
@@ -50,6 +50,9 @@ class Pieces:
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
                 self.ids[piece] = i
                 self.scores[piece] = model.get_score(i)
+        self.byte_sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.byte_begins = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.byte_data = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.byte_ids = [byte_ids[b] for b in range(256)]
         self.lengths: dict[str, list[int]] = {}  # by last character, longest first
         for piece in self.ids:
@@ -60,7 +63,7 @@ class Pieces:
         self.runs = [model.encode(" " * (n - 1)) for n in range(1, 2 * self.run + 1)]  # by marks; the text's first mark is added
         self.runs[0] = [self.ids[MARK]]
         self.beside: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.forget()
 
     def merged(self, text: str) -> list[str]:
         """BPE by definition, for two short pieces."""
@@ -78,47 +81,58 @@ class Pieces:
     def stays_beside(self, left: str, right: str) -> bool:
         known = self.beside.get((left, right))
         if known is None:
+            if len(self.beside) > CACHED_PAIRS:
+                self.beside.clear()
             known = self.beside[left, right] = self.merged(left + right) == [left, right]
         return known
 
-    def extend(self, word: str, states: list[tuple[float, int, str | None]], end: int) -> None:
-        """Append the state of word[:end]: (score, start of its last piece, that piece or None for a character without one)."""
-        best = None
-        for n in self.lengths.get(word[end - 1], ()):
-            if n > end:
-                continue
-            piece = word[end - n : end]
-            if piece not in self.ids:
-                continue
-            score, _, before = states[end - n]
-            if self.kind == "bpe":
-                if before is None or self.stays_beside(before, piece):
-                    best = (0.0, end - n, piece)
-                    break
-            elif best is None or score + self.scores[piece] > best[0]:
-                best = (score + self.scores[piece], end - n, piece)
-        states.append(best or (states[end - 1][0] + self.lowest, end - 1, None))
-
-    def collect(self, word: str, states: list[tuple[float, int, str | None]]) -> list[int]:
-        out, end = [], len(word)
-        while end:
-            _, start, piece = states[end]
-            out.append([self.ids[piece]] if piece is not None else [self.byte_ids[b] for b in word[start:end].encode()])
-            end = start
-        return [i for part in reversed(out) for i in part]
-
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct words, visited in the order of their trie."""
+        """Ids of distinct words, visited in the order of their trie.
+
+        The forward states of a word's prefixes are three lists by the prefix's length: the start of its
+        last piece, that piece (None for a character without one), and its score.
+        """
+        ids, scores, lengths, known, bpe = self.ids, self.scores, self.lengths, self.beside.get, self.kind == "bpe"
+        starts, pieces, totals = [0], [None], [0.0]
         found: dict[str, list[int]] = {}
-        previous, states = "", [(0.0, 0, None)]
+        previous = ""
         for word in sorted(words):
             shared, most = 0, min(len(previous), len(word))
             while shared < most and previous[shared] == word[shared]:
                 shared += 1
-            del states[shared + 1 :]
+            del starts[shared + 1 :], pieces[shared + 1 :], totals[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                self.extend(word, states, end)
-            found[word] = self.collect(word, states)
+                start, best, total = end - 1, None, totals[end - 1] + self.lowest
+                for n in lengths.get(word[end - 1], ()):
+                    begin = end - n
+                    if begin < 0:
+                        continue
+                    piece = word[begin:end]
+                    if piece not in ids:
+                        continue
+                    if bpe:
+                        before = pieces[begin]
+                        if before is not None:
+                            beside = known((before, piece))
+                            if not (self.stays_beside(before, piece) if beside is None else beside):
+                                continue
+                        start, best, total = begin, piece, 0.0
+                        break
+                    if best is None or totals[begin] + scores[piece] > total:
+                        start, best, total = begin, piece, totals[begin] + scores[piece]
+                starts.append(start)
+                pieces.append(best)
+                totals.append(total)
+            out, end = [], len(word)
+            while end:
+                piece = pieces[end]
+                if piece is None:
+                    out.extend(self.byte_ids[b] for b in reversed(word[end - 1 : end].encode()))
+                else:
+                    out.append(ids[piece])
+                end = starts[end]
+            out.reverse()
+            found[word] = out
             previous = word
         return found
 
@@ -140,18 +154,63 @@ class Pieces:
             out[word] = own
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words = {}
-        new = {w for words in split for w in words if w not in self.words}
+    def words_of(self, text: str) -> list[str]:
+        """A text's words: what follows one mark without it, what follows several with all of them."""
+        if not text:
+            return []
+        if MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return [w if w.startswith(MARK * 2) else w[1:] for w in WORDS.findall(MARK + text.replace(" ", MARK))]
+
+    def learn(self, words: set[str]) -> None:
+        """Encode words that are not known yet and keep their ids in one array."""
+        several = {w for w in words if w.startswith(MARK * 2)}
+        found = {w[1:]: ids for w, ids in self.encode_marked({MARK + w for w in words if w not in several}).items()}
+        found |= self.encode_marked(several)
+        parts = list(found.values())
+        self.number.update(zip(found, range(len(self.number), len(self.number) + len(found))))
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for p in parts for i in p), dtype=np.int32, count=int(sizes.sum()))])
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.sizes, self.begins, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """All ids in one array, their number for each text, and whether each text decodes to itself."""
+        split = [self.words_of(t) for t in texts]
+        if len(self.number) > CACHED_WORDS:
+            self.forget()
+        new = set().union(*split).difference(self.number)
         if new:
-            self.words.update(self.encode_marked(new))
-        get = self.words.__getitem__
-        return [np.array([i for w in words for i in get(w)], dtype=np.int32) for words in split]
+            self.learn(new)
+        number, counts = self.number.__getitem__, np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        at = np.fromiter((number(w) for words in split for w in words), dtype=np.int64, count=int(counts.sum()))
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.repeat(self.begins[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        totals = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        sizes = np.diff(totals)
+        same = [d == t.replace(MARK, " ").encode() for d, t in zip(self.decode_batch(flat, sizes), texts)]
+        return flat, sizes, same
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        flat, sizes, _ = self.encode_batch(texts)
+        return np.split(flat, np.cumsum(sizes)[:-1]) if len(texts) else []
+
+    def decode_batch(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of each text from all ids in one array and their number for each text, without the first mark's space."""
+        lengths = self.byte_sizes[flat]
+        ends = np.cumsum(lengths)
+        data = self.byte_data[np.repeat(self.byte_begins[flat] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [data[s + 1 : e] for s, e in zip(cuts[:-1], cuts[1:])]
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+        ids = np.asarray(ids, dtype=np.int64)
+        return self.decode_batch(ids, np.array([len(ids)]))[0].decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -162,14 +221,11 @@ def pieces(path: str, kind: str) -> Pieces:
 def _encode(batches: Iterator[pa.RecordBatch], path: str, kind: str) -> Iterator[pa.RecordBatch]:
     model = pieces(path, kind)
     for whole in batches:
-        for start in range(0, whole.num_rows, 256):
-            batch = whole.slice(start, 256)
+        for start in range(0, whole.num_rows, 1000):
+            batch = whole.slice(start, 1000)
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = model.encode(texts)
-            same = [model.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
-            sizes = np.array([len(i) for i in ids], dtype=np.int64)
+            flat, sizes, same = model.encode_batch(texts)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(same)], ["doc_id", "n_pieces", "ids", "round_trip"])
 
 

@@ -88,3 +88,31 @@ def report_json(values: DataFrame, **header: str) -> str:
     for r in values.orderBy("system", "metric").toLocalIterator():
         systems.setdefault(r.system, {"metrics": {}})["metrics"][r.metric] = r.value
     return json.dumps({"schema_version": 1, **header, "systems": systems}, sort_keys=True, indent=2)
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of files, hashed where they are read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def exposition(counters: DataFrame, name: str, value: str, labels: list[str]) -> DataFrame:
+    """Text lines of a metric: name{label="value",...} number."""
+    escape = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    pairs = [F.concat(F.lit(f'{c}="'), escape(c), F.lit('"')) for c in labels]
+    return counters.select(F.concat(F.lit(name), F.lit("{"), F.concat_ws(",", *pairs), F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
+def render_table(rows: list[dict], columns: list[str]) -> str:
+    """A Markdown table of a few rows."""
+    lines = ["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
+    return "\n".join([*lines, *("| " + " | ".join("n/a" if r.get(c) is None else str(r[c]) for c in columns) + " |" for r in rows)])
+
+
+def write_index(run: DataFrame, path: str, version: str) -> None:
+    """A run's rows as one partition of the index table; a later build of the same version replaces only its own partition."""
+    run.withColumn("index_version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_version").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """One version; only its partition is listed and read."""
+    return spark.read.parquet(path).filter(F.col("index_version") == version).drop("index_version")
