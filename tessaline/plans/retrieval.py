@@ -253,9 +253,9 @@ def f10_synthetic_popularity(spark, sf_dir):
     return fx.items(spark, sf_dir).select("item_id", hashing.synthetic_popularity(F.col("item_id")).alias("popularity"))
 
 
-@query("f25_vector_literal", fx.with_("item", then="SELECT item_id, CAST(len(vector) AS INTEGER) AS n, round(vector[1], 6) AS first FROM item"))
+@query("f25_vector_literal", fx.with_("item", then="SELECT item_id, CAST(len(vector) AS INTEGER) AS n, CAST(vector[1] AS DOUBLE) AS first FROM item"))
 def f25_vector_literal(spark, sf_dir):
     from tessaline.functions.text import parse_vector, vector_literal
 
     back = parse_vector(vector_literal(F.col("vector")))
-    return fx.items(spark, sf_dir).select("item_id", F.size(back).alias("n"), F.round(back[0], 6).alias("first"))
+    return fx.items(spark, sf_dir).select("item_id", F.size(back).alias("n"), back[0].cast("double").alias("first"))
