@@ -258,4 +258,4 @@ def f25_vector_literal(spark, sf_dir):
     from tessaline.functions.text import parse_vector, vector_literal
 
     back = parse_vector(vector_literal(F.col("vector")))
-    return fx.items(spark, sf_dir).select("item_id", F.size(back).alias("n"), back[0].cast("double").alias("first"))
+    return fx.items(spark, sf_dir).select("item_id", F.size(back).alias("n"), back[0].cast("float").cast("double").alias("first"))
