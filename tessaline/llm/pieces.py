@@ -54,10 +54,10 @@ class Pieces:
         self.byte_begins = np.cumsum(self.byte_sizes) - self.byte_sizes
         self.byte_data = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.byte_ids = [byte_ids[b] for b in range(256)]
-        self.lengths: dict[str, list[int]] = {}  # by last character, longest first
+        self.lengths: dict[str, list[int]] = {}  # by the last two characters, or by the only one; longest first
         for piece in self.ids:
-            self.lengths.setdefault(piece[-1], []).append(len(piece))
-        self.lengths = {c: sorted(set(n), reverse=True) for c, n in self.lengths.items()}
+            self.lengths.setdefault(piece[-2:], []).append(len(piece))
+        self.lengths = {c: sorted({*n, *([1] if c[-1] in self.ids else [])}, reverse=True) for c, n in self.lengths.items()}
         self.lowest = min(self.scores.values(), default=0.0) - 10.0
         self.run = max((len(p) for p in self.ids if not p.strip(MARK)), default=1)  # marks in the longest piece of marks
         self.runs = [model.encode(" " * (n - 1)) for n in range(1, 2 * self.run + 1)]  # by marks; the text's first mark is added
@@ -103,7 +103,8 @@ class Pieces:
             del starts[shared + 1 :], pieces[shared + 1 :], totals[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 start, best, total = end - 1, None, totals[end - 1] + self.lowest
-                for n in lengths.get(word[end - 1], ()):
+                last = word[end - 1]
+                for n in lengths.get(word[end - 2 : end] if end > 1 else last) or lengths.get(last, ()):
                     begin = end - n
                     if begin < 0:
                         continue
