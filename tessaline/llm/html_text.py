@@ -7,8 +7,10 @@ headers, footers, sidebars, notices, adverts, forms and reader comments, told by
 element, role, class or id, have ratio 0. The ratios are smoothed by a Gaussian and split
 into two clusters by the threshold of a one-dimensional two-means. The blocks of the upper
 cluster vote with their characters for the region of content: an article or main element if
-one holds half of the votes, else the deepest element that holds most of them. All blocks
-in the region that are not boilerplate make the text, in page order.
+one holds half of the votes, else the deepest container that holds most of them, else the
+whole page. A container is a division, section, table cell or the like around at least two
+blocks that are not boilerplate, never a block's own element. All blocks in the region that
+are not boilerplate make the text, in page order, whatever their cluster.
 
 Defined results: a null or empty html, or one without text, gives an empty string; markup
 that is cut off or not closed is read as far as it goes; other columns are ignored; an
@@ -18,6 +20,7 @@ empty table works.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -42,6 +45,7 @@ BOILERPLATE_NAMES = frozenset(
     "copyright toolbar skip".split()
 )
 REGIONS = frozenset(("article", "main"))
+CONTAINERS = frozenset("html body div section article main center td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CUT_OFF = re.compile(r"<[A-Za-z/!][^<>]*\Z")  # a tag that the page's end cuts off
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -184,14 +188,10 @@ def main_text(html: str | None) -> str:
     regions = [e for e in votes if reader.tag_of[e] in REGIONS and 2 * votes[e] >= total]
     if regions:
         region = max(regions, key=lambda e: (reader.tag_of[e] == "article", votes[e], e))
-        first, last = 0, len(blocks)
     else:
-        region = max((e for e in votes if votes[e] >= VOTES * total), default=None)
-        at = np.flatnonzero(chosen)
-        first, last = int(at[0]), int(at[-1]) + 1
-        while first and reader.tag_of[blocks[first - 1].path[-1] if blocks[first - 1].path else 0] in HEADINGS and not blocks[first - 1].boilerplate:
-            first -= 1
-    return " ".join(t for k, (b, t) in enumerate(zip(blocks, texts)) if not b.boilerplate and first <= k < last and (region is None or region in b.path))
+        around = Counter(e for b in blocks if not b.boilerplate for e in b.path[:-1] if reader.tag_of[e] in CONTAINERS)
+        region = max((e for e, n in around.items() if n > 1 and votes.get(e, 0) >= VOTES * total), default=None)
+    return " ".join(t for b, t in zip(blocks, texts) if not b.boilerplate and (region is None or region in b.path))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

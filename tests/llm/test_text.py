@@ -104,6 +104,16 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0)).collect() == []
 
 
+def test_main_text_without_article_is_whole():
+    text = "Head & line First paragraph, long enough to be read as content. Second bold one broken. Tiny."
+    assert html_text.main_text(PAGE.replace("<article>", '<div class="story">').replace("</article>", "</div>")) == text
+    long, short = "long words " * 90 + "end", "short words " * 16 + "end"
+    for page in ("<h1>T</h1><p>{}</p><p>{}</p>", "<h1>T</h1><blockquote><p>{}</p></blockquote><p>{}</p>", "<h1>T</h1><div><p>{}</p></div><div><p>{}</p></div>", "<div><h1>T</h1><p>{}<p>{}</div>"):
+        assert html_text.main_text("<body><nav>Home</nav>" + page.format(long, short) + "</body>") == f"T {long} {short}", page
+    story = "<div><p>Opening.</p><ul><li>Point.</li></ul>" + f"<p>{long}</p>" * 3 + "<p>Closing.</p></div><p>Elsewhere.</p>"
+    assert html_text.main_text(story) == f"Opening. Point. {long} {long} {long} Closing."
+
+
 def test_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
