@@ -122,3 +122,27 @@ def test_embeddings_empty_and_repeated(spark):
     assert embedding_dedup.near_duplicates(empty).collect() == []
     twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, embedding_dedup.near_duplicates(twice).collect())) == [(1, 1, 1), (1, 1, 1), (2, 1, 1)]
+
+
+def test_embeddings_of_a_dense_group(spark):
+    """A hot group at mutual cosine 0.8, in which pairs at 0.95 are more than a window apart in most passes; a narrow window stands for a larger group."""
+    rng = np.random.default_rng(8)
+    centre = np.eye(64)[0]
+    own = rng.standard_normal((3000, 64))
+    own[:, 0] = 0
+    own /= np.linalg.norm(own, axis=1)[:, None]
+    x = 0.8**0.5 * centre + 0.2**0.5 * own
+    for k in range(600):  # partners just above 0.95
+        away = own[k + 2000] - (own[k + 2000] @ x[k]) * x[k]
+        x[k + 1000] = 0.9505 * x[k] + (1 - 0.9505**2) ** 0.5 * away / np.linalg.norm(away)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    links = list(zip(*(e.tolist() for e in np.nonzero(np.triu(near)))))
+    assert len(links) >= 600
+    want = least_reachable(range(3000), links)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, window=2).collect()}
+    missed = sum(near.sum(axis=1).tolist()) - sum(n for n, _ in got.values())
+    assert missed <= 2, f"{missed // 2} of {len(links)} links"
+    assert sum(got[i][1] != want[i] for i in want) <= 1
