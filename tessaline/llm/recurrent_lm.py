@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from tessaline.llm.common import cut, text_bytes
 
 FOLDS, HELD_OUT = 7, 2
-MAX_WORDS, TOP_CLASSES = 512, 16
-EMBED, STATE, STEPS, STREAMS = 12, 16, 16, 384
+MAX_WORDS, TOP_CLASSES = 2048, 32
+EMBED, STATE, STEPS, STREAMS = 16, 24, 16, 384
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 16
 ROUNDS = ((0, 1, 1e-2), (1, 4, 5e-3), (4, 16, 2e-3))  # sixteenths of the blocks, from and to, and the learning rate
 PIECE = 1024  # longest run of one stream between resets while training

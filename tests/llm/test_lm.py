@@ -100,3 +100,13 @@ def test_state_runs_through_whole_documents():
             total += model.outputs(state, np.array([i]), np.array([c]))[0]
             previous = i
         assert got == pytest.approx(total, rel=1e-4)
+
+
+def test_common_words_have_weights_of_their_own(spark):
+    text = " ".join(f"w{i}" for i in range(2000))
+    docs = spark.createDataFrame([(0, False, text)] * 2, "block int, held boolean, text string")
+    _, v = lm.count_words(docs, 1)
+    inputs, classes, inner = v.place([f"w{i}".encode() for i in range(2000)], np.full(2000, 2))
+    assert len(set(inputs.tolist())) == 2000 and classes.max() < v.n_top_classes and not inner.any()
+    weights = v.start()
+    assert weights["wo"].shape == (2001, 24) and weights["embed"].shape[1] == 16
