@@ -8,46 +8,54 @@ token and share a class with words seen once. A token's probability is P(class |
 P(token | class, state); within the classes of rare words the second factor is the
 token's share of its class's count, and within the class of words seen once the unknown
 token has the Good-Turing share N1 / (N1 + 2 N2). The probabilities thus sum to 1 over the
-known tokens and the unknown one.
+known tokens and the unknown one. Classes of rare words and the counts grow with the corpus.
 
 A gated recurrent unit carries the state. Training runs truncated backpropagation over
-windows of STEPS tokens in STREAMS parallel streams of documents, carries the state from
-window to window and resets it at document starts. Documents are dealt to blocks of about
-BLOCK_BYTES of text; in each of three rounds, which take disjoint shares of the blocks and
-together every training document once, each block starts from the last round's weights and
-the weights are averaged by tokens. Scoring carries the state through whole documents of any
-length, without a window's cut.
-
-Counts reach the blocks by a join on the words that a block holds, so that nothing that
-grows with the corpus is broadcast or collected; the driver gets the MAX_WORDS top counts,
-a few sums and the averaged weights.
-
-Defined results: null and empty texts are a single end; rows with a null doc_id are
-training rows (their fold is not the held-out one) and are scored; repeated rows count
-as often as they occur; without training tokens every token is unknown; other columns are
-ignored; an empty table gives an empty table.
+windows of STEPS tokens in up to STREAMS parallel streams, each a row of whole documents; the
+state goes from window to window and is reset at document starts only. Where a long
+document outlasts the other streams, windows get longer, so that its rest costs little. Three
+rounds take disjoint shares of the training documents, chosen by hash, and together every
+document once; in a round each task starts from the last round's weights and trains on all
+it reads, at most CHUNK_TOKENS at a time, and the tasks' weights are averaged by their tokens.
+Scoring carries the state through whole documents of any length.
+
+Texts are read and split once. A task numbers the words of about BLOCK_BYTES of text, a
+block, and writes the documents as numbers beside the block's words with their counts. The
+words' counts over the corpus reach the blocks by joins, so that nothing that grows with
+the corpus is broadcast or collected; the driver gets the MAX_WORDS top counts, a few sums
+and the averaged weights. Training and scoring read the documents as inputs of the model, two
+bytes a token, from a table in the shared folder, without a shuffle.
+
+Defined results: null and empty texts are a single end; very long texts are scored whole,
+in one task; rows with a null doc_id are training rows (their fold is not the held-out one)
+and are scored; repeated rows count as often as they occur; words of equal count are ranked by
+their bytes; without training tokens every token is unknown; other columns are ignored,
+whatever their names; an empty table gives an empty table. The weights depend in small
+ways on how the input is split into tasks; counts and base scores do not.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import cut, text_bytes
+from tessaline.llm.common import remove_folder, scratch_folder, write_table
 
 FOLDS, HELD_OUT = 7, 2
 MAX_WORDS, TOP_CLASSES = 2048, 32
-EMBED, STATE, STEPS, STREAMS = 16, 24, 16, 384
-BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 16
-ROUNDS = ((0, 1, 1e-2), (1, 4, 5e-3), (4, 16, 2e-3))  # sixteenths of the blocks, from and to, and the learning rate
-PIECE = 1024  # longest run of one stream between resets while training
-FLUSH_WORDS = 400_000
+EMBED, STATE, STEPS, STREAMS = 16, 24, 16, 512
+LONGEST_WINDOW = 256
+BLOCK_BYTES = 32 << 20
+CHUNK_TOKENS, SCORE_TOKENS, FLUSH_TOKENS = 8 << 20, 4 << 20, 1 << 14
+SHARES = 16
+ROUNDS = ((1, 1e-2), (4, 5e-3), (16, 2e-3))  # the first share that is not in the round, and its learning rate
 END = b""
 
 
@@ -65,10 +73,9 @@ class Vocabulary:
     twice: int  # words seen twice
     total: int
     distinct: int
-    ids: dict[bytes, int] = field(default_factory=dict)
+    end: int = field(init=False)
 
     def __post_init__(self):
-        self.ids = {w: i for i, w in enumerate(self.top)}
         share = np.cumsum(self.counts) - self.counts / 2
         top_total = max(int(self.counts.sum()), 1)
         own = np.minimum((share * TOP_CLASSES / top_total).astype(np.int64), TOP_CLASSES - 1)
@@ -76,185 +83,231 @@ class Vocabulary:
         self.class_of_top = np.searchsorted(used, own)
         self.n_top_classes = len(used)
         self.starts = np.searchsorted(self.class_of_top, np.arange(self.n_top_classes + 1))
-        self.band_class = {b: self.n_top_classes + k for k, b in enumerate(sorted({0, *self.bands}))}
-        self.n_classes = self.n_top_classes + len(self.band_class)
+        self.band_list = np.array(sorted({0, *self.bands}), dtype=np.int64)
+        self.n_classes = self.n_top_classes + len(self.band_list)
         once = self.bands.get(0, (0, 0))[1]
         self.unknown_share = once / (once + 2 * self.twice) if once else 1.0
-        self.n_inputs = len(self.top) + len(self.band_class)
-
-    def place(self, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For words with corpus counts: input number, class, and natural log of the share within a class of rare words (0 in top classes)."""
-        inputs = np.array([self.ids.get(w, -1) for w in words], dtype=np.int64)
-        classes, inner = np.zeros(len(words), np.int64), np.zeros(len(words))
-        top = inputs >= 0
-        classes[top] = self.class_of_top[inputs[top]]
-        rest = np.flatnonzero(~top)
-        band = np.where(counts[rest] > 0, np.log2(np.maximum(counts[rest], 1)).astype(np.int64), 0)
-        classes[rest] = [self.band_class[b] for b in band.tolist()]
-        inputs[rest] = len(self.top) + classes[rest] - self.n_top_classes
-        total = np.array([max(self.bands.get(b, (0, 0))[1], 1) for b in band.tolist()], dtype=np.float64)
-        share = np.maximum(counts[rest], 1) / total
+        self.n_inputs = len(self.top) + len(self.band_list)
+        self.class_of = np.concatenate([self.class_of_top, np.arange(self.n_top_classes, self.n_classes)]).astype(np.int16)  # by input number
+        self.end = self.top.index(END) if END in self.top else 0
+
+    def place(self, top: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For words with their number among the top words (-1 for others) and corpus counts: input number, and natural log of the share within a class of rare words (0 in top classes)."""
+        inputs, inner = top.astype(np.int64), np.zeros(len(top))
+        rest = np.flatnonzero(top < 0)
+        band = np.where(counts[rest] > 0, np.log2(np.maximum(counts[rest], 1) + 0.5).astype(np.int64), 0)
+        inputs[rest] = len(self.top) + np.searchsorted(self.band_list, band)
+        totals = np.array([max(self.bands.get(int(b), (0, 0))[1], 1) for b in self.band_list], dtype=np.float64)
+        share = np.maximum(counts[rest], 1) / totals[inputs[rest] - len(self.top)]
         share = np.where(counts[rest] == 0, self.unknown_share, np.where(band == 0, share * (1 - self.unknown_share), share))
         inner[rest] = np.log(share)
-        return inputs.astype(np.int32), classes.astype(np.int32), inner
+        return inputs.astype(np.uint16), inner
+
+    def shapes(self) -> dict[str, tuple[int, ...]]:
+        """The weights. The last row of wc and the last column of wo are biases."""
+        return {"embed": (self.n_inputs, EMBED), "wx": (EMBED, 3 * STATE), "wh": (STATE, 3 * STATE), "b": (3 * STATE,), "wc": (STATE + 1, self.n_classes), "wo": (len(self.top), STATE + 1)}
+
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for name, shape in self.shapes().items():
+            size = int(np.prod(shape))
+            out[name] = flat[at : at + size].reshape(shape)
+            at += size
+        return out
 
-    def start(self) -> dict[str, np.ndarray]:
-        """First weights: random, with the counts as output biases."""
+    def start(self) -> np.ndarray:
+        """First weights in one array: random, with the counts as output biases."""
         rng = np.random.default_rng(11)
-        normal = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        mass = np.concatenate([np.add.reduceat(self.counts, self.starts[:-1]) if len(self.top) else np.zeros(0), [self.bands.get(b, (0, 0))[1] for b in sorted(self.band_class)]]).astype(np.float64)
+        flat = np.zeros(sum(int(np.prod(s)) for s in self.shapes().values()), np.float32)
+        w = self.views(flat)
+        w["embed"][:] = rng.standard_normal(w["embed"].shape) * 0.3
+        for name in ("wx", "wh"):
+            w[name][:] = rng.standard_normal(w[name].shape) / np.sqrt(len(w[name]))
+        mass = np.concatenate([np.add.reduceat(self.counts, self.starts[:-1]) if len(self.top) else np.zeros(0), [self.bands.get(int(b), (0, 0))[1] for b in self.band_list]]).astype(np.float64)
         mass[self.n_top_classes] += 2 * self.twice + 1
-        inner = np.log(np.maximum(self.counts, 1)).astype(np.float32)
-        return {
-            "embed": normal(self.n_inputs, EMBED) * np.float32(np.sqrt(self.n_inputs) * 0.3), "wx": normal(EMBED, 3 * STATE), "wh": normal(STATE, 3 * STATE), "b": np.zeros(3 * STATE, np.float32),
-            "wc": np.zeros((STATE, self.n_classes), np.float32), "bc": np.log(mass / mass.sum() + 1e-9).astype(np.float32), "wo": np.zeros((len(self.top), STATE), np.float32), "bo": inner,
-        }
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.clip(x, -20, 20, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+        w["wc"][-1] = np.log(mass / mass.sum() + 1e-9)
+        for s, e in zip(self.starts[:-1], self.starts[1:]):  # shares within the class
+            w["wo"][s:e, -1] = np.log(np.maximum(self.counts[s:e], 1) / max(int(self.counts[s:e].sum()), 1))
+        return flat
+
+
+def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(x) in place of x, its sums by row; and the log probability of each row's target."""
+    rows = np.arange(len(x))
+    picked = x[rows, target]
+    with np.errstate(over="ignore"):
+        e = np.exp(x)
+        total = e @ np.ones(x.shape[1], x.dtype)
+    if not np.isfinite(total).all() or not total.all():  # logits beyond the range of exp
+        top = x.max(axis=1, keepdims=True)
+        picked = picked - top[:, 0]
+        e = np.exp(x - top)
+        total = e.sum(axis=1)
+    x[:] = e
+    return total, picked - np.log(total)
 
 
 class GatedModel:
-    def __init__(self, vocabulary: Vocabulary, weights: dict[str, np.ndarray]):
-        self.v, self.w = vocabulary, weights
+    def __init__(self, vocabulary: Vocabulary, flat: np.ndarray):
+        self.v, self.flat = vocabulary, flat.copy()
+        self.w = vocabulary.views(self.flat)
 
-    def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def step(self, gates: np.ndarray, h: np.ndarray, out: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+        """The next state; out receives the update and reset gates, the candidate and its recurrent part for the way back."""
         g = h @ self.w["wh"]
-        zr = _sigmoid(gates[:, : 2 * STATE] + g[:, : 2 * STATE])
-        z, r, inner = zr[:, :STATE], zr[:, STATE:], g[:, 2 * STATE :]
-        n = np.tanh(gates[:, 2 * STATE :] + r * inner)
-        return n + z * (h - n), z, r, n, inner
-
-    def outputs(self, h: np.ndarray, target: np.ndarray, classes: np.ndarray, grads: dict | None = None, scale: float = 1.0):
-        """Natural log probability of each target (input numbers; shares within rare classes left out), and the gradient for h if grads is given."""
-        w, logp = self.w, _log_softmax(h @ self.w["wc"] + self.w["bc"])
-        rows = np.arange(len(h))
-        found = logp[rows, classes].astype(np.float64)
-        if grads is not None:
-            d = np.exp(logp)
-            d[rows, classes] -= 1
-            d *= scale
-            grads["wc"], grads["bc"] = h.T @ d, d.sum(axis=0)
-            dh = d @ w["wc"].T
-            grads["wo"], grads["bo"] = np.zeros_like(w["wo"]), np.zeros_like(w["bo"])
+        zr = np.add(gates[:, : 2 * STATE], g[:, : 2 * STATE], out=out[0] if out else None)
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        inner = g[:, 2 * STATE :]
+        n = np.multiply(zr[:, STATE:], inner, out=out[1] if out else None)
+        n += gates[:, 2 * STATE :]
+        np.tanh(n, out=n)
+        if out:
+            out[2][:] = inner
+        new = h - n
+        new *= zr[:, :STATE]
+        new += n
+        return new
+
+    def outputs(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None, scale: float = 1.0):
+        """Natural log probability of each target input number (shares within rare classes left out), and the gradient for h if grads is given. h has a last column of ones."""
+        w, classes = self.w, self.v.class_of[target]
         order = np.argsort(classes, kind="stable")
-        at = np.searchsorted(classes[order], np.arange(self.v.n_top_classes + 1))
+        h, target, classes = h[order], target[order].astype(np.int64), classes[order].astype(np.int64)
+        x = h @ w["wc"]
+        total, found = _softmax(x, classes)
+        found = found.astype(np.float64)
+        if grads is not None:
+            scale = h.dtype.type(scale)
+            x *= (scale / total)[:, None]
+            x[np.arange(len(h)), classes] -= scale
+            np.matmul(h.T, x, out=grads["wc"])
+            dh = x @ w["wc"].T
+            grads["wo"][:] = 0
+        at = np.searchsorted(classes, np.arange(self.v.n_top_classes + 1))
         for k in range(self.v.n_top_classes):
             s, e = self.v.starts[k], self.v.starts[k + 1]
             if e - s < 2 or at[k] == at[k + 1]:
                 continue
-            own = order[at[k] : at[k + 1]]
-            mine, hk = target[own] - s, h[own]
-            logq = _log_softmax(hk @ w["wo"][s:e].T + w["bo"][s:e])
-            found[own] += logq[np.arange(len(own)), mine]
+            own = slice(at[k], at[k + 1])
+            mine, hk, wo = target[own] - s, h[own], w["wo"][s:e]
+            x = hk @ wo.T
+            total, logq = _softmax(x, mine)
+            found[own] += logq
             if grads is not None:
-                d = np.exp(logq)
-                d[np.arange(len(own)), mine] -= 1
-                d *= scale
-                grads["wo"][s:e], grads["bo"][s:e] = d.T @ hk, d.sum(axis=0)
-                dh[own] += d @ w["wo"][s:e]
-        return (found, dh) if grads is not None else found
-
-    def window(self, inputs, keep, target, classes, valid, h):
-        """One window of truncated backpropagation: gradients and the last state. Arrays are (steps, streams)."""
+                x *= (scale / total)[:, None]
+                x[np.arange(len(hk)), mine] -= scale
+                np.matmul(x.T, hk, out=grads["wo"][s:e])
+                dh[own] += x @ wo
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return (found[back], dh[back]) if grads is not None else found[back]
+
+    def window(self, inputs, keep, target, valid, h, grads):
+        """One window of truncated backpropagation: fills grads and returns the last state. Arrays are (steps, streams)."""
         w, (steps, streams) = self.w, inputs.shape
-        x = w["embed"][inputs.ravel()]
+        kind = h.dtype
+        at = inputs.ravel()
+        x = w["embed"][at]
         gates = (x @ w["wx"] + w["b"]).reshape(steps, streams, -1)
-        before, saved, states = [], [], []
+        before, n, inner = (np.empty((steps, streams, STATE), kind) for _ in range(3))
+        zr = np.empty((steps, streams, 2 * STATE), kind)
+        states = np.ones((steps, streams, STATE + 1), kind)
         for t in range(steps):
-            h = h * keep[t][:, None]
-            before.append(h)
-            h, *rest = self.step(gates[t], h)
-            saved.append(rest)
-            states.append(h)
-        flat = np.concatenate(states)
+            np.multiply(h, keep[t][:, None], out=before[t])
+            h = self.step(gates[t], before[t], (zr[t], n[t], inner[t]))
+            states[t, :, :STATE] = h
         ok = np.flatnonzero(valid.ravel())
-        grads: dict[str, np.ndarray] = {}
-        _, dok = self.outputs(flat[ok], target.ravel()[ok], classes.ravel()[ok], grads, 1.0 / max(len(ok), 1))
-        dflat = np.zeros_like(flat)
-        dflat[ok] = dok
-        dflat = dflat.reshape(steps, streams, -1)
-        dgates, dg = np.empty_like(gates), np.empty_like(gates)
-        after = np.zeros_like(h)
+        _, back = self.outputs(states.reshape(-1, STATE + 1)[ok], target.ravel()[ok], grads, 1.0 / max(len(ok), 1))
+        dstate = np.zeros((steps * streams, STATE), kind)
+        dstate[ok] = back[:, :STATE]
+        dstate = dstate.reshape(steps, streams, STATE)
+        z, r = zr[..., :STATE], zr[..., STATE:]
+        slope = (1 - z) * (1 - n * n)
+        factor = np.empty((steps, streams, 3, STATE), kind)  # of the state's gradient, for each gate's recurrent part
+        np.multiply((before - n) * z, 1 - z, out=factor[:, :, 0])
+        np.multiply(slope, r, out=factor[:, :, 2])
+        np.multiply(factor[:, :, 2], inner * (1 - r), out=factor[:, :, 1])
+        dg, to_before = np.empty_like(factor), np.ascontiguousarray(w["wh"].T)
+        after = np.zeros((streams, STATE), kind)
         for t in range(steps - 1, -1, -1):
-            z, r, n, inner = saved[t]
-            dh = dflat[t] + after
-            dn = dh * (1 - z) * (1 - n * n)
-            dgates[t, :, :STATE] = dg[t, :, :STATE] = dh * (before[t] - n) * z * (1 - z)
-            dgates[t, :, STATE : 2 * STATE] = dg[t, :, STATE : 2 * STATE] = dn * inner * r * (1 - r)
-            dgates[t, :, 2 * STATE :] = dn
-            dg[t, :, 2 * STATE :] = dn * r
-            after = (dh * z + dg[t] @ w["wh"].T) * keep[t][:, None]
-        dgates = dgates.reshape(len(x), -1)
-        grads["wx"], grads["b"] = x.T @ dgates, dgates.sum(axis=0)
-        grads["wh"] = np.concatenate(before).T @ dg.reshape(len(x), -1)
-        dx, at = dgates @ w["wx"].T, inputs.ravel()
-        grads["embed"] = np.stack([np.bincount(at, dx[:, d], len(w["embed"])) for d in range(EMBED)], axis=1).astype(dx.dtype)
-        return grads, h
-
-    def train(self, docs: list[tuple[np.ndarray, np.ndarray]], rate: float) -> int:
-        """One pass over documents of (input numbers, classes); returns the tokens seen."""
-        first = self.v.ids.get(END, 0)
-        pieces = []
-        for ids, classes in docs:
-            previous = np.concatenate([[first], ids[:-1]])
-            for s in range(0, len(ids), PIECE):
-                pieces.append((previous[s : s + PIECE], ids[s : s + PIECE], classes[s : s + PIECE]))
-        if not pieces:
-            return 0
-        total = sum(len(p[1]) for p in pieces)
-        streams = max(1, min(STREAMS, total // (4 * STEPS)))
-        rng = np.random.default_rng(total)
-        load, lanes = [0] * streams, [[] for _ in range(streams)]
-        for i in rng.permutation(len(pieces)):  # to the shortest stream so far
-            k = min(range(streams), key=load.__getitem__) if streams < 32 else int(np.argmin(load))
+            dh = dstate[t]
+            dh += after
+            np.multiply(factor[t], dh[:, None, :], out=dg[t])
+            after = dg[t].reshape(streams, -1) @ to_before
+            after += dh * z[t]
+            after *= keep[t][:, None]
+        np.matmul(before.reshape(-1, STATE).T, dg.reshape(len(at), -1), out=grads["wh"])
+        np.multiply(dstate, slope, out=dg[:, :, 2])
+        dg = dg.reshape(len(at), -1)
+        np.matmul(x.T, dg, out=grads["wx"])
+        grads["b"][:] = dg.sum(axis=0)
+        dx = dg @ w["wx"].T
+        for d in range(EMBED):
+            grads["embed"][:, d] = np.bincount(at, dx[:, d], len(w["embed"]))
+        return h
+
+    def train(self, docs: list[np.ndarray], rate: float, moments: dict) -> int:
+        """One pass over documents of input numbers; returns the tokens seen. moments carries the optimiser from chunk to chunk."""
+        sizes = [len(d) for d in docs]
+        total = sum(sizes)
+        streams = max(8, min(STREAMS, total // 1024))
+        order = np.random.default_rng(total).permutation(len(docs)).tolist()
+        order.sort(key=lambda i: sizes[i] * streams < total)  # documents longer than a mean stream begin
+        load, lanes = [(0, k) for k in range(streams)], [[] for _ in range(streams)]
+        for i in order:  # to the shortest stream so far
+            size, k = heapq.heappop(load)
             lanes[k].append(i)
-            load[k] += len(pieces[i][1])
-        length = -(-max(load) // STEPS) * STEPS
-        inputs, target, classes = (np.zeros((length, streams), np.int32) for _ in range(3))
-        keep, valid = np.ones((length, streams), np.float32), np.zeros((length, streams), bool)
-        for k, lane in enumerate(lanes):
-            at = 0
-            for i in lane:
-                p, ids, cls = pieces[i]
-                n = len(ids)
-                inputs[at : at + n, k], target[at : at + n, k], classes[at : at + n, k] = p, ids, cls
-                keep[at, k], valid[at : at + n, k] = 0, True
-                at += n
+            heapq.heappush(load, (size + sizes[i], k))
+        lengths = np.zeros(streams, np.int64)
+        for size, k in load:
+            lengths[k] = size
+        longest = np.argsort(-lengths, kind="stable")
+        lengths = lengths[longest]
+        order = [i for k in longest for i in lanes[k]]
+        target = np.concatenate([docs[i] for i in order])
+        begin = np.cumsum([sizes[i] for i in order]) - [sizes[i] for i in order]
+        inputs = np.empty_like(target)
+        inputs[1:], first = target[:-1], np.zeros(len(target), bool)
+        first[begin] = True
+        inputs[first] = self.v.end
+        lane_begin = np.cumsum(lengths) - lengths
         h = np.zeros((streams, STATE), np.float32)
-        one = {k: np.zeros_like(x) for k, x in self.w.items()}
-        two = {k: np.zeros_like(x) for k, x in self.w.items()}
-        for number, s in enumerate(range(0, length, STEPS), 1):
-            part = slice(s, s + STEPS)
-            grads, h = self.window(inputs[part], keep[part], target[part], classes[part], valid[part], h)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            shrink = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-            for k, g in grads.items():
-                g = g * shrink
-                one[k] += np.float32(0.1) * (g - one[k])
-                two[k] += np.float32(0.01) * (g * g - two[k])
-                fix = np.float32(rate * np.sqrt(1 - 0.99**number) / (1 - 0.9**number))
-                self.w[k] = self.w[k] - fix * one[k] / (np.sqrt(two[k]) + np.float32(1e-6))
+        gradient = np.zeros_like(self.flat)
+        grads = self.v.views(gradient)
+        one, two = (moments.setdefault(k, np.zeros_like(self.flat)) for k in ("one", "two"))
+        s = 0
+        while s < lengths[0]:
+            live = int(np.searchsorted(-lengths, -s))  # streams longer than s
+            steps = int(min(max(STEPS, STEPS * streams // (8 * live)), LONGEST_WINDOW, lengths[0] - s))
+            ahead = s + np.arange(steps)[:, None]
+            valid = ahead < lengths[:live]
+            at = np.minimum(lane_begin[:live] + ahead, len(target) - 1)
+            keep = (~first[at]).astype(np.float32)
+            h = self.window(inputs[at], keep, target[at], valid, h[:live], grads)
+            s += steps
+            gradient *= np.float32(min(1.0, 1.0 / (np.sqrt(float(gradient @ gradient)) + 1e-9)))
+            moments["steps"] = number = moments.get("steps", 0) + 1
+            one += np.float32(0.1) * (gradient - one)
+            gradient *= gradient
+            two += np.float32(0.01) * (gradient - two)
+            np.sqrt(two, out=gradient)
+            gradient += np.float32(1e-6)
+            np.divide(one, gradient, out=gradient)
+            gradient *= np.float32(rate * np.sqrt(1 - 0.99**number) / (1 - 0.9**number))
+            self.flat -= gradient
         return total
 
-    def score(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each whole document, without the shares within rare classes."""
         w, n = self.w, len(docs)
-        sizes = np.array([len(d[0]) for d in docs], dtype=np.int64)
+        sizes = np.array([len(d) for d in docs], dtype=np.int64)
         order = np.argsort(-sizes, kind="stable")
-        ids, classes = np.concatenate([docs[i][0] for i in order]), np.concatenate([docs[i][1] for i in order])
-        begin = np.concatenate([[0], np.cumsum(sizes[order])[:-1]])
+        ids = np.concatenate([docs[i] for i in order])
+        sizes = sizes[order]
+        begin = np.cumsum(sizes) - sizes
         projected = w["embed"] @ w["wx"] + w["b"]  # of each input
         found = np.zeros(n)
         h = np.zeros((n, STATE), np.float32)
@@ -262,19 +315,24 @@ class GatedModel:
         waiting = 0
 
         def flush():
-            at, rows = np.concatenate([a for a, _ in held]), np.concatenate([np.arange(len(a)) for a, _ in held])
-            np.add.at(found, rows, self.outputs(np.concatenate([s for _, s in held]), ids[at], classes[at]))
+            at = np.concatenate([a for a, _ in held])
+            states = np.ones((len(at), STATE + 1), np.float32)
+            states[:, :STATE] = np.concatenate([s for _, s in held])
+            logs, done = self.outputs(states, ids[at]), 0
+            for a, _ in held:  # the documents still running come first
+                found[: len(a)] += logs[done : done + len(a)]
+                done += len(a)
 
         live = n
-        for t in range(int(sizes.max(initial=0))):
-            while live and sizes[order[live - 1]] <= t:
-                live -= 1
+        for t in range(int(sizes[0])):
+            if sizes[live - 1] <= t:
+                live = int(np.searchsorted(-sizes, -t))
             at = begin[:live] + t
-            previous = ids[at - 1] if t else np.full(live, self.v.ids.get(END, 0))
-            h = self.step(projected[previous], h[:live])[0]
+            previous = ids[at - 1] if t else np.full(live, self.v.end)
+            h = self.step(projected[previous], h[:live])
             held.append((at, h))
             waiting += live
-            if waiting >= 16_384:
+            if waiting >= FLUSH_TOKENS:
                 flush()
                 held, waiting = [], 0
         if held:
@@ -291,128 +349,192 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word, n): occurrences of each word of a block in training rows, 0 for those in held-out rows only."""
-    counts: dict[int, Counter] = {}
+class _Numbers(dict):
+    """Numbers words as they come."""
 
-    def out():
-        for block, own in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int32)), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["block", "word", "n"])
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
-    for batch in batches:
-        for block, held, text in zip(*(c.to_pylist() for c in batch.columns)):
-            own = counts.setdefault(block, Counter())
-            if held:
-                for word in set(tokens(text)):
-                    own[word] += 0
-            else:
-                own.update(tokens(text))
-        if sum(map(len, counts.values())) > FLUSH_WORDS:
-            yield from out()
-            counts = {}
-    yield from out()
 
+BLOCKS = "block long, doc_id long, held boolean, share int, ids binary, number int, word binary, n long"
 
-def _encode(docs: pa.Table, words: pa.Table, vocabulary: Vocabulary, training: bool = False):
-    """Token arrays of a block's documents, by the numbers of the block's words."""
-    names, counts = words.column("word").to_pylist(), words.column("c").to_numpy()
-    inputs, classes, inner = vocabulary.place(names, counts)
-    number = {w: i for i, w in enumerate(names)}.__getitem__
-    for text in docs.column("text"):
-        own = tokens(text.as_py())
-        at = np.fromiter(map(number, own), dtype=np.int64, count=len(own))
-        yield (inputs[at], classes[at]) if training else (inputs[at], classes[at], inner[at], counts[at])
 
+def _read_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Documents as numbers of their block's words, and after them the block's words with their occurrences in training rows (0 for words of held-out rows only)."""
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("share", pa.int32()), ("ids", pa.binary()), ("number", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
+    block = TaskContext.get().partitionId() << 24
 
-WEIGHTS = "chunk int, tokens long, part binary"
-CHUNK = 2048
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
+    numbers, counted, size = _Numbers(), [], 0
 
-def _flat(weights: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([weights[k].ravel() for k in sorted(weights)])
+    def words() -> Iterator[pa.RecordBatch]:
+        n = np.bincount(np.concatenate(counted), minlength=len(numbers)) if counted else np.zeros(len(numbers), np.int64)
+        names = list(numbers)
+        for s in range(0, len(names), 50_000):
+            part = names[s : s + 50_000]
+            yield rows(len(part), block=np.full(len(part), block), number=np.arange(s, s + len(part), dtype=np.int32), word=part, n=n[s : s + 50_000])
 
-
-def _unflat(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
-    return out
+    for batch in batches:
+        doc_ids, helds, shares, texts = batch.columns
+        for begin in range(0, batch.num_rows, 256):
+            out: list[bytes] = []
+            for i in range(begin, min(begin + 256, batch.num_rows)):
+                own = tokens(texts[i].as_py())
+                ids = np.fromiter(map(numbers.__getitem__, own), dtype=np.int32, count=len(own))
+                out.append(ids.tobytes())
+                if not helds[i].as_py():
+                    counted.append(ids)
+                size += 5 * len(own)
+            part = slice(begin, begin + len(out))
+            yield rows(len(out), block=np.full(len(out), block), doc_id=doc_ids[part], held=helds[part], share=shares[part], ids=out)
+            if size >= block_bytes:
+                yield from words()
+                numbers, counted, size, block = _Numbers(), [], 0, block + 1
+    if numbers:
+        yield from words()
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The driver's view of (word, c)."""
+    counts = counts.filter("c > 0")
+    bounded = counts.orderBy(F.desc("c"), "word").limit(MAX_WORDS).collect()  # MAX_WORDS rows at most
+    names, numbers = [bytes(r.word) for r in bounded], np.array([r.c for r in bounded], dtype=np.int64)
+    if END not in names and names:  # fewer than MAX_WORDS documents among very frequent words: END replaces the rarest
+        end = counts.filter(F.length("word") == 0).first()
+        if end:
+            names[-1], numbers[-1] = END, end.c
+    own = counts.sparkSession.createDataFrame([(w,) for w in names], "word binary")
+    band = F.floor(F.log2(F.col("c") + 0.5)).cast("int")
+    rows = counts.join(F.broadcast(own.withColumn("top", F.lit(True))), "word", "left").groupBy(F.when(F.col("top").isNull(), band).alias("band"), (F.col("c") == 2).alias("two")).agg(F.count("*").alias("w"), F.sum("c").alias("n")).collect()  # two rows a power of two at most
+    bands: dict[int, tuple[int, int]] = {}
+    for r in rows:
+        if r.band is not None:
+            have = bands.get(r.band, (0, 0))
+            bands[r.band] = (have[0] + r.w, have[1] + r.n)
+    return Vocabulary(names, numbers, bands, sum(r.w for r in rows if r.two), sum(r.n for r in rows), sum(r.w for r in rows))
+
+
+ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, inputs binary, round int"
+
+
+def _encode(docs: pa.Table, words: pa.Table, v: Vocabulary) -> pa.Table:
+    """A block's documents as inputs of the model, with the sums that need the counts of rare words."""
+    number = words.column("number").to_numpy()
+    counts, top = np.zeros(len(number), np.int64), np.full(len(number), -1)
+    counts[number] = words.column("c").to_numpy()
+    top[number] = words.column("top").to_numpy()
+    inputs, inner = v.place(top, counts)
+    base = np.log10((counts + 1.0) / (v.total + v.distinct + 1))
+    found: list[tuple] = []
+    for ids in docs.column("ids"):
+        at = np.frombuffer(ids.as_py(), np.int32)
+        found.append((len(at), int((counts[at] > 0).sum()), float(base[at].sum()), float(inner[at].sum()), inputs[at].tobytes()))
+    sizes, known, bases, inners, arrays = zip(*found) if found else ((),) * 5
+    held = docs.column("held")
+    share = docs.column("share").to_numpy()
+    rounds = np.searchsorted([last for last, _ in ROUNDS], share, side="right").astype(np.int32)
+    rounds[held.to_numpy()] = len(ROUNDS)  # never trained on
+    return pa.table({"doc_id": docs.column("doc_id"), "held_out": held, "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(bases, pa.float64()), "inner": pa.array(inners, pa.float64()), "inputs": pa.array(arrays, pa.binary()), "round": pa.array(rounds)})
+
+
+def encode(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Vocabulary]:
+    """The documents as inputs of the model, in a table under folder, and the vocabulary."""
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARES)).cast("int")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = own.select("doc_id", held_out(F.col("doc_id")).alias("held"), share.alias("share"), "text")
+    read = write_table(own.mapInArrow(lambda batches: _read_blocks(batches, block_bytes), BLOCKS), f"{folder}/blocks")
+    words = read.filter(F.col("word").isNotNull()).select("block", "number", "word", "n")
+    counts = write_table(words.groupBy("word").agg(F.sum("n").alias("c")), f"{folder}/counts")
+    v = vocabulary(counts)
+    top = docs.sparkSession.createDataFrame(list(enumerate(v.top)), "top int, word binary")
+    known = words.drop("n").join(counts, "word").join(F.broadcast(top), "word", "left").select(F.col("block").alias("owner"), "number", "c", F.coalesce("top", F.lit(-1)).alias("top"))
+    texts = read.filter(F.col("word").isNull()).select("block", "doc_id", "held", "share", "ids")
+    encoded = texts.groupBy("block").cogroup(known.groupBy("owner")).applyInArrow(lambda left, right: _encode(left, right, v), ENCODED)
+    encoded = write_table(encoded, f"{folder}/encoded", "round")
+    remove_folder(docs.sparkSession, f"{folder}/blocks")
+    remove_folder(docs.sparkSession, f"{folder}/counts")
+    return encoded, v
+
+
+PART = 2048
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Rows, and their documents, of about so many tokens at a time."""
+    rows: list[pa.RecordBatch] = []
+    docs: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        inputs = batch.column(batch.schema.get_field_index("inputs"))
+        begin = 0
+        for i in range(batch.num_rows):
+            docs.append(np.frombuffer(inputs[i].as_py(), np.uint16))
+            size += len(docs[-1])
+            if size >= most:
+                rows.append(batch.slice(begin, i + 1 - begin))
+                yield rows, docs
+                rows, docs, size, begin = [], [], 0, i + 1
+        if begin < batch.num_rows:
+            rows.append(batch.slice(begin))
+    if docs:
+        yield rows, docs
+
+
+def _fit(batches: Iterator[pa.RecordBatch], v: Vocabulary, flat: np.ndarray, rate: float) -> Iterator[pa.RecordBatch]:
+    """One task's trained weights in parts."""
+    model, moments, seen = GatedModel(v, flat), {}, 0
+    for _, docs in _chunks(batches, CHUNK_TOKENS):
+        seen += model.train(docs, rate, moments)
+    if seen:
+        parts = [model.flat[i : i + PART].tobytes() for i in range(0, len(model.flat), PART)]
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([task] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["task", "chunk", "tokens", "part"])
 
 
 def _average(group: pa.Table) -> pa.Table:
-    """Mean of one chunk of the blocks' weights by their tokens."""
+    """Mean of one part of the tasks' weights by their tokens."""
     n = group.column("tokens").to_numpy().astype(np.float64)
-    order = np.argsort(group.column("block").to_numpy(), kind="stable")
+    order = np.argsort(group.column("task").to_numpy(), kind="stable")
     parts = group.column("part")
     total = sum(n[i] * np.frombuffer(parts[int(i)].as_py(), np.float32) for i in order) / n.sum()
     return pa.table({"chunk": group.column("chunk").slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def count_words(docs: DataFrame, blocks: int) -> tuple[DataFrame, Vocabulary]:
-    """(block, word, c): the corpus count of each word that a block holds; and the vocabulary."""
-    rows = docs.select("block", "held", "text").mapInArrow(_block_words, "block int, word binary, n long")
-    own = cut(rows.groupBy("block", "word").agg(F.sum("n").alias("n")))
-    counts = own.groupBy("word").agg(F.sum("n").alias("c"))
-    words = cut(own.select("block", "word").join(counts, "word"))
-    counts = words.filter("c > 0").select("word", "c").distinct()
-    top = counts.orderBy(F.desc("c"), "word").limit(MAX_WORDS)
-    bounded = top.collect()  # MAX_WORDS rows at most
-    names, numbers = [bytes(r.word) for r in bounded], np.array([r.c for r in bounded], dtype=np.int64)
-    if END not in names and names:  # fewer than MAX_WORDS documents among very frequent words: END replaces the rarest
-        end = counts.filter(F.length("word") == 0).first()
-        if end:
-            names[-1], numbers[-1] = END, end.c
-    totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 2).cast("long")).alias("twice")).first()
-    rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in names], "word binary")), "word", "left_anti")
-    bands = rest.groupBy(F.floor(F.log2(F.col("c").cast("double")) + 1e-12).cast("int").alias("band")).agg(F.count("*").alias("w"), F.sum("c").alias("n")).collect()
-    return words, Vocabulary(names, numbers, {r.band: (r.w, r.n) for r in bands}, int(totals.twice or 0), int(totals.n or 0), int(totals.v))
-
-
-def train(docs: DataFrame, words: DataFrame, vocabulary: Vocabulary, blocks: int) -> dict[str, np.ndarray]:
-    weights = vocabulary.start()
-    if not vocabulary.total:
-        return weights
-    for low, high, rate in ROUNDS:
-        begin = _flat(weights)
-
-        def fit(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            model = GatedModel(vocabulary, _unflat(begin, vocabulary.start()))
-            seen = model.train(list(_encode(left, right, vocabulary, training=True)), rate) if left.num_rows else 0
-            flat = _flat(model.w) if seen else np.empty(0, np.float32)
-            parts = [flat[i : i + CHUNK].astype(np.float32).tobytes() for i in range(0, len(flat), CHUNK)]
-            block = key[0].as_py()
-            return pa.table({"block": pa.array([block] * len(parts), pa.int32()), "chunk": pa.array(range(len(parts)), pa.int32()), "tokens": pa.array([seen] * len(parts), pa.int64()), "part": pa.array(parts, pa.binary())})
-
-        share = lambda df: df.filter((F.col("block") >= low * blocks // 16) & (F.col("block") < high * blocks // 16))  # noqa: E731, B023
-        mine = share(docs).filter(~F.col("held")).select("block", "text")
-        trained = mine.groupBy("block").cogroup(share(words).groupBy("block")).applyInArrow(fit, f"block int, {WEIGHTS}")
+def train(encoded: DataFrame, v: Vocabulary) -> np.ndarray:
+    """The weights after all rounds."""
+    flat = v.start()
+    if not v.total:
+        return flat
+    for number, (_, rate) in enumerate(ROUNDS):
+        begin = flat
+
+        def fit(batches, rate=rate, begin=begin):
+            return _fit(batches, v, begin, rate)
+
+        trained = encoded.filter(F.col("round") == number).select("inputs").mapInArrow(fit, "task int, chunk int, tokens long, part binary")
         averaged = trained.groupBy("chunk").applyInArrow(_average, "chunk int, part binary").collect()  # the model's size
         if averaged:
-            weights = _unflat(np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(averaged, key=lambda r: r.chunk)]), weights)
-    return weights
+            flat = np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(averaged, key=lambda r: r.chunk)])
+    return flat
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(batches: Iterator[pa.RecordBatch], v: Vocabulary, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+    model = GatedModel(v, flat)
+    for rows, docs in _chunks(batches, SCORE_TOKENS):
+        rows = pa.Table.from_batches(rows)
+        scores = (model.score(docs) + rows.column("inner").to_numpy()) / np.log(10)
+        columns = [rows.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")]
+        yield from pa.table([*columns, pa.array(np.full(len(docs), v.total)), rows.column("base_score"), pa.array(scores)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).to_batches()
 
 
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    blocks = max(LEAST_BLOCKS, -(-text_bytes(docs) // block_bytes))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = own.select("doc_id", "text", block.alias("block"), held_out(F.col("doc_id")).alias("held"))
-    words, vocabulary = count_words(own, blocks)
-    weights = train(own, words, vocabulary, blocks)
-
-    def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {"base": [], "inner": [], "known": [], "size": []}
-        docs = []
-        for ids, classes, inner, counts in _encode(left, right, vocabulary):
-            docs.append((ids, classes))
-            found["base"].append(float(np.log10((counts + 1.0) / (vocabulary.total + vocabulary.distinct + 1)).sum()))
-            found["inner"].append(float(inner.sum()))
-            found["known"].append(int((counts > 0).sum()))
-            found["size"].append(len(ids))
-        scores = (GatedModel(vocabulary, weights).score(docs) + np.array(found["inner"])) / np.log(10) if docs else np.empty(0)
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held"), "n_tokens": pa.array(found["size"], pa.int64()), "n_known": pa.array(found["known"], pa.int64()), "train_tokens": pa.array([vocabulary.total] * len(docs), pa.int64()), "base_score": pa.array(found["base"], pa.float64()), "score": pa.array(scores, pa.float64())})
-
-    kept = own.select("block", "doc_id", "held", "text")
-    return kept.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    encoded, v = encode(docs, scratch_folder(docs.sparkSession, "lm"), block_bytes)
+    flat = train(encoded, v)
+    return encoded.drop("round").mapInArrow(lambda batches: _score(batches, v, flat), SCORED)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessaline.llm import recurrent_lm as lm
 
@@ -31,7 +32,7 @@ def test_scores(spark):
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got), key=repr) == want
     assert all(r.score < 0 for r in got)
     own = [r for r in got if r.held_out]
-    assert sum(r.score for r in own) > sum(r.base_score for r in own)
+    assert sum(r.score for r in own) > sum(r.base_score for r in own) + 0.5 * sum(r.n_tokens for r in own)
     assert lm.score(docs.limit(0)).collect() == []
 
 
@@ -40,19 +41,70 @@ def vocabulary():
     return lm.Vocabulary(words, np.array([500, 300, 200, 90, 60]), {0: (40, 40), 1: (20, 50), 2: (5, 25)}, 10, 1265, 70)
 
 
-def small_model(dtype=np.float64):
+def small_model():
     v = vocabulary()
-    rng = np.random.default_rng(0)
-    return v, lm.GatedModel(v, {k: (x + rng.standard_normal(x.shape) * 0.1).astype(dtype) for k, x in v.start().items()})
+    return v, lm.GatedModel(v, v.start().astype(np.float64) + np.random.default_rng(0).standard_normal(len(v.start())) * 0.1)
+
+
+def ones(h):
+    return np.concatenate([h, np.ones((*h.shape[:-1], 1))], axis=-1)
+
+
+def plain_score(v, w, ids):
+    """Natural log probability of one document, token by token, from the formulas."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    S, h, total, previous = lm.STATE, np.zeros(lm.STATE), 0.0, v.end
+    for i in ids.tolist():
+        gates, own = w["embed"][previous] @ w["wx"] + w["b"], h @ w["wh"]
+        z, r = sigmoid(gates[:S] + own[:S]), sigmoid(gates[S : 2 * S] + own[S : 2 * S])
+        n = np.tanh(gates[2 * S :] + r * own[2 * S :])
+        h = (1 - z) * n + z * h
+        logits = ones(h) @ w["wc"]
+        k = int(v.class_of[i])
+        total += logits[k] - math.log(np.exp(logits).sum())
+        if k < v.n_top_classes:
+            s, e = v.starts[k], v.starts[k + 1]
+            inside = w["wo"][s:e] @ ones(h)
+            total += inside[i - s] - math.log(np.exp(inside).sum())
+        previous = i
+    return total
+
+
+def test_every_score_of_the_table(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    encoded, v = lm.encode(docs, str(tmp_path / "lm"), 100_000)
+    weights = lm.train(encoded, v)
+    w = {k: x.astype(np.float64) for k, x in v.views(weights).items()}
+    rows = {r.doc_id: r for r in encoded.collect()}
+    got = list(lm._score(iter(encoded.drop("round").toArrow().to_batches()), v, weights))
+    for batch in got:
+        for r in batch.to_pylist():
+            ids = np.frombuffer(rows[r["doc_id"]].inputs, np.uint16)
+            assert r["score"] == pytest.approx((plain_score(v, w, ids) + rows[r["doc_id"]].inner) / math.log(10), rel=1e-4)
+    assert sum(b.num_rows for b in got) == 200
+    assert {r.round for r in rows.values()} == {0, 1, 2, 3} and all(r.held_out == (r.round == 3) for r in rows.values())
+
+
+def test_counts_do_not_depend_on_blocks(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = [sorted(tuple(r) for r in lm.encode(docs, str(tmp_path / str(n)), n)[0].select("doc_id", "n_tokens", "n_known", F.round("base_score", 6), F.round("inner", 6), F.md5("inputs")).collect()) for n in (10_000, 1 << 30)]
+    assert own[0] == own[1]
 
 
 def test_probabilities_sum_to_one():
     v, model = small_model()
-    names = [*v.top, *[f"once{i}".encode() for i in range(40)], *[f"twice{i}".encode() for i in range(20)], *[f"four{i}".encode() for i in range(5)], b"unknown"]
     counts = np.array([*v.counts, *[1] * 40, *[2] * 10, *[3] * 10, *[5] * 5, 0])
-    inputs, classes, inner = v.place(names, counts)
-    h = np.tile(np.random.default_rng(1).standard_normal(lm.STATE), (len(names), 1))
-    assert np.exp(model.outputs(h, inputs, classes) + inner).sum() == pytest.approx(1.0)
+    top = np.array([*range(5), *[-1] * (len(counts) - 5)])
+    inputs, inner = v.place(top, counts)
+    h = ones(np.tile(np.random.default_rng(1).standard_normal(lm.STATE), (len(counts), 1)))
+    assert np.exp(model.outputs(h, inputs) + inner).sum() == pytest.approx(1.0)
+
+
+def test_logits_beyond_the_range_of_exp():
+    x = np.array([[1000.0, 999.0], [-2000.0, -2000.0], [1.0, 2.0]], np.float32)
+    total, logs = lm._softmax(x, np.array([0, 1, 1]))
+    assert logs.tolist() == pytest.approx([-math.log(1 + math.exp(-1)), -math.log(2), -math.log(1 + math.exp(-1))], rel=1e-5)
+    assert (x / total[:, None]).sum(axis=1).tolist() == pytest.approx([1, 1, 1])
 
 
 def test_gradients():
@@ -60,7 +112,6 @@ def test_gradients():
     rng = np.random.default_rng(2)
     shape = (5, 3)
     target = rng.integers(0, v.n_inputs, shape)
-    classes = np.where(target < len(v.top), v.class_of_top[np.minimum(target, len(v.top) - 1)], v.n_top_classes + target - len(v.top))
     inputs, keep, valid = rng.integers(0, v.n_inputs, shape), np.ones(shape), np.ones(shape, bool)
     keep[2, 1], valid[4, 2] = 0, False
     h = rng.standard_normal((3, lm.STATE)) * 0.1
@@ -69,13 +120,15 @@ def test_gradients():
         state, total = h, 0.0
         for t in range(5):
             gates = model.w["embed"][inputs[t]] @ model.w["wx"] + model.w["b"]
-            state = model.step(gates, state * keep[t][:, None])[0]
-            total -= (model.outputs(state, target[t], classes[t]) * valid[t]).sum()
+            state = model.step(gates, state * keep[t][:, None])
+            total -= (model.outputs(ones(state), target[t]) * valid[t]).sum()
         return total / valid.sum()
 
-    grads, _ = model.window(inputs, keep, target, classes, valid, h)
+    gradient = np.zeros_like(model.flat)
+    grads = v.views(gradient)
+    model.window(inputs, keep, target, valid, h, grads)
     for name, weights in model.w.items():
-        for at in rng.choice(weights.size, min(6, weights.size), replace=False):
+        for at in rng.choice(weights.size, min(8, weights.size), replace=False):
             flat = weights.reshape(-1)
             old, step = flat[at], 1e-5
             flat[at] = old + step
@@ -86,27 +139,32 @@ def test_gradients():
             assert grads[name].reshape(-1)[at] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-7), name
 
 
-def test_state_runs_through_whole_documents():
+def test_training_carries_the_state_through_whole_documents(monkeypatch):
     v, model = small_model()
-    rng = np.random.default_rng(3)
-    docs = []
-    for n in (1, 7, 300, 40):
-        ids = rng.integers(0, len(v.top), n)
-        docs.append((ids, v.class_of_top[ids]))
-    for (ids, classes), got in zip(docs, model.score(docs)):
-        state, total, previous = np.zeros((1, lm.STATE)), 0.0, v.ids[lm.END]
-        for i, c in zip(ids, classes):
-            state = model.step(model.w["embed"][[previous]] @ model.w["wx"] + model.w["b"], state)[0]
-            total += model.outputs(state, np.array([i]), np.array([c]))[0]
-            previous = i
-        assert got == pytest.approx(total, rel=1e-4)
-
-
-def test_common_words_have_weights_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, v.n_inputs, n).astype(np.uint16) for n in (5000, 3, 40, 700, 1, 90)]
+    seen, resets, before = [], 0, {}
+
+    def window(self, inputs, keep, target, valid, h, grads):
+        nonlocal resets
+        for lane in range(h.shape[0]):
+            assert h[lane, 0] == before.get(lane, 0)  # what the last window left
+        seen.append(target[valid])
+        resets += int((keep == 0)[valid].sum())
+        assert (inputs[keep == 0] == v.end).all()
+        before.update({lane: rng.random() for lane in range(h.shape[0])})
+        return np.array([[before[lane]] * lm.STATE for lane in range(h.shape[0])])
+
+    monkeypatch.setattr(lm.GatedModel, "window", window)
+    assert model.train(docs, 1e-3, {}) == sum(map(len, docs))
+    assert sorted(np.concatenate(seen).tolist()) == sorted(np.concatenate(docs).tolist())
+    assert resets == len(docs)
+
+
+def test_common_words_have_weights_of_their_own(spark, tmp_path):
     text = " ".join(f"w{i}" for i in range(2000))
-    docs = spark.createDataFrame([(0, False, text)] * 2, "block int, held boolean, text string")
-    _, v = lm.count_words(docs, 1)
-    inputs, classes, inner = v.place([f"w{i}".encode() for i in range(2000)], np.full(2000, 2))
-    assert len(set(inputs.tolist())) == 2000 and classes.max() < v.n_top_classes and not inner.any()
-    weights = v.start()
-    assert weights["wo"].shape == (2001, 24) and weights["embed"].shape[1] == 16
+    docs = spark.createDataFrame([(0, text)] * 2, "doc_id long, text string")
+    encoded, v = lm.encode(docs, str(tmp_path / "lm"))
+    ids = np.frombuffer(encoded.first().inputs, np.uint16)
+    assert len(set(ids.tolist())) == 2001 and v.class_of[ids].max() < v.n_top_classes and encoded.first().inner == 0
+    assert v.shapes()["wo"] == (2001, 25) and v.shapes()["embed"][1] == 16
