@@ -2,19 +2,32 @@
 
 The standard library's parser streams events into blocks: the lines of the page as a
 reader sees them, each with its text, its tags and its place in the tree. A block's
-text-to-tag ratio is its characters by its tags (1 at least); blocks inside menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments, told by their
-element, role, class or id, have ratio 0. The ratios are smoothed by a Gaussian and split
-into two clusters by the threshold of a one-dimensional two-means. The blocks of the upper
-cluster vote with their characters for the region of content: an article or main element if
-one holds half of the votes, else the deepest container that holds most of them, else the
-whole page. A container is a division, section, table cell or the like around at least two
-blocks that are not boilerplate, never a block's own element. All blocks in the region that
-are not boilerplate make the text, in page order, whatever their cluster.
+text-to-tag ratio is its characters by its tags (1 at least). Menus, headers, footers,
+sidebars, forms and the like, told by element or role, and adverts, notices, reader comments
+and so on, told by a class or id all of whose words say so, have ratio 0. The ratios
+are smoothed by a Gaussian and split into two clusters by the threshold of a one-dimensional
+two-means.
+
+The upper cluster selects the region of content: its blocks vote with their characters for
+an article or main element if one holds half of the votes, else for the deepest container that
+holds most of them, else the whole page. A container is a division, section, table cell or
+the like around at least two blocks that are not boilerplate, never a block's own element. The
+region's blocks that are not boilerplate make the text, in page order: short paragraphs belong to the
+article too. A run of three blocks or more that consist of links goes where it lies in
+the lower cluster before the first or after the last block of the upper one.
+
+A class or id counts only as a whole word of the attribute: "comment-list" and "cookie-notice"
+do, "related-work" and "has-sidebar" do not. It never counts on html, body and main, nor on an element
+around the page's main element, a first-level heading or an article, and not at all if
+nothing would be left.
+
+Every step is linear in the page: subtrees are ranges of element numbers, sums go from child
+to parent, and end tags that HTML lets authors leave out are searched a few levels up only.
 
 Defined results: a null or empty html, or one without text, gives an empty string; markup
-that is cut off or not closed is read as far as it goes; other columns are ignored; an
-empty table works.
+that is cut off, not closed or malformed (declarations included) is read as far as it goes,
+nested to any depth; very long pages are read whole; repeated rows get a row each; other columns are
+ignored, whatever their names; an empty table works.
 """
 
 from __future__ import annotations
@@ -31,6 +44,9 @@ from pyspark.sql import functions as F
 
 SIGMA, REACH = 1.0, 3
 VOTES = 0.7
+LINK_RUN = 3  # blocks of a menu
+UNCLOSED = 50  # searches for the end of a tag that reach the page's end
+LOOK_BACK = 32  # levels searched for an element that a start tag closes
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,79 +54,130 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
 BOILERPLATE = frozenset("nav header footer aside menu form button select textarea dialog input option fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-BOILERPLATE_NAMES = frozenset(
+REGIONS = frozenset(("article", "main"))
+CONTAINERS = frozenset("html body div section article main center td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Start tags that close an open element, and the elements beyond which they do not look for it.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+BORDERS = frozenset("ul ol dl menu select table article main section body".split())
+
+#: Words of a class or id that name boilerplate, words of headers (article headers are none), and words that may stand beside them.
+BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
-    "sidebar sidenav aside widget widgets footer header masthead cookie cookies consent gdpr notice notices popup modal overlay alert newsletter subscribe "
+    "sidebar sidenav aside widget widgets footer cookie cookies consent gdpr notice notices popup modal overlay alert newsletter subscribe "
     "subscription signup login share sharing social related recommended comment comments commentlist discussion disqus reply replies respond pagination pager "
     "copyright toolbar skip".split()
 )
-REGIONS = frozenset(("article", "main"))
-CONTAINERS = frozenset("html body div section article main center td".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADER_WORDS = frozenset("header masthead".split())
+CONTENT_WORDS = frozenset("article post entry story content text page body".split())
+NEUTRAL_WORDS = CONTENT_WORDS | frozenset("box wrap wrapper container inner outer list lists item items section area block group bar unit slot top bottom left right site global user reader links posts articles stories form thread js id the and of".split())
 CUT_OFF = re.compile(r"<[A-Za-z/!][^<>]*\Z")  # a tag that the page's end cuts off
-_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+_PARTS = re.compile(r"[A-Z]*[a-z]+|[A-Z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-class Block:
-    __slots__ = ("text", "tags", "boilerplate", "path")
+def names_boilerplate(word: str) -> bool:
+    """Whether one word of a class or id says that its element is boilerplate: some part does, and no part says anything else."""
+    parts = {part.lower() for part in _PARTS.findall(word)}
+    named = parts & (BOILERPLATE_WORDS | HEADER_WORDS)
+    if named <= HEADER_WORDS and parts & CONTENT_WORDS:
+        return False
+    return bool(named) and parts <= named | NEUTRAL_WORDS
 
-    def __init__(self, boilerplate: bool, path: tuple[int, ...]):
-        self.text: list[str] = []
-        self.tags, self.boilerplate, self.path = 0, boilerplate, path
 
+class Element:
+    __slots__ = ("tag", "parent", "own", "named", "dropped", "inside", "heading")
 
-def _names_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
-    for name, value in attrs:
-        value = value or ""
-        if name in ("class", "id"):
-            for word in value.split():
-                if any(part.lower() in BOILERPLATE_NAMES for part in _PARTS.findall(word)):
-                    return True
-        elif name == "role":
-            if value.strip().lower() in BOILERPLATE_ROLES:
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+    def __init__(self, tag: str, parent: int, own: bool, named: bool, dropped: bool, inside: bool):
+        self.tag, self.parent = tag, parent
+        self.own, self.named, self.dropped = own, named, dropped  # boilerplate by element or role; by name; not text
+        self.inside = inside  # an article, or inside one
+        self.heading = False  # around the page's main element, an article or a first-level heading
+
+
+class Block:
+    __slots__ = ("text", "tags", "links", "size", "element")
+
+    def __init__(self, element: int):
+        self.text: list[str] = []
+        self.tags = self.links = self.size = 0
+        self.element = element
 
 
 class BlockReader(HTMLParser):
-    """Collects blocks from parser events. The stack holds (tag, element number, whether boilerplate, whether dropped)."""
+    """Collects blocks from parser events. Elements are numbered as they begin, so that a subtree is a range of numbers."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []
-        self.tag_of: list[str] = []
+        self.elements = [Element("", -1, False, False, False, False)]
+        self.stack = [0]
+        self.counts: Counter[str] = Counter()  # open elements by tag
         self.blocks: list[Block] = []
-        self.path: tuple[int, ...] = ()
         self.open: Block | None = None
-        self.tags = 0
+        self.tags = self.anchors = self.unclosed = 0
+        self.lasts: dict = {}
+
+    def marks(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        """Whether the attributes make an element boilerplate outright, and by name."""
+        own = named = False
+        for name, value in attrs:
+            value = value or ""
+            if name in ("class", "id"):
+                named = named or any(map(names_boilerplate, value.split()))
+            elif name == "role":
+                own = own or value.strip().lower() in BOILERPLATE_ROLES
+            elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDDEN.search(value):
+                own = True
+        return own, named and tag not in ("html", "body", "main")
 
-    def state(self) -> tuple[bool, bool]:
-        return self.stack[-1][2:] if self.stack else (False, False)
+    def close_implied(self, tag: str) -> None:
+        if self.elements[self.stack[-1]].tag == "p":
+            self.pop(len(self.stack) - 1)
+        closed = CLOSES.get(tag)
+        if closed and any(self.counts[c] for c in closed):
+            found = 0
+            for at in range(len(self.stack) - 1, max(0, len(self.stack) - 1 - LOOK_BACK), -1):
+                own = self.elements[self.stack[at]].tag
+                if own in closed:
+                    found = at
+                    if tag != "tr" or own == "tr":
+                        break
+                elif own in BORDERS:
+                    break
+            if found:
+                self.pop(found)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in INLINE or tag in VOID:
+        if tag in VOID:
             self.tags += 1
             if tag in ("br", "hr"):
                 self.handle_data(" ")
-            if tag in VOID or tag not in INLINE:
-                return
-            if not _names_boilerplate(attrs):
-                return  # an inline element does not change where its text belongs
-        boilerplate, dropped = self.state()
+            return
+        own, named = self.marks(tag, attrs)
+        if tag in INLINE:
+            self.tags += 1
+            self.anchors += tag == "a"
+            if not own and not named:
+                return  # it does not change where its text belongs
+        else:
+            self.close_implied(tag)
+        above = self.elements[self.stack[-1]]
+        inside = above.inside or tag == "article"
+        own = own or tag in BOILERPLATE and not (tag == "header" and above.inside)
         if tag in REGIONS:
-            boilerplate = dropped = False  # an unclosed menu does not swallow the article
-        elif tag == "p" and self.stack and self.stack[-1][0] == "p":
-            self.pop(len(self.stack) - 1)
-            boilerplate, dropped = self.state()
-        inside = any(self.tag_of[e] == "article" for e in self.path)
-        own = tag in BOILERPLATE and not (tag == "header" and inside) or (tag not in ("html", "body") and _names_boilerplate(attrs))
-        if tag in HEADINGS and self.stack and self.stack[-1][0] == "header" and inside:
-            own = False
-        self.tag_of.append(tag)
-        self.stack.append((tag, len(self.tag_of) - 1, boilerplate or own, dropped or tag in DROPPED))
-        self.path = (*self.path, len(self.tag_of) - 1)
+            number = len(self.elements)
+            self.elements.append(Element(tag, self.stack[-1], own, named, False, True if tag == "article" else above.inside))
+        else:
+            heading_here = tag in HEADINGS and above.tag == "header" and above.inside
+            number = len(self.elements)
+            self.elements.append(Element(tag, self.stack[-1], (own and not heading_here), named, above.dropped or tag in DROPPED, inside))
+        if tag in ("main", "h1") or tag == "article" and not named:
+            at = self.stack[-1]
+            while at > 0 and not self.elements[at].heading:
+                self.elements[at].heading = True
+                at = self.elements[at].parent
+        self.stack.append(number)
+        self.counts[tag] += 1
         self.open = None
         self.tags += 1
 
@@ -120,28 +187,68 @@ class BlockReader(HTMLParser):
             self.handle_endtag(tag)
 
     def pop(self, to: int) -> None:
+        for at in self.stack[to:]:
+            self.counts[self.elements[at].tag] -= 1
         del self.stack[to:]
-        self.path = self.path[:to]
         self.open = None
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
+        if tag == "a":
+            self.anchors = max(0, self.anchors - 1)
+        if not self.counts[tag]:
+            return
+        for at in range(len(self.stack) - 1, 0, -1):
+            if self.elements[self.stack[at]].tag == tag:
                 self.pop(at)
                 return
 
     def handle_data(self, data: str) -> None:
-        boilerplate, dropped = self.state()
-        if dropped:
+        if self.elements[self.stack[-1]].dropped:
             return
         if self.open is None:
             if not data.strip():
                 return
-            self.open = Block(boilerplate, self.path)
-            self.open.tags, self.tags = self.tags, 0
+            self.open = Block(self.stack[-1])
             self.blocks.append(self.open)
-        self.open.text.append(data)
-        self.open.tags, self.tags = self.open.tags + self.tags, 0
+        own = self.open
+        own.text.append(data)
+        own.tags, self.tags = own.tags + self.tags, 0
+        if words := len(data.strip()):
+            own.size += words
+            own.links += words if self.anchors else 0
+
+    def ends(self, mark: str, i: int) -> int:
+        """Where a mark ends at or behind i, or -1; the last one is looked up once, so that many starts without an end cost little."""
+        if self.lasts.get("of") is not self.rawdata:
+            self.lasts = {"of": self.rawdata}
+        if mark not in self.lasts:
+            self.lasts[mark] = self.rawdata.rfind(mark)
+        return self.rawdata.find(mark, i) + len(mark) if i <= self.lasts[mark] else -1
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        return super().parse_comment(i, report) if self.ends(">", i) >= 0 and (self.ends("--", i + 4) >= 0 or self.rawdata.startswith(("<!-->", "<!--->"), i)) else -1
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A marked section, of whatever kind, is a comment up to its end."""
+        return self.ends("]]>" if self.rawdata.startswith("<![CDATA[", i) else ">", i)
+
+    def check_for_whole_start_tag(self, i: int) -> int:
+        """The end of a start tag. A page with many tags that quotes keep open is read as if they were closed."""
+        if self.unclosed < UNCLOSED and self.ends(">", i) >= 0:
+            end = super().check_for_whole_start_tag(i)
+            self.unclosed += end < 0
+            return end
+        return self.ends(">", i)
+
+
+def boilerplate_of(elements: list[Element], use_names: bool) -> list[bool]:
+    """Of each element, whether its text is boilerplate. An article or main element ends what an unclosed menu began, not a comment or an advert."""
+    soft, hard = [False], [False]
+    for e in elements[1:]:
+        named = use_names and e.named and not e.heading
+        hard.append(hard[e.parent] or named)
+        soft.append(e.own or (soft[e.parent] and e.tag not in REGIONS and not (e.tag in HEADINGS and elements[e.parent].tag == "header" and elements[e.parent].inside and not elements[e.parent].own)))
+    return [s or h for s, h in zip(soft, hard)]
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np.ndarray:
@@ -163,6 +270,47 @@ def threshold(values: np.ndarray) -> float:
     return border
 
 
+def _select(reader: BlockReader, blocks: list[Block], texts: list[str], boilerplate: list[bool]) -> list[int]:
+    """The numbers of the blocks that make the text."""
+    ratios = np.array([0.0 if boilerplate[b.element] else len(t) / max(1, b.tags) for b, t in zip(blocks, texts)])
+    if not ratios.any():
+        return []
+    smoothed = smooth(ratios) * (ratios > 0)
+    chosen = smoothed >= threshold(smoothed)
+    elements, n = reader.elements, len(reader.elements)
+    votes, around, last = [0] * n, [0] * n, list(range(n))
+    total = 0
+    for block, text, ok in zip(blocks, texts, chosen.tolist()):
+        if ok:
+            total += len(text)
+            votes[block.element] += len(text)
+        around[block.element] += not boilerplate[block.element]
+    own = list(around)
+    for e in range(n - 1, 0, -1):  # from children to parents
+        up = elements[e].parent
+        votes[up] += votes[e]
+        around[up] += around[e]
+        last[up] = max(last[up], last[e])
+    regions = [e for e in range(1, n) if elements[e].tag in REGIONS and 2 * votes[e] >= total]
+    if regions:
+        region = max(regions, key=lambda e: (elements[e].tag == "article", votes[e], e))
+    else:
+        region = max((e for e in range(1, n) if elements[e].tag in CONTAINERS and around[e] - own[e] > 1 and votes[e] >= VOTES * total), default=0)
+    kept = [i for i, b in enumerate(blocks) if not boilerplate[b.element] and region <= b.element <= last[region]]
+    upper = [k for k, i in enumerate(kept) if chosen[i]]
+    first, end = (upper[0], upper[-1]) if upper else (0, len(kept))
+    link = [not chosen[i] and blocks[i].size > 0 and blocks[i].links == blocks[i].size and not first <= k <= end for k, i in enumerate(kept)]
+    out, run = [], 0
+    for k, i in enumerate(kept):
+        run = run + 1 if link[k] else 0
+        out.append(i)
+        if run == LINK_RUN:
+            del out[-LINK_RUN:]
+        elif run > LINK_RUN:
+            out.pop()
+    return out
+
+
 def main_text(html: str | None) -> str:
     reader = BlockReader()
     reader.feed(CUT_OFF.sub("", html or ""))
@@ -173,25 +321,11 @@ def main_text(html: str | None) -> str:
         if text:
             blocks.append(block)
             texts.append(text)
-    ratios = np.array([0.0 if b.boilerplate else len(t) / max(1, b.tags) for b, t in zip(blocks, texts)])
-    if not ratios.any():
-        return ""
-    smoothed = smooth(ratios) * (ratios > 0)
-    chosen = smoothed >= threshold(smoothed)
-    votes: dict[int, int] = {}
-    total = 0
-    for block, text, ok in zip(blocks, texts, chosen):
-        if ok:
-            total += len(text)
-            for element in block.path:
-                votes[element] = votes.get(element, 0) + len(text)
-    regions = [e for e in votes if reader.tag_of[e] in REGIONS and 2 * votes[e] >= total]
-    if regions:
-        region = max(regions, key=lambda e: (reader.tag_of[e] == "article", votes[e], e))
-    else:
-        around = Counter(e for b in blocks if not b.boilerplate for e in b.path[:-1] if reader.tag_of[e] in CONTAINERS)
-        region = max((e for e, n in around.items() if n > 1 and votes.get(e, 0) >= VOTES * total), default=None)
-    return " ".join(t for b, t in zip(blocks, texts) if not b.boilerplate and (region is None or region in b.path))
+    for use_names in (True, False):
+        kept = _select(reader, blocks, texts, boilerplate_of(reader.elements, use_names))
+        if kept:
+            break
+    return " ".join(texts[i] for i in kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

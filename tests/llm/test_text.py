@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -39,6 +42,17 @@ def test_pieces_round_trip(spark):
     assert pieces.encode(docs.limit(0), pieces.default_model()).collect() == []
 
 
+def test_pieces_of_repeated_rows_and_portions(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHED_WORDS", 3)
+    texts = [*ODD, *ODD, "word " * 50_000]
+    model = pieces.Pieces(pieces.default_model())
+    whole = pieces.Pieces(pieces.default_model()).encode([t or "" for t in texts])
+    assert [model.encode([t or ""])[0].tolist() for t in texts] == [i.tolist() for i in whole]
+    docs = spark.createDataFrame([(i % 16, t, [1], True) for i, t in enumerate(texts)], "doc_id int, text string, ids array<int>, round_trip boolean")
+    got = sorted((r.doc_id, r.ids) for r in pieces.encode(docs, pieces.default_model()).collect())
+    assert got == sorted((i % 16, ids.tolist()) for i, ids in enumerate(whole))
+
+
 def test_unigram_viterbi_is_best():
     model = pieces.Pieces(pieces.default_model(), "unigram")
 
@@ -52,10 +66,19 @@ def test_unigram_viterbi_is_best():
                     table[end] = max(table[end], table[start] + score)
         return table[-1]
 
-    words = ["▁there", "▁therefore", "▁the", "▁theatre", "abc"]
-    back = {i: p for p, i in model.ids.items()}
-    for word, ids in model.encode_words(words).items():
-        assert sum(model.scores[back[i]] for i in ids) == pytest.approx(best(word))
+    rng = random.Random(6)
+    words = {"▁there", "▁therefore", "▁the", "▁theatre", "abc", "▁中🙂x", *(w for t in random_texts(200) for w in t.replace(" ", " ▁").split() if w)}
+    words |= {"▁" + "".join(rng.choice("theraion") for _ in range(rng.randrange(1, 30))) for _ in range(500)}
+    for word, ids in model.encode_words(list(words)).items():
+        assert b"".join(model.bytes_of[i] for i in ids).decode() == word.replace("▁", " ")
+        score, at = 0.0, 0
+        while at < len(ids):  # a character's byte pieces count once, as the lowest score
+            if ids[at] in model.names:
+                score, at = score + model.scores[model.names[ids[at]]], at + 1
+            else:
+                lead = model.bytes_of[ids[at]][0]
+                score, at = score + model.lowest, at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+        assert score == pytest.approx(best(word)), word
 
 
 def test_section_tokens_sum_and_spans(spark):
@@ -114,6 +137,44 @@ def test_main_text_without_article_is_whole():
     assert html_text.main_text(story) == f"Opening. Point. {long} {long} {long} Closing."
 
 
+def test_main_text_of_the_pages(spark):
+    """Every page of the table, against its article read with plain patterns."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for r in rows:
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)
+        blocks = re.split(r"</?(?:p|h1|article)>", article.group(1))
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m.group() == "<br>" else "", b)).split()) for b in blocks]
+        assert html_text.main_text(r.html) == " ".join(b for b in plain if b), r.page_id
+
+
+def test_main_text_keeps_named_parts_of_the_article():
+    page = '<body class="has-sidebar"><div id="page" class="with-comments">{}</div><div class="sidebar-widget">Read this next, it is about something else.</div></body>'
+    article = '<article class="post category-social"><h1>T</h1><p>A paragraph of some length.</p><div class="related-work"><p>Work by others.</p></div><p class="share-price">Price 7.</p>{}</article>'
+    extra = '<ul class="share-links"><li><a>x</a></li></ul><section id="reader-comments"><article class="comment"><p>A comment that is as long as all of the article, or longer even.</p></article></section>'
+    assert html_text.main_text(page.format(article.format(extra))) == "T A paragraph of some length. Work by others. Price 7."
+    assert html_text.main_text('<div class="header"><h1>Site</h1></div><div class="content"><h1>T</h1><p>A paragraph of some length.</p><p>Short.</p></div><div class="cookie-notice">We use cookies.</div>') == "T A paragraph of some length. Short."
+    assert html_text.main_text('<div class="comment">Only text.</div>') == "Only text."
+    menu = "<ul>" + "<li><a href=x>Go</a></li>" * 5 + "</ul>"
+    body = "<p>A paragraph with a <a>link</a> inside.</p>" * 3 + "<ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul>" + "<p>A paragraph to end with.</p>"
+    assert html_text.main_text(f"<body><div>{menu}{body}</div></body>") == "A paragraph with a link inside. " * 3 + "One Two Three A paragraph to end with."
+
+
+def test_main_text_of_malformed_pages():
+    assert html_text.main_text("<p>x</p><![foo]>y") == "x y"
+    assert html_text.main_text("<p>x</p><![CDATA[z]]>y<![if IE]>w<![endif]>v<!-- c -->u<!foo>t<?php x ?>s") == "x ywvuts"
+    rng = random.Random(2)
+    parts = ["<p>", "</p>", "<!", "<![", "]]>", "<!--", "-->", "<div class='ad'>", "</div>", "text ", "&amp;", "&#x", '<a href="', "'>", "<br>", "<script>", "</script>", "<article>", "</article>", '"', "<?", "<![CDATA[", "<li>", "<td>", "<table>", "<![if", "]>", "é", "\x00", "</", "<", "=", "<textarea>", "<title>", "<svg>"]
+    for _ in range(5000):
+        assert isinstance(html_text.main_text("".join(rng.choice(parts) for _ in range(rng.randrange(40)))), str)
+
+
+@pytest.mark.parametrize("page", ["<ul>" + "<li>x " * 100_000, "<div>x " * 100_000, "<table>" + "<tr><td>x " * 50_000, "<div>" * 50_000 + "</p></x>" * 50_000, "<ul><li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000, "<!--" * 50_000, "<![CDATA[" * 50_000, "<a b='" * 50_000, "<a b='" * 50_001 + ">", "<span class=ad>x" * 50_000])
+def test_main_text_is_linear(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 10
+
+
 def test_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -126,3 +187,43 @@ def test_quality(spark):
     assert np.mean([a == b for a, b in held]) > 0.95
     assert {r.score for r in quality.classify(rows, labels.limit(0)).collect()} == {0.5}
     assert quality.classify(rows.limit(0), labels).collect() == []
+
+
+def test_quality_of_odd_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    plain = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    clashing = labels.selectExpr("*", "'x' AS text", "1 AS role", "0.5 AS score", "2 AS predicted", "3 AS `scored text`")
+    odd = docs.unionByName(docs).unionByName(docs).selectExpr("*", "7 AS role", "8 AS `scored text`", "9 AS quality", "1 AS `a.b`")
+    got = quality.classify(odd, clashing).collect()
+    assert len(got) == 3 * len(plain)
+    assert all(r.score == pytest.approx(plain[r.doc_id]) and r.role == 7 and r["scored text"] == 8 for r in got)
+
+
+def test_quality_gradient_and_risk():
+    rng = np.random.default_rng(3)
+    for prior, shift in ((0.5, 1.0), (0.9, -3.0)):  # the second part positive, and negative
+        x, p = rng.standard_normal((40, 4)), rng.standard_normal((30, 4)) + shift
+        model = quality.Model(np.zeros(4), np.ones(4), rng.standard_normal((4, quality.HIDDEN)), rng.standard_normal(quality.HIDDEN), rng.standard_normal(quality.HIDDEN) * (1 if shift > 0 else 3), 0.3)
+        as_one, as_zero = quality.risk(model, x, p, prior)
+        whole = lambda: sum(quality.risk(model, x, p, prior)) if as_zero >= 0 else -quality.risk(model, x, p, prior)[1]  # noqa: E731, B023
+        grads = quality.gradient(model, x, p, prior)
+        for name in ("w1", "b1", "w2"):
+            flat = getattr(model, name).reshape(-1)
+            for at in range(0, flat.size, 7):
+                old = flat[at]
+                flat[at] = old + 1e-6
+                up = whole()
+                flat[at] = old - 1e-6
+                down = whole()
+                flat[at] = old
+                assert grads[name].reshape(-1)[at] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-6)
+
+
+def test_quality_learns_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(4)
+    one, zero = rng.standard_normal((600, 5)) + 1.5, rng.standard_normal((600, 5)) - 1.5
+    model = quality.fit(one[:200], np.concatenate([one[200:], zero[:400]]), 0.5)
+    assert (model.score(one) > 0.5).mean() > 0.97 and (model.score(zero) < 0.5).mean() > 0.97
+    as_one, as_zero = quality.risk(model, np.concatenate([one[200:], zero[:400]]), one[:200], 0.5)
+    assert as_one + max(0, as_zero) < 0.2
