@@ -7,12 +7,13 @@ documents loses all its lines but those in the largest doc_id that holds it.
 Line hashes are range-partitioned and sorted by (hash, doc_id descending, position), so
 that one streaming pass of a window over each hash meets the surviving document first
 and marks what follows. A range partition cannot be split below one hash, so hashes
-with more than 1/2000 of all lines (2000 at most, hence safe to broadcast) take a
-map-side aggregation instead. The result is a run-length compressed keep bitmap for each
-document, not text; ``apply_keep_runs`` turns it into text.
+with more than HOT_LINES lines, at any size of the table, take a map-side aggregation instead; the set of these
+hashes is broadcast up to BROADCAST_KEYS of them and joined by a shuffle beyond. The result is a
+run-length compressed keep bitmap for each document, not text; ``apply_keep_runs`` turns it into text.
 
-Defined results: a null or empty text is one empty line and is kept; rows that share a
-doc_id are one document for counting, and each row gets its own bitmap; a row with a null
+Defined results: a null or empty text is one empty line and is kept; very long texts and lines are
+handled whole; rows that share a doc_id are one document for counting, and each row gets its own bitmap, so
+equal lines within the largest doc_id all stay; a row with a null
 doc_id neither counts nor loses lines; other columns are ignored, whatever their names;
 an empty table gives an empty table.
 """
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tessaline.llm.common import ASCII_SPACE, cut, lower_ascii
 
-HOT_KEYS = 2000  # at most so many keys are broadcast
-HOT_FLOOR = 1000  # a key with fewer lines is never hot
+HOT_LINES = 1000  # a key with more lines does not go through one partition
+BROADCAST_KEYS = 100_000
 
 
 def lines_of(text: Column) -> Column:
@@ -42,20 +43,20 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def dropped_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     """(doc_id, rid, pos) of the lines that go."""
-    hot_from = max(HOT_FLOOR, lines.count() // HOT_KEYS)
     hot = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    hot = hot.filter(F.col("n") > hot_from).select("h1", "h2", "first", "last")
+    hot = cut(hot.filter(F.col("n") > HOT_LINES).select("h1", "h2", "first", "last"))
+    bounded = F.broadcast if hot.count() <= BROADCAST_KEYS else lambda keys: keys
     by_key = Window.partitionBy("h1", "h2")
 
-    cold = lines.join(F.broadcast(hot), ["h1", "h2"], "left_anti").filter(F.col("doc_id").isNotNull())
+    cold = lines.join(bounded(hot), ["h1", "h2"], "left_anti").filter(F.col("doc_id").isNotNull())
     cold = cold.repartitionByRange("h1", "h2")
     cold = cold.withColumn("nth", F.dense_rank().over(by_key.orderBy(F.desc("doc_id"))))
     cold = cold.withColumn("docs", F.max("nth").over(by_key)).filter((F.col("docs") >= min_docs) & (F.col("nth") > 1))
 
-    mine = lines.join(F.broadcast(hot), ["h1", "h2"])
+    mine = lines.join(bounded(hot), ["h1", "h2"])
     spread = mine.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("doc_id").alias("docs"))
     spread = spread.filter(F.col("docs") >= min_docs).select("h1", "h2")  # no more rows than hot
-    busy = mine.join(F.broadcast(spread), ["h1", "h2"]).filter(F.col("doc_id") < F.col("last"))
+    busy = mine.join(bounded(spread), ["h1", "h2"]).filter(F.col("doc_id") < F.col("last"))
     return cold.select("doc_id", "rid", "pos").unionByName(busy.select("doc_id", "rid", "pos"))
 
 

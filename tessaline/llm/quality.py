@@ -8,11 +8,12 @@ R(positives as 0)); where the second part is negative, its gradient is reversed.
 takes at most ``max_positives`` and ``max_unlabelled`` rows, those with the least hash of
 doc_id, so that a bounded sample reaches the driver; scoring takes every row.
 
-Defined results: null and empty texts get the score of an empty text; rows with a null
-doc_id are scored, never learnt from, and not held out; without usable positives the score is
-the prior for every row (0.5 without labels); repeated label rows count once each and a
-document counts as positive if any of them is 1; other columns are ignored; an empty table
-gives an empty table.
+Defined results: null and empty texts get the score of an empty text; very long texts are scored
+whole; rows with a null doc_id are scored, never learnt from, and not held out; without usable positives the score is
+the prior for every row (0.5 without labels); a document counts as positive if any of its label rows
+is 1; a doc_id with several texts is learnt from once, by the least of its texts, and every row is
+scored; other columns of both tables are ignored, whatever their names (score and predicted of the
+documents are replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 MAX_POSITIVES, MAX_UNLABELLED = 8_000, 16_000
 FOLDS, HELD_OUT, ACCEPT = 4, 2, 0.7
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 30, 512, 3e-3, 1e-4, 7
+TINY = 1e-9
 
 _KIND = np.zeros(256, dtype=np.int64)  # other
 _KIND[ord("a") : ord("z") + 1] = 1
@@ -84,35 +86,44 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.hidden(x)[1] @ self.w2 + self.b2, -30, 30)))
 
 
+def risk(model: Model, unlabelled: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk in log loss: positives as 1, and unlabelled rows as 0 without the positives' share of that."""
+    su, sp = model.score(unlabelled), model.score(positive)
+    return prior * float(np.mean(-np.log(sp + TINY))), float(np.mean(-np.log(1 - su + TINY)) - prior * np.mean(-np.log(1 - sp + TINY)))
+
+
+def gradient(model: Model, unlabelled: np.ndarray, positive: np.ndarray, prior: float) -> dict[str, np.ndarray]:
+    """Gradient of the sum of both parts; where the second is negative, of its negative alone."""
+    (zu, hu), (zp, hp) = model.hidden(unlabelled), model.hidden(positive)
+    su, sp = (1 / (1 + np.exp(-np.clip(h @ model.w2 + model.b2, -30, 30))) for h in (hu, hp))
+    as_zero = np.mean(-np.log(1 - su + TINY)) - prior * np.mean(-np.log(1 - sp + TINY))
+    if as_zero >= 0:
+        gu, gp = su / len(unlabelled), prior * ((sp - 1) - sp) / len(positive)
+    else:
+        gu, gp = -su / len(unlabelled), prior * sp / len(positive)
+    bu, bp = np.outer(gu, model.w2) * (1 - hu**2), np.outer(gp, model.w2) * (1 - hp**2)
+    return {"w2": hu.T @ gu + hp.T @ gp, "b2": gu.sum() + gp.sum(), "w1": zu.T @ bu + zp.T @ bp, "b1": bu.sum(axis=0) + bp.sum(axis=0)}
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS) -> Model:
-    """Minimise the non-negative risk by Adam."""
+    """Minimise the non-negative risk by Adam, in batches."""
     rng = np.random.default_rng(SEED)
     every = np.concatenate([positive, unlabelled]).astype(np.float64)
     d = every.shape[1]
     model = Model(every.mean(axis=0), every.std(axis=0) + 1e-3, rng.standard_normal((d, HIDDEN)) / np.sqrt(d), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(prior / (1 - prior))))
-    shapes = ("w1", "b1", "w2", "b2")
-    first = {k: 0.0 for k in shapes}
-    second = {k: 0.0 for k in shapes}
+    names = ("w1", "b1", "w2", "b2")
+    first = {k: 0.0 for k in names}
+    second = {k: 0.0 for k in names}
     step = 0
     rounds = max(1, -(-len(unlabelled) // BATCH))
     for _ in range(epochs):
         order_u, order_p = rng.permutation(len(unlabelled)), rng.permutation(len(positive))
         for r in range(rounds):
             u, p = unlabelled[order_u[r::rounds]], positive[order_p[r::rounds]] if len(positive) >= rounds else positive
-            zu, hu = model.hidden(u)
-            zp, hp = model.hidden(p)
-            su = 1 / (1 + np.exp(-(hu @ model.w2 + model.b2)))
-            sp = 1 / (1 + np.exp(-(hp @ model.w2 + model.b2)))
-            as_zero = np.mean(-np.log(1 - su + 1e-9)) - prior * np.mean(-np.log(1 - sp + 1e-9))
-            if as_zero >= 0:
-                gu, gp = su / len(u), prior * ((sp - 1) - sp) / len(p)
-            else:  # only the negative part, ascended
-                gu, gp = -su / len(u), prior * sp / len(p)
-            grads = {"w2": hu.T @ gu + hp.T @ gp, "b2": gu.sum() + gp.sum()}
-            bu, bp = np.outer(gu, model.w2) * (1 - hu**2), np.outer(gp, model.w2) * (1 - hp**2)
-            grads |= {"w1": zu.T @ bu + zp.T @ bp + DECAY * model.w1, "b1": bu.sum(axis=0) + bp.sum(axis=0)}
+            grads = gradient(model, u, p, prior)
+            grads["w1"] = grads["w1"] + DECAY * model.w1
             step += 1
-            for k in shapes:
+            for k in names:
                 first[k] = 0.9 * first[k] + 0.1 * grads[k]
                 second[k] = 0.999 * second[k] + 0.001 * grads[k] ** 2
                 setattr(model, k, getattr(model, k) - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8))
@@ -148,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
     positives = marked.filter("quality = 1").orderBy(by_hash, "doc_id").limit(max_positives).select("doc_id", F.lit(1).alias("role"))
     others = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).distinct().orderBy(by_hash, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("role"))
     chosen = positives.unionByName(others)  # max_positives + max_unlabelled rows at most
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("role", "text").repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism))
+    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "role").agg(F.min("text").alias("text"))  # however often a document occurs
+    rows = rows.select("role", "text").repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism))
     sample = rows.mapInArrow(_features, "role int, x binary").toArrow()
     role = sample.column("role").to_numpy()
     if not (role == 1).any() or not (role == 0).any():
@@ -163,7 +175,7 @@ def score(docs: DataFrame, model: Model | None, prior: float) -> DataFrame:
     """docs with score and predicted, which replace columns of these names."""
     docs = docs.drop("score", "predicted")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.select(F.lit(0).alias("_role"), F.col("text").cast("string").alias("_text"), *[docs[c] for c in docs.columns])
+    rows = docs.select(F.lit(0).alias("role"), F.col("text").cast("string").alias("scored text"), *[F.col(f"`{c}`") for c in docs.columns])  # read by place
     scored = rows.mapInArrow(partial(_score, model=model, prior=prior), f"{kept}, score double")
     return scored.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
 

@@ -1,9 +1,9 @@
 """SimHash near-duplicates by the general pigeonhole principle.
 
 Fingerprints: A-Z in lower case, words are runs of non-space bytes (ASCII white space),
-shingles of three words joined by one space, repeats included; a text of fewer words is one
+shingles of SHINGLE words (or a given number) joined by one space, repeats included; a text of fewer words is one
 shingle of them all, a text without words has fingerprint zero. A bit is 1 if it is set in
-over half of the shingles' XXH64 (seed 42) hashes. Two fingerprints link at THRESHOLD or
+over half of the shingles' XXH64 (seed 42) hashes. Two fingerprints link at THRESHOLD (or a given number) or
 fewer differing bits.
 
 Candidates: equal fingerprints are one row from the start. Correlated bits, by their
@@ -12,21 +12,25 @@ with sum THRESHOLD - m + 1 (-1: not probed) keep every pair: some partition diff
 more than its t_i bits. Dynamic programming picks the thresholds with the fewest
 candidates, by the number of equal pairs counted in each partition and the share of pairs
 that one more differing bit adds, plus the probes themselves; the number of partitions m is
-the cheapest of 2 to 4. A row is indexed by its partition's value and probes all values
-within t_i bits. Values that more than HOT fingerprints share are split again into three
-parts of the other bits, of which a linked pair shares one, so no task meets them whole.
-Pairs are verified in numpy within one value; a task emits a spanning forest, not all pairs.
-
-Defined results: null and empty texts have fingerprint zero and link with one another; rows
-that share a doc_id are one node and each gets its row; rows with a null doc_id link with
-nothing and have a null component; other columns are ignored; an empty table works.
+the cheapest of 2 to THRESHOLD + 2. A row is indexed by its partition's value and probes all values
+within t_i bits. Values that more than HOT fingerprints share are split again into
+parts of the other bits, of which a linked pair shares one, so no task meets them whole. Pairs are verified
+in numpy within one value: with the rows that follow, or, where a value still has more rows than
+there are fingerprints within reach, by looking these up. A task emits a spanning forest, not all pairs.
+
+Defined results: null and empty texts have fingerprint zero and link with one another; very
+long texts are hashed whole; repeated rows, and rows that share a doc_id with different texts, are
+one node, which links what any of them links, and each gets its row; rows with a null doc_id link with
+nothing and have a null component; other columns are ignored, whatever their names; an empty table works.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +43,19 @@ from tessaline.llm.components import connected_components, local_roots
 
 BITS, THRESHOLD, SHINGLE, SEED = 64, 2, 3, 42
 HOT = 4096
+LOOK_UP = 8192  # rows of a value from which looking up may be less work than comparing
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TO_LOWER = str.maketrans(UPPER, LOWER)
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     words = WORD.findall((text or "").translate(TO_LOWER) if not (text or "").isascii() else text.lower()) if text else []
     if not words:
         return 0
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         shingles = [" ".join(words)]
     else:
-        shingles = map(" ".join, zip(*(words[i:] for i in range(SHINGLE))))
+        shingles = map(" ".join, zip(*(words[i:] for i in range(size))))
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
     set_in = np.zeros(BITS, dtype=np.int64)
@@ -59,16 +64,16 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << int(i) for i in np.flatnonzero(2 * set_in > len(hashes)))
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], size: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1)
-        prints = np.fromiter((fingerprint(texts[i].as_py()) for i in range(len(texts))), dtype=np.uint64, count=len(texts))
+        prints = np.fromiter((fingerprint(texts[i].as_py(), size) for i in range(len(texts))), dtype=np.uint64, count=len(texts))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(partial(_fingerprints, size=size), "doc_id long, fp long")
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +104,8 @@ def group_bits(both: np.ndarray, n: int, m: int) -> list[list[int]]:
     return groups
 
 
-def allocate(counts: list[list[float]], total: int) -> tuple[float, list[int]]:
-    """Thresholds from -1 to len(row) - 2, one for each row of counts, with the given sum and the least sum of counts."""
+def allocate(counts: list[list[float]], total: int) -> tuple[float, list[int]] | None:
+    """Thresholds from -1 to len(row) - 2, one for each row of counts, with the given sum and the least sum of counts; None if none have the sum."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for row in counts:
         step: dict[int, tuple[float, list[int]]] = {}
@@ -110,7 +115,7 @@ def allocate(counts: list[list[float]], total: int) -> tuple[float, list[int]]:
                 if spent + t not in step or new[0] < step[spent + t][0]:
                     step[spent + t] = new
         best = step
-    return best[total]
+    return best.get(total)
 
 
 def part_value(fp, bits: list[int]):
@@ -121,7 +126,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def plan(distinct: DataFrame) -> tuple[list[list[int]], list[int]]:
+def plan(distinct: DataFrame, bits: int = THRESHOLD) -> tuple[list[list[int]], list[int]]:
     """Groups of bits and the threshold of each, from counts over all fingerprints."""
     sums = distinct.select("fp").mapInArrow(_moments, "i long, j long, both long").groupBy("i", "j").agg(F.sum("both").alias("both")).collect()  # 64 x 64 rows
     both = np.zeros((BITS, BITS))
@@ -131,19 +136,19 @@ def plan(distinct: DataFrame) -> tuple[list[list[int]], list[int]]:
     p = np.diag(both) / max(n, 1)
     agree = np.clip(p**2 + (1 - p) ** 2, 1e-3, 1)
     best = None
-    for m in (2, 3, 4):
+    for m in range(2, bits + 3):
         groups = group_bits(both, n, m)
         counts = []
-        for bits in groups:
-            same = distinct.groupBy(part_value(F.col("fp"), bits).alias("v")).agg(F.count("*").cast("double").alias("c")).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0.0)).alias("pairs")).first().pairs
-            odds = (1 - agree[bits]) / agree[bits]
+        for own in groups:
+            same = distinct.groupBy(part_value(F.col("fp"), own).alias("v")).agg(F.count("*").cast("double").alias("c")).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0.0)).alias("pairs")).first().pairs
+            odds = (1 - agree[own]) / agree[own]
             one = odds.sum()
             two = (one**2 - (odds**2).sum()) / 2
-            w = len(bits)
+            w = len(own)
             counts.append([0.0, same + n, same * (1 + one) + n * (1 + w), same * (1 + one + two) + n * (1 + w + w * (w - 1) / 2)])
-        cost, thresholds = allocate(counts, THRESHOLD - m + 1)
-        if best is None or cost < best[0]:
-            best = (cost, groups, thresholds)
+        found = allocate(counts, bits - m + 1)
+        if found and (best is None or found[0] < best[0]):
+            best = (found[0], groups, found[1])
     return best[1], best[2]
 
 
@@ -152,14 +157,14 @@ def _flips(bits: list[int], t: int) -> list[int]:
     return [_signed(sum(1 << b for b in some)) for k in range(1, t + 1) for some in itertools.combinations(bits, k)]
 
 
-def signatures(distinct: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
+def signatures(distinct: DataFrame, groups: list[list[int]], thresholds: list[int], bits: int = THRESHOLD) -> DataFrame:
     """(part, value, sub, probe, fp): index rows have probe 0; probe rows carry a value within the part's threshold."""
     parts = []
-    for i, (bits, t) in enumerate(zip(groups, thresholds)):
+    for i, (own, t) in enumerate(zip(groups, thresholds)):
         if t < 0:
             continue
-        value = part_value(F.col("fp"), bits)
-        masks = F.array(*[F.lit(x) for x in [0, *_flips(bits, t)]]).cast("array<bigint>")
+        value = part_value(F.col("fp"), own)
+        masks = F.array(*[F.lit(x) for x in [0, *_flips(own, t)]]).cast("array<bigint>")
         parts.append(distinct.select(F.lit(i).alias("part"), F.explode(masks).alias("mask"), value.alias("own"), "fp").select("part", F.col("own").bitwiseXOR(F.col("mask")).alias("value"), (F.col("mask") != 0).cast("int").alias("probe"), "fp"))
     rows = parts[0]
     for more in parts[1:]:
@@ -167,10 +172,10 @@ def signatures(distinct: DataFrame, groups: list[list[int]], thresholds: list[in
     hot = rows.groupBy("part", "value").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(F.col("part").alias("p"), F.col("value").alias("w"))
     rows = rows.join(hot, (F.col("part") == F.col("p")) & (F.col("value") == F.col("w")), "left")
     sub = F.lit(None).cast("array<bigint>")
-    for i, bits in enumerate(groups):
-        others = [b for b in range(BITS) if b not in bits]
-        thirds = [others[k :: THRESHOLD + 1] for k in range(THRESHOLD + 1)]
-        keys = F.array(*[F.xxhash64(F.lit(k), part_value(F.col("fp"), third)) for k, third in enumerate(thirds)])
+    for i, own in enumerate(groups):
+        others = [b for b in range(BITS) if b not in own]
+        split = [others[k :: bits + 1] for k in range(bits + 1)]
+        keys = F.array(*[F.xxhash64(F.lit(k), part_value(F.col("fp"), some)) for k, some in enumerate(split)])
         sub = F.when(F.col("part") == i, keys).otherwise(sub)
     whole = F.array(F.lit(0).cast("bigint"))
     return rows.select("part", "value", "probe", "fp", F.explode(F.when(F.col("p").isNull(), whole).otherwise(sub)).alias("sub"))
@@ -180,7 +185,25 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _within_reach(fp: np.ndarray, most: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs (places) of sorted distinct fingerprints at most so many bits apart, looked up by all sets of bits that vary; None if comparing all pairs is less work."""
+    varying = int(np.bitwise_or.reduce(fp) ^ np.bitwise_and.reduce(fp))
+    bits = [b for b in range(BITS) if varying >> b & 1]
+    masks = sum(math.comb(len(bits), t) for t in range(1, most + 1))
+    if len(fp) < 64 * masks:
+        return None
+    a, b = [], []
+    for t in range(1, most + 1):
+        for some in itertools.combinations(bits, t):
+            other = fp ^ np.uint64(sum(1 << x for x in some))
+            at = np.minimum(np.searchsorted(fp, other), len(fp) - 1)
+            hit = np.flatnonzero(fp[at] == other)
+            a.append(hit)
+            b.append(at[hit])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _links(batches: Iterator[pa.RecordBatch], most: int = THRESHOLD) -> Iterator[pa.RecordBatch]:
     """Spanning forest of the verified links among rows with the same (part, value, sub), which come sorted by these and fp."""
     held: list[np.ndarray] = []
 
@@ -191,10 +214,16 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(starts[1:], len(key))
         alive = np.repeat(ends, ends - starts) - np.arange(len(key)) - 1  # rows of the same key that follow
+        for s, e in zip(starts[ends - starts > LOOK_UP], ends[ends - starts > LOOK_UP]):
+            own = np.unique(at[s:e])
+            pairs = _within_reach(nodes[own], most)
+            if pairs is not None:
+                roots = local_roots(len(nodes), own[pairs[0]], own[pairs[1]], roots)
+                alive[s:e] = 0
         row, pending_a, pending_b, held_n, step = np.flatnonzero(alive > 0), [], [], 0, 1
         while len(row):
             other = row + step
-            near = (_popcount(fp[row] ^ fp[other]) <= THRESHOLD) & (probe[row] + probe[other] < 2) & (fp[row] != fp[other])
+            near = (_popcount(fp[row] ^ fp[other]) <= most) & (probe[row] + probe[other] < 2) & (fp[row] != fp[other])
             if near.any():
                 pending_a.append(at[row[near]])
                 pending_b.append(at[other[near]])
@@ -226,14 +255,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(np.concatenate(held))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component) of every row; component is the smallest doc_id reachable by links."""
-    prints = cut(fingerprints(docs))
-    distinct = cut(prints.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    groups, thresholds = plan(distinct)
-    rows = signatures(distinct.select("fp"), groups, thresholds)
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = THRESHOLD) -> DataFrame:
+    """(doc_id, fp, component) of every row; component is the smallest doc_id reachable by links. size: words in a shingle; bits: the most that differ."""
+    prints = cut(fingerprints(docs, size))
+    known = prints.filter(F.col("doc_id").isNotNull())
+    distinct = cut(known.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    groups, thresholds = plan(distinct, bits)
+    rows = signatures(distinct.select("fp"), groups, thresholds, bits)
     rows = rows.select(F.xxhash64("part", "value", "sub").alias("key"), "fp", "probe")
-    links = rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a long, b long")
+    links = rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_links, most=bits), "a long, b long")
+    several = known.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select(F.col("doc_id").alias("id"), "a")
+    links = links.unionByName(known.join(several, F.col("doc_id") == F.col("id")).select("a", F.col("fp").alias("b")))  # one document, several texts
     parts = connected_components(links, "a", "b")
     reps = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     # The smallest doc_id of a component is the least of its fingerprints' smallest.

@@ -36,21 +36,26 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, size=3):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", lower)
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    shingles = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
     hashes = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def check_simhash(spark, rows):
-    docs = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, fp int")
-    got = [(r.doc_id, r.fp % 2**64, r.component) for r in simhash.near_duplicates(docs).collect()]
-    prints = {i: plain_fingerprint(t) for i, t in rows if i is not None}
-    links = [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 2]
-    want = least_reachable(prints, links)
-    assert sorted(got, key=repr) == sorted(((i, plain_fingerprint(t), want.get(i)) for i, t in rows), key=repr)
+def plain_groups(rows, size=3, bits=2):
+    """The smallest reachable id of each id; rows with one id are one node."""
+    prints = [(i, plain_fingerprint(t, size)) for i, t in rows if i is not None]
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(prints, 2) if (x ^ y).bit_count() <= bits]
+    return least_reachable([i for i, _ in prints], links)
+
+
+def check_simhash(spark, rows, size=3, bits=2):
+    docs = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "doc_id long, text string, fp int, component int")
+    got = [(r.doc_id, r.fp % 2**64, r.component) for r in simhash.near_duplicates(docs, size, bits).collect()]
+    want = plain_groups(rows, size, bits)
+    assert sorted(got, key=repr) == sorted(((i, plain_fingerprint(t, size), want.get(i)) for i, t in rows), key=repr)
 
 
 def near_copies(n=300):
@@ -70,11 +75,31 @@ def test_simhash(spark):
     check_simhash(spark, near_copies())
 
 
+def test_simhash_of_repeated_ids(spark):
+    a, b = ("some words about one thing " * 3, "others on something else altogether now " * 2)
+    check_simhash(spark, [(1, a), (5, a), (5, b), (9, b), (7, "neither of them"), (5, a)])
+
+
+def test_simhash_with_other_parameters(spark):
+    check_simhash(spark, near_copies(200), 5, 6)
+
+
 def test_simhash_hot_values(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 3)
     check_simhash(spark, near_copies(150))
 
 
+def test_simhash_looks_up_large_groups(monkeypatch):
+    rng = np.random.default_rng(5)
+    fp = np.unique(rng.integers(0, 1 << 14, 9000).astype(np.uint64) << np.uint64(7))
+    a, b = simhash._within_reach(fp)
+    near = np.bitwise_count(fp[:, None] ^ fp) <= 2
+    want = np.zeros_like(near)
+    want[a, b] = True
+    np.fill_diagonal(near, False)
+    assert (want == near).all()
+
+
 def test_simhash_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

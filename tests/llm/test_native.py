@@ -65,8 +65,9 @@ def test_line_dedup(spark):
 
 
 def test_line_dedup_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT_FLOOR", 2)
-    monkeypatch.setattr(line_dedup, "HOT_KEYS", 10**9)
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 2)
+    assert run_lines(spark, DOCS) == plain_line_dedup(DOCS)
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)  # joined by a shuffle
     assert run_lines(spark, DOCS) == plain_line_dedup(DOCS)
 
 
