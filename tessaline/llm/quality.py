@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 MAX_POSITIVES, MAX_UNLABELLED = 8_000, 16_000
 FOLDS, HELD_OUT, ACCEPT = 4, 2, 0.7
@@ -174,9 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
 def score(docs: DataFrame, model: Model | None, prior: float) -> DataFrame:
     """docs with score and predicted, which replace columns of these names."""
     docs = docs.drop("score", "predicted")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.select(F.lit(0).alias("role"), F.col("text").cast("string").alias("scored text"), *[F.col(f"`{c}`") for c in docs.columns])  # read by place
-    scored = rows.mapInArrow(partial(_score, model=model, prior=prior), f"{kept}, score double")
+    names = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever the names are
+    rows = own.select(F.lit(0).alias("role"), F.col(f"c{names.index('text')}").cast("string").alias("text"), *own.columns)
+    scored = rows.mapInArrow(partial(_score, model=model, prior=prior), StructType([*own.schema.fields, StructField("score", DoubleType())])).toDF(*names, "score")
     return scored.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
 
 

@@ -202,10 +202,12 @@ def test_quality_of_odd_tables(spark):
 
 def test_quality_gradient_and_risk():
     rng = np.random.default_rng(3)
-    for prior, shift in ((0.5, 1.0), (0.9, -3.0)):  # the second part positive, and negative
-        x, p = rng.standard_normal((40, 4)), rng.standard_normal((30, 4)) + shift
-        model = quality.Model(np.zeros(4), np.ones(4), rng.standard_normal((4, quality.HIDDEN)), rng.standard_normal(quality.HIDDEN), rng.standard_normal(quality.HIDDEN) * (1 if shift > 0 else 3), 0.3)
+    for prior, best in ((0.5, False), (0.95, True)):  # the second part positive, and negative
+        x = rng.standard_normal((60, 4))
+        model = quality.Model(np.zeros(4), np.ones(4), rng.standard_normal((4, quality.HIDDEN)) * 0.5, rng.standard_normal(quality.HIDDEN) * 0.1, rng.standard_normal(quality.HIDDEN) * 0.5, 0.3)
+        p = x[np.argsort(-model.score(x))[:20]] if best else rng.standard_normal((30, 4))
         as_one, as_zero = quality.risk(model, x, p, prior)
+        assert (as_zero < 0) == best
         whole = lambda: sum(quality.risk(model, x, p, prior)) if as_zero >= 0 else -quality.risk(model, x, p, prior)[1]  # noqa: E731, B023
         grads = quality.gradient(model, x, p, prior)
         for name in ("w1", "b1", "w2"):
