@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -44,7 +45,21 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_library_does_not_need_the_llm_folder():
-    root = Path(__file__).resolve().parents[1]
-    code = "import sys; import tessaline.plans as p; p.load_queries(); assert not any(m.startswith('tessaline.llm') for m in sys.modules)"
-    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+ROOT = Path(__file__).resolve().parents[1]
+LIST = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q)); print(any(n.startswith('op') or n == 'pipeline' for n in {**q, **o}))"
+
+
+def listed(folder, code=LIST):
+    out = subprocess.run([sys.executable, "-c", code], cwd=folder, check=True, capture_output=True, text=True).stdout.split()
+    return int(out[-2]), out[-1] == "True"
+
+
+def test_the_rest_does_without_the_llm_folders(tmp_path):
+    whole = len(__spark_entry__.queries())
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    assert listed(tmp_path / "copy") == (whole - 11 if (ROOT / "tessaline" / "llm").exists() else whole, False)
+
+
+def test_the_rest_does_without_what_the_llm_folder_imports():
+    found, some = listed(ROOT, "import sys; sys.modules['xxhash'] = None; " + LIST)
+    assert found > 90 and not some
