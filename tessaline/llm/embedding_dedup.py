@@ -1,33 +1,36 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Equal vectors are one row from the start. In each of PASSES passes every vector gets a
+Equal vectors are one row from the start. In each pass every vector gets a
 string of signs of random projections; vectors are ordered by these strings
 lexicographically (a range partition and a sort) and compared with the next WINDOW
 neighbours, also across partition borders. Verified pairs are united over all passes. At
-cosine 0.95 a sign differs with probability 0.101, so that two vectors share the first 10
-signs, and with them a window among 2^10 * WINDOW vectors, in a third of the passes.
+cosine 0.95 a sign differs with probability 0.101.
 
 A window bounds the candidates, so a dense group does not see all its links there. Runs of
-more than WINDOW vectors with the same first PREFIX signs, which windows do not cover, are
+more than WINDOW vectors with the same first signs (the prefix), which windows do not cover, are
 therefore compared in full, in blocks of BLOCK vectors by BLOCK, unless the windows have
-joined all their vectors already. A pair is then missed only if it differs in the first
-PREFIX signs of every pass, whatever the number and density of the vectors: at cosine 0.95
-with probability (1 - 0.899^12)^24 = 0.0004 over the draw of the projections. The work
-grows with the square of such a run.
-
-The passes are only asked for the components; within a component all pairs of distinct
-vectors are then compared in double precision, in the same blocks, which counts every link
-of the component and emits one number for each vector, never the pairs. That work grows
-with the square of a component's distinct vectors, spread over tasks.
+joined all their vectors already. A pair is then missed only if it differs in the prefix of every
+pass, whatever the density of the vectors. The prefix has PREFIX signs or more, so that with spread vectors a run
+is no longer than a window, and the number of passes follows from it and from MISS: at
+cosine 0.95 a pair is missed with probability (1 - 0.899^prefix)^passes <= MISS over the draw of the
+projections (12 signs and 22 passes up to 262,144 vectors, 24 signs and 86 passes for 10^9).
+
+The passes are only asked for the components; an exact check follows, which counts every link
+of a component in double precision and emits one number for each vector, never the pairs. Vectors within half of
+the link's angle of the component's first vector (the core) are all linked with one another and are
+counted without a comparison; only the others are compared, in blocks, with each other and with
+the core. That work grows with the vectors outside the core times all of the component's, spread over tasks.
 
 Defined results: vectors that are null, empty, zero or that hold null or non-finite
 components link with nothing; vectors of different lengths do not link; equal vectors link
 with each other; rows that share vec_id and vector are one vector and get a row each; a null
-vec_id links with nothing; other columns are ignored; an empty table works.
+vec_id links with nothing; ties in a sort order are broken by the least vec_id; vectors of any length
+are compared whole; other columns are ignored, whatever their names; an empty table works.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -40,11 +43,19 @@ from pyspark.sql import functions as F
 from tessaline.llm.common import cut
 from tessaline.llm.components import connected_components, local_roots
 
-PASSES, WINDOW, SIGNS, BLOCK, SEED = 24, 64, 63, 1024, 20_241
-PREFIX = 12  # signs of a run
+WINDOW, SIGNS, BLOCK, SEED = 64, 63, 2048, 20_241
+PREFIX = 12  # signs of a run, at least
+MISS = 0.001  # chance that the passes miss a pair at the least cosine
 MIN_COSINE = 0.95
 
 
+def schedule(vectors: int, least: float, window: int = WINDOW, miss: float = MISS) -> tuple[int, int]:
+    """(signs of the prefix, passes) for so many vectors."""
+    prefix = min(SIGNS, max(PREFIX, math.ceil(math.log2(max(vectors, 1) / window))))
+    share = (1 - math.acos(least) / math.pi) ** prefix
+    return prefix, math.ceil(math.log(miss) / math.log1p(-share))
+
+
 def _usable(vector: str):
     """Whether a vector can link: no null, NaN or infinity, and not all zero."""
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -63,11 +74,11 @@ def projections(dim: int, number: int) -> np.ndarray:
     return np.random.default_rng([SEED, number, dim]).standard_normal((dim, SIGNS))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], passes: int) -> Iterator[pa.RecordBatch]:
-    """The first PREFIX signs of _keys' strings, without the vectors."""
+def _prefixes(batches: Iterator[pa.RecordBatch], passes: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """The first signs of _keys' strings, without the vectors."""
     names = ["dim", "pass", "key", "rep"]
     for batch in _keys(batches, passes):
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(batch.column(2).to_numpy() >> (SIGNS - PREFIX)), batch.column(3)], names)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(batch.column(2).to_numpy() >> (SIGNS - prefix)), batch.column(3)], names)
 
 
 def _keys(batches: Iterator[pa.RecordBatch], passes: int) -> Iterator[pa.RecordBatch]:
@@ -169,10 +180,10 @@ def _dense(group: pa.Table, least: float) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def dense_links(copies: DataFrame, parts: DataFrame, least: float, passes: int, window: int) -> DataFrame:
-    """(a, b): links between components in runs of more than window vectors that share PREFIX signs."""
+def dense_links(copies: DataFrame, parts: DataFrame, least: float, passes: int, window: int, prefix: int) -> DataFrame:
+    """(a, b): links between components in runs of more than window vectors that share a prefix."""
     run = ["dim", "pass", "key"]
-    keyed = copies.select("rep", "vector").mapInArrow(partial(_prefixes, passes=passes), "dim int, pass int, key long, rep long")
+    keyed = copies.select("rep", "vector").mapInArrow(partial(_prefixes, passes=passes, prefix=prefix), "dim int, pass int, key long, rep long")
     dense = cut(keyed.groupBy(*run).agg(F.count("*").alias("n")).filter(F.col("n") > window))
     rows = keyed.join(dense, run).join(parts, F.col("rep") == F.col("node"), "left").select(*run, "n", "rep", F.coalesce("component", "rep").alias("root"))
     rows = cut(rows)
@@ -189,14 +200,14 @@ def dense_links(copies: DataFrame, parts: DataFrame, least: float, passes: int,
 
 
 def _count(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Weighted links of each vector in one pair of blocks; rows come sorted by (root, i, j, right)."""
+    """Weighted links of each vector in one pair of blocks; rows come sorted by (root, core, i, j, right)."""
 
     def solve(rows: list) -> pa.RecordBatch:
         right = np.array([r[1] for r in rows])
         reps = np.array([r[2] for r in rows])
         copies = np.array([r[3] for r in rows], dtype=np.int64)
         x = _unit(pa.array([r[4] for r in rows], pa.list_(pa.float64())))
-        same = rows[0][0][1] == rows[0][0][2]
+        same = not rows[0][0][1] and rows[0][0][2] == rows[0][0][3]
         left_i = np.flatnonzero(right == 0)
         right_i = left_i if same else np.flatnonzero(right == 1)
         near = x[left_i] @ x[right_i].T >= least
@@ -207,8 +218,8 @@ def _count(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
 
     held: list = []
     for batch in batches:
-        root, i, j, right, reps, copies, vectors = (c.to_pylist() for c in batch.columns)
-        for row in zip(zip(root, i, j), right, reps, copies, vectors):
+        root, core, i, j, right, reps, copies, vectors = (c.to_pylist() for c in batch.columns)
+        for row in zip(zip(root, core, i, j), right, reps, copies, vectors):
             if held and held[-1][0] != row[0]:
                 yield solve(held)
                 held = []
@@ -217,7 +228,47 @@ def _count(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield solve(held)
 
 
-def near_duplicates(rows: DataFrame, least: float = MIN_COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def _core(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Whether each vector lies within half the link's angle of its component's first vector; a little less, so that rounding never makes a link."""
+    near = math.cos(math.acos(least) / 2) + 1e-9
+    for batch in batches:
+        cosine = np.einsum("ij,ij->i", _unit(batch.column(3)), _unit(batch.column(4))) if batch.num_rows else np.empty(0)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cosine >= near)], ["root", "rep", "copies", "core"])
+
+
+def count_links(copies: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """(rep, linked): the links of each vector of a component, weighted by copies, without those to its own copies."""
+    members = copies.join(parts, F.col("rep") == F.col("node")).select("rep", "copies", F.col("component").alias("root"))
+    first = copies.select(F.col("rep").alias("root"), F.col("vector").alias("first"))
+    both = members.join(copies.select("rep", "vector"), "rep").join(first, "root").select("root", "rep", "copies", "vector", "first")  # of equal length, as only such vectors link
+    marked = cut(both.mapInArrow(partial(_by_length, then=partial(_core, least=least)), "root long, rep long, copies long, core boolean"))
+    sizes = marked.groupBy("root").agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rest"), F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("weight"))
+    marked = marked.join(sizes, "root")
+    linked = marked.filter("core").select("rep", (F.col("weight") - F.col("copies")).alias("linked"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    rest = marked.filter("n_rest > 0").withColumn("own", F.pmod(F.xxhash64("rep"), F.greatest(F.when(F.col("core"), blocks("n_core")).otherwise(blocks("n_rest")), F.lit(1))).cast("int"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    meets = lambda core, k, i, j, right: F.struct(F.lit(core).alias("with_core"), i.alias("i"), j.alias("j"), right.cast("int").alias("right"))
+    own = F.col("own")
+    among = F.transform(upto(blocks("n_rest")), lambda k: meets(False, k, F.least(own, k), F.greatest(own, k), k < own))
+    of_rest = F.transform(upto(blocks("n_core")), lambda k: meets(True, k, own, k, F.lit(0)))
+    of_core = F.transform(upto(blocks("n_rest")), lambda k: meets(True, k, k, own, F.lit(1)))
+    pairs = rest.select("root", "rep", "copies", F.explode(F.when(F.col("core"), of_core).otherwise(F.concat(among, of_rest))).alias("p")).select("root", "p.*", "rep", "copies")
+    pairs = pairs.join(copies.select("rep", "vector"), "rep").select("root", "with_core", "i", "j", "right", "rep", "copies", "vector")
+    key = ["root", "with_core", "i", "j"]
+    compared = pairs.repartition(*key).sortWithinPartitions(*key, "right", "rep").mapInArrow(partial(_count, least=least), "rep long, linked long")
+    return linked.unionByName(compared).groupBy("rep").agg(F.sum("linked").alias("linked"))
+
+
+def _by_length(batches: Iterator[pa.RecordBatch], then) -> Iterator[pa.RecordBatch]:
+    """Rows of equal vector length at a time."""
+    for batch in batches:
+        sizes = np.array(batch.column(3).value_lengths())
+        for size in np.unique(sizes):
+            yield from then(iter([batch.filter(pa.array(sizes == size))]))
+
+
+def near_duplicates(rows: DataFrame, least: float = MIN_COSINE, window: int = WINDOW, miss: float = MISS) -> DataFrame:
     """(vec_id, n_links, component_id) of every row."""
     kind = "float" if dict(rows.dtypes)["embedding"] == "array<float>" else "double"
     own = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>").alias("vector"))
@@ -226,6 +277,7 @@ def near_duplicates(rows: DataFrame, least: float = MIN_COSINE, passes: int = PA
     usable = own.filter(ok)
     copies = usable.distinct().groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     copies = cut(copies)
+    prefix, passes = schedule(copies.count(), least, window, miss)
 
     keyed = copies.select("rep", "vector").mapInArrow(partial(_keys, passes=passes), f"dim int, pass int, key long, rep long, vector array<{kind}>")
     order = ["dim", "pass", "key", "rep"]
@@ -239,20 +291,10 @@ def near_duplicates(rows: DataFrame, least: float = MIN_COSINE, passes: int = PA
     across = borders.groupBy("border").applyInArrow(compare, "a long, b long")
     links = scanned.filter(F.col("a").isNotNull()).select("a", "b").unionByName(across)
     parts = cut(connected_components(links, "a", "b"))
-    more = cut(dense_links(copies, parts, least, passes, window))
+    more = cut(dense_links(copies, parts, least, passes, window, prefix))
     if not more.isEmpty():
         parts = cut(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b"))
-
-    # All pairs of each component, block by block.
-    members = copies.join(parts, copies["rep"] == parts["node"]).select("rep", "copies", "vector", F.col("component").alias("root"))
-    sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
-    members = members.join(sizes, F.col("root") == F.col("component")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = members.select("root", "rep", "copies", "vector", "i", other.alias("k"))
-    pairs = pairs.select("root", F.least("i", "k").alias("i"), F.greatest("i", "k").alias("j"), (F.col("k") < F.col("i")).cast("int").alias("right"), "rep", "copies", "vector")
-    key = ["root", "i", "j"]
-    counted = pairs.repartition(*key).sortWithinPartitions(*key, "right", "rep").mapInArrow(partial(_count, least=least), "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
+    counted = count_links(copies, parts, least)
 
     known = copies.join(parts, copies["rep"] == parts["node"], "left").select("rep", "copies", F.coalesce("component", "rep").alias("component_id"), copies["vector"])
     known = known.join(counted.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep"), "left")

@@ -142,6 +142,43 @@ def test_embeddings(spark, monkeypatch):
     assert got == plain_embeddings(rows)
 
 
+def test_embeddings_with_a_core(spark, monkeypatch):
+    """Tight groups, whose links are counted without a comparison, with looser members around them."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(4):
+        centre = rng.standard_normal(32)
+        rows += [(centre + rng.standard_normal(32) * s).tolist() for s in rng.choice([0.02, 0.08, 0.15, 0.22], 60)]
+    rows = [(i, v) for i, v in enumerate(rows)] + [(1000 + i, rows[3]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()), key=repr)
+    assert got == plain_embeddings(rows)
+
+
+def test_schedule_of_passes():
+    assert embedding_dedup.schedule(2000, 0.95) == (12, 22) and embedding_dedup.schedule(10**9, 0.95) == (24, 86)
+    for n in (1, 10**4, 10**7, 10**12):
+        prefix, passes = embedding_dedup.schedule(n, 0.95)
+        assert (1 - 0.89891**prefix) ** passes < 0.0011 and n / 2**prefix <= 64
+
+
+def test_recall_of_the_passes_alone():
+    """Pairs at a cosine just above 0.95 among spread vectors: the share that shares a prefix in some pass."""
+    rng = np.random.default_rng(7)
+    a = rng.standard_normal((20_000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.standard_normal((20_000, 64))
+    b -= np.einsum("ij,ij->i", a, b)[:, None] * a
+    b = 0.9501 * a + (1 - 0.9501**2) ** 0.5 * b / np.linalg.norm(b, axis=1)[:, None]
+    for prefix, passes in ((12, 22), (18, 42)):
+        met = np.zeros(len(a), bool)
+        for p in range(passes):
+            own = embedding_dedup.projections(64, p)[:, :prefix]
+            met |= ((a @ own > 0) == (b @ own > 0)).all(axis=1)
+        assert met.mean() > 0.995
+
+
 def test_embeddings_empty_and_repeated(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(empty).collect() == []
