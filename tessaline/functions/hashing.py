@@ -28,10 +28,13 @@ def synthetic_popularity(item: Column) -> Column:
 
 
 def bucket(salt: Column, user: Column, buckets: int = BUCKETS) -> Column:
-    """The 256-bit hash of salt:user modulo buckets, by Horner's rule over eight 32-bit parts."""
+    """The 256-bit hash of salt:user modulo buckets: eight 32-bit parts, each times its power of 2^32 modulo buckets."""
     digest = sha256(F.concat_ws(":", salt, user))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substr(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, part: F.pmod(acc * F.lit(1 << 32) + part, F.lit(buckets).cast("long"))).cast("int")
+    total = F.lit(0).cast("long")
+    for i in range(8):
+        part = F.conv(F.substring(digest, i * 8 + 1, 8), 16, 10).cast("long")
+        total = total + part % buckets * F.lit(pow(1 << 32, 7 - i, buckets))
+    return (total % buckets).cast("int")
 
 
 def effective_salt(environment: Column, salt: Column, override: Column | None = None) -> Column:
@@ -60,6 +63,22 @@ def canonical_json(fields: dict) -> str:
     return json.dumps(fields, sort_keys=True, separators=(",", ":"))
 
 
+def canonical_json_column(fields: dict[str, Column]) -> Column:
+    """The same as a column, for texts and numbers: keys in order, ASCII only, nulls kept."""
+    escape = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r"^\{\"v\":|\}$", "")
+    parts = [F.concat(F.lit(json.dumps(name) + ":"), F.when(c.isNull(), F.lit("null")).otherwise(_ascii(escape(c)))) for name, c in sorted(fields.items())]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def _ascii(text: Column) -> Column:
+    """JSON text with every other character as its escape, in pairs beyond 16 bits. Rows of ASCII take no part."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+    code = lambda c: F.ascii(c).cast("long")
+    pair = lambda n: F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + (n - 0x10000) % 1024))
+    escaped = F.transform(F.split(text, ""), lambda c: F.when(code(c) < 128, c).when(code(c) < 0x10000, unit(code(c))).otherwise(pair(code(c))))
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.array_join(escaped, ""))
+
+
 def index_version(canonical: Column, digits: int = 8) -> Column:
     return F.concat(F.lit("idx-"), short_hash(canonical, digits))
 
@@ -75,7 +94,9 @@ def blake2b_128(text: Column) -> Column:
 
 def credential_bucket(key: bytes, credential: Column) -> Column:
     """A credential's rate-limit bucket: stripped, cut to 4096 characters, keyed hash of 32 digits; null if empty."""
-    text = F.substring(F.trim(credential), 1, 4096)
+    from tessaline.functions.text import strip
+
+    text = F.substring(strip(credential), 1, 4096)
     return F.when(F.length(text) > 0, F.substring(hmac_sha256(key, text), 1, 32))
 
 

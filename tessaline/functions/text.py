@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tessaline.functions.hashing import short_hash
 
+#: The longest item text, what stands between title and description, and the characters that count as white space.
 MAX_CHARS, SEPARATOR = 512, " | "
+SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def nfkc(text: Column) -> Column:
@@ -25,7 +27,12 @@ def nfkc(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Runs of Unicode white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def item_text(title: Column, description: Column, normalise: bool = True) -> Column:
@@ -41,7 +48,7 @@ def content_hash(title: Column, description: Column, normalise: bool = True) ->
 
 
 def query_text(title: Column, description: Column) -> Column:
-    return F.concat(F.trim(title), F.lit(SEPARATOR), F.trim(description))
+    return F.concat(strip(title), F.lit(SEPARATOR), strip(description))
 
 
 def vector_literal(vector: Column) -> Column:
@@ -59,13 +66,26 @@ def version_pair(text: Column) -> Column:
     return F.struct(number(major).alias("major"), number(minor).alias("minor"))
 
 
+def bounded_request_id(text: Column, most: int = 64) -> Column:
+    """The first characters of a request's id; 16 random hex digits if it has none."""
+    made = F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16)
+    return F.when(F.length(text) > 0, F.substring(text, 1, most)).otherwise(made)
+
+
+def too_old(created: Column, now: Column, most_hours: float) -> Column:
+    """Whether a report's time lies more than so many hours before now; null for a text that is no time with an offset."""
+    return (F.unix_micros(now) - F.unix_micros(iso_timestamp(created))) / 3600e6 > most_hours
+
+
 def iso_timestamp(text: Column) -> Column:
     """A timestamp from ISO 8601 with an offset; null without one."""
     return F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(text))
 
 
-PATH_CLASSES = (("/v1/recommend", "recommend"), ("/v1/similar", "similar"), ("/v1/events", "events"))
-EXEMPT_PATHS = ("/healthz", "/readyz", "/metrics")
+#: Request paths by prefix, in the order they are tried, and paths that no limit applies to.
+PATH_CLASSES = (("/v1/recommend", "recommend"), ("/v1/items/", "recommend"), ("/v1/events", "events"), ("/v1/churn/", "churn"))
+EXEMPT_PATHS = ("/livez", "/healthz", "/readyz", "/metrics", "/docs", "/redoc", "/openapi.json")
+LONGEST_IP = 45
 
 
 def path_class(path: Column) -> Column:
@@ -77,7 +97,7 @@ def path_class(path: Column) -> Column:
 
 
 def looks_like_ip(text: Column) -> Column:
-    return text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | (text.rlike(r"^[0-9A-Fa-f:]+$") & text.contains(":"))
+    return (F.length(text) <= LONGEST_IP) & (text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | (text.rlike(r"^[0-9A-Fa-f:]+$") & text.contains(":")))
 
 
 def client_ip(forwarded: Column, peer: Column, trusted: int) -> Column:

@@ -49,7 +49,9 @@ def rank_norm(value: Column, by: str) -> Column:
 
 
 def recency_decay(age_days: Column, half_life: float) -> Column:
-    return F.pow(F.lit(0.5), age_days / half_life)
+    """Half for each half-life; a negative age is an error."""
+    checked = F.when(age_days < 0, F.raise_error(F.lit("an age must not be negative"))).otherwise(age_days)
+    return F.pow(F.lit(0.5), checked / half_life)
 
 
 def age_days(now: Column, then: Column) -> Column:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessaline.sources.config import write_text
+
 CATALOG = "item_id string, title string, description string, category string, brand string"
 GOLDEN = "query_id string, topic string, seed_item_ids array<string>, relevant_item_ids array<string>"
 VERSION_NAME = r"^v\d+\.jsonl$"
@@ -55,9 +58,11 @@ def version_of(file_name) -> F.Column:
     return F.when(file_name.rlike(VERSION_NAME), F.regexp_extract(file_name, r"^(v\d+)", 1))
 
 
-def write_run(run: DataFrame, path: str) -> None:
-    """A run: fixed columns, zstd, sorted by id within ranges of ids."""
+def write_run(run: DataFrame, path: str, dim: int | None = None) -> None:
+    """A run: fixed columns, zstd, sorted by id within ranges of ids. With dim, rows that a run must not hold are an error before anything is written; an empty run is written as such."""
     columns = ["item_id", "embedding", "content_hash", "preprocessing_version"]
+    if dim is not None and (bad := invalid_embeddings(run, dim).first()):
+        raise ValueError(f"{bad.item_id}: {bad.reason}")
     run.select(*columns).repartitionByRange("item_id").sortWithinPartitions("item_id").write.option("compression", "zstd").parquet(path)
 
 
@@ -82,6 +87,11 @@ def parse_snapshot(value: DataFrame) -> DataFrame:
     return value.select(F.explode(F.from_json("value", schema)["items"]).alias("i")).select("i.*")
 
 
+def write_report(values: DataFrame, path: str, **header: str) -> None:
+    """The report's document, written beside and renamed."""
+    write_text(Path(path), report_json(values, **header) + "\n")
+
+
 def report_json(values: DataFrame, **header: str) -> str:
     """The nested JSON report of a long (system, metric, value) table: one row for each system's metric."""
     systems: dict[str, dict] = {}
@@ -108,6 +118,27 @@ def render_table(rows: list[dict], columns: list[str]) -> str:
     return "\n".join([*lines, *("| " + " | ".join("n/a" if r.get(c) is None else str(r[c]) for c in columns) + " |" for r in rows)])
 
 
+def previous_vectors(run: DataFrame, dim: int) -> DataFrame:
+    """(item_id, embedding, content_hash) of a run, only these columns of it; a vector of another length is an error, a run without rows is empty."""
+    fits = F.coalesce(F.size("embedding") == dim, F.lit(False))
+    vector = F.when(fits, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("ragged vector of "), "item_id")))
+    return run.select("item_id", vector.alias("embedding"), "content_hash")
+
+
+def read_run(spark: SparkSession, path: str, metadata: DataFrame | None = None) -> DataFrame:
+    """A run's rows with the items' metadata; items without any have nulls, which no filter matches."""
+    rows = spark.read.parquet(path).select("item_id", F.col("embedding").alias("vector"), "content_hash")
+    return rows if metadata is None else rows.join(metadata, "item_id", "left")
+
+
+def sidecar_problems(files: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """(path, problem) of (path, sha256) against sidecar texts (path with .sha256 behind it, value): missing, or another hash. The hash is the text's first word."""
+    named = sidecars.select(F.regexp_replace("path", r"\.sha256$", "").alias("path"), F.lower(F.regexp_extract("value", r"^\s*(\S+)", 1)).alias("want"))
+    joined = files.select("path", "sha256").join(named, "path", "left")
+    problem = F.when(F.col("want").isNull(), "no sidecar").when(F.col("want") != F.col("sha256"), "another hash")
+    return joined.select("path", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 def write_index(run: DataFrame, path: str, version: str) -> None:
     """A run's rows as one partition of the index table; a later build of the same version replaces only its own partition."""
     run.withColumn("index_version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_version").parquet(path)
