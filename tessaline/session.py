@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, **conf: str) -> SparkSession:
@@ -33,3 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data, by any path that Spark's readers can open."""
     settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; else without, for the planner to deal."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
