@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaline.functions.hashing import sha256, synthetic_popularity
+from tessaline.session import small
 
 
 def refresh_snapshot(items: DataFrame, size: int) -> DataFrame:
@@ -15,10 +16,12 @@ def refresh_snapshot(items: DataFrame, size: int) -> DataFrame:
 
 
 def read_snapshot(snapshot: DataFrame, k: int, filters: dict[str, str | None] | None = None) -> DataFrame:
-    """(item_id, rank, score): the first k by rank among rows that match; score is 1 - rank / (largest rank of all + 1)."""
+    """(item_id, rank, score): the first k by rank among rows that match; score is 1 - rank / (largest rank of all + 1). Filters on unknown fields are ignored."""
     most = snapshot.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("most"))  # one row
     rows = snapshot
     for field, value in (filters or {}).items():
+        if field not in snapshot.columns:
+            continue
         rows = rows.filter(F.lit(value).isNull() | (F.col(field) == F.lit(value)))
     rows = rows.orderBy("rank").limit(k)
     return rows.crossJoin(F.broadcast(most)).select("item_id", "rank", (1 - F.col("rank") / (F.col("most") + 1)).alias("score"))
@@ -34,8 +37,8 @@ def first_tier(tiers: list[DataFrame], key: str) -> DataFrame:
 
 
 def random_baseline(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Per query the first k items by SHA-256 of query_id, a zero byte and item_id; score k - position. queries is a bounded set."""
-    pairs = items.select("item_id").crossJoin(F.broadcast(queries.select("query_id")))
+    """Per query the first k items by SHA-256 of query_id, a zero byte and item_id; score k - position. Nothing for k below 1. Tasks keep k rows a query before the shuffle (a group limit under the window)."""
+    pairs = items.select("item_id").crossJoin(small(queries.select("query_id")))
     order = Window.partitionBy("query_id").orderBy(sha256(F.concat("query_id", F.lit("\0"), "item_id")), "item_id")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.withColumn("score", (F.lit(k) - (F.col("rank") - 1)).cast("double"))

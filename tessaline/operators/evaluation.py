@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessaline.functions.text import iso_timestamp, too_old
+from tessaline.session import small
+
 
 def ideal_gain(n: Column) -> Column:
     """Sum of 1 / log2(i + 1) for i from 1 to n."""
@@ -17,7 +22,7 @@ def query_metrics(results: DataFrame, golden: DataFrame, k: int) -> DataFrame:
     Nothing relevant: recall 1, ndcg 0; the reciprocal rank is not cut at k.
     """
     systems = results.select("system").distinct()
-    asked = golden.select("query_id", "relevant").crossJoin(F.broadcast(systems))
+    asked = golden.select("query_id", "relevant").crossJoin(small(systems))
     hits = results.join(golden.select("query_id", F.explode(F.array_distinct("relevant")).alias("item_id")), ["query_id", "item_id"])
     inside = F.col("rank") <= k
     per = hits.groupBy("system", "query_id").agg(F.count(F.when(inside, 1)).alias("hits"), F.sum(F.when(inside, 1 / F.log2(F.col("rank") + 1))).alias("gain"), F.min("rank").alias("first"))
@@ -38,23 +43,58 @@ def fidelity(approximate: DataFrame, exact: DataFrame, queries: DataFrame, k: in
     return joined.select("query_id", F.when(F.col("shared").isNull(), 1.0).otherwise(F.col("shared") / k).alias("fidelity"))
 
 
-def report(metrics: DataFrame) -> DataFrame:
+def mean_fidelity(approximate: DataFrame, exact: DataFrame, queries: DataFrame, k: int, system: str, metric: str) -> DataFrame:
+    """One report row (system, metric, value): the mean over queries."""
+    return fidelity(approximate, exact, queries, k).agg(F.coalesce(F.avg("fidelity"), F.lit(0.0)).alias("value")).select(F.lit(system).alias("system"), F.lit(metric).alias("metric"), "value")
+
+
+def report(metrics: DataFrame, k: int) -> DataFrame:
     """Long report (system, metric, value): means over queries; 0 without queries."""
-    means = metrics.groupBy("system").agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in ("recall", "ndcg", "mrr")])
-    return means.unpivot("system", ["recall", "ndcg", "mrr"], "metric", "value")
+    names = {"recall": f"recall_at_{k}", "ndcg": f"ndcg_at_{k}", "mrr": "mrr"}
+    means = metrics.groupBy("system").agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(name) for m, name in names.items()])
+    return means.unpivot("system", list(names.values()), "metric", "value")
+
+
+@dataclass(frozen=True)
+class GateRules:
+    """What a report must be before its metrics count; None: not checked."""
+
+    golden_set_version: str
+    commit: str | None = None
+    now: str | None = None  # a time with an offset
+    max_age_hours: float | None = 24.0
+    required: tuple[str, ...] = ()
+
+
+def metric_failures(values: DataFrame, limits: DataFrame, informational: list[str] | frozenset[str]) -> DataFrame:
+    """(system, metric, kind, value, threshold) of (system, metric, value) against (system, metric, kind, threshold).
+
+    A value below a floor or the system's own threshold fails, each for itself. Informational systems fail
+    only above their own floors. Null values and metrics without a threshold are skipped.
+    """
+    limits = F.broadcast(limits.filter("threshold IS NOT NULL"))  # a declared file
+    known = F.col("system").isin(*informational) if informational else F.lit(False)
+    above = known & (F.col("kind") == "informational_floor") & (F.col("value") > F.col("threshold"))
+    below = ~known & F.col("kind").isin("per_system", "absolute_floor") & (F.col("value") < F.col("threshold"))
+    found = values.filter("value IS NOT NULL AND NOT isnan(value)").join(limits, ["system", "metric"])
+    return found.filter(above | below).select("system", "metric", "kind", "value", "threshold")
 
 
-def gate(values: DataFrame, thresholds: DataFrame, required: DataFrame) -> DataFrame:
-    """Failures (system, metric, kind, value, threshold).
+def gate(values: DataFrame, limits: DataFrame, header: DataFrame, rules: GateRules, informational: list[str] | frozenset[str] = ()) -> DataFrame:
+    """One row for the first stage that fails (version, commit, age, required systems), with its reason; else one for each failing metric; else a single row that passed.
 
-    thresholds has kind floor or per_system (fails below) and informational (fails above); a null
-    system holds for all. Absent metrics, null values and null thresholds are skipped; a required
-    system without any metric fails as missing.
+    header is one row (golden_set_version, commit, created_at) of the report.
     """
-    thresholds = thresholds.filter("threshold IS NOT NULL").select(F.col("system").alias("only"), F.col("metric").alias("m"), "kind", "threshold")
-    pairs = values.join(F.broadcast(thresholds), (F.col("metric") == F.col("m")) & (F.col("only").isNull() | (F.col("only") == F.col("system"))))
-    fails = F.when(F.col("kind") == "informational", F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
-    failed = pairs.filter(fails).select("system", "metric", "kind", "value", "threshold")
-    absent = required.join(values.select("system").distinct(), "system", "left_anti")
-    none = F.lit(None)
-    return failed.unionByName(absent.select("system", none.cast("string").alias("metric"), F.lit("missing").alias("kind"), none.cast("double").alias("value"), none.cast("double").alias("threshold")))
+    reason = F.when(~F.col("golden_set_version").eqNullSafe(F.lit(rules.golden_set_version)), "golden_set_version")
+    if rules.commit is not None:
+        reason = reason.when(~F.col("commit").eqNullSafe(F.lit(rules.commit)), "commit")
+    if rules.now is not None and rules.max_age_hours is not None:
+        old = too_old(F.col("created_at"), iso_timestamp(F.lit(rules.now)), rules.max_age_hours)
+        reason = reason.when(F.col("created_at").isNull(), "created_at is missing").when(old.isNull(), "created_at is no time").when(old, "age")
+    absent = F.array_sort(F.array_except(F.array(*map(F.lit, rules.required)).cast("array<string>"), F.coalesce("systems", F.array().cast("array<string>"))))
+    reason = reason.when(F.size(absent) > 0, F.concat(F.lit("missing: "), F.array_join(absent, ", ")))
+    systems = values.select("system").distinct().agg(F.collect_set("system").alias("systems"))  # the report's systems, a few
+    stage = header.crossJoin(F.broadcast(systems)).select(reason.alias("reason"))
+    failures = metric_failures(values, limits, informational).withColumn("fails", F.lit(True))
+    joined = stage.join(F.broadcast(failures), F.col("reason").isNull(), "left")
+    return joined.select((F.col("reason").isNull() & F.col("fails").isNull()).alias("passed"), "reason", "system", "metric", "kind", "value", "threshold")

@@ -10,7 +10,7 @@ from tessaline.functions.hashing import event_id, hmac_sha256
 #: Fixed values of the event model.
 EVENT_TYPES = ("impression", "click", "conversion")
 MAX_AGE_S, MAX_FUTURE_S = 604_800, 300
-ID_LENGTH = (8, 64)
+ID_LENGTH, BATCH_SIZE = (8, 64), (1, 100)
 
 
 def in_window(ts: Column, now: Column, max_age_s: int = MAX_AGE_S, max_future_s: int = MAX_FUTURE_S) -> Column:
@@ -25,6 +25,31 @@ def valid_envelope() -> Column:
     return id_ok & F.col("event_type").isin(*EVENT_TYPES) & (F.col("position").isNull() | (F.col("position") >= 1))
 
 
+def valid_batches(batch: DataFrame) -> DataFrame:
+    """(request_id, n, valid): whether a batch has from 1 to 100 events, all of them with valid envelopes."""
+    own = batch.groupBy("request_id").agg(F.count("*").alias("n"), F.bool_and(F.coalesce(valid_envelope(), F.lit(False))).alias("sound"))
+    return own.select("request_id", "n", (F.col("n").between(*BATCH_SIZE) & F.col("sound")).alias("valid"))
+
+
+def outcome_counts(rows: DataFrame, *labels: str) -> DataFrame:
+    """A counter: rows by labels."""
+    return rows.groupBy(*labels).agg(F.count("*").alias("n"))
+
+
+def histogram(rows: DataFrame, value: str, bounds: tuple[float, ...], *labels: str) -> DataFrame:
+    """(labels, le, n): rows at or below each bound, in one pass without an expansion of rows."""
+    g = rows.groupBy(*labels).agg(*[F.count(F.when(F.col(value) <= b, 1)).alias(str(i)) for i, b in enumerate(bounds)])
+    long = g.unpivot(list(labels), [str(i) for i in range(len(bounds))], "at", "n")
+    return long.select(*labels, F.element_at(F.array(*[F.lit(float(b)) for b in bounds]), F.col("at").cast("int") + 1).alias("le"), "n")
+
+
+def latency_percentiles(rows: DataFrame, value: str, *labels: str) -> DataFrame:
+    """(labels, p50, p95, p99, n): exact percentiles with linear interpolation; partial counts by value combine before the shuffle."""
+    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    g = rows.groupBy(*labels).agg(p.alias("p"), F.count("*").alias("n"))
+    return g.select(*labels, *[F.col("p")[i].alias(c) for i, c in enumerate(("p50", "p95", "p99"))], "n")
+
+
 def valid_row() -> Column:
     """Row checks of the stored table."""
     return F.col("user_id_hash").rlike("^[0-9a-f]{64}$") & F.col("event_type").isin(*EVENT_TYPES) & (F.col("position").isNull() | (F.col("position") >= 1)) & (F.col("experiment_name").isNull() == F.col("experiment_variant").isNull())

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessaline.functions.hashing import bucket, effective_salt, exposure_id
+from tessaline.functions.hashing import BUCKETS, bucket, effective_salt, exposure_id
+from tessaline.session import small
 
 ALLOCATION = "array<struct<variant:string,pct:int>>"
 
@@ -30,17 +31,17 @@ def with_bounds(allocation):
 def assign(users: DataFrame, experiments: DataFrame, environment: str, enabled: bool = True) -> DataFrame:
     """(user_id, experiment, bucket, variant, fallback_reason, log_exposure) of every user in every experiment.
 
-    Experiments are a small declared set, broadcast; control is the first variant. Order of
-    precedence: disabled, stopped, paused, running; a bucket that no variant covers
-    falls to control with allocation_gap.
+    Experiments are a declared set, broadcast if it is small; control is the first variant. Order of
+    precedence: disabled, stopped, paused, running; a bucket that no variant covers, or an empty
+    allocation, falls to control with allocation_gap. One experiment's state never changes another's row.
     """
-    bounds = experiments.select(F.col("name").alias("experiment"), "salt", "status", with_bounds(F.col("allocation")).alias("bounds"), F.col("allocation")[0]["variant"].alias("control"))
-    pairs = users.select("user_id").crossJoin(F.broadcast(bounds))
+    bounds = experiments.select(F.col("name").alias("experiment"), "salt", "status", with_bounds(F.col("allocation")).alias("bounds"), F.get("allocation", F.lit(0))["variant"].alias("control"))
+    pairs = users.select("user_id").crossJoin(small(bounds))
     pairs = pairs.withColumn("bucket", bucket(effective_salt(F.lit(environment), F.col("salt")), F.col("user_id")))
     mine = F.filter("bounds", lambda b: (b["lo"] <= F.col("bucket")) & (F.col("bucket") < b["hi"]))
     reason = F.when(~F.lit(enabled), "disabled").when(F.col("status") == "stopped", "stopped").when(F.col("status") == "paused", "paused").when(F.size(mine) == 0, "allocation_gap")
     pairs = pairs.withColumn("fallback_reason", reason)
-    variant = F.when(F.col("fallback_reason").isNull(), mine[0]["variant"]).otherwise(F.col("control"))
+    variant = F.when(F.col("fallback_reason").isNull(), F.get(mine, F.lit(0))["variant"]).otherwise(F.col("control"))
     logged = ~F.coalesce(F.col("fallback_reason").isin("disabled", "stopped"), F.lit(False))
     return pairs.select("user_id", "experiment", "bucket", variant.alias("variant"), "fallback_reason", logged.alias("log_exposure"))
 
@@ -48,3 +49,21 @@ def assign(users: DataFrame, experiments: DataFrame, environment: str, enabled:
 def exposures(assignments: DataFrame) -> DataFrame:
     """Exposure rows of assignments with a request_id that are to be logged; one id for each experiment and request."""
     return assignments.filter("log_exposure").withColumn("event_id", exposure_id(F.col("experiment"), F.col("request_id"))).drop("log_exposure")
+
+
+def write_exposures(existing: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(event_id, experiment, request_id, inserted, skipped_reason) of every assignment: not logged, a duplicate of a stored or an earlier row (by seq), or inserted."""
+    rows = assignments.withColumn("event_id", exposure_id(F.col("experiment"), F.col("request_id")))
+    first = F.row_number().over(Window.partitionBy("event_id", "log_exposure").orderBy("seq")) == 1
+    rows = rows.withColumn("first", first).join(existing.select("event_id", F.lit(True).alias("stored")), "event_id", "left")
+    reason = F.when(~F.col("log_exposure"), "log_exposure_false").when(F.col("stored") | ~F.col("first"), "duplicate")
+    return rows.withColumn("skipped_reason", reason).select("event_id", "experiment", "request_id", F.col("skipped_reason").isNull().alias("inserted"), "skipped_reason")
+
+
+FALLBACK_REASONS = ("disabled", "stopped", "paused", "allocation_gap")
+
+
+def valid_exposure() -> Column:
+    """Row checks of the stored exposures."""
+    reason = F.col("fallback_reason").isNull() | F.col("fallback_reason").isin(*FALLBACK_REASONS)
+    return F.col("user_id_hash").rlike("^[0-9a-f]{64}$") & F.col("bucket").between(0, BUCKETS - 1) & reason & (F.length("experiment") > 0) & (F.length("variant") > 0)

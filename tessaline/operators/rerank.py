@@ -18,14 +18,27 @@ class RerankConfig:
     weight_popularity: float = 0.2
     weight_recency: float = 0.1
     half_life_days: float = 90.0
-    mmr: bool = True
+    multiplier: int = 4  # candidates for each result
+    mmr: bool = False
     mmr_lambda: float = 0.7
-    mmr_min_k: int = 5
+    mmr_min_k: int = 10
     mmr_window: int = 50
 
     def __post_init__(self):
-        if abs(self.weight_similarity + self.weight_popularity + self.weight_recency - 1) > 1e-6:
+        weights = (self.weight_similarity, self.weight_popularity, self.weight_recency)
+        if not all(0 <= x <= 1 for x in (*weights, self.mmr_lambda)):  # a number that is none fails too
+            raise ValueError("weights and lambda must lie in 0..1")
+        if abs(sum(weights) - 1) > 1e-6:
             raise ValueError("the weights must sum to 1")
+        if not self.half_life_days > 0:
+            raise ValueError("the half-life must be positive")
+        if min(self.multiplier, self.mmr_window, self.mmr_min_k) < 1:
+            raise ValueError("multiplier, window and least k must be 1 or more")
+
+    @classmethod
+    def from_hot(cls, section: dict) -> RerankConfig:
+        """From the section of the hot configuration."""
+        return cls(section["w_sim"], section["w_pop"], section["w_rec"], float(section["recency_half_life_days"]), section["candidate_multiplier"], section["enable_mmr"], section["mmr_lambda"], section["mmr_min_k"], section["mmr_window"])
 
 
 def candidates(found: DataFrame, popularity: DataFrame, ages: DataFrame) -> DataFrame:
@@ -84,3 +97,9 @@ def mmr(rows: DataFrame, k: int, config: RerankConfig) -> DataFrame:
         return out
 
     return pool.groupBy("query_id").applyInPandas(choose, "query_id string, item_id string, blend double, rank int")
+
+
+def renumber(ranked: DataFrame, k: int) -> DataFrame:
+    """The first k rows of each query by rank, ranked again from 1."""
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -4,24 +4,33 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SRM_ALERT = 0.001
+
+
 def sample_ratio(counts: DataFrame, shares: DataFrame) -> DataFrame:
-    """(experiment, chi2, df) of (experiment, variant, n) against (experiment, variant, pct)."""
+    """(experiment, chi2, df, p_value, alert) of (experiment, variant, n) against (experiment, variant, pct)."""
     total = counts.groupBy("experiment").agg(F.sum("n").alias("total"))
     rows = shares.join(total, "experiment").join(counts, ["experiment", "variant"], "left")
     want = F.col("total") * F.col("pct") / 100
-    return rows.groupBy("experiment").agg(F.sum((F.coalesce("n", F.lit(0)) - want) ** 2 / want).alias("chi2"), (F.count("*") - 1).alias("df"))
+    g = rows.groupBy("experiment").agg(F.sum((F.coalesce("n", F.lit(0)) - want) ** 2 / want).alias("chi2"), (F.count("*") - 1).alias("df"))
+    tail = F.udf(chi2_tail, "double")  # one row for each experiment
+    g = g.withColumn("p_value", tail("chi2", "df"))
+    return g.withColumn("alert", F.col("p_value") < SRM_ALERT)
 
 
-def two_proportions(rows: DataFrame, arm: str, hit: str) -> DataFrame:
-    """(z) of the share of hits in arm 1 against arm 0, with a pooled variance."""
+def two_proportions(rows: DataFrame, arm: str, hit: str, z: float = 1.959964) -> DataFrame:
+    """(z, difference, low, high) of the share of hits in arm 1 against arm 0: z with a pooled variance, the interval of the difference without."""
     count = lambda value, what: F.count(F.when((F.col(arm) == value) & what, 1))
     g = rows.agg(count(0, F.lit(True)).alias("n0"), count(1, F.lit(True)).alias("n1"), count(0, F.col(hit)).alias("h0"), count(1, F.col(hit)).alias("h1"))
     p = (F.col("h0") + F.col("h1")) / (F.col("n0") + F.col("n1"))
-    return g.select(((F.col("h1") / F.col("n1") - F.col("h0") / F.col("n0")) / F.sqrt(p * (1 - p) * (1 / F.col("n0") + 1 / F.col("n1")))).alias("z"))
+    p0, p1 = F.col("h0") / F.col("n0"), F.col("h1") / F.col("n1")
+    spread = F.sqrt(p0 * (1 - p0) / F.col("n0") + p1 * (1 - p1) / F.col("n1"))
+    score = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / F.col("n0") + 1 / F.col("n1")))
+    return g.select(score.alias("z"), (p1 - p0).alias("difference"), (p1 - p0 - z * spread).alias("low"), (p1 - p0 + z * spread).alias("high"))
 
 
 def welch(rows: DataFrame, arm: str, value: str) -> DataFrame:
@@ -32,6 +41,81 @@ def welch(rows: DataFrame, arm: str, value: str) -> DataFrame:
     return g.select(((F.col("m1") - F.col("m0")) / F.sqrt(s0 + s1)).alias("t"), ((s0 + s1) ** 2 / (s0**2 / (F.col("n0") - 1) + s1**2 / (F.col("n1") - 1))).alias("df"))
 
 
+def guardrails(rows: DataFrame, variant: str, failed: str, latency: str, limits: dict[str, float]) -> DataFrame:
+    """(variant, n, error_rate, p95, breached): share of failures and 95th percentile of a latency for each variant, against limits (error_rate, p95)."""
+    g = rows.groupBy(variant).agg(F.count("*").alias("n"), F.avg(F.col(failed).cast("double")).alias("error_rate"), F.percentile(latency, F.lit(0.95)).alias("p95"))
+    return g.withColumn("breached", (F.col("error_rate") > limits["error_rate"]) | (F.col("p95") > limits["p95"]))
+
+
+def stability_index(rows: DataFrame, period: str, value: str, bins: int = 10, least: float = 1e-4) -> DataFrame:
+    """(psi) of a value in period 1 against period 0: bins of equal width between the extremes of both; shares below least count as least."""
+    ends = rows.agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    at = F.least(F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)).cast("int")
+    binned = rows.crossJoin(F.broadcast(ends)).select(F.col(period).alias("period"), F.when(F.col("high") > F.col("low"), at).otherwise(0).alias("bin"))
+    counts = binned.groupBy("bin").agg(F.count(F.when(F.col("period") == 0, 1)).alias("a"), F.count(F.when(F.col("period") == 1, 1)).alias("b"))
+    totals = counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    share = lambda n, t: F.greatest(F.col(n) / F.col(t), F.lit(least))
+    terms = counts.crossJoin(F.broadcast(totals)).select(((share("b", "tb") - share("a", "ta")) * F.log(share("b", "tb") / share("a", "ta"))).alias("x"))
+    return terms.agg(F.sum("x").alias("psi"))
+
+
+#: Long and short window of a burn-rate alert in hours, and the rate at which it fires.
+BURN_ALERTS = ((1, 1 / 12, 14.4), (6, 0.5, 6.0), (72, 6, 3.0))
+
+
+def burn_alerts(log: DataFrame, ts: str, failed: str, now: Column, budget: float = 0.005) -> DataFrame:
+    """(window_hours, long_burn, short_burn, fires): errors over the error budget in a long and a short window before now; an alert needs both."""
+    age = (F.unix_micros(now) - F.unix_micros(ts)) / 3600e6
+    inside = lambda hours: (age >= 0) & (age < hours)
+    burn = lambda hours: F.coalesce(F.avg(F.when(inside(hours), F.col(failed).cast("double"))) / budget, F.lit(0.0))
+    g = log.agg(*[burn(h).alias(f"{kind}{i}") for i, (long, short, _) in enumerate(BURN_ALERTS) for kind, h in (("long", long), ("short", short))])
+    rows = F.array(*[F.struct(F.lit(float(long)).alias("window_hours"), F.col(f"long{i}").alias("long_burn"), F.col(f"short{i}").alias("short_burn"), ((F.col(f"long{i}") >= rate) & (F.col(f"short{i}") >= rate)).alias("fires")) for i, (long, _, rate) in enumerate(BURN_ALERTS)])
+    return g.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
+    """(bin, n, mean_score, rate) of (score from 0 to 1, label 0 or 1)."""
+    at = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
+    return scored.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg(F.col("label").cast("double")).alias("rate"))
+
+
+def area_under_curve(scored: DataFrame) -> DataFrame:
+    """(auc) of (score, label): the chance that a 1 scores above a 0, ties by half. One row for each distinct score is ranked, not each row."""
+    g = scored.groupBy("score").agg(F.count(F.when(F.col("label") == 1, 1)).alias("ones"), F.count(F.when(F.col("label") == 0, 1)).alias("zeros"))
+    below = F.coalesce(F.sum("zeros").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    g = g.select("ones", "zeros", below.alias("below"))
+    return g.agg((F.sum(F.col("ones") * (F.col("below") + F.col("zeros") / 2)) / (F.sum("ones") * F.sum("zeros"))).alias("auc"))
+
+
+def chi2_tail(x: float, df: int) -> float:
+    """Chance of a chi-square value of x or more, by the series or the continued fraction of the incomplete gamma function."""
+    a, x = df / 2, x / 2
+    if x <= 0:
+        return 1.0
+    scale = math.exp(-x + a * math.log(x) - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while abs(term) > abs(total) * 1e-15:
+            n += 1
+            term *= x / n
+            total += term
+        return 1 - total * scale
+    tiny = 1e-300
+    b = x + 1 - a
+    c, d = 1 / tiny, 1 / b
+    h = d
+    for i in range(1, 1000):
+        an = -i * (i - a)
+        b += 2
+        d = 1 / (an * d + b or tiny)
+        c = b + an / c or tiny
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return h * scale
+
+
 def p_value(z: float) -> float:
     """Two-sided, normal."""
     return math.erfc(abs(z) / math.sqrt(2))

@@ -59,20 +59,6 @@ def a14_accounting(spark, sf_dir):
     return events.accounting(batch, events.insert_ignore(stored, batch, "event_id", ["copy"]))
 
 
-@query("x1_ingest", fx.with_("batch", then="").rstrip() + f""", {BAD}
-SELECT coalesce(event_id, sha256(request_id || ':' || "index")) AS event_id, event_type, item_id, request_id FROM batch WHERE request_id IN (SELECT request_id FROM bad WHERE first_bad IS NULL) AND event_type IN ('impression', 'click', 'conversion')""")
-def x1_ingest(spark, sf_dir):
-    """Batches inside the window, hashed, with ids, first of each id."""
-    rows = events.prepare(fx.event_batch(spark, sf_dir), KEY, KEY_VERSION, fx.now())
-    rows = rows.filter(F.col("event_type").isin(*events.EVENT_TYPES))
-    return events.insert_ignore(rows.limit(0), rows, "event_id", ["index"]).select("event_id", "event_type", "item_id", "request_id")
-
-
-@query("f13_user_hashes")
-def f13_user_hashes(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", hashing.hmac_sha256(KEY, F.col("user_id").cast("string")).alias("user_id_hash"))
-
-
 BUCKET = """list_reduce(list_prepend(0::HUGEINT, list_transform(range(8), lambda i: CAST(CAST('0x' || substr(sha256('test:' || salt || ':' || user_id), CAST(i * 8 + 1 AS INTEGER), 8) AS BIGINT) AS HUGEINT))), lambda a, x: (a * 4294967296 + x) % 10000)"""
 ASSIGNED = f"""allocation(experiment, salt, status, variant, pct, n) AS (VALUES ('ranker', 'salt-a', 'running', 'control', 50, 1), ('ranker', 'salt-a', 'running', 'blend', 30, 2), ('ranker', 'salt-a', 'running', 'mmr', 20, 3),
   ('layout', 'salt-b', 'paused', 'off', 50, 1), ('layout', 'salt-b', 'paused', 'on', 50, 2), ('gap', 'salt-c', 'running', 'a', 40, 1), ('gap', 'salt-c', 'running', 'b', 20, 2), ('old', 'salt-d', 'stopped', 'x', 100, 1)),
@@ -108,44 +94,6 @@ def w6_cumulative_allocation(spark, sf_dir):
     return rows.select("experiment", "b.variant", "b.lo", "b.hi")
 
 
-@query("s15_invalid_experiments", "SELECT 'gap' AS name, 'allocation does not sum to 100' AS reason")
-def s15_invalid_experiments(spark, sf_dir):
-    return experiments.invalid_experiments(fx.experiments(spark))
-
-
-def _requests(spark, sf_dir):
-    """events as a request log."""
-    rows = table(spark, sf_dir, "events")
-    return rows.select(F.col("event_id").alias("seq"), F.concat(F.lit("u"), "user_id").alias("bucket_id"), F.concat(F.lit("ip"), (F.col("user_id") % 20).cast("string")).alias("ip"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("now"), F.lit(1.0).alias("cost"), "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
-
-
-@query("st1_token_bucket")
-def st1_token_bucket(spark, sf_dir):
-    return state.token_bucket(_requests(spark, sf_dir), capacity=3.0, rate=1 / 86_400)
-
-
-@query("st2_token_bucket_memory")
-def st2_token_bucket_memory(spark, sf_dir):
-    """The in-memory variant: limits split over two instances, a denial spends the time."""
-    return state.token_bucket(_requests(spark, sf_dir), capacity=1.5, rate=0.5 / 86_400, deny_spends_time=True)
-
-
-@query("st3_two_tiers")
-def st3_two_tiers(spark, sf_dir):
-    return state.two_tiers(_requests(spark, sf_dir).withColumn("user", F.col("bucket_id")).drop("bucket_id"), "ip", "user", capacity=5.0, rate=1 / 43_200)
-
-
-@query("st4_circuit_breaker")
-def st4_circuit_breaker(spark, sf_dir):
-    calls = _requests(spark, sf_dir).select(F.col("ip").alias("name"), "seq", "now", (F.col("event_type") == "error").alias("failed"))
-    return state.circuit_breaker(calls, threshold=2, backoff_s=3600.0, most_s=14_400.0)
-
-
-@query("st5_cache_replay")
-def st5_cache_replay(spark, sf_dir):
-    return state.cache_replay(_requests(spark, sf_dir).withColumn("key", F.col("bucket_id")), ttl_s=7200.0)
-
-
 @query("st7_late_policy", fx.with_("batch", then=f"SELECT CASE WHEN {IN_WINDOW} THEN 'kept' WHEN event_ts > TIMESTAMP '{fx.NOW}' THEN 'future' ELSE 'late' END AS outcome, count(*) AS n FROM batch GROUP BY 1"))
 def st7_late_policy(spark, sf_dir):
     outcome = F.when(events.in_window(F.col("event_ts"), fx.now()), "kept").when(F.col("event_ts") > fx.now(), "future").otherwise("late")
@@ -166,52 +114,8 @@ def st_sessions(spark, sf_dir):
     return rows.withColumns({c: F.unix_micros(c) for c in ("start", "end")})
 
 
-@query("a16_latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n FROM events GROUP BY 1")
-def a16_latency_percentiles(spark, sf_dir):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(p.alias("p"), F.count("*").alias("n"))
-    return rows.select("event_type", *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(("p50", "p95", "p99"))], "n")
-
-
-BOUNDS = (1, 5, 10, 25, 50, 100, 250)
 
 
-@query("a20_histogram", f"SELECT event_type, CAST(le AS DOUBLE) AS le, count(*) FILTER (value <= le) AS n FROM events, (SELECT unnest({list(BOUNDS)}) AS le) GROUP BY ALL")
-def a20_histogram(spark, sf_dir):
-    """Cumulative buckets; one conditional count for each bound, no expansion of rows."""
-    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(*[F.count(F.when(F.col("value") <= b, 1)).alias(str(b)) for b in BOUNDS])
-    return rows.unpivot("event_type", [str(b) for b in BOUNDS], "le", "n").withColumn("le", F.col("le").cast("double"))
-
-
-@query("a19_counters", "SELECT event_type, user_id % 3 AS shard, count(*) AS n FROM events GROUP BY ALL")
-def a19_counters(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 3).alias("shard")).agg(F.count("*").alias("n"))
-
-
-@query("a18_readiness", "SELECT CASE WHEN bool_or(n = 0) THEN 'not_ready' WHEN bool_or(n < 100) THEN 'degraded' ELSE 'ready' END AS status FROM (SELECT count(*) AS n FROM embeddings UNION ALL SELECT count(*) FROM region)")
-def a18_readiness(spark, sf_dir):
-    counts = None
-    for name in ("embeddings", "region"):
-        one = table(spark, sf_dir, name).agg(F.count("*").alias("n"))
-        counts = one if counts is None else counts.unionByName(one)
-    return counts.agg(F.when(F.bool_or(F.col("n") == 0), "not_ready").when(F.bool_or(F.col("n") < 100), "degraded").otherwise("ready").alias("status"))
-
-
-PATHS = ["/v1/recommend", "/v1/similar/i_1", "/v1/events", "/healthz", "/other", "/v1/recommend/x"]
-
-
-@query("p14_path_class", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'recommend' WHEN 1 THEN 'similar' WHEN 2 THEN 'events' WHEN 5 THEN 'recommend' END AS class FROM events")
-def p14_path_class(spark, sf_dir):
-    path = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("event_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", text.path_class(path).alias("class"))
-
-
-@query("p15_client_ip", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '10.0.0.' || event_id % 256 WHEN event_id % 3 = 1 THEN '1.2.3.4' ELSE 'unknown' END AS ip FROM events")
-def p15_client_ip(spark, sf_dir):
-    last = F.concat(F.lit("10.0.0."), (F.col("event_id") % 256).cast("string"))
-    header = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("junk, "), last, F.lit(", 9.9.9.9"))).otherwise("not an address")
-    peer = F.when(F.col("event_id") % 3 == 2, "-").otherwise("1.2.3.4")
-    return table(spark, sf_dir, "events").select("event_id", text.client_ip(header, peer, 2).alias("ip"))
 
 
 @query("f19_age_days", f"SELECT event_id, round(greatest(0, (epoch_us(TIMESTAMP '{fx.NOW}') - epoch_us(ts)) / 86400e6), 6) AS age FROM events")
@@ -221,35 +125,9 @@ def f19_age_days(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(age_days(fx.now(), F.col("ts").cast("timestamp")), 6).alias("age"))
 
 
-@query("f29_bucket_limits", "SELECT n AS limit_per_minute, greatest(1, n / 60.0 * 10)::DOUBLE AS capacity, round(n / 60.0, 6)::DOUBLE AS rate FROM (SELECT unnest([1, 6, 60, 600]) AS n)")
-def f29_bucket_limits(spark, sf_dir):
-    rows = spark.createDataFrame([(1,), (6,), (60,), (600,)], "n int")
-    return rows.select(F.col("n").alias("limit_per_minute"), F.greatest(F.lit(1.0), F.col("n") / 60 * 10).alias("capacity"), F.round(F.col("n") / 60, 6).alias("rate"))
-
-
-@query("f24_version_pair", "SELECT * FROM (VALUES ('0.8.1', 0, 8), ('1.12-rc', 1, 12), ('x', 0, 0)) t(version, major, minor)")
-def f24_version_pair(spark, sf_dir):
-    rows = spark.createDataFrame([("0.8.1",), ("1.12-rc",), ("x",)], "version string")
-    return rows.select("version", text.version_pair(F.col("version")).alias("v")).select("version", "v.major", "v.minor")
-
-
 # Extensions: specified for the engine but beyond its core.
 
 
-@query("ext_srm", f"WITH {ASSIGNED} SELECT experiment, round(sum((n - e) * (n - e) / e), 6) AS chi2, count(*) - 1 AS df FROM (SELECT experiment, variant, count(*) AS n FROM assigned WHERE experiment = 'ranker' GROUP BY ALL) JOIN (SELECT experiment, variant, pct / 100.0 * (SELECT count(*) FROM person) AS e FROM allocation) USING (experiment, variant) GROUP BY 1")
-def ext_srm(spark, sf_dir):
-    """Sample-ratio mismatch of the running experiment."""
-    counts = _assigned(spark, sf_dir).filter("experiment = 'ranker'").groupBy("experiment", "variant").agg(F.count("*").alias("n"))
-    shares = fx.experiments(spark).select(F.col("name").alias("experiment"), F.explode("allocation").alias("a")).select("experiment", "a.variant", "a.pct")
-    return statistics.sample_ratio(counts, shares).select("experiment", F.round("chi2", 6).alias("chi2"), "df")
-
-
-@query("ext_two_proportions", "WITH g AS (SELECT user_id % 2 AS arm, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS hits FROM events GROUP BY 1) SELECT round((b.hits / b.n - a.hits / a.n) / sqrt((a.hits + b.hits) / (a.n + b.n) * (1 - (a.hits + b.hits) / (a.n + b.n)) * (1 / a.n + 1 / b.n)), 6) AS z FROM g a, g b WHERE a.arm = 0 AND b.arm = 1")
-def ext_two_proportions(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 2).alias("arm"), (F.col("event_type") == "purchase").alias("hit"))
-    return statistics.two_proportions(rows, "arm", "hit").select(F.round("z", 6).alias("z"))
-
-
 @query("ext_welch", "WITH g AS (SELECT user_id % 2 AS arm, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1) SELECT round((b.m - a.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, round(pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 3) AS df FROM g a, g b WHERE a.arm = 0 AND b.arm = 1")
 def ext_welch(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 2).alias("arm"), "value")
@@ -262,13 +140,6 @@ def ext_event_popularity(spark, sf_dir):
     return rows.groupBy("item_id").agg(F.count("*").cast("double").alias("popularity"))
 
 
-@query("ext_slo_burn", "SELECT time_bucket(INTERVAL '1 day', ts) AS day, round(count(*) FILTER (event_type = 'error') / count(*) / 0.005, 6) AS burn FROM events GROUP BY 1")
-def ext_slo_burn(spark, sf_dir):
-    """Daily burn rate of a 99.5 % availability budget."""
-    rows = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"))
-    return rows.agg(F.round(F.count(F.when(F.col("event_type") == "error", 1)) / F.count("*") / 0.005, 6).alias("burn"))
-
-
 @query("ext_retention", f"SELECT count(*) AS kept FROM events WHERE ts >= TIMESTAMP '{fx.NOW}' - INTERVAL 14 DAY")
 def ext_retention(spark, sf_dir):
     """Events of the last fourteen days; the filter reaches the scan."""

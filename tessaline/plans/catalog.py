@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessaline.functions import hashing, text
+from tessaline.functions import text, vectors
 from tessaline.operators import lifecycle
 from tessaline.plans import fixtures as fx
 from tessaline.plans.registry import query
@@ -29,28 +29,11 @@ def _plan(spark, sf_dir):
     return lifecycle.change_plan(_hashed(fx.catalog(spark, sf_dir)), _hashed(fx.previous_catalog(spark, sf_dir)))
 
 
-@query("f2_f3_item_text", fx.with_("catalog", then=f"SELECT item_id, {fx.item_text_sql()} AS item_text FROM catalog"))
-def f3_item_text(spark, sf_dir):
-    """Collapsed, joined and cut item texts, without the Unicode normalisation that SQL lacks."""
-    return fx.catalog(spark, sf_dir).select("item_id", text.item_text(F.col("title"), F.col("description"), normalise=False).alias("item_text"))
-
-
-@query("f1_f5_content_hash")
-def f5_content_hash(spark, sf_dir):
-    """Content hashes of the fully normalised texts."""
-    return fx.catalog(spark, sf_dir).select("item_id", text.content_hash(F.col("title"), F.col("description")).alias("content_hash"))
-
-
 @query("f4_f5_plain_content_hash", fx.with_("catalog", then=f"SELECT item_id, {HASH} AS content_hash FROM catalog"))
 def f4_plain_hash(spark, sf_dir):
     return _hashed(fx.catalog(spark, sf_dir))
 
 
-@query("f30_query_text", fx.with_("catalog", then="SELECT item_id, trim(title) || ' | ' || trim(description) AS query_text FROM catalog"))
-def f30_query_text(spark, sf_dir):
-    return fx.catalog(spark, sf_dir).select("item_id", text.query_text(F.col("title"), F.col("description")).alias("query_text"))
-
-
 @query("a13_catalog_snapshot", _planned("SELECT 'sha256:' || substr(sha256(string_agg(item_id || ':' || content_hash, chr(10) ORDER BY item_id)), 1, 16) AS snapshot FROM new"))
 def a13_snapshot(spark, sf_dir):
     return lifecycle.snapshot_hash(_hashed(fx.catalog(spark, sf_dir)))
@@ -90,48 +73,138 @@ def d5_upsert(spark, sf_dir):
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
 
 
-REGISTRY = [("idx-1", "retired", 500, "2024-01-01", "2024-01-05"), ("idx-2", "active", 500, "2024-01-05", None), ("idx-3", "building", -1, None, None), ("idx-4", "retired", 7, "2023-12-01", "2024-01-01"), ("idx-5", "failed", 0, None, None)]
+SPOILT_RUN = f"""run AS (SELECT item_id, CASE WHEN doc_id % 35 = 3 THEN upper({HASH}) ELSE {HASH} END AS content_hash FROM (SELECT * FROM previous p JOIN (SELECT item_id AS i, doc_id FROM catalog) ON i = item_id) WHERE doc_id % 35 <> 1
+  UNION ALL SELECT p.item_id, {HASH} FROM previous p JOIN (SELECT item_id AS i, doc_id FROM catalog) ON i = p.item_id WHERE doc_id % 35 = 2)"""
+
+
+@query("j10_merge_errors", _planned("SELECT 1").removesuffix("SELECT 1").rstrip() + f""",
+{SPOILT_RUN},
+have AS (SELECT item_id, count(*) AS n, min(content_hash) AS h FROM run GROUP BY 1),
+kept AS (SELECT plan.item_id, n, h, new.content_hash FROM plan JOIN new USING (item_id) LEFT JOIN have USING (item_id) WHERE change = 'unchanged')
+SELECT item_id, CASE WHEN n IS NULL THEN 'absent from the previous run' WHEN n > 1 THEN 'repeated in the previous run' ELSE 'another hash in the previous run' END AS reason FROM kept WHERE n IS NULL OR n > 1 OR h <> content_hash
+UNION ALL SELECT item_id, 'repeated' FROM kept WHERE n > 1""")
+def j10_merge_errors(spark, sf_dir):
+    """A previous run that lost, repeated and altered rows: what stops the merge of unchanged items."""
+    ids = fx.catalog(spark, sf_dir).select("item_id", "doc_id")
+    run = _hashed(fx.previous_catalog(spark, sf_dir)).join(ids, "item_id")
+    n = F.col("doc_id") % 35
+    rows = run.filter(n != 1).withColumn("content_hash", F.when(n == 3, F.upper("content_hash")).otherwise(F.col("content_hash"))).unionByName(run.filter(n == 2))
+    rows = rows.select("item_id", "content_hash", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    return lifecycle.merge_errors(_plan(spark, sf_dir), rows, _hashed(fx.catalog(spark, sf_dir)), 2)
+
+
+NO_OP = "SELECT kind, count(*) FILTER (change IN ('new', 'changed')) AS to_encode, count(*) FILTER (change = 'unchanged') AS unchanged, count(*) FILTER (change = 'deleted') AS deleted, kind = 'same' AS no_changes FROM (SELECT 'same' AS kind, 'unchanged' AS change FROM new UNION ALL SELECT 'deletion', CASE WHEN item_id LIKE '%7' THEN 'deleted' ELSE 'unchanged' END FROM new UNION ALL SELECT 'edited', change FROM plan) GROUP BY 1"
+
+
+@query("d2_no_changes", _planned(NO_OP))
+def d2_no_changes(spark, sf_dir):
+    """The same catalog again, one that only lost items, and an edited one."""
+    new, old = _hashed(fx.catalog(spark, sf_dir)), _hashed(fx.previous_catalog(spark, sf_dir))
+    less = new.filter(~F.col("item_id").endswith("7"))
+    out = None
+    for kind, now, before in (("same", new, new), ("deletion", less, new), ("edited", new, old)):
+        snapshot = lifecycle.snapshot_hash(before).first().snapshot
+        one = lifecycle.no_changes(lifecycle.change_plan(now, before), snapshot, lifecycle.snapshot_hash(now)).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Indexes by label; the registered rows of one are wrong, and the label tells the rest.
+REGISTRY = f"""registry AS (SELECT 'idx-' || label AS index_version, CASE label WHEN 0 THEN 'active' WHEN 1 THEN 'building' WHEN 2 THEN 'building' WHEN 9 THEN 'failed' ELSE 'retired' END AS status, count(*) + CASE WHEN label = 2 THEN 1 ELSE 0 END AS row_count, count(*) AS stored,
+  CASE WHEN label <> 1 THEN TIMESTAMP '2024-01-01' + to_days(CAST(label AS INTEGER)) END AS activated_at, CASE WHEN label BETWEEN 3 AND 7 THEN TIMESTAMP '2024-01-10' + to_days(CAST(label * 3 % 7 AS INTEGER)) END AS retired_at FROM embeddings GROUP BY label)"""
+TARGETS = ["idx-0", "idx-1", "idx-2", "idx-4", "idx-9", "idx-x"]
+OUTCOMES = f"""asked AS (SELECT unnest({TARGETS}) AS target), outcome AS (SELECT target, CASE WHEN status IS NULL THEN 'not_found' WHEN status = 'active' THEN 'already_active' WHEN status NOT IN ('building', 'retired') THEN 'status' WHEN row_count <> stored THEN 'row_count' ELSE 'promoted' END AS outcome FROM asked LEFT JOIN registry ON index_version = target)"""
 
 
 def _registry(spark, sf_dir):
-    """Index 3 registers as many rows as the run has."""
-    rows = spark.createDataFrame(REGISTRY, "index_version string, status string, row_count int, activated string, retired string")
-    n = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
-    rows = rows.crossJoin(F.broadcast(n))
-    return rows.select("index_version", "status", F.when(F.col("row_count") < 0, F.col("n")).otherwise(F.col("row_count")).alias("row_count"), F.col("activated").cast("timestamp").alias("activated_at"), F.col("retired").cast("timestamp").alias("retired_at"))
+    label, day = F.col("label"), lambda text, n: F.timestamp_seconds(F.unix_timestamp(F.lit(text).cast("timestamp")) + n * 86400)
+    rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    status = F.when(label == 0, "active").when(label.isin(1, 2), "building").when(label == 9, "failed").otherwise("retired")
+    return rows.select(F.concat(F.lit("idx-"), label.cast("string")).alias("index_version"), status.alias("status"), (F.col("n") + (label == 2).cast("long")).alias("row_count"), F.when(label != 1, day("2024-01-01", label)).alias("activated_at"), F.when(label.between(3, 7), day("2024-01-10", label * 3 % 7)).alias("retired_at"))
 
 
 def _stored(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").groupBy(F.lit("idx-3").alias("index_version")).agg(F.count("*").alias("stored"))
+    return table(spark, sf_dir, "embeddings").groupBy(F.concat(F.lit("idx-"), F.col("label").cast("string")).alias("index_version")).agg(F.count("*").alias("stored"))
+
 
+def _plain(rows):
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("activated_at", "retired_at")})
 
-@query("d9_promote", "SELECT * FROM (VALUES ('idx-1', 'retired'), ('idx-2', 'retired'), ('idx-3', 'active'), ('idx-4', 'retired'), ('idx-5', 'failed')) t(index_version, status)")
+
+@query("d9_promotions", f"WITH {REGISTRY}, {OUTCOMES} SELECT target AS index_version, outcome FROM outcome")
+def d9_promotions(spark, sf_dir):
+    """What comes of promoting each of several indexes."""
+    out = None
+    for target in TARGETS:
+        one = lifecycle.promotion(_registry(spark, sf_dir), target, _stored(spark, sf_dir))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("d9_promote", f"""WITH {REGISTRY}, {OUTCOMES} SELECT target, index_version, CASE WHEN outcome = 'promoted' AND index_version = target THEN 'active' WHEN outcome = 'promoted' AND status = 'active' THEN 'retired' ELSE status END AS status, row_count,
+  CASE WHEN outcome = 'promoted' AND index_version = target THEN TIMESTAMP '{fx.NOW}' ELSE activated_at END AS activated_at, CASE WHEN outcome = 'promoted' AND index_version = target THEN NULL WHEN outcome = 'promoted' AND status = 'active' THEN TIMESTAMP '{fx.NOW}' ELSE retired_at END AS retired_at FROM registry, outcome""")
 def d9_promote(spark, sf_dir):
-    return lifecycle.promote(_registry(spark, sf_dir), "idx-3", _stored(spark, sf_dir), fx.now()).select("index_version", "status")
+    """The registry after each of them."""
+    out = None
+    for target in TARGETS:
+        one = lifecycle.promote(_registry(spark, sf_dir), target, _stored(spark, sf_dir), fx.now()).withColumn("target", F.lit(target))
+        out = one if out is None else out.unionByName(one)
+    return _plain(out)
 
 
-@query("d10_t10_rollback_target", "SELECT 'idx-1' AS index_version")
+@query("d10_t10_rollback", f"""WITH {REGISTRY}, target AS (SELECT index_version AS t FROM registry WHERE status = 'retired' ORDER BY retired_at DESC NULLS LAST, index_version LIMIT 1)
+SELECT index_version, CASE WHEN index_version = t THEN 'active' WHEN status = 'active' THEN 'retired' ELSE status END AS status, row_count, CASE WHEN index_version = t THEN TIMESTAMP '{fx.NOW}' ELSE activated_at END AS activated_at, CASE WHEN index_version = t THEN NULL WHEN status = 'active' THEN TIMESTAMP '{fx.NOW}' ELSE retired_at END AS retired_at FROM registry, target""")
 def d10_rollback(spark, sf_dir):
-    return lifecycle.latest_retired(_registry(spark, sf_dir))
+    return _plain(lifecycle.rollback(_registry(spark, sf_dir), _stored(spark, sf_dir), fx.now()))
+
 
+@query("d8_register_build", f"WITH {REGISTRY} SELECT index_version, status, row_count FROM registry WHERE index_version <> 'idx-1' UNION ALL VALUES ('idx-1', 'building', 77), ('idx-new', 'building', 5)")
+def d8_register_build(spark, sf_dir):
+    """A new build, and one again that a crash had left."""
+    rows = lifecycle.register_build(_registry(spark, sf_dir), "idx-1", {}, 77)
+    return lifecycle.register_build(rows, "idx-new", {"activated_at": None}, 5).select("index_version", "status", "row_count")
 
-@query("a9_rows_by_version", "SELECT 'idx-3' AS index_version, count(*) AS stored FROM embeddings")
+
+@query("a9_rows_by_version", "SELECT 'idx-' || label AS index_version, count(*) AS stored FROM embeddings GROUP BY label")
 def a9_rows(spark, sf_dir):
     return _stored(spark, sf_dir)
 
 
+@query("s5_s7_run_scan", fx.with_("item", then="SELECT item_id, round(list_sum(list_transform(vector, lambda x: x * x)), 4) AS squared, brand, language FROM item"))
+def s7_run_scan(spark, sf_dir):
+    """A run's columns beside the items' metadata, where there are any."""
+    items = fx.items(spark, sf_dir)
+    run = items.select("item_id", F.col("vector").alias("embedding"), F.md5("item_id").alias("content_hash"))
+    rows = files.previous_vectors(run, 64).join(items.select("item_id", "brand", "language"), "item_id", "left")
+    return rows.select("item_id", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("squared"), "brand", "language")
+
+
+GOLDEN_ROWS = """own AS (SELECT query_id, CAST(substr(query_id, 2) AS INTEGER) % 6 AS n, list(item_id ORDER BY item_id) FILTER (role = 'seed') AS s, list(item_id ORDER BY item_id) FILTER (role = 'relevant') AS r FROM golden GROUP BY 1),
+spoilt AS (SELECT CASE WHEN n = 5 THEN 'same' ELSE query_id END AS query_id, CASE n WHEN 1 THEN [] WHEN 2 THEN list_append(s, s[1]) WHEN 4 THEN list_append(s, 'zz') ELSE s END AS s, CASE WHEN n = 3 THEN list_append(r, s[1]) ELSE r END AS r FROM own UNION ALL SELECT 'same', ['i_0001'], ['i_0002'])"""
+
+
+@query("s3_j12_golden_errors", fx.with_("item", "golden", then="").rstrip() + f""", {GOLDEN_ROWS}
+SELECT query_id, CASE WHEN len(s) < 1 THEN 'no seeds' WHEN len(list_distinct(s)) < len(s) OR len(list_distinct(r)) < len(r) THEN 'repeated item' ELSE 'seed is relevant' END AS error FROM spoilt WHERE len(s) < 1 OR len(list_distinct(s)) < len(s) OR len(list_distinct(r)) < len(r) OR list_has_any(s, r)
+UNION ALL SELECT query_id, 'repeated query_id' FROM spoilt GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT DISTINCT query_id, 'unknown item' FROM (SELECT query_id, unnest(list_concat(s, r)) AS i FROM spoilt) WHERE i NOT IN (SELECT item_id FROM item)""")
+def s3_golden_errors(spark, sf_dir):
+    """Golden queries with one fault each, by label."""
+    g = fx.golden(spark, sf_dir)
+    pick = lambda role: F.sort_array(F.collect_list(F.when(F.col("role") == role, F.col("item_id"))))
+    rows = g.groupBy("query_id").agg(pick("seed").alias("s"), pick("relevant").alias("r")).withColumn("n", F.substring("query_id", 2, 9).cast("int") % 6)
+    n, s, r = F.col("n"), F.col("s"), F.col("r")
+    seeds = F.when(n == 1, F.array().cast("array<string>")).when(n == 2, F.array_append(s, s[0])).when(n == 4, F.array_append(s, F.lit("zz"))).otherwise(s)
+    spoilt = rows.select(F.when(n == 5, "same").otherwise(F.col("query_id")).alias("query_id"), seeds.alias("seed_item_ids"), F.when(n == 3, F.array_append(r, s[0])).otherwise(r).alias("relevant_item_ids"))
+    same = spark.createDataFrame([("same", ["i_0001"], ["i_0002"])], "query_id string, seed_item_ids array<string>, relevant_item_ids array<string>")
+    return files.golden_errors(spoilt.unionByName(same), fx.items(spark, sf_dir))
+
+
 @query("d13_cascade_delete", fx.with_("item", then="SELECT item_id FROM item WHERE vec_id % 3 <> 0"))
 def d13_cascade(spark, sf_dir):
     items = fx.items(spark, sf_dir)
     return lifecycle.cascade_delete(items.select("item_id"), items.filter("vec_id % 3 <> 0"))
 
 
-@query("f8_index_version", f"SELECT 'idx-' || substr(sha256('{hashing.canonical_json({'metric': 'cosine', 'model': 'm', 'snapshot': 's'})}'), 1, 8) AS index_version")
-def f8_index_version(spark, sf_dir):
-    fields = hashing.canonical_json({"snapshot": "s", "model": "m", "metric": "cosine"})
-    return spark.range(1).select(hashing.index_version(F.lit(fields)).alias("index_version"))
-
-
 def _lines(spark, sf_dir):
     """The catalog as JSON lines, some of them spoilt by doc_id."""
     rows = fx.catalog(spark, sf_dir)
@@ -161,16 +234,6 @@ def s12_snapshot_json(spark, sf_dir):
     return files.parse_snapshot(files.snapshot_json(refresh_snapshot(fx.items(spark, sf_dir), 100)))
 
 
-@query("s3_j12_golden_errors", "SELECT * FROM (VALUES ('q0', 'unknown item'), ('bad', 'seed is relevant'), ('bad', 'unknown item'), ('none', 'no seeds')) t(query_id, error)")
-def s3_golden_errors(spark, sf_dir):
-    g = fx.golden(spark, sf_dir)
-    pick = lambda role: F.sort_array(F.collect_list(F.when(F.col("role") == role, F.col("item_id"))))
-    rows = g.groupBy("query_id").agg(pick("seed").alias("seed_item_ids"), pick("relevant").alias("relevant_item_ids"))
-    extra = spark.createDataFrame([("bad", ["zz"], ["zz"]), ("none", [], [])], rows.select("query_id", "seed_item_ids", "relevant_item_ids").schema)
-    catalog = fx.items(spark, sf_dir).join(g.filter("query_id = 'q0' AND role = 'seed'").select("item_id"), "item_id", "left_anti")
-    return files.golden_errors(rows.unionByName(extra), catalog)
-
-
 @query("a21_duplicates", "SELECT text_hash, n FROM (SELECT md5(text) AS text_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1) WHERE n > 1")
 def a21_duplicates(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").groupBy(F.md5("text").alias("text_hash")).agg(F.count("*").alias("n"))

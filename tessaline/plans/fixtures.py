@@ -114,8 +114,11 @@ qvec AS (SELECT query_id, list_transform(m, lambda x: x / sqrt(list_inner_produc
 }
 
 
+PYTHON_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def collapsed(text: str) -> str:
-    return rf"trim(regexp_replace({text}, '[\s\x0B\x1C-\x1F\x85\x{{A0}}\x{{2028}}\x{{2029}}]+', ' ', 'g'))"
+    return rf"trim(regexp_replace({text}, '{PYTHON_SPACE}+', ' ', 'g'))"
 
 
 def item_text_sql(title: str = "title", description: str = "description") -> str:

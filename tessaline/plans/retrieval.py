@@ -62,13 +62,7 @@ def v18_run_cosine(spark, sf_dir):
     return a.join(b, "item_id").select(c.alias("c")).agg(F.count("*").alias("n"), F.round(F.min("c"), 6).alias("lowest"), F.round(F.avg("c"), 6).alias("mean"))
 
 
-@query("p8_embedding_validity", fx.with_("item", then="SELECT count(*) AS n, count(*) FILTER (len(vector) = 64) AS fitting, count(*) FILTER (abs(sqrt(list_inner_product(vector, vector)) - 1) <= 1e-4) AS unit FROM item"))
-def p8_embedding_validity(spark, sf_dir):
-    v = F.col("vector")
-    return fx.items(spark, sf_dir).agg(F.count("*").alias("n"), F.count(F.when(F.size(v) == 64, 1)).alias("fitting"), F.count(F.when(F.abs(vectors.norm(v) - 1) <= 1e-4, 1)).alias("unit"))
-
-
-def _candidates(spark, sf_dir, k=50):
+def _candidates(spark, sf_dir, k=fx.K * CONFIG.multiplier):
     items = fx.items(spark, sf_dir)
     found = search.search(_vectors(spark, sf_dir), items, k)
     ages = items.select("item_id", vectors.age_days(fx.now(), F.col("created_at")).alias("age_days"))
@@ -78,7 +72,7 @@ def _candidates(spark, sf_dir, k=50):
 CANDIDATES = f"""candidate AS (
   SELECT c.query_id, c.item_id, c.score, coalesce(popularity, 0) AS popularity,
          coalesce(greatest(0, (epoch_us(TIMESTAMP '{fx.NOW}') - epoch_us(created_at)) / 86400e6), 0) AS age_days
-  FROM ({CUT.format("scored", 50)}) c LEFT JOIN popularity USING (item_id) LEFT JOIN item USING (item_id)),
+  FROM ({CUT.format("scored", 40)}) c LEFT JOIN popularity USING (item_id) LEFT JOIN item USING (item_id)),
 normed AS (
   SELECT *, CASE WHEN max(score) OVER q = min(score) OVER q THEN 0.5 ELSE (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q + 1e-8) END AS sim,
          CASE WHEN count(*) OVER q = 1 THEN 0.5 ELSE 1 - ((rank() OVER (PARTITION BY query_id ORDER BY popularity DESC) - 1) + (count(*) OVER (PARTITION BY query_id, popularity) - 1) / 2) / (count(*) OVER q - 1) END AS pop,
@@ -121,20 +115,6 @@ def v14_rerank_response(spark, sf_dir):
     return search.drop_seeds(search.top_k(rows, fx.K + 3), fx.seeds(spark, sf_dir), fx.K)
 
 
-@query("v11_mmr_status", "WITH q AS (SELECT DISTINCT 'q' || label AS query_id, label FROM embeddings) SELECT query_id, CASE WHEN label % 3 = 0 THEN 'no_candidates' WHEN label % 3 = 1 THEN 'k_below_min' ELSE 'applied' END AS status FROM q")
-def v11_mmr_status(spark, sf_dir):
-    found = search.search(_vectors(spark, sf_dir), fx.items(spark, sf_dir), 20).join(fx.items(spark, sf_dir).select("item_id", "vector"), "item_id")
-    label = F.substring("query_id", 2, 9).cast("int")
-    asked = fx.seeds(spark, sf_dir).select("query_id").distinct().withColumn("k", F.when(label % 3 == 1, 2).otherwise(10))
-    return rerank.mmr_status(found.filter(label % 3 != 0), asked, CONFIG)
-
-
-@query("v12_mmr")
-def v12_mmr(spark, sf_dir):
-    rows = rerank.blend(_candidates(spark, sf_dir), CONFIG).join(fx.items(spark, sf_dir).select("item_id", "vector"), "item_id")
-    return rerank.mmr(rows, fx.K, CONFIG)
-
-
 QUERY_IDS = "q AS (SELECT DISTINCT 'q' || label AS query_id FROM embeddings)"
 RANDOM = f"""random AS (SELECT query_id, item_id, CAST(10 - (rank - 1) AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY sha256(query_id || chr(0) || item_id), item_id) AS rank FROM q, item) WHERE rank <= 10)"""
@@ -163,57 +143,6 @@ def t6_popularity_top_k(spark, sf_dir):
     return baselines.popularity_baseline(one, fx.items(spark, sf_dir), fx.K, fx.popularity(spark, sf_dir)).drop("query_id")
 
 
-RESULTS = f"""found AS (
-  SELECT 'exact_knn' AS system, query_id, item_id, rank FROM ({CUT.format(NO_SEEDS, fx.K)})
-  UNION ALL SELECT 'random_baseline', query_id, item_id, rank FROM random
-  UNION ALL SELECT 'popularity', query_id, item_id, rank FROM popular),
-relevant AS (SELECT query_id, item_id FROM golden WHERE role = 'relevant'),
-wanted AS (SELECT query_id, count(*) AS n FROM relevant GROUP BY 1),
-metric AS (
-  SELECT s.system, w.query_id, coalesce(hits, 0) / least(n, 10) AS recall,
-         coalesce(gain, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg, coalesce(1 / first, 0) AS mrr
-  FROM wanted w CROSS JOIN (SELECT DISTINCT system FROM found) s LEFT JOIN (
-    SELECT system, f.query_id, count(*) FILTER (rank <= 10) AS hits, sum(1 / log2(rank + 1)) FILTER (rank <= 10) AS gain, min(rank) AS first
-    FROM found f JOIN relevant r ON f.query_id = r.query_id AND f.item_id = r.item_id GROUP BY ALL) h ON h.system = s.system AND h.query_id = w.query_id)"""
-
-
-def _evaluated(then: str) -> str:
-    return fx.with_(*VECTOR, then="").rstrip() + f",\n{QUERY_IDS},\n{RANDOM},\n{POPULAR},\n{RESULTS}\n{then}"
-
-
-def _results(spark, sf_dir):
-    named = lambda df, name: df.select(F.lit(name).alias("system"), "query_id", "item_id", "rank")
-    return named(v6_exact_knn(spark, sf_dir), "exact_knn").unionByName(named(x11_random_baseline(spark, sf_dir), "random_baseline")).unionByName(named(x12_popularity_baseline(spark, sf_dir), "popularity"))
-
-
-@query("x13_x15_query_metrics", _evaluated("SELECT system, query_id, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg, round(mrr, 6) AS mrr FROM metric"))
-def x13_query_metrics(spark, sf_dir):
-    """Recall, NDCG and MRR of each system and golden query (A3 to A5)."""
-    rows = evaluation.query_metrics(_results(spark, sf_dir), fx.relevant(spark, sf_dir), fx.K)
-    return rows.select("system", "query_id", *[F.round(c, 6).alias(c) for c in ("recall", "ndcg", "mrr")])
-
-
-@query("x16_report", _evaluated("SELECT system, metric, round(value, 6) AS value FROM (UNPIVOT (SELECT system, avg(recall) AS recall, avg(ndcg) AS ndcg, avg(mrr) AS mrr FROM metric GROUP BY 1) ON recall, ndcg, mrr INTO NAME metric VALUE value)"))
-def x16_report(spark, sf_dir):
-    rows = evaluation.query_metrics(_results(spark, sf_dir), fx.relevant(spark, sf_dir), fx.K)
-    return evaluation.report(rows).withColumn("value", F.round("value", 6))
-
-
-LIMITS = [(None, "recall", "floor", 0.0), ("exact_knn", "mrr", "per_system", 2.0), ("random_baseline", "recall", "informational", 1.0), ("popularity", "ndcg", "informational", -1.0), (None, "ndcg", "floor", None), ("exact_knn", "absent", "floor", 1.0)]
-
-
-@query("x17_gate", _evaluated("""SELECT system, metric, kind, round(value, 6) AS value, threshold FROM (
-  SELECT r.system, r.metric, kind, value, threshold FROM (UNPIVOT (SELECT system, avg(recall) AS recall, avg(ndcg) AS ndcg, avg(mrr) AS mrr FROM metric GROUP BY 1) ON recall, ndcg, mrr INTO NAME metric VALUE value) r
-  JOIN (VALUES (NULL, 'recall', 'floor', 0.0::DOUBLE), ('exact_knn', 'mrr', 'per_system', 2.0), ('random_baseline', 'recall', 'informational', 1.0), ('popularity', 'ndcg', 'informational', -1.0), (NULL, 'ndcg', 'floor', NULL)) t(only_, metric, kind, threshold)
-    ON r.metric = t.metric AND (only_ IS NULL OR only_ = r.system)
-  WHERE threshold IS NOT NULL AND CASE WHEN kind = 'informational' THEN value > threshold ELSE value < threshold END)
-UNION ALL SELECT 'pgvector', NULL, 'missing', NULL, NULL"""))
-def x17_gate(spark, sf_dir):
-    limits = spark.createDataFrame(LIMITS, "system string, metric string, kind string, threshold double")
-    required = spark.createDataFrame([("exact_knn",), ("pgvector",)], "system string")
-    return evaluation.gate(x16_report(spark, sf_dir), limits, required)
-
-
 @query("a6_fidelity", fx.with_(*VECTOR, then=f"""
 SELECT q.query_id, coalesce(shared, 0) / 10 AS fidelity FROM (SELECT DISTINCT query_id FROM golden) q LEFT JOIN (
   SELECT query_id, count(*) AS shared FROM ({CUT.format("scored", 10)}) JOIN ({CUT.format("(SELECT s.* FROM scored s JOIN item USING (item_id) WHERE vec_id % 4 <> 0)", 10)}) b USING (query_id, item_id) GROUP BY 1) USING (query_id)"""))
@@ -253,9 +182,3 @@ def f10_synthetic_popularity(spark, sf_dir):
     return fx.items(spark, sf_dir).select("item_id", hashing.synthetic_popularity(F.col("item_id")).alias("popularity"))
 
 
-@query("f25_vector_literal", fx.with_("item", then="SELECT item_id, CAST(len(vector) AS INTEGER) AS n, CAST(vector[1] AS DOUBLE) AS first FROM item"))
-def f25_vector_literal(spark, sf_dir):
-    from tessaline.functions.text import parse_vector, vector_literal
-
-    back = parse_vector(vector_literal(F.col("vector")))
-    return fx.items(spark, sf_dir).select("item_id", F.size(back).alias("n"), back[0].cast("float").cast("double").alias("first"))

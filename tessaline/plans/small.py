@@ -14,31 +14,6 @@ from tessaline.session import table
 CUT, VECTOR = rt.CUT, rt.VECTOR
 
 
-@query("t12_v17_all_pairs_top_k", fx.with_("item", then=f"""SELECT query_id, item_id, greatest(0, least(1, score)) AS score, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (
-    SELECT q.item_id AS query_id, i.item_id, round(list_inner_product(i.vector, q.vector), 6) AS score FROM item i, item q WHERE i.label = 0 AND q.label = 1)) WHERE rank <= 10"""))
-def t12_all_pairs(spark, sf_dir):
-    """Ten nearest of one label's items for every item of another."""
-    items = fx.items(spark, sf_dir)
-    asked = items.filter("label = 1").select(F.col("item_id").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
-    return search.search(asked, items.filter("label = 0"), 10)
-
-
-@query("v8_ann_search")
-def v8_ann_search(spark, sf_dir):
-    items = fx.items(spark, sf_dir).select("item_id", "vector")
-    cells = ann.fit(items, fx.K)
-    return ann.search(rt._vectors(spark, sf_dir), ann.assign_cells(items, cells), cells, fx.K)
-
-
-@query("v8_ann_recall", "SELECT true AS enough")
-def v8_ann_recall(spark, sf_dir):
-    """Whether the mean recall of the approximate search over all golden queries is 0.9 or more."""
-    exact = search.search(rt._vectors(spark, sf_dir), fx.items(spark, sf_dir), fx.K)
-    shared = evaluation.fidelity(v8_ann_search(spark, sf_dir), exact, rt._asked(spark, sf_dir), fx.K)
-    return shared.agg((F.avg("fidelity") >= 0.9).alias("enough"))
-
-
 @query("v7_search_with_vectors", fx.with_(*VECTOR, then=f"SELECT query_id, item_id, round(list_sum(list_transform(vector, lambda x: x * x)), 4) AS squared FROM ({CUT.format('scored', 5)}) JOIN item USING (item_id)"))
 def v7_search_with_vectors(spark, sf_dir):
     items = fx.items(spark, sf_dir)
@@ -46,71 +21,6 @@ def v7_search_with_vectors(spark, sf_dir):
     return found.select("query_id", "item_id", F.round(vectors.dot(F.col("vector"), F.col("vector")), 4).alias("squared"))
 
 
-@query("v16_encode_catalog")
-def v16_encode(spark, sf_dir):
-    model = encoder.HashingEncoder(32)
-    return fx.catalog(spark, sf_dir).select("item_id", encoder.encode(text.item_text(F.col("title"), F.col("description")), model).alias("embedding"))
-
-
-@query("f20_f21_clamped_distance", fx.with_(*VECTOR, then="SELECT query_id, item_id, round(greatest(0, least(1, 1 - (1 - score))), 6) AS similarity FROM scored"))
-def f20_clamped(spark, sf_dir):
-    rows = rt._vectors(spark, sf_dir).select("query_id", F.col("vector").alias("qv"))
-    score = F.round(vectors.dot(F.col("vector"), F.col("qv")), 6)
-    return fx.items(spark, sf_dir).crossJoin(F.broadcast(rows)).select("query_id", "item_id", F.round(vectors.clamp(1 - (1 - score)), 6).alias("similarity"))
-
-
-@query("p10_candidate_validity", rt._with_candidates("SELECT count(*) AS n, count(*) AS valid FROM candidate"))
-def p10_candidates(spark, sf_dir):
-    return rt._candidates(spark, sf_dir).agg(F.count("*").alias("n"), F.count(F.when(rerank.valid_candidate(), 1)).alias("valid"))
-
-
-@query("p11_request_bounds", "SELECT c_custkey % 120 AS k, c_custkey % 120 BETWEEN 1 AND 100 AND length(c_name) BETWEEN 1 AND 128 AS valid, count(*) AS n FROM customer GROUP BY ALL")
-def p11_request_bounds(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 120).alias("k"), F.col("c_name").alias("user"), F.lit(3).alias("seeds"))
-    return rows.groupBy("k", sets.valid_request(F.col("user"), F.col("seeds"), F.col("k")).alias("valid")).agg(F.count("*").alias("n"))
-
-
-@query("p13_row_checks", "SELECT true AS valid, count(*) AS n FROM events WHERE event_type = 'click' AND event_id % 7 > 0 UNION ALL SELECT false, count(*) FROM events WHERE NOT (event_type = 'click' AND event_id % 7 > 0)")
-def p13_row_checks(spark, sf_dir):
-    from tessaline.operators.events import valid_row
-
-    rows = fx.event_batch(spark, sf_dir).withColumn("user_id_hash", hashing.sha256(F.col("user_id"))).withColumn("experiment_name", F.when(F.col("event_type") == "click", "e")).withColumn("experiment_variant", F.lit("v"))
-    return rows.groupBy(valid_row().alias("valid")).agg(F.count("*").alias("n"))
-
-
-@query("p16_p17_errors", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'connection' WHEN 2 THEN 'auth' ELSE 'unknown' END AS kind, event_id % 4 < 2 AS counts FROM events")
-def p16_errors(spark, sf_dir):
-    message = F.element_at(F.array(F.lit("Statement TIMEOUT after 1 s"), F.lit("connection refused"), F.lit("password authentication failed"), F.lit("?")), (F.col("event_id") % 4 + 1).cast("int"))
-    kind = sets.error_kind(message)
-    return table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), sets.counts_as_failure(kind).alias("counts"))
-
-
-@query("u1_u2_u3_u7_sets", fx.with_("golden", then="""SELECT query_id, len(s) AS seeds, len(r) AS relevant, len(list_intersect(s, r)) AS shared, len(list_distinct(list_concat(s, r))) AS either, array_to_string(list_sort(list_distinct(list_concat(s, s))), ',') AS key
-FROM (SELECT query_id, list(item_id) FILTER (role = 'seed') AS s, list(item_id) FILTER (role = 'relevant') AS r FROM golden GROUP BY 1)"""))
-def u_sets(spark, sf_dir):
-    g = fx.golden(spark, sf_dir).groupBy("query_id").agg(F.collect_list(F.when(F.col("role") == "seed", F.col("item_id"))).alias("s"), F.collect_list(F.when(F.col("role") == "relevant", F.col("item_id"))).alias("r"))
-    n = lambda c: F.size(c).cast("long")
-    return g.select("query_id", n("s").alias("seeds"), n("r").alias("relevant"), n(F.array_intersect("s", "r")).alias("shared"), n(F.array_union("s", "r")).alias("either"), F.array_join(sets.seed_key(F.concat("s", "s")), ",").alias("key"))
-
-
-@query("a22_most_seeds", fx.with_("golden", then="SELECT max(n) AS most FROM (SELECT count(*) AS n FROM golden WHERE role = 'seed' GROUP BY query_id)"))
-def a22_most_seeds(spark, sf_dir):
-    return fx.seeds(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
-
-
-@query("a7_a8_provider_status", "SELECT label % 2 AS arm, round(avg(CASE WHEN label % 2 = 1 OR label % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS missing_rate, CASE WHEN bool_and(label % 2 = 1 OR label % 3 = 0) THEN 'degraded' ELSE 'ok' END AS status FROM (SELECT DISTINCT label FROM embeddings) GROUP BY 1")
-def a7_a8_status(spark, sf_dir):
-    label = F.substring("query_id", 2, 9).cast("int")
-    rows = rt._asked(spark, sf_dir).select((label % 2).alias("arm"), ((label % 2 == 1) | (label % 3 == 0)).alias("missing"))
-    return sets.arm_status(rows, "arm", "missing").withColumn("missing_rate", F.round("missing_rate", 6))
-
-
-@query("w4_w8_positions", fx.with_("item", then="").rstrip() + f", {rt.QUERY_IDS}, {rt.RANDOM} SELECT query_id, rank, 10 - CAST(score AS INTEGER) + 1 AS again FROM random")
-def w8_positions(spark, sf_dir):
-    rows = baselines.random_baseline(rt._asked(spark, sf_dir), fx.items(spark, sf_dir), fx.K)
-    return rows.select("query_id", "rank", (F.lit(10) - F.col("score").cast("int") + 1).alias("again"))
-
-
 @query("x8_cached_snapshot", fx.with_("item", then="").rstrip() + f", {rt.SNAPSHOT} SELECT item_id, rank, round(1 - rank / ((SELECT max(rank) FROM snapshot) + 1), 6) AS score FROM snapshot WHERE language = 'fr' ORDER BY rank LIMIT 5")
 def x8_cached_snapshot(spark, sf_dir):
     """The JSON twin of a snapshot, filtered and cut."""
@@ -120,47 +30,12 @@ def x8_cached_snapshot(spark, sf_dir):
     return baselines.read_snapshot(cached, 5, {"language": "fr"}).withColumn("score", F.round("score", 6))
 
 
-@query("x10_source_label", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'cache' WHEN event_id % 5 < 3 THEN 'ann' WHEN event_id % 7 = 0 THEN 'none' ELSE 'fallback_ann' END AS source FROM events")
-def x10_source_label(spark, sf_dir):
-    e = F.col("event_id")
-    hit, ann_ok, tier3 = e % 5 == 0, e % 5 < 3, e % 7 != 0
-    return table(spark, sf_dir, "events").select("event_id", sets.source_label(hit, ann_ok, tier3, F.lit(False)).alias("source"))
-
-
-@query("x14_rerank_arms", rt._with_candidates("""SELECT query_id, round(count(*) FILTER (item_id IN (SELECT item_id FROM golden g WHERE role = 'relevant' AND g.query_id = t.query_id)) / 7.0, 6) AS recall FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blend DESC, item_id) AS rank FROM blended b ANTI JOIN (SELECT query_id, item_id FROM golden WHERE role = 'seed') g ON b.query_id = g.query_id AND b.item_id = g.item_id) t WHERE rank <= 10 GROUP BY 1"""))
-def x14_rerank_arm(spark, sf_dir):
-    """Recall of the blended arm."""
-    rows = rt.v14_rerank_response(spark, sf_dir).withColumn("system", F.lit("blend"))
-    return evaluation.query_metrics(rows, fx.relevant(spark, sf_dir), fx.K).select("query_id", F.round("recall", 6).alias("recall"))
-
-
 @query("s19_sample_catalog", "SELECT printf('i_%04d', n) AS item_id, 'topic ' || ((n - 1) // 10) AS topic, 'brand ' || ((n - 1) % 10 % 5) AS brand, CASE WHEN (n - 1) % 10 < 3 THEN 'seed' ELSE 'relevant' END AS role FROM (SELECT unnest(range(1, 201)) AS n)")
 def s19_sample_catalog(spark, sf_dir):
     """20 topics of 10 items, five brands in turn; a topic's first three items are seeds."""
     return sets.sample_catalog(spark, topics=20, each=10, brands=5)
 
 
-@query("f26_cache_rows", fx.with_(*VECTOR, then=f"SELECT query_id, CAST(count(*) AS INTEGER) AS n, min_by(item_id, rank) AS first FROM ({CUT.format('scored', 10)}) GROUP BY 1"))
-def f26_cache_rows(spark, sf_dir):
-    """Candidate lists written as JSON and read back."""
-    found = search.search(rt._vectors(spark, sf_dir), fx.items(spark, sf_dir), 10)
-    kept = found.groupBy("query_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id", "score"))), lambda r: F.array(r["item_id"], r["score"].cast("string")))).alias("value"))
-    back = F.from_json("value", "array<array<string>>")
-    return kept.select("query_id", F.size(F.filter(back, lambda r: F.size(r).isin(2, 4))).alias("n"), back[0][0].alias("first"))
-
-
-@query("f22_iso_timestamps", "SELECT * FROM (VALUES ('2024-01-01T00:00:00Z', 1704067200), ('2024-01-01T02:00:00+02:00', 1704067200), ('2024-01-01T00:00:00', NULL), ('soon', NULL)) t(text, epoch)")
-def f22_iso(spark, sf_dir):
-    rows = spark.createDataFrame([("2024-01-01T00:00:00Z",), ("2024-01-01T02:00:00+02:00",), ("2024-01-01T00:00:00",), ("soon",)], "text string")
-    return rows.select("text", F.unix_timestamp(text.iso_timestamp(F.col("text"))).cast("int").alias("epoch"))
-
-
-@query("f32_request_ids", "SELECT event_id, substr(repeat(CAST(event_id AS VARCHAR), 40), 1, 64) AS request_id FROM events")
-def f32_request_ids(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.substring(F.repeat(F.col("event_id").cast("string"), 40), 1, 64).alias("request_id"))
-
-
 @query("ext_drift", fx.with_("item", then="SELECT round(list_inner_product(a.c, b.c) / sqrt(list_inner_product(a.c, a.c) * list_inner_product(b.c, b.c)), 6) AS cosine FROM (SELECT list(m ORDER BY p) AS c FROM (SELECT p, avg(x) AS m FROM (SELECT unnest(vector) AS x, generate_subscripts(vector, 1) AS p FROM item WHERE vec_id % 2 = 0) GROUP BY 1)) a, (SELECT list(m ORDER BY p) AS c FROM (SELECT p, avg(x) AS m FROM (SELECT unnest(vector) AS x, generate_subscripts(vector, 1) AS p FROM item WHERE vec_id % 2 = 1) GROUP BY 1)) b"))
 def ext_drift(spark, sf_dir):
     """Cosine of the centroids of two halves."""
