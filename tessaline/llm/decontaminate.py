@@ -13,8 +13,9 @@ The benchmark side is broadcast when it has at most BROADCAST_WINDOWS windows, a
 joined by a shuffle beyond that.
 
 Defined results: null or wordless texts have no words, no hits and the hash of an empty
-list; items without words are ignored; items that share an id count once; rows that share
-doc_id and text get the same result each; other columns are ignored; empty tables work.
+list; very long texts are searched whole; items without words are ignored; items that share an id count once, and of
+items with the same window all count; rows that share doc_id and text get the same result each; other
+columns are ignored, whatever their names (the result's replace those of the documents); empty tables work.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ border is given to exactly one section by RULE: "first" to the section of its fi
 sections of a text hence always sum to the text's tokens.
 
 Defined results: a null or empty text is one empty section without tokens; an empty line at
-the end is a section without tokens; other columns are ignored; an empty table works.
+the end is a section without tokens; very long texts are encoded whole; a token that crosses several borders
+counts once, for the section that the rule names (of equal shares the earlier); repeated rows get their sections
+each; other columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -101,6 +101,16 @@ def test_section_tokens_sum_and_spans(spark):
         assert [r.n_tokens for r in own] == expected
 
 
+def test_section_tokens_of_odd_tables(spark):
+    path, pattern = token_counts.default_vocabulary()
+    texts = ["a\nb", "a\nb", "line of words\n" * 30_000]
+    docs = spark.createDataFrame([(i % 2, t, 5, 6, 7) for i, t in enumerate(texts)], "doc_id int, text string, section int, n_tokens int, doc_tokens int")
+    rows = [tuple(r) for r in token_counts.section_tokens(docs, path, pattern).collect()]
+    one = [r for r in rows if r[0] == 1]
+    assert sorted(r for r in rows if r[0] == 0 and r[-1] == one[0][-1]) == [(0, *r[1:]) for r in one] and len(rows) == 4 + 30_001
+    assert token_counts.section_tokens(docs.limit(0), path, pattern).collect() == []
+
+
 def test_most_rule():
     section, crosses = token_counts.attribute(np.array([4, 10, 12]), np.array([6, 11]), "most")
     assert section.tolist() == [0, 1, 1] and crosses.tolist() == [False, True, True]
