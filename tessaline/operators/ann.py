@@ -3,7 +3,8 @@
 Centroids are fitted on a bounded sample (SAMPLE rows by the least hash of their id); every row is
 indexed. The number of probed cells is raised until the recall against exact search, measured on
 the sample's queries, reaches a target. The cell is a column to partition the stored index by, so
-that a search reads only the cells it probes.
+that a search reads only the cells it probes. As their number follows the sample, cells grow with the table; they are
+therefore searched in parts of about PART rows, which each query visits.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from pyspark.sql import functions as F
 
 from tessaline.operators.search import DIGITS, top_k
 
-SAMPLE, ROUNDS, SEED = 20_000, 8, 5
+SAMPLE, ROUNDS, SEED, PART = 20_000, 8, 5, 50_000
 
 
 @dataclass
 class Cells:
     centroids: np.ndarray
     probes: int
+    parts: int = 1  # of each cell
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -51,7 +53,7 @@ def fit(items: DataFrame, k: int, target: float = 0.95, cells: int | None = None
     place = np.argsort(nearest, axis=1)  # how many probes until a cell is read
     needed = np.take_along_axis(place, own[exact], axis=1)
     probes = next((p for p in range(1, cells + 1) if (needed < p).mean() >= target), cells)
-    return Cells(centroids, probes)
+    return Cells(centroids, probes, max(1, -(-items.count() // (cells * PART))))
 
 
 def assign_cells(items: DataFrame, cells: Cells) -> DataFrame:
@@ -80,7 +82,9 @@ def search(queries: DataFrame, indexed: DataFrame, cells: Cells, k: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(near.ravel().astype(np.int32))], ["query_id", "query", "cell"])
 
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(probe, "query_id string, query array<double>, cell int")
-    names = ["cell", "query_id", "query"]
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(cells.parts - 1))))
+    stored = indexed.select("cell", F.pmod(F.xxhash64("item_id"), F.lit(cells.parts)).cast("int").alias("part"), "item_id", "vector")
+    names = ["cell", "part", "query_id", "query"]
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -91,5 +95,5 @@ def search(queries: DataFrame, indexed: DataFrame, cells: Cells, k: int) -> Data
         q, i = np.nonzero(scores >= cut[:, None])
         return pa.table({"query_id": left.column("query_id").take(pa.array(q)), "item_id": right.column("item_id").take(pa.array(i)), "score": pa.array(scores[q, i])})
 
-    found = asked.select(*names).groupBy("cell").cogroup(indexed.select("cell", "item_id", "vector").groupBy("cell")).applyInArrow(match, "query_id string, item_id string, score double")
+    found = asked.select(*names).groupBy("cell", "part").cogroup(stored.groupBy("cell", "part")).applyInArrow(match, "query_id string, item_id string, score double")
     return top_k(found, k).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))

@@ -37,7 +37,7 @@ def v8_ann_all_cells(spark, sf_dir):
     """The inverted file with all its cells probed, which is exact."""
     items = fx.items(spark, sf_dir).select("item_id", "vector")
     cells = ann.fit(items, fx.K)
-    cells = ann.Cells(cells.centroids, len(cells.centroids))
+    cells = ann.Cells(cells.centroids, len(cells.centroids), 3)
     return ann.search(_twentieth(spark, sf_dir), ann.assign_cells(items, cells), cells, fx.K)
 
 

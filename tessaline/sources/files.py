@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessaline.session import small
 from tessaline.sources.config import write_text
 
 CATALOG = "item_id string, title string, description string, category string, brand string"
@@ -16,9 +17,17 @@ VERSION_NAME = r"^v\d+\.jsonl$"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a text file, line from 1 within each file by its byte order."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    return rows.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("at"))).select("line", "value")
+    """(line, value) of text files, line from 1 within each file by its byte order.
+
+    Only the counts of each file's splits are ordered in one place; a line adds its place in its split.
+    """
+    at = F.monotonically_increasing_id()
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.shiftright(at, 33).alias("split"), at.bitwiseAND((1 << 33) - 1).alias("place"))
+    splits = rows.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(F.col("file").alias("f"), F.col("split").alias("s"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    joined = rows.join(small(splits), (F.col("file") == F.col("f")) & (F.col("split") == F.col("s")))
+    return joined.select((F.col("before") + F.col("place") - F.col("first") + 1).alias("line"), "value")
 
 
 def _parsed(lines: DataFrame, schema: str) -> DataFrame:

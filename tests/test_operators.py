@@ -233,6 +233,17 @@ def test_stream_drops_repeats(spark, tmp_path):
     assert sorted(r.event_id for r in spark.table("ingested").collect()) == ["e1", "e3"]
 
 
+def test_line_numbers_of_split_files(spark, tmp_path):
+    for name, n in (("a.txt", 5000), ("b.txt", 3), ("c.txt", 0)):
+        (tmp_path / name).write_text("".join(f"{name} {i + 1}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = files.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 5003 and all(r.value.endswith(f" {r.line}") for r in rows)
+
+
 def test_runs_and_reports(spark, tmp_path):
     rows = spark.createDataFrame([("b", [1.0, 0.0], "h", "v1"), ("a", [0.6, 0.8], "h", "v1"), ("a", [2.0, 0.0], "h", "v1"), ("c", [float("nan"), 0.0], "h", "v1"), ("d", [1.0], "h", "v1")], "item_id string, embedding array<float>, content_hash string, preprocessing_version string")
     bad = sorted(map(tuple, files.invalid_embeddings(rows, 2).collect()))
