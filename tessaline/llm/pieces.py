@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHED_WORDS, CACHED_PAIRS = 400_000, 300_000  # a worker forgets its words and pairs beyond so many; results do not depend on it
+CACHED_WORDS, CACHED_PAIRS = 250_000, 300_000  # a worker forgets its words and pairs beyond so many; results do not depend on it
 PORTION = 2 << 20  # characters
 
 
