@@ -126,6 +126,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def equal_pairs(distinct: DataFrame, groups: list[list[int]]) -> Iterator[float]:
+    """For each group of bits the pairs of fingerprints that are equal in it, all from one job."""
+    values = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), part_value(F.col("fp"), own).alias("v")) for j, own in enumerate(groups)]))
+    counts = distinct.select(values.alias("x")).groupBy("x.j", "x.v").agg(F.count("*").cast("double").alias("c")).groupBy("j").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"))
+    found = {r.j: r.pairs for r in counts.collect()}  # a row for each group
+    return iter([found.get(j, 0.0) for j in range(len(groups))])
+
+
 def plan(distinct: DataFrame, bits: int = THRESHOLD) -> tuple[list[list[int]], list[int]]:
     """Groups of bits and the threshold of each, from counts over all fingerprints."""
     sums = distinct.select("fp").mapInArrow(_moments, "i long, j long, both long").groupBy("i", "j").agg(F.sum("both").alias("both")).collect()  # 64 x 64 rows
@@ -135,18 +143,19 @@ def plan(distinct: DataFrame, bits: int = THRESHOLD) -> tuple[list[list[int]], l
     n = distinct.count()
     p = np.diag(both) / max(n, 1)
     agree = np.clip(p**2 + (1 - p) ** 2, 1e-3, 1)
+    plans = [group_bits(both, n, m) for m in range(2, bits + 3)]
+    same = equal_pairs(distinct, [own for groups in plans for own in groups])
     best = None
-    for m in range(2, bits + 3):
-        groups = group_bits(both, n, m)
+    for groups in plans:
         counts = []
         for own in groups:
-            same = distinct.groupBy(part_value(F.col("fp"), own).alias("v")).agg(F.count("*").cast("double").alias("c")).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0.0)).alias("pairs")).first().pairs
+            pairs = next(same)
             odds = (1 - agree[own]) / agree[own]
             one = odds.sum()
             two = (one**2 - (odds**2).sum()) / 2
             w = len(own)
-            counts.append([0.0, same + n, same * (1 + one) + n * (1 + w), same * (1 + one + two) + n * (1 + w + w * (w - 1) / 2)])
-        found = allocate(counts, bits - m + 1)
+            counts.append([0.0, pairs + n, pairs * (1 + one) + n * (1 + w), pairs * (1 + one + two) + n * (1 + w + w * (w - 1) / 2)])
+        found = allocate(counts, bits - len(groups) + 1)
         if found and (best is None or found[0] < best[0]):
             best = (found[0], groups, found[1])
     return best[1], best[2]
