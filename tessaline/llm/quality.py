@@ -21,13 +21,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 MAX_POSITIVES, MAX_UNLABELLED = 8_000, 16_000
 FOLDS, HELD_OUT, ACCEPT = 4, 2, 0.7
@@ -137,16 +135,6 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["role", "x"])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model | None, prior: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = batch.num_rows
-        if model is None:
-            scores = np.full(n, prior)
-        else:
-            scores = model.score(np.array([features(batch.column(1)[i].as_py()) for i in range(n)])) if n else np.empty(0)
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(2, batch.num_columns)], pa.array(scores, pa.float64())], [*batch.schema.names[2:], "score"])
-
-
 def fold(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
@@ -173,12 +161,19 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
 
 
 def score(docs: DataFrame, model: Model | None, prior: float) -> DataFrame:
-    """docs with score and predicted, which replace columns of these names."""
-    docs = docs.drop("score", "predicted")
-    names = docs.columns
-    own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever the names are
-    rows = own.select(F.lit(0).alias("role"), F.col(f"c{names.index('text')}").cast("string").alias("text"), *own.columns)
-    scored = rows.mapInArrow(partial(_score, model=model, prior=prior), StructType([*own.schema.fields, StructField("score", DoubleType())])).toDF(*names, "score")
+    """docs with score and predicted, which replace columns of these names. Only texts and scores pass through Python."""
+
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            n = len(texts)
+            if model is None or not n:
+                yield pa.array(np.full(n, prior), pa.float64())
+            else:
+                yield pa.array(model.score(np.array([features(texts[i].as_py()) for i in range(n)])), pa.float64())
+
+    scores.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    run = F.arrow_udf(scores, "double").asNondeterministic()  # evaluated once, wherever it is used
+    scored = docs.drop("score", "predicted").withColumn("score", run(F.col("text").cast("string")))
     return scored.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
 
 
