@@ -31,6 +31,11 @@ def valid_batches(batch: DataFrame) -> DataFrame:
     return own.select("request_id", "n", (F.col("n").between(*BATCH_SIZE) & F.col("sound")).alias("valid"))
 
 
+def retained(rows: DataFrame, ts: str, now: Column, days: int = 365) -> DataFrame:
+    """Rows of the last days before now; the comparison reaches the scan. now has the type of ts."""
+    return rows.filter(F.col(ts) >= now - F.make_dt_interval(F.lit(days)))
+
+
 def outcome_counts(rows: DataFrame, *labels: str) -> DataFrame:
     """A counter: rows by labels."""
     return rows.groupBy(*labels).agg(F.count("*").alias("n"))

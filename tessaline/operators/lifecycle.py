@@ -114,5 +114,11 @@ def cascade_delete(embeddings: DataFrame, items: DataFrame) -> DataFrame:
     return embeddings.join(items.select("item_id"), "item_id", "left_semi")
 
 
+def prune(rows: DataFrame, version: str, order: str, keep: int) -> DataFrame:
+    """Rows of the versions that come last by the greatest of order; ties by the version's name."""
+    newest = rows.groupBy(version).agg(F.max(order).alias("newest")).orderBy(F.desc("newest"), version).limit(keep).select(version)
+    return rows.join(F.broadcast(newest), version, "left_semi")  # keep rows
+
+
 def latest_by(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")

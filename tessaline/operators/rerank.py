@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaline.functions.vectors import NEUTRAL, minmax_norm, rank_norm, recency_decay
+from tessaline.operators.search import top_k
 
 
 @dataclass(frozen=True)
@@ -99,6 +101,27 @@ def mmr(rows: DataFrame, k: int, config: RerankConfig) -> DataFrame:
     return pool.groupBy("query_id").applyInPandas(choose, "query_id string, item_id string, blend double, rank int")
 
 
+class Reranker(Protocol):
+    """Candidates with their signals to at most k rows a query (query_id, item_id, score, rank), in a total order, without a state of its own."""
+
+    def __call__(self, rows: DataFrame, k: int, config: RerankConfig, missing: tuple[str, ...] = ()) -> DataFrame: ...
+
+
+def by_blend(rows: DataFrame, k: int, config: RerankConfig, missing: tuple[str, ...] = ()) -> DataFrame:
+    """The best k by the blend of signals."""
+    return top_k(blend(rows, config, missing).select("query_id", "item_id", F.col("blend").alias("score")), k)
+
+
+def by_diversity(rows: DataFrame, k: int, config: RerankConfig, missing: tuple[str, ...] = ()) -> DataFrame:
+    """k rows chosen one by one, with the scores of the blend."""
+    return mmr(blend(rows, config, missing), k, config).select("query_id", "item_id", F.col("blend").alias("score"), "rank")
+
+
+def reranker(config: RerankConfig, k: int) -> Reranker:
+    """What a configuration asks for at k results."""
+    return by_diversity if config.mmr and k >= config.mmr_min_k else by_blend
+
+
 def renumber(ranked: DataFrame, k: int) -> DataFrame:
     """The first k rows of each query by rank, ranked again from 1."""
     order = Window.partitionBy("query_id").orderBy("rank")

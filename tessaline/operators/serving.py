@@ -12,7 +12,6 @@ from tessaline.functions.text import query_text
 from tessaline.functions.vectors import mean_vectors, normalise
 from tessaline.operators import providers, rerank
 from tessaline.operators.backends import Backend, exact
-from tessaline.operators.search import drop_seeds, top_k
 
 
 def encoded_query_vectors(seeds: DataFrame, catalog: DataFrame, encoder: Encoder) -> DataFrame:
@@ -58,14 +57,10 @@ def retrieve(requests: DataFrame, vectors: DataFrame, items: DataFrame, k: int,
 
 
 def respond(retrieval: Retrieval, seeds: DataFrame, k: int, config: rerank.RerankConfig, most_seeds: int) -> DataFrame:
-    """(query_id, item_id, score, rank): re-ranked with room for the seeds, which then go. With few results, k below its least value or no vectors, the blend's order stays."""
-    rows = rerank.blend(retrieval.candidates, config, retrieval.missing)
-    if config.mmr and k >= config.mmr_min_k:
-        ranked = rerank.mmr(rows, k + most_seeds, config)
-        kept = ranked.join(seeds.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-        return rerank.renumber(kept, k).select("query_id", "item_id", F.col("blend").alias("score"), "rank")
-    found = top_k(rows.select("query_id", "item_id", F.col("blend").alias("score")), k + most_seeds)
-    return drop_seeds(found, seeds, k)
+    """(query_id, item_id, score, rank): re-ranked with room for the seeds, which then go."""
+    ranked = rerank.reranker(config, k)(retrieval.candidates, k + most_seeds, config, retrieval.missing)
+    kept = ranked.join(seeds.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+    return rerank.renumber(kept, k).select("query_id", "item_id", "score", "rank")
 
 
 def recommend(requests: DataFrame, vectors: DataFrame, items: DataFrame, k: int, config: rerank.RerankConfig, popularity: providers.Provider, recency: providers.Provider, filters: dict[str, str] | None = None, backend: Backend = exact) -> tuple[DataFrame, Retrieval]:

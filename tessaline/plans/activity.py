@@ -140,11 +140,15 @@ def ext_event_popularity(spark, sf_dir):
     return rows.groupBy("item_id").agg(F.count("*").cast("double").alias("popularity"))
 
 
-@query("ext_retention", f"SELECT count(*) AS kept FROM events WHERE ts >= TIMESTAMP '{fx.NOW}' - INTERVAL 14 DAY")
+@query("ext_retention", f"SELECT days, (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '{fx.NOW}' - to_days(days)) AS kept FROM (SELECT unnest([14, 365]) AS days)")
 def ext_retention(spark, sf_dir):
-    """Events of the last fourteen days; the filter reaches the scan."""
-    least = F.lit(fx.NOW).cast("timestamp_ntz") - F.expr("INTERVAL 14 DAYS")
-    return table(spark, sf_dir, "events").filter(F.col("ts") >= least).agg(F.count("*").alias("kept"))
+    """Events of the last fourteen days, and of a year; the filter reaches the scan."""
+    now = F.lit(fx.NOW).cast("timestamp_ntz")
+    out = None
+    for days in (14, 365):
+        one = events.retained(table(spark, sf_dir, "events"), "ts", now, days).agg(F.lit(days).alias("days"), F.count("*").alias("kept"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("ext_churn_features", f"SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS types, round(sum(value), 4) AS total, CAST(floor((epoch_us(TIMESTAMP '{fx.NOW}') - epoch_us(max(ts))) / 86400e6) AS BIGINT) AS idle_days, max(ts) < TIMESTAMP '{fx.NOW}' - INTERVAL 3 DAY AS churned FROM events GROUP BY 1")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessaline.functions import encoder, hashing, text, vectors
-from tessaline.operators import ann, baselines, evaluation, rerank, search, sets
+from tessaline.functions import vectors
+from tessaline.operators import baselines, lifecycle, search, sets
 from tessaline.plans import fixtures as fx
 from tessaline.plans import retrieval as rt
 from tessaline.plans.registry import query
-from tessaline.session import table
 
 CUT, VECTOR = rt.CUT, rt.VECTOR
 
@@ -46,6 +45,4 @@ def ext_drift(spark, sf_dir):
 @query("ext_prune", "SELECT printf('i_%04d', vec_id) AS item_id FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY 1 ORDER BY max(vec_id) DESC LIMIT 3)")
 def ext_prune(spark, sf_dir):
     """Rows of the three newest versions, a label standing for a version."""
-    items = fx.items(spark, sf_dir).select("item_id", "label", "vec_id")
-    keep = items.groupBy("label").agg(F.max("vec_id").alias("newest")).orderBy(F.desc("newest")).limit(3).select("label")
-    return items.join(F.broadcast(keep), "label", "left_semi").select("item_id")
+    return lifecycle.prune(fx.items(spark, sf_dir).select("item_id", "label", "vec_id"), "label", "vec_id", 3).select("item_id")

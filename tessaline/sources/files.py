@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessaline.session import small
-from tessaline.sources.config import write_text
+from tessaline.sources.config import read_pointer, write_pointer, write_text
 
 CATALOG = "item_id string, title string, description string, category string, brand string"
 GOLDEN = "query_id string, topic string, seed_item_ids array<string>, relevant_item_ids array<string>"
@@ -101,6 +101,19 @@ def write_report(values: DataFrame, path: str, **header: str) -> None:
     write_text(Path(path), report_json(values, **header) + "\n")
 
 
+def replace_snapshot(snapshot: DataFrame, folder: str, name: str) -> None:
+    """A whole snapshot in place of the last: written under a name of its own, then pointed at, so that readers see one or the other."""
+    snapshot.write.parquet(f"{folder}/{name}")
+    write_pointer(folder, name)
+
+
+def current_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    name = read_pointer(folder)
+    if name is None:
+        raise LookupError(f"{folder} has no snapshot")
+    return spark.read.parquet(f"{folder}/{name}")
+
+
 def report_json(values: DataFrame, **header: str) -> str:
     """The nested JSON report of a long (system, metric, value) table: one row for each system's metric."""
     systems: dict[str, dict] = {}

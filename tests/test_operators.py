@@ -194,6 +194,15 @@ def test_snapshot_scores(spark):
     assert baselines.read_snapshot(snap.limit(0), 2).collect() == []
 
 
+def test_snapshots_replace_one_another(spark, tmp_path):
+    folder = str(tmp_path)
+    with pytest.raises(LookupError):
+        files.current_snapshot(spark, folder)
+    for name, n in (("one", 3), ("two", 2)):
+        files.replace_snapshot(spark.range(n), folder, name)
+        assert files.current_snapshot(spark, folder).count() == n
+
+
 def test_token_bucket(spark):
     log = spark.createDataFrame([("b", i, float(t), 1.0) for i, t in enumerate([0, 0, 0, 1, 2, 2])] + [("c", 9, 0.0, 5.0)], "bucket_id string, seq long, now double, cost double")
     got = {r.seq: (r.allowed, r.retry_after) for r in state.token_bucket(log, 2.0, 1.0).collect()}
