@@ -35,21 +35,46 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD, -1), "")
 
 
-def grams(words: Column, k: int, salt: str = "") -> Column:
-    """Hashes of all k-grams of words, in order; empty if there are fewer words."""
+def _mix(x: Column, y: Column) -> Column:
+    return F.xxhash64(x, y)
+
+
+def _lesser(x: Column, y: Column) -> Column:
+    return F.least(x, y)
+
+
+def _pairs(a: Column, step: int, combine) -> Column:
+    """combine(a[i], a[i + step]) for all i; empty if there are too few."""
+    n = F.greatest(F.size(a) - step, F.lit(0))
+    return F.slice(F.zip_with(a, F.slice(a, step + 1, n), combine), 1, n)
+
+
+def with_hashes(rows: DataFrame, prefix: str, salt: str = "") -> DataFrame:
+    """rows with the hashes of all runs of 1, 2, 4 and 8 words, each from two shorter ones. Every level is a column, so that none is computed twice."""
     own = [F.lit(salt)] if salt else []
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(*own, F.lit(k), F.slice(words, i, k)))).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.withColumn(f"{prefix}1", F.transform("words", lambda w: F.xxhash64(*own, w)))
+    for size in (1, 2, 4):
+        rows = rows.withColumn(f"{prefix}{2 * size}", _pairs(F.col(f"{prefix}{size}"), size, _mix))
+    return rows
 
 
-def winnowed(hashes: Column) -> Column:
-    """The least hash of each window of WINDOW hashes, each value once."""
-    last = F.size(hashes) - (WINDOW - 1)
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_min(F.slice(hashes, i, WINDOW))))).otherwise(F.array().cast("array<bigint>"))
+def grams(prefix: str, k: int) -> Column:
+    """Hashes of all k-grams of words, in order, k from 1 to 15; empty if there are fewer words."""
+    n = F.greatest(F.size(f"{prefix}1") - (k - 1), F.lit(0))
+    out, at = None, 0
+    for size in (8, 4, 2, 1):
+        if k & size:
+            part = F.slice(F.col(f"{prefix}{size}"), at + 1, n)
+            out = part if out is None else F.zip_with(out, part, _mix)
+            at += size
+    return out
 
 
-def _fingerprints(rows: DataFrame, short: list[int]) -> Column:
-    parts = [winnowed(F.col("g"))] + [grams(F.col("words"), n) for n in short]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+def with_winnowed(rows: DataFrame, hashes: Column) -> DataFrame:
+    """rows with f, the least hash of each window of WINDOW hashes, each value once: the least of two windows of four that overlap."""
+    rows = rows.withColumn("m2", _pairs(hashes, 1, _lesser))
+    rows = rows.withColumn("m4", _pairs(F.col("m2"), 2, _lesser))
+    return rows.withColumn("f", F.array_distinct(_pairs(F.col("m4"), WINDOW - 4, _lesser))).drop("m2", "m4")
 
 
 def _bounded(df: DataFrame, small: bool) -> DataFrame:
@@ -61,7 +86,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     items = items.withColumn("width", F.least(F.size("words"), F.lit(SPAN)))
     short = sorted(r.width for r in items.select("width").distinct().collect() if r.width < SPAN)  # twelve at most
-    per_width = [items.filter(F.col("width") == n).select("item", F.lit(n).alias("width"), F.explode(F.arrays_zip(grams(F.col("words"), n).alias("h1"), grams(F.col("words"), n, "second").alias("h2"))).alias("w")) for n in [*short, SPAN]]
+    hashed = cut(with_hashes(with_hashes(items, "a"), "b", "second"))  # read several times
+    both = lambda n: F.arrays_zip(grams("a", n).alias("h1"), grams("b", n).alias("h2"))
+    per_width = [hashed.filter(F.col("width") == n).select("item", F.lit(n).alias("width"), F.explode(both(n)).alias("w")) for n in [*short, SPAN]]
     windows = per_width[0]
     for more in per_width[1:]:
         windows = windows.unionByName(more)
@@ -69,20 +96,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("m")).first()
     small = max(size.n, size.m) <= BROADCAST_WINDOWS
 
-    long_items = items.filter(F.col("width") == SPAN).withColumn("g", grams(F.col("words"), K)).select(F.explode(winnowed(F.col("g"))).alias("f"))
+    long_items = with_winnowed(hashed.filter(F.col("width") == SPAN), grams("a", K)).select(F.explode(F.concat("f")).alias("f"))  # of a plain column the optimizer infers a filter, and copies all levels into it
     seeds = long_items.unionByName(windows.filter(F.col("width") < SPAN).select(F.col("h1").alias("f"))).distinct()
 
     base = docs.select("doc_id", F.xxhash64("text").alias("rid"), words_of(F.col("text")).alias("words"))
-    found = base.withColumn("g", grams(F.col("words"), K)).select("doc_id", "rid", F.explode(_fingerprints(base, short)).alias("f"))
+    found = with_winnowed(with_hashes(base, "a"), grams("a", K))
+    found = found.select("doc_id", "rid", F.explode(F.concat("f", *[grams("a", n) for n in short])).alias("f"))
     found = found.join(_bounded(seeds, small), "f", "left_semi").select(F.col("doc_id").alias("_doc"), F.col("rid").alias("_rid")).distinct()
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("rid"))
     texts = texts.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("rid") == F.col("_rid")), "left_semi")
-    texts = texts.select("doc_id", "rid", words_of(F.col("text")).alias("words"))
+    texts = with_hashes(with_hashes(texts.select("doc_id", "rid", words_of(F.col("text")).alias("words")), "a"), "b", "second")
     spans = None
     for n in [*short, SPAN]:
-        pairs = F.arrays_zip(grams(F.col("words"), n).alias("h1"), grams(F.col("words"), n, "second").alias("h2"))
-        one = texts.select("doc_id", "rid", F.lit(n).alias("width"), F.posexplode(pairs).alias("start", "w")).select("doc_id", "rid", "width", "start", "w.*")
+        one = texts.select("doc_id", "rid", F.lit(n).alias("width"), F.posexplode(both(n)).alias("start", "w")).select("doc_id", "rid", "width", "start", "w.*")
         spans = one if spans is None else spans.unionByName(one)
     hits = spans.join(_bounded(windows, small), ["width", "h1", "h2"]).select("doc_id", "rid", "start", (F.col("start") + F.col("width")).alias("end"), "items").distinct()
     before = Window.partitionBy("doc_id", "rid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
