@@ -12,16 +12,22 @@ copy per block and text, to the bucket of their key. A key with more than HOT oc
 travels window by window instead, to the bucket of the whole window's hash, so that no
 bucket gathers such a family.
 
-Index: of the distinct segments in a bucket, those of a key together, a Burrows-Wheeler
-transform is built and kept by its runs, with the suffix positions at run ends as samples and
-the least doc_id of each interval of suffixes that share LENGTH bytes. Matching statistics are
-streamed by walking all segments from their ends at once with the LF mapping over runs: at each
-step with LENGTH bytes or more read, the interval tells whether the window also
-starts in a smaller document.
-
-Defined results: null and empty texts have no bytes; rows that share a doc_id do not remove one
-another's bytes, each gets its row; rows with a null doc_id lose nothing and remove nothing;
-other columns are ignored; an empty table gives an empty table.
+Index: of the distinct segments in a bucket, those of a key together, the ones that can remove something (all but
+those of the key's greatest document) are indexed: a Burrows-Wheeler transform kept by its runs, with the suffix
+positions at both ends of each run as samples and the least doc_id of each interval of suffixes that
+share LENGTH bytes. The ones that can lose something (all but those of the key's least document) are
+streamed against it from their ends, byte by byte: LF where a row's byte fits, else the nearest run of the byte
+above or below, whichever shares more by its sample. Where the match is LENGTH bytes or longer, the interval tells whether
+a smaller document holds the window.
+
+Messages between blocks and buckets are only sent where there are keys to send, so their number is bounded by
+the keys as well as by blocks times buckets. What a bucket holds of one text is one copy for each
+block, whatever its number of copies there.
+
+Defined results: null and empty texts have no bytes; very long texts are handled whole, in one block; rows that share
+a doc_id, equal or not, do not remove one another's bytes, each gets its row; of documents with the same string
+all but the one with the smallest doc_id lose it; rows with a null doc_id lose nothing and remove nothing; other
+columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,11 +42,12 @@ from pyspark.sql import functions as F
 from tessaline.llm.common import shuffle_partitions, text_bytes
 
 LENGTH, GRAM = 50, 16
-BLOCK_BYTES, LEAST_BLOCKS, MOST_BUCKETS = 8 << 20, 8, 1 << 18
+BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 8
 HOT = 1 << 16  # occurrences of a key beyond which its windows are dealt one by one
 CHUNK = 1 << 20  # bytes of segments in one index
 LONGEST = 128  # windows in a segment
 STRIDE = 1 << 17
+NONE = np.iinfo(np.int64).max  # no document
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -225,30 +232,42 @@ def send_segments(block: int, table: pa.Table, answers: pa.Table, buckets: int)
 
 
 class RunLengthIndex:
-    """Run-length Burrows-Wheeler transform of a collection of texts, with samples at run ends and the least document of each interval of LENGTH equal bytes."""
+    """Run-length Burrows-Wheeler transform of a collection of texts.
+
+    Kept are the runs (start, symbol, where LF sends their first row), the suffix positions of the first and the last
+    row of each run (samples), the texts that these point into, and for each row the least doc_id of the
+    texts that hold its first length bytes, by runs of equal values too.
+    """
 
     def __init__(self, texts: list[bytes], docs: np.ndarray, length: int = LENGTH):
-        self.length, self.sizes = length, np.array([len(t) for t in texts], dtype=np.int64)
-        n = int(self.sizes.sum()) + len(texts)
-        symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint64) + np.uint64(1)
-        self.ends = np.cumsum(self.sizes + 1) - 1  # places of the terminators
-        symbols[self.ends] = 0
-        self.text_of = np.repeat(np.arange(len(texts)), self.sizes + 1)
-        order, ranks = self._sort(symbols, n)
-        self.classes(order, ranks, docs)
-        before = symbols[order - 1].astype(np.int64)  # of a text's first suffix: a terminator, never followed
+        self.length = length
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        n = int(sizes.sum()) + len(texts)
+        self.symbols = np.zeros(n + length, np.uint16)  # of bytes 1 to 256, of terminators 0, with room behind
+        self.symbols[:n] = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        self.symbols[:n] += 1
+        self.ends = np.cumsum(sizes + 1) - 1  # places of the terminators
+        self.symbols[self.ends] = 0
+        self.text_of = np.repeat(np.arange(len(texts)), sizes + 1)
+        order, ranks = self._sort(self.symbols[:n].astype(np.uint64), n)
+        self._intervals(order, ranks, docs)
+        before = self.symbols[order - 1].astype(np.int64)  # of a text's first suffix: a terminator, never followed
+        before[order == 0] = 0
         edge = np.concatenate([[True], before[1:] != before[:-1]])
-        self.run_of = np.cumsum(edge) - 1
         self.run_start = np.flatnonzero(edge)
         self.run_symbol = before[self.run_start]
         run_length = np.diff(np.append(self.run_start, n))
-        self.samples = order[self.run_start + run_length - 1]
-        smaller = np.concatenate([[0], np.cumsum(np.bincount(symbols.astype(np.int64), minlength=258))])
+        self.run_last = self.run_start + run_length - 1
+        self.first_sample, self.last_sample = order[self.run_start], order[self.run_last]
+        smaller = np.concatenate([[0], np.cumsum(np.bincount(self.symbols[:n], minlength=258))])
         by_symbol = np.argsort(self.run_symbol, kind="stable")
         earlier = np.cumsum(run_length[by_symbol]) - run_length[by_symbol]
         group = np.concatenate([[0], np.cumsum(np.bincount(self.run_symbol, weights=run_length, minlength=258).astype(np.int64))])
-        self.target = np.empty(len(self.run_start), np.int64)  # where LF sends the first of each run
+        self.target = np.empty(len(self.run_start), np.int64)  # where LF sends the first row of each run
         self.target[by_symbol] = smaller[self.run_symbol[by_symbol]] + earlier - group[self.run_symbol[by_symbol]]
+        self.by_symbol = by_symbol  # runs by symbol, for the nearest run of a symbol
+        self.by_symbol_key = self.run_symbol[by_symbol] * len(self.run_start) + by_symbol
+        del self.text_of, self.ends
 
     def _sort(self, symbols: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray | None]:
         """Suffix order by prefix doubling, and the ranks of all suffixes by 32 symbols (None if fewer tell all apart)."""
@@ -291,45 +310,96 @@ class RunLengthIndex:
         rank[order] = np.cumsum(np.concatenate([[False], both[1:] != both[:-1]]))
         return order, rank
 
-    def classes(self, order: np.ndarray, ranks: np.ndarray, docs: np.ndarray) -> None:
-        """Intervals of suffixes that share length symbols, and the least document of each."""
+    def _intervals(self, order: np.ndarray, ranks: np.ndarray, docs: np.ndarray) -> None:
+        """The least document of each interval of suffixes that share length symbols; NONE where a suffix is shorter."""
         fits = (self.ends[self.text_of[order]] - order) >= self.length
         a, b = order[:-1], order[1:]
         shift = self.length - 32
         same = fits[:-1] & fits[1:] & (ranks[a] == ranks[b])
         some = np.flatnonzero(same)
         same[some] = ranks[a[some] + shift] == ranks[b[some] + shift]
-        first = np.concatenate([[True], ~same])
-        self.class_of = np.cumsum(first) - 1
-        self.least = np.minimum.reduceat(docs[self.text_of[order]], np.flatnonzero(first))
-
-    def stream(self):
-        """Walk all texts from their ends at once. Yields (texts, offsets, least document that holds the window there)."""
-        live = np.argsort(-self.sizes, kind="stable")
-        place = live.copy()  # terminators sort first, in the order of the texts
-        sizes = self.sizes[live]
-        for read in range(1, int(sizes.max(initial=0)) + 1):
-            n = int(np.searchsorted(-sizes, -read, side="right"))
-            place = place[:n]
-            run = self.run_of[place]
-            place = self.target[run] + place - self.run_start[run]
-            if read >= self.length:
-                yield live[:n], sizes[:n] - read, self.least[self.class_of[place]]
-
-
-def _repeated_runs(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, windows) of each run of windows that also start in a smaller document."""
-    index = RunLengthIndex(texts, docs)
-    room = index.sizes - LENGTH + 2  # windows, and a gap
+        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        least = np.where(fits[first], np.minimum.reduceat(docs[self.text_of[order]], first), NONE)
+        change = np.concatenate([[True], least[1:] != least[:-1]])
+        self.least_start, self.least = first[change], least[change]
+
+    def shared(self, at: np.ndarray, queries: np.ndarray, places: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many symbols from at in the index's texts and from places in the queries agree, up to most."""
+        out = np.zeros(len(at), np.int64)
+        for s in range(0, len(at), 1 << 15):
+            part = slice(s, s + (1 << 15))
+            width = np.arange(int(most[part].max(initial=0)))
+            if len(width):
+                differ = self.symbols[at[part, None] + width] != queries[places[part, None] + width]
+                out[part] = np.where(differ.any(axis=1), differ.argmax(axis=1), len(width))
+        return np.minimum(out, most)
+
+    def stream(self, queries: list[bytes]):
+        """Matching statistics of all queries, from their ends, all at once: yields (queries, offsets, least document that holds the window there, NONE for no document).
+
+        Each query has a row of the transform and how many symbols it shares with the row's suffix, up to length. If
+        the row's symbol is the query's next one, LF follows it. If not, the last row of the run of that symbol above and
+        the first row of the one below are the candidates; their samples tell which of them shares more.
+        """
+        sizes = np.array([len(q) for q in queries], dtype=np.int64)
+        live = np.argsort(-sizes, kind="stable")
+        ordered = sizes[live]
+        data = np.zeros(int(sizes.sum()) + self.length, np.uint16)
+        data[: len(data) - self.length] = np.frombuffer(b"".join(queries), np.uint8)
+        data += 1
+        begin = (np.cumsum(sizes) - sizes)[live]
+        runs, row, have = len(self.run_start), np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
+        for read in range(1, int(ordered.max(initial=0)) + 1):
+            n = int(np.searchsorted(-ordered, -read, side="right"))
+            row, have = row[:n], have[:n]
+            place = begin[:n] + ordered[:n] - read
+            symbol = data[place].astype(np.int64)
+            run = np.searchsorted(self.run_start, row, side="right") - 1
+            follows = (self.run_symbol[run] == symbol) & (have > 0)
+            next_row = self.target[run] + row - self.run_start[run]
+            next_have = have + 1
+            jump = np.flatnonzero(~follows)
+            if len(jump):
+                below = np.searchsorted(self.by_symbol_key, symbol[jump] * runs + run[jump])
+                after, most = place[jump] + 1, np.minimum(have[jump], self.length - 1)
+                best = np.full(len(jump), -1)
+                for near, last in ((np.maximum(below - 1, 0), True), (np.minimum(below, runs - 1), False)):
+                    own = self.by_symbol[near]
+                    fits = np.flatnonzero(self.run_symbol[own] == symbol[jump])
+                    sample = (self.last_sample if last else self.first_sample)[own[fits]]
+                    found = np.full(len(jump), -1)
+                    found[fits] = self.shared(sample, data, after[fits], most[fits])
+                    better = found > best
+                    best[better] = found[better]
+                    there = self.target[own] + ((self.run_last - self.run_start)[own] if last else 0)
+                    next_row[jump[better]] = there[better]
+                next_have[jump] = best + 1
+                next_row[jump[best < 0]] = 0
+            row, have = next_row, np.minimum(next_have, self.length)
+            whole = np.flatnonzero(have >= self.length)
+            if len(whole):
+                yield live[whole], ordered[whole] - read, self.least[np.searchsorted(self.least_start, row[whole], side="right") - 1]
+
+
+def _repeated_runs(texts: list[bytes], docs: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, windows) of each run of windows that also start in a smaller document.
+
+    least and most are the extreme documents of a text's key: a text of the greatest document removes nothing and is not
+    indexed, one of the least loses nothing and is not asked for.
+    """
+    indexed, asked = np.flatnonzero(docs < most), np.flatnonzero(docs > least)
+    index = RunLengthIndex([texts[i] for i in indexed], docs[indexed])
+    sizes = np.array([len(texts[i]) for i in asked], dtype=np.int64)
+    room = sizes - LENGTH + 2  # windows, and a gap
     offset = np.cumsum(room) - room
     hit = np.zeros(int(room.sum()) + 1, bool)
-    for who, where, least in index.stream():
-        smaller = least < docs[who]
+    for who, where, found in index.stream([texts[i] for i in asked]):
+        smaller = found < docs[asked[who]]
         hit[offset[who[smaller]] + where[smaller]] = True
     edge = np.diff(np.concatenate([[False], hit]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     text = np.searchsorted(offset, start, side="right") - 1
-    return text, start - offset[text], end - start
+    return asked[text], start - offset[text], end - start
 
 
 def mark_repeats(table: pa.Table, chunk: int) -> pa.Table:
@@ -353,7 +423,7 @@ def mark_repeats(table: pa.Table, chunk: int) -> pa.Table:
         of = np.fromiter((number.setdefault(t, len(number)) for t in texts), dtype=np.int64, count=len(texts))
         distinct = list(number)
         sizes = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
+        least = np.full(len(distinct), NONE)
         np.minimum.at(least, of, docs)
         key = np.empty(len(distinct), np.uint64)
         key[of] = keys
@@ -362,8 +432,10 @@ def mark_repeats(table: pa.Table, chunk: int) -> pa.Table:
 
         order = np.argsort(key, kind="stable")
         first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        alone = first & np.append(first[1:], True)  # a text alone in its key has nothing to match
-        order, first = order[~alone], first[~alone]
+        begins = np.flatnonzero(first)
+        low, high = (f.reduceat(least[order], begins)[np.cumsum(first) - 1] for f in (np.minimum, np.maximum))
+        alone = low == high  # all texts of a key in one document: nothing to match
+        order, first, low, high = order[~alone], first[~alone], low[~alone], high[~alone]
         ends = np.cumsum(sizes[order])
         begins = np.flatnonzero(first)
         runs: list[tuple[np.ndarray, ...]] = []
@@ -373,15 +445,15 @@ def mark_repeats(table: pa.Table, chunk: int) -> pa.Table:
             later = int(np.searchsorted(begins, max(stop, at + 1)))  # up to the end of a key
             stop = int(begins[later]) if later < len(begins) else len(order)
             batch = order[at:stop]
-            text, start, windows = _repeated_runs([distinct[i] for i in batch], least[batch])
+            text, start, windows = _repeated_runs([distinct[i] for i in batch], least[batch], low[at:stop], high[at:stop])
             runs.append((batch[text], start, windows))
             at = stop
         if runs:
             text, start, windows = map(np.concatenate, zip(*runs))
             own = np.flatnonzero(~whole)
             own = own[np.argsort(of[own], kind="stable")]
-            low, high = np.searchsorted(of[own], text), np.searchsorted(of[own], text, side="right")
-            times = high - low
+            low = np.searchsorted(of[own], text)
+            times = np.searchsorted(of[own], text, side="right") - low
             run = np.repeat(np.arange(len(text)), times)
             entry = own[np.repeat(low, times) + np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)]
             found.append((blocks[entry], rows[entry], (starts[entry] + start[run]).astype(np.int32), windows[run].astype(np.int32)))
@@ -415,7 +487,7 @@ def remove_marked(table: pa.Table, marks: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     blocks = max(LEAST_BLOCKS, -(-text_bytes(docs) // block_bytes))
-    buckets = min(blocks, MOST_BUCKETS)
+    buckets = blocks
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     dealt = own.repartition(max(blocks, shuffle_partitions(docs.sparkSession)), "block")  # one exchange, read three times

@@ -63,19 +63,42 @@ def test_repeats_empty(spark):
     assert run(spark, [(1, None)]) == plain([(1, None)])
 
 
-def test_index_walks_all_suffixes():
+def words(rng, alphabet, n, low, high):
+    return [bytes(rng.choice(alphabet) for _ in range(rng.randrange(low, high))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("alphabet", [b"ab", b"a", bytes(range(256)), b"\x00\xff"])
+def test_matching_statistics_of_foreign_texts(alphabet):
+    """Queries that are not indexed, pieces of indexed texts among them, against a dictionary of windows."""
     rng = random.Random(4)
-    texts = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randrange(50, 90))) for _ in range(40)} | {b"ab" * 40, b"a" * 70})
-    docs = np.array([rng.randrange(5) for _ in texts])
-    index = run_index.RunLengthIndex(texts, docs)
+    texts = [*words(rng, alphabet, 30, 50, 120), b"ab" * 60, b"a" * 70, b"\xff" * 55]
+    docs = np.array([rng.randrange(9) for _ in texts])
+    queries = [*words(rng, alphabet, 20, 1, 90), b"", b"zz", b"ab" * 40, b"\x00" * 60]
+    for _ in range(30):
+        a, b = rng.choice(texts), rng.choice(texts)
+        queries.append(a[rng.randrange(20) :] + bytes(rng.choice(alphabet) for _ in range(rng.randrange(3))) + b[rng.randrange(20) :])
     first = {}
     for text, doc in zip(texts, docs):
         for i in range(len(text) - 49):
             first[text[i : i + 50]] = min(doc, first.get(text[i : i + 50], doc))
-    seen = 0
-    for who, where, least in index.stream():
-        for t, w, d in zip(who, where, least):
-            assert d == first[texts[t][w : w + 50]]
-            seen += 1
-    assert seen == sum(len(t) - 49 for t in texts)
-    assert len(index.samples) == len(index.run_start) < sum(map(len, texts))
+    index = run_index.RunLengthIndex(texts, docs)
+    got = {(int(q), int(o)): int(d) for who, where, least in index.stream(queries) for q, o, d in zip(who, where, least)}
+    assert got == {(q, i): first[text[i : i + 50]] for q, text in enumerate(queries) for i in range(len(text) - 49) if text[i : i + 50] in first}
+
+
+def test_index_is_run_compressed():
+    rng = random.Random(5)
+    base = bytes(rng.randrange(97, 123) for _ in range(400))
+    texts = [base[rng.randrange(50) : 350 + rng.randrange(50)] for _ in range(60)]  # repetitive
+    index = run_index.RunLengthIndex(texts, np.arange(60))
+    size, runs = sum(len(t) + 1 for t in texts), len(index.run_start)
+    assert runs < size / 10 and len(index.least_start) < size / 5
+    assert all(len(getattr(index, name)) == runs for name in ("run_symbol", "run_last", "first_sample", "last_sample", "target"))
+    for sample in (index.first_sample, index.last_sample):
+        assert (index.symbols[sample - 1][sample > 0] == index.run_symbol[sample > 0]).all()
+
+
+def test_buckets_gather_what_blocks_send(spark):
+    """Many blocks and few documents: messages go to buckets with keys only, and the result does not change."""
+    rows = corpus(40)
+    assert run(spark, rows, block_bytes=200) == plain(rows)
