@@ -44,7 +44,7 @@ from tessaline.llm.common import shuffle_partitions, text_bytes
 LENGTH, GRAM = 50, 16
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 8
 HOT = 1 << 16  # occurrences of a key beyond which its windows are dealt one by one
-CHUNK = 1 << 20  # bytes of segments in one index
+CHUNK = 1 << 17  # bytes of segments in one index; its arrays stay in the cache
 LONGEST = 128  # windows in a segment
 STRIDE = 1 << 17
 NONE = np.iinfo(np.int64).max  # no document
@@ -324,14 +324,18 @@ class RunLengthIndex:
         self.least_start, self.least = first[change], least[change]
 
     def shared(self, at: np.ndarray, queries: np.ndarray, places: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """How many symbols from at in the index's texts and from places in the queries agree, up to most."""
+        """How many symbols from at in the index's texts and from places in the queries agree, up to most. Most pairs differ early."""
         out = np.zeros(len(at), np.int64)
         for s in range(0, len(at), 1 << 15):
-            part = slice(s, s + (1 << 15))
-            width = np.arange(int(most[part].max(initial=0)))
-            if len(width):
-                differ = self.symbols[at[part, None] + width] != queries[places[part, None] + width]
-                out[part] = np.where(differ.any(axis=1), differ.argmax(axis=1), len(width))
+            left, done = s + np.flatnonzero(most[s : s + (1 << 15)] > 0), 0
+            for upto in (4, 16, self.length):
+                span = np.arange(done, upto)
+                differ = self.symbols[at[left, None] + span] != queries[places[left, None] + span]
+                ends = differ.any(axis=1)
+                out[left] = np.where(ends, done + differ.argmax(axis=1), upto)
+                left, done = left[~ends & (most[left] > upto)], upto
+                if not len(left):
+                    break
         return np.minimum(out, most)
 
     def stream(self, queries: list[bytes]):
@@ -365,7 +369,7 @@ class RunLengthIndex:
                 best = np.full(len(jump), -1)
                 for near, last in ((np.maximum(below - 1, 0), True), (np.minimum(below, runs - 1), False)):
                     own = self.by_symbol[near]
-                    fits = np.flatnonzero(self.run_symbol[own] == symbol[jump])
+                    fits = np.flatnonzero((self.run_symbol[own] == symbol[jump]) & (best < most))  # nothing shares more than most
                     sample = (self.last_sample if last else self.first_sample)[own[fits]]
                     found = np.full(len(jump), -1)
                     found[fits] = self.shared(sample, data, after[fits], most[fits])
