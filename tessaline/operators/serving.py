@@ -56,16 +56,16 @@ def retrieve(requests: DataFrame, vectors: DataFrame, items: DataFrame, k: int,
     return Retrieval(rows.join(items.select("item_id", "vector"), "item_id"), outcomes, tuple(missing))
 
 
-def respond(retrieval: Retrieval, seeds: DataFrame, k: int, config: rerank.RerankConfig, most_seeds: int) -> DataFrame:
-    """(query_id, item_id, score, rank): re-ranked with room for the seeds, which then go."""
-    ranked = rerank.reranker(config, k)(retrieval.candidates, k + most_seeds, config, retrieval.missing)
-    kept = ranked.join(seeds.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+def respond(retrieval: Retrieval, requests: DataFrame, k: int, config: rerank.RerankConfig) -> DataFrame:
+    """(query_id, item_id, score, rank): re-ranked with room for the requests' seeds, which then go."""
+    most = requests.agg(F.coalesce(F.max(F.size(F.array_distinct("seeds"))), F.lit(0)).alias("n")).first().n
+    seeds = requests.select("query_id", F.explode("seeds").alias("item_id"))
+    ranked = rerank.reranker(config, k)(retrieval.candidates, k + max(int(most), 0), config, retrieval.missing)
+    kept = ranked.join(seeds, ["query_id", "item_id"], "left_anti")
     return rerank.renumber(kept, k).select("query_id", "item_id", "score", "rank")
 
 
 def recommend(requests: DataFrame, vectors: DataFrame, items: DataFrame, k: int, config: rerank.RerankConfig, popularity: providers.Provider, recency: providers.Provider, filters: dict[str, str] | None = None, backend: Backend = exact) -> tuple[DataFrame, Retrieval]:
     """The response, and the retrieval behind it."""
     retrieval = retrieve(requests, vectors, items, k, config, popularity, recency, filters, backend)
-    most = requests.agg(F.coalesce(F.max(F.size(F.array_distinct("seeds"))), F.lit(0)).alias("n")).first().n
-    seeds = requests.select("query_id", F.explode("seeds").alias("item_id"))
-    return respond(retrieval, seeds, k, config, max(int(most), 0)), retrieval
+    return respond(retrieval, requests, k, config), retrieval

@@ -143,11 +143,17 @@ def _popularity(spark, sf_dir):
     return providers.TableSignal(fx.popularity(spark, sf_dir).withColumnRenamed("popularity", "value"))
 
 
-def _recommend(spark, sf_dir, config, popularity=None, filters=None, backend=backends.exact):
-    items = fx.items(spark, sf_dir)
-    requests = _requests(spark, sf_dir)
+def _retrieve(spark, sf_dir, config, popularity=None, filters=None, backend=backends.exact):
+    """The requests, and what is retrieved for them."""
+    items, requests = fx.items(spark, sf_dir), _requests(spark, sf_dir)
     asked = search.query_vectors(requests.select("query_id", F.explode("seeds").alias("item_id")), items)
-    return serving.recommend(requests, asked, items, fx.K, config, popularity or _popularity(spark, sf_dir), providers.CreatedAtRecency(items, fx.now()), filters, backend)
+    recency = providers.CreatedAtRecency(items, fx.now())
+    return requests, serving.retrieve(requests, asked, items, fx.K, config, popularity or _popularity(spark, sf_dir), recency, filters, backend)
+
+
+def _recommend(spark, sf_dir, config, popularity=None, filters=None):
+    requests, retrieval = _retrieve(spark, sf_dir, config, popularity, filters)
+    return serving.respond(retrieval, requests, fx.K, config), retrieval
 
 
 BEST = """SELECT query_id, item_id, blend AS score, CAST(rank AS INTEGER) AS rank FROM (
@@ -215,20 +221,23 @@ def _evaluated(then: str) -> str:
 
 
 def _ranked(spark, sf_dir, backend=backends.exact, name="exact_knn"):
-    """(system, query_id, item_id, rank) of a backend and of its two re-ranked arms; what the arms' retrieval shares with exact search; and missing rates."""
+    """(system, query_id, item_id, rank) of a backend and of its two re-ranked arms; what the arms' retrieval shares with exact search; and missing rates.
+
+    One retrieval serves both arms. It and the ranked rows, a few for each query, are kept for their several uses.
+    """
     named = lambda df, system: df.select(F.lit(system).alias("system"), "query_id", "item_id", "rank")
-    seeds, items = fx.seeds(spark, sf_dir), fx.items(spark, sf_dir)
-    vectors_, exact = rt._vectors(spark, sf_dir), rt.v6_exact_knn(spark, sf_dir)
-    plain = exact if backend is backends.exact else search.drop_seeds(backend(vectors_, items, fx.K + 3, None), seeds, fx.K)
-    rows = named(plain, name)
-    extra = evaluation.mean_fidelity(plain, exact, rt._asked(spark, sf_dir), fx.K, name, "ann_recall_vs_exact")
-    for suffix, config in (("_blend", CONFIG), ("_blend_mmr", MMR)):
-        response, retrieval = _recommend(spark, sf_dir, config, backend=backend)
-        rows = rows.unionByName(named(response, name + suffix))
-        pool = search.drop_seeds(retrieval.candidates.select("query_id", "item_id", "score"), seeds, fx.K)
-        extra = extra.unionByName(evaluation.mean_fidelity(pool, exact, rt._asked(spark, sf_dir), fx.K, name + suffix, "ann_recall_vs_exact_pre_rerank"))
-        rates = [(name + suffix, f"provider_missing_rate_{signal}", float(signal in retrieval.missing)) for signal in ("popularity", "recency")]
-        extra = extra.unionByName(spark.createDataFrame(rates, "system string, metric string, value double"))
+    seeds, items, asked = fx.seeds(spark, sf_dir), fx.items(spark, sf_dir), rt._asked(spark, sf_dir)
+    exact = rt.v6_exact_knn(spark, sf_dir).persist()
+    plain = exact if backend is backends.exact else search.drop_seeds(backend(rt._vectors(spark, sf_dir), items, fx.K + 3, None), seeds, fx.K).persist()
+    requests, retrieval = _retrieve(spark, sf_dir, CONFIG, backend=backend)
+    retrieval = replace(retrieval, candidates=retrieval.candidates.persist())
+    pool = search.drop_seeds(retrieval.candidates.select("query_id", "item_id", "score"), seeds, fx.K)
+    shared = evaluation.mean_fidelity(pool, exact, asked, fx.K, "", "ann_recall_vs_exact_pre_rerank")
+    rows, extra = named(plain, name), evaluation.mean_fidelity(plain, exact, asked, fx.K, name, "ann_recall_vs_exact")
+    for arm, config in ((f"{name}_blend", CONFIG), (f"{name}_blend_mmr", MMR)):
+        rows = rows.unionByName(named(serving.respond(retrieval, requests, fx.K, config), arm))
+        rates = [(arm, f"provider_missing_rate_{signal}", float(signal in retrieval.missing)) for signal in ("popularity", "recency")]
+        extra = extra.unionByName(shared.withColumn("system", F.lit(arm))).unionByName(spark.createDataFrame(rates, "system string, metric string, value double"))
     return rows, extra
 
 
@@ -236,7 +245,7 @@ def _systems(spark, sf_dir):
     named = lambda df, system: df.select(F.lit(system).alias("system"), "query_id", "item_id", "rank")
     rows, extra = _ranked(spark, sf_dir)
     baselines = named(rt.x11_random_baseline(spark, sf_dir), "random_baseline").unionByName(named(rt.x12_popularity_baseline(spark, sf_dir), "popularity_synthetic"))
-    return rows.unionByName(baselines), extra
+    return rows.unionByName(baselines).persist(), extra
 
 
 def _report(spark, sf_dir):
@@ -261,7 +270,7 @@ def x16_report(spark, sf_dir):
 def x16_ann_report(spark, sf_dir):
     """The same systems over the inverted file."""
     rows, extra = _ranked(spark, sf_dir, backends.inverted_file, "inverted_file")
-    return evaluation.report(evaluation.query_metrics(rows, fx.relevant(spark, sf_dir), fx.K), fx.K).unionByName(extra)
+    return evaluation.report(evaluation.query_metrics(rows.persist(), fx.relevant(spark, sf_dir), fx.K), fx.K).unionByName(extra)
 
 
 LIMITS = [
