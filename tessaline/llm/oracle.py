@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessaline.llm.quality_rules import RULES, STOP_WORDS
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 LINE_DEDUP = r"""
@@ -67,8 +69,42 @@ SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(c.component, e.vec_id) AS
 FROM embeddings e LEFT JOIN degree d ON e.vec_id = d.a LEFT JOIN least c ON e.vec_id = c.a
 """
 
+BOUNDS = {r.name: " AND ".join([f"{r.least} * {r.whole} <= 100 * {r.part}"] * (r.least is not None) + [f"100 * {r.part} <= {r.most} * {r.whole}"] * (r.most is not None)) for r in RULES}
+
+QUALITY_RULES = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         string_split_regex({LOWERED}, '[^\p{{L}}]+') AS letters
+  FROM documents),
+window_at AS (
+  SELECT r, i, words[i:i + 4] AS w FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM doc WHERE len(words) >= 5)),
+repeated AS (
+  SELECT r, count(DISTINCT p) AS n FROM (
+    SELECT r, unnest(range(i, i + 5)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS times FROM window_at) WHERE times > 1)
+  GROUP BY r),
+measured AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines,
+         len(list_filter(words, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
+         len(list_filter(letters, lambda x: list_contains([{", ".join(f"'{w}'" for w in STOP_WORDS)}], x))) AS n_stop_words,
+         len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines,
+         len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*\z'))) AS n_cut_lines
+  FROM doc LEFT JOIN repeated USING (r)),
+judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         concat_ws(',', {", ".join(f"CASE WHEN NOT ({b}) THEN '{n}' END" for n, b in BOUNDS.items())}) AS names
+  FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       CASE WHEN base_failed THEN '' ELSE names END AS failed_rules, NOT base_failed AND names = '' AS kept
+FROM judged
+"""
+
 ORACLE_SQL = {
     "op4_embedding_dedup": EMBEDDING_DEDUP,
     "op9_line_dedup": LINE_DEDUP,
     "op10_decontaminate": DECONTAMINATE,
+    "op11_quality_rules": QUALITY_RULES,
 }

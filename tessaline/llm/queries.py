@@ -11,6 +11,7 @@ from tessaline.llm import html_text as op5
 from tessaline.llm import line_dedup as op9
 from tessaline.llm import pieces as op8
 from tessaline.llm import quality as op6
+from tessaline.llm import quality_rules as op11
 from tessaline.llm import recurrent_lm as op2
 from tessaline.llm import run_index as op1
 from tessaline.llm import simhash as op7
@@ -65,6 +66,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = op11.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "kept")
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_recurrent_lm": op2_recurrent_lm,
@@ -76,4 +82,5 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_quality_rules": op11_quality_rules,
 }
