@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaline.functions.hashing import sha256
+from tessaline.functions.ordered_digest import ordered_sha256
 
 
 def change_plan(new: DataFrame, previous: DataFrame) -> DataFrame:
@@ -17,9 +18,11 @@ def change_plan(new: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def snapshot_hash(items: DataFrame) -> DataFrame:
-    """One row: the identity of a catalog, over its sorted id:hash lines. The sorted list is one value: a few dozen bytes for each item."""
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "content_hash"))), lambda r: F.concat_ws(":", r["item_id"], r["content_hash"])), "\n")
-    return items.agg(F.concat(F.lit("sha256:"), F.substring(sha256(F.coalesce(lines, F.lit(""))), 1, 16)).alias("snapshot"))
+    """One row: the identity of a catalog, over its id:hash lines sorted by both. The lines stream through one hash state; no value holds them."""
+    lines = items.select("item_id", "content_hash", F.concat_ws(":", "item_id", "content_hash").alias("line"))
+    found = ordered_sha256(lines, [], [F.col("item_id"), F.col("content_hash")], F.col("line"), "\n")
+    whole = F.coalesce(F.max("sha256"), sha256(F.lit("")))
+    return found.agg(F.concat(F.lit("sha256:"), F.substring(whole, 1, 16)).alias("snapshot"))
 
 
 def merge_run(plan: DataFrame, previous: DataFrame, encoded: DataFrame) -> DataFrame:
