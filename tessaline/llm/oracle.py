@@ -102,9 +102,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+#: Low bits of the CRC-32 of a decimal id, bit by bit.
+CRC32 = """xor(list_reduce(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: [CAST(ascii(s) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295), 4294967295)"""
+
+PREFIX_TRIE = rf"""
+WITH conv AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+turns AS (
+  SELECT conv_id, sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS turn,
+         len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n_words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS rank
+  FROM conversations WHERE conv_id IS NOT NULL),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS own, t.rank, t.turn, t.n_words FROM conv c JOIN turns t ON t.conv_id = c.base WHERE t.rank <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.rank, t.turn, t.n_words FROM conv c JOIN turns t USING (conv_id) WHERE t.rank > c.h),
+path AS (SELECT conv_id, list(turn ORDER BY own, rank) AS turns, list(n_words ORDER BY own, rank) AS words FROM rebuilt GROUP BY 1),
+whole AS (SELECT conv_id, coalesce(turns, []) AS turns, coalesce(words, []) AS words FROM conv LEFT JOIN path USING (conv_id)),
+member AS (
+  SELECT conv_id, depth, md5(array_to_string(turns[1:depth], '')) AS node, md5(array_to_string(turns[1:depth - 1], '')) AS parent, depth = len(turns) AS ends,
+         CASE WHEN depth = 0 THEN 0 ELSE words[depth] END AS n_words
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS depth FROM whole)),
+node AS (
+  SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_words) AS n_words, count(*) FILTER (ends) AS n_ends,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM member GROUP BY node, depth),
+kids AS (SELECT parent, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT node.*, coalesce(n, 0) AS n_children FROM node LEFT JOIN kids ON kids.parent = node.node),
+total AS (
+  SELECT m.node, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * c.n_words) AS BIGINT) AS saved_tokens
+  FROM counted c JOIN member m ON m.conv_id = c.conv_id AND m.depth <= c.depth GROUP BY 1)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256, c.n_ends
+FROM counted c JOIN total USING (node) LEFT JOIN node p ON p.node = c.parent AND c.depth > 0
+"""
+
 ORACLE_SQL = {
     "op4_embedding_dedup": EMBEDDING_DEDUP,
     "op9_line_dedup": LINE_DEDUP,
     "op10_decontaminate": DECONTAMINATE,
     "op11_quality_rules": QUALITY_RULES,
+    "op12_prefix_trie": PREFIX_TRIE,
 }

@@ -10,6 +10,7 @@ from tessaline.llm import embedding_dedup as op4
 from tessaline.llm import html_text as op5
 from tessaline.llm import line_dedup as op9
 from tessaline.llm import pieces as op8
+from tessaline.llm import prefix_trie as op12
 from tessaline.llm import quality as op6
 from tessaline.llm import quality_rules as op11
 from tessaline.llm import recurrent_lm as op2
@@ -71,6 +72,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "kept")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_recurrent_lm": op2_recurrent_lm,
@@ -83,4 +88,5 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
     "op11_quality_rules": op11_quality_rules,
+    "op12_prefix_trie": op12_prefix_trie,
 }
