@@ -135,10 +135,42 @@ SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id,
 FROM counted c JOIN total USING (node) LEFT JOIN node p ON p.node = c.parent AND c.depth > 0
 """
 
+
+
+def _codes_round(k: int) -> str:
+    """Books k + 1 from books k."""
+    return f"""
+near{k} AS MATERIALIZED (SELECT r, p, min({DISTANCE} * 16 + e) AS best FROM part JOIN book{k} USING (p) GROUP BY r, p),
+mean{k} AS MATERIALIZED (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY d) AS c FROM (
+    SELECT p, best % 16 AS e, d, sum(x[d]) AS s, count(*) AS n FROM near{k} JOIN part USING (r, p), (SELECT unnest(range(1, (SELECT w FROM shape) + 1)) AS d) GROUP BY ALL)
+  GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(CAST(m.c AS BIGINT[]), b.c) AS c FROM book{k} b LEFT JOIN mean{k} m USING (p, e)),"""
+
+
+DISTANCE = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+VECTOR_CODES = f"""
+WITH usable AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+shape AS (SELECT CAST(greatest(1, ceil(max(len(v)) / 8)) AS BIGINT) AS w FROM usable),
+padded AS MATERIALIZED (SELECT r, vec_id, label, list_concat(v, list_transform(range(8 * w - len(v)), lambda i: CAST(0 AS BIGINT))) AS v, w FROM usable, shape),
+part AS MATERIALIZED (SELECT r, p, v[p * w + 1:(p + 1) * w] AS x FROM padded, (SELECT unnest(range(8)) AS p)),
+book0 AS MATERIALIZED (
+  SELECT p, e, x AS c FROM part JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM padded) USING (r) WHERE e < 16),{"".join(map(_codes_round, range(6)))}
+final AS (SELECT r, p, min({DISTANCE} * 16 + e) AS best FROM part JOIN book6 USING (p) GROUP BY r, p),
+coded AS (SELECT r, string_agg(printf('%02x', CAST(best % 16 AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM final GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book6) AS codebooks_sha256
+FROM coded JOIN padded USING (r)
+"""
+
 ORACLE_SQL = {
     "op4_embedding_dedup": EMBEDDING_DEDUP,
     "op9_line_dedup": LINE_DEDUP,
     "op10_decontaminate": DECONTAMINATE,
     "op11_quality_rules": QUALITY_RULES,
     "op12_prefix_trie": PREFIX_TRIE,
+    "op13_vector_codes": VECTOR_CODES,
 }

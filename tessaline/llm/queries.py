@@ -17,6 +17,7 @@ from tessaline.llm import recurrent_lm as op2
 from tessaline.llm import run_index as op1
 from tessaline.llm import simhash as op7
 from tessaline.llm import token_counts as op3
+from tessaline.llm import vector_codes as op13
 from tessaline.llm.common import table
 
 
@@ -76,6 +77,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_recurrent_lm": op2_recurrent_lm,
@@ -89,4 +94,5 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_quality_rules": op11_quality_rules,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_vector_codes": op13_vector_codes,
 }
