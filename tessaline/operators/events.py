@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaline.functions.hashing import event_id, hmac_sha256
+from tessaline.operators.percentiles import exact_percentiles
 
 #: Fixed values of the event model.
 EVENT_TYPES = ("impression", "click", "conversion")
@@ -49,10 +50,16 @@ def histogram(rows: DataFrame, value: str, bounds: tuple[float, ...], *labels: s
 
 
 def latency_percentiles(rows: DataFrame, value: str, *labels: str) -> DataFrame:
-    """(labels, p50, p95, p99, n): exact percentiles with linear interpolation; partial counts by value combine before the shuffle."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    g = rows.groupBy(*labels).agg(p.alias("p"), F.count("*").alias("n"))
-    return g.select(*labels, *[F.col("p")[i].alias(c) for i, c in enumerate(("p50", "p95", "p99"))], "n")
+    """(labels, p50, p95, p99, n): exact percentiles with linear interpolation, and all rows of each group."""
+    names = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    at = lambda f: F.max(F.when(F.col("fraction") == f, F.col("value")))
+    found = exact_percentiles(rows, value, list(names.values()), *labels).groupBy(*labels).agg(*[at(f).alias(c) for c, f in names.items()])
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in labels], *names)
+    counts = rows.groupBy(*labels).agg(F.count("*").alias("n"))
+    same = F.lit(True)
+    for c in labels:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return counts.join(found, same, "left").select(*labels, *names, "n")
 
 
 def valid_row() -> Column:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessaline.operators.percentiles import exact_percentiles
 
 SRM_ALERT = 0.001
 
@@ -43,7 +44,9 @@ def welch(rows: DataFrame, arm: str, value: str) -> DataFrame:
 
 def guardrails(rows: DataFrame, variant: str, failed: str, latency: str, limits: dict[str, float]) -> DataFrame:
     """(variant, n, error_rate, p95, breached): share of failures and 95th percentile of a latency for each variant, against limits (error_rate, p95)."""
-    g = rows.groupBy(variant).agg(F.count("*").alias("n"), F.avg(F.col(failed).cast("double")).alias("error_rate"), F.percentile(latency, F.lit(0.95)).alias("p95"))
+    g = rows.groupBy(variant).agg(F.count("*").alias("n"), F.avg(F.col(failed).cast("double")).alias("error_rate"))
+    p95 = exact_percentiles(rows, latency, [0.95], variant).select(F.col(variant).alias("_variant"), F.col("value").alias("p95"))
+    g = g.join(p95, F.col(variant).eqNullSafe(F.col("_variant")), "left").drop("_variant")
     return g.withColumn("breached", (F.col("error_rate") > limits["error_rate"]) | (F.col("p95") > limits["p95"]))
 
 

@@ -7,53 +7,20 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tessaline.functions import encoder, text, vectors
-from tessaline.operators import ann, backends, cache, evaluation, providers, rerank, search, serving
+from tessaline.operators import backends, cache, evaluation, providers, rerank, search, serving
 from tessaline.plans import fixtures as fx
 from tessaline.plans import retrieval as rt
+from tessaline.plans.approximate import ALL, twentieth
 from tessaline.plans.registry import query
 
 CONFIG = rt.CONFIG
 MMR = replace(CONFIG, mmr=True)
 
 
-# Many queries: every item whose id is divisible by 20
-
-
-def _twentieth(spark, sf_dir):
-    return fx.items(spark, sf_dir).filter("vec_id % 20 = 0").select(F.col("item_id").alias("query_id"), vectors.normalise(F.col("vector")).alias("vector"))
-
-
-ALL = "asked AS (SELECT item_id AS query_id, list_transform(vector, lambda x: x / sqrt(list_inner_product(vector, vector))) AS qv FROM item WHERE vec_id % 20 = 0), scored AS (SELECT query_id, item_id, round(list_inner_product(vector, qv), 6) AS score FROM item, asked)"
-
-
 @query("t12_v17_all_pairs_top_k", fx.with_("item", then="").rstrip() + f", {ALL} {rt.CUT.format('scored', 10)}")
 def t12_all_pairs(spark, sf_dir):
     """Ten nearest of all items for every twentieth, itself included."""
-    return search.search(_twentieth(spark, sf_dir), fx.items(spark, sf_dir), 10)
-
-
-@query("v8_ann_all_cells", fx.with_("item", then="").rstrip() + f", {ALL} {rt.CUT.format('scored', 10)}")
-def v8_ann_all_cells(spark, sf_dir):
-    """The inverted file with all its cells probed, which is exact."""
-    items = fx.items(spark, sf_dir).select("item_id", "vector")
-    cells = ann.fit(items, fx.K)
-    cells = ann.Cells(cells.centroids, len(cells.centroids), 3)
-    return ann.search(_twentieth(spark, sf_dir), ann.assign_cells(items, cells), cells, fx.K)
-
-
-@query("v8_ann_search")
-def v8_ann_search(spark, sf_dir):
-    """With as few cells as reach the target recall."""
-    items = fx.items(spark, sf_dir).select("item_id", "vector")
-    cells = ann.fit(items, fx.K)
-    return ann.search(_twentieth(spark, sf_dir), ann.assign_cells(items, cells), cells, fx.K)
-
-
-@query("v8_ann_recall")
-def v8_ann_recall(spark, sf_dir):
-    """Recall of the approximate search for each of these queries against the exact one."""
-    asked = _twentieth(spark, sf_dir)
-    return evaluation.fidelity(v8_ann_search(spark, sf_dir), search.search(asked, fx.items(spark, sf_dir), fx.K), asked, fx.K)
+    return search.search(twentieth(spark, sf_dir), fx.items(spark, sf_dir), 10)
 
 
 # Encoding
@@ -268,8 +235,8 @@ def x16_report(spark, sf_dir):
 
 @query("x16_ann_report")
 def x16_ann_report(spark, sf_dir):
-    """The same systems over the inverted file."""
-    rows, extra = _ranked(spark, sf_dir, backends.inverted_file, "inverted_file")
+    """The same systems over the layered graph."""
+    rows, extra = _ranked(spark, sf_dir, backends.backend("hnsw", fx.items(spark, sf_dir)), "hnsw")
     return evaluation.report(evaluation.query_metrics(rows.persist(), fx.relevant(spark, sf_dir), fx.K), fx.K).unionByName(extra)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,23 @@ BROADCAST_ROWS = 100_000
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; else without, for the planner to deal."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the folder that all executors share (spark.checkpoint.dir); only a local session may fall back to a folder of its own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        configured = context.getConf().get("spark.checkpoint.dir")
+        if not configured:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="tessaline-")
+        context.setCheckpointDir(configured)
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialised in the shared folder, so that a lost executor costs no recomputation of the lineage."""
+    settle(df.sparkSession)
+    shared_folder(df.sparkSession, "")  # sets the folder
+    return df.checkpoint(eager=True)
