@@ -7,11 +7,12 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tessaline.functions import encoder, text, vectors
-from tessaline.operators import backends, cache, evaluation, providers, rerank, search, serving
+from tessaline.operators import backends, cache, evaluation, lifecycle, merge, providers, rerank, search, serving
 from tessaline.plans import fixtures as fx
 from tessaline.plans import retrieval as rt
 from tessaline.plans.approximate import ALL, twentieth
 from tessaline.plans.registry import query
+from tessaline.session import shared_folder
 
 CONFIG = rt.CONFIG
 MMR = replace(CONFIG, mmr=True)
@@ -44,6 +45,46 @@ def v16_encode(spark, sf_dir):
     return rows.select("item_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
 
 
+DIM, RUN_BUCKETS = 8, 8
+
+
+def _runs(spark, sf_dir):
+    """(plan, previous run, all items encoded) of the two catalogs, as a run stores them."""
+    model = encoder.HashingEncoder(DIM)
+    own = lambda rows: rows.select("item_id", text.content_hash(F.col("title"), F.col("description"), normalise=False).alias("content_hash"), encoder.encode(text.item_text(F.col("title"), F.col("description")), model).alias("embedding"))
+    new, old = own(fx.catalog(spark, sf_dir)), own(fx.previous_catalog(spark, sf_dir))
+    plan = new.select("item_id", "content_hash").join(lifecycle.change_plan(new.select("item_id", "content_hash"), old.select("item_id", "content_hash")).filter("change <> 'deleted'"), "item_id")
+    return plan, old, new
+
+
+def _merged(spark, plan, previous, encoded):
+    folder = shared_folder(spark, "merge")
+    sides = [merge.write_sorted(rows, f"{folder}/{name}", RUN_BUCKETS) for rows, name in ((plan, "plan"), (previous, "previous"), (encoded, "encoded"))]
+    found = merge.merge_sorted(*sides, DIM)
+    return found.withColumn("embedding", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)))
+
+
+RUN_SQL = fx.with_("catalog", "previous", then="").rstrip() + f""", texts AS (SELECT item_id AS id, {fx.item_text_sql('nfc_normalize(title)', 'nfc_normalize(description)')} AS t FROM catalog), {encoded_sql(DIM)},
+vectors AS (SELECT id AS item_id, list(round(x, 5) ORDER BY d) AS embedding FROM encoded GROUP BY 1),
+hashes AS (SELECT item_id, substr(sha256({fx.item_text_sql()}), 1, 16) AS content_hash FROM catalog),
+before AS (SELECT item_id, substr(sha256({fx.item_text_sql()}), 1, 16) AS content_hash FROM previous)
+SELECT h.item_id, h.content_hash, embedding, {{reused}} AS reused FROM hashes h JOIN vectors USING (item_id) LEFT JOIN before b ON b.item_id = h.item_id"""
+
+
+@query("j10_d4_sorted_merge", RUN_SQL.replace("{reused}", "coalesce(h.content_hash = b.content_hash, false)"))
+def j10_sorted_merge(spark, sf_dir):
+    """Unchanged vectors of the previous run and newly encoded ones, as sorted streams."""
+    plan, old, new = _runs(spark, sf_dir)
+    return _merged(spark, plan, old, new.join(plan.filter("change <> 'unchanged'").select("item_id"), "item_id", "left_semi"))
+
+
+@query("d1_full_run", RUN_SQL.replace("{reused}", "false"))
+def d1_full_run(spark, sf_dir):
+    """A run that encodes everything, whatever an earlier one holds."""
+    plan, old, new = _runs(spark, sf_dir)
+    return _merged(spark, plan.withColumn("change", F.lit("new")), old.limit(0), new)
+
+
 def _text_seeds(spark, sf_dir):
     """(query_id, item_id): three documents for each of some queries, one of them twice, one unknown."""
     rows = fx.catalog(spark, sf_dir).filter("doc_id % 10 < 3").select(F.concat(F.lit("t"), F.floor(F.col("doc_id") / 100).cast("string")).alias("query_id"), "item_id", "doc_id")
