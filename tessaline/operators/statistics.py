@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaline.operators.percentiles import exact_percentiles
+from tessaline.session import cut
 
 SRM_ALERT = 0.001
 
@@ -82,12 +83,17 @@ def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
     return scored.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg(F.col("label").cast("double")).alias("rate"))
 
 
-def area_under_curve(scored: DataFrame) -> DataFrame:
-    """(auc) of (score, label): the chance that a 1 scores above a 0, ties by half. One row for each distinct score is ranked, not each row."""
-    g = scored.groupBy("score").agg(F.count(F.when(F.col("label") == 1, 1)).alias("ones"), F.count(F.when(F.col("label") == 0, 1)).alias("zeros"))
-    below = F.coalesce(F.sum("zeros").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = g.select("ones", "zeros", below.alias("below"))
-    return g.agg((F.sum(F.col("ones") * (F.col("below") + F.col("zeros") / 2)) / (F.sum("ones") * F.sum("zeros"))).alias("auc"))
+def area_under_curve(scored: DataFrame, *groups: str) -> DataFrame:
+    """(groups, auc) of (groups, score, label): the chance that a 1 scores above a 0, ties by half; null for a group of one class. Distinct scores are dealt by ranges, of which each knows the zeros before it; no task ranks them all."""
+    g = scored.groupBy(*groups, "score").agg(F.count(F.when(F.col("label") == 1, 1)).alias("ones"), F.count(F.when(F.col("label") == 0, 1)).alias("zeros"))
+    g = cut(g.repartitionByRange(*groups, "score").withColumn("_part", F.spark_partition_id()))
+    ranges = g.groupBy(*groups, "_part").agg(F.sum("zeros").alias("_zeros"))
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*groups, "_part", F.coalesce(F.sum("_zeros").over(earlier), F.lit(0)).alias("_before"))  # a row for each range and group
+    own = Window.partitionBy("_part", *groups).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("_below", F.coalesce(F.sum("zeros").over(own), F.lit(0))).join(ranges, [*groups, "_part"])
+    below = F.col("_before") + F.col("_below") + F.col("zeros") / 2
+    return g.groupBy(*groups).agg(F.try_divide(F.sum(F.col("ones") * below), F.sum("ones") * F.sum("zeros")).alias("auc"))
 
 
 def chi2_tail(x: float, df: int) -> float:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from tessaline.operators import events, experiments, statistics
+from tessaline.operators import churn, drift, events, experiments, statistics
 from tessaline.plans import activity as act
 from tessaline.plans import fixtures as fx
 from tessaline.plans.registry import query
@@ -240,18 +242,62 @@ def ext_auc(spark, sf_dir):
     return statistics.area_under_curve(_scored(spark, sf_dir)).select(F.round("auc", 6).alias("auc"))
 
 
+# Churn and drift as their own figures would be watched
+
+
+CUTOFFS = {"train": [datetime(2024, 1, 11), datetime(2024, 1, 14), datetime(2024, 1, 17)], "validation": [datetime(2024, 1, 21)], "test": [datetime(2024, 1, 26)]}
+LOOKBACK_DAYS, HORIZON_HOURS = 10, 24
+
+
+def _examples(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("kind"), "value")
+    return churn.split_by_time(rows, CUTOFFS, LOOKBACK_DAYS, HORIZON_HOURS)
+
+
+def _examples_sql() -> str:
+    cutoffs = ", ".join(f"('{s}', TIMESTAMP '{c}')" for s, cs in CUTOFFS.items() for c in cs)
+    n, late = "count(*) FILTER (ts < cutoff)", f"count(*) FILTER (ts < cutoff AND ts >= cutoff - INTERVAL {LOOKBACK_DAYS * 12} HOUR)"
+    return f"""SELECT split, cutoff, user_id, round((epoch_us(cutoff) - epoch_us(max(ts) FILTER (ts < cutoff))) / 86400e6, 6) AS recency_days, CAST({n} AS DOUBLE) AS events, CAST(count(DISTINCT CAST(ts AS DATE)) FILTER (ts < cutoff) AS DOUBLE) AS active_days,
+  CAST(count(DISTINCT event_type) FILTER (ts < cutoff) AS DOUBLE) AS kinds, round(coalesce(avg(value) FILTER (ts < cutoff), 0), 10) AS value, round((2 * {late} - {n}) / greatest({n}, 1), 6) AS trend, CAST(count(*) FILTER (ts >= cutoff) = 0 AS INTEGER) AS label
+FROM events, (VALUES {cutoffs}) c(split, cutoff) WHERE ts >= cutoff - INTERVAL {LOOKBACK_DAYS} DAY AND ts < cutoff + INTERVAL {HORIZON_HOURS} HOUR GROUP BY split, cutoff, user_id HAVING {n} > 0"""
+
+
+@query("ext_churn_splits", _examples_sql())
+def ext_churn_splits(spark, sf_dir):
+    """Features and labels of users at cutoffs in time, by split."""
+    return _examples(spark, sf_dir).withColumns({c: F.round(c, n) for c, n in (("recency_days", 6), ("value", 10), ("trend", 6))})
+
+
 @query("ext_churn_model")
 def ext_churn_model(spark, sf_dir):
-    """(auc) of a logistic regression on users' activity in the first weeks, for whether they are idle in the last."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = table(spark, sf_dir, "events").withColumn("late", F.col("ts") >= F.lit("2024-01-27").cast("timestamp_ntz"))
-    early = lambda c: F.when(~F.col("late"), c)
-    users = rows.groupBy("user_id").agg(F.count(early(F.lit(1))).cast("double").alias("n"), F.count(early(F.when(F.col("event_type") == "purchase", 1))).cast("double").alias("purchases"), F.coalesce(F.avg(early(F.col("value"))), F.lit(0.0)).alias("mean"), F.coalesce(F.datediff(F.lit("2024-01-27"), F.max(early(F.col("ts")))), F.lit(30)).cast("double").alias("idle"), (F.count(F.when(F.col("late"), 1)) == 0).cast("int").alias("label"))
-    data = VectorAssembler(inputCols=["n", "purchases", "mean", "idle"], outputCol="features").transform(users)
-    if data.select("label").distinct().count() < 2:
-        return spark.createDataFrame([(None,)], "auc double")
-    scored = LogisticRegression(maxIter=50, regParam=0.01).fit(data).transform(data).select(vector_to_array("probability")[1].alias("score"), "label")
-    return statistics.area_under_curve(scored)
+    """AUC and Brier score of both models on the validation and test splits, and which one validation chooses."""
+    return churn.evaluate(churn.fit_and_score(_examples(spark, sf_dir)))
+
+
+@query("ext_churn_reliability")
+def ext_churn_reliability(spark, sf_dir):
+    """Reliability of the chosen model on the test split."""
+    scores = churn.fit_and_score(_examples(spark, sf_dir))
+    return churn.reliability(scores, churn.evaluate(scores))
+
+
+@query("ext_psi_components")
+def ext_psi_components(spark, sf_dir):
+    """Stability of vectors on the first five components of the reference half: even ids before, odd ids now."""
+    return drift.component_drift(table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 2).alias("period"), "embedding"), "period", "embedding").withColumn("psi", F.round("psi", 6))
+
+
+AXES = 8
+
+
+@query("ext_psi_axes", f"""
+WITH score AS (SELECT vec_id % 2 AS period, c AS component, CAST(embedding[c] AS DOUBLE) AS score FROM embeddings, (SELECT unnest(range(1, {AXES + 1})) AS c) WHERE embedding IS NOT NULL),
+edge AS (SELECT component, unnest(quantile_cont(score, [i / 10 for i in range(1, 10)])) AS e FROM score WHERE period = 0 GROUP BY 1),
+bin AS (SELECT period, s.component, (SELECT count(*) FROM edge WHERE edge.component = s.component AND s.score >= e) AS bin FROM score s),
+n AS (SELECT g.component, g.bin, count(*) FILTER (period = 0) AS a, count(*) FILTER (period = 1) AS b FROM (SELECT DISTINCT component, x AS bin FROM edge, (SELECT unnest(range(10)) AS x)) g LEFT JOIN bin USING (component, bin) GROUP BY ALL),
+share AS (SELECT component, greatest(a / sum(a) OVER w, 1e-4) AS p, greatest(b / sum(b) OVER w, 1e-4) AS q FROM n WINDOW w AS (PARTITION BY component))
+SELECT CAST(component AS INTEGER) AS component, round(sum((q - p) * ln(q / p)), 6) AS psi FROM share GROUP BY 1""")
+def ext_psi_axes(spark, sf_dir):
+    """The same with the first coordinates as axes, which SQL can follow: shared quantile bins for each."""
+    rows = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL").select((F.col("vec_id") % 2).cast("int").alias("period"), F.posexplode(F.slice("embedding", 1, AXES)).alias("at", "x"))
+    return drift.stability(rows.select("period", (F.col("at") + 1).alias("component"), F.col("x").cast("double").alias("score"))).withColumn("psi", F.round("psi", 6))
