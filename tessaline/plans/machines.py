@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from tessaline.operators import churn, drift, events, experiments, statistics
 from tessaline.plans import activity as act
 from tessaline.plans import fixtures as fx
+from tessaline.plans import registry
 from tessaline.plans.registry import query
 from tessaline.plans.rules import KEY, hmac_sql
-from tessaline.session import table
-from tessaline.streaming import state
+from tessaline.session import shared_folder, table
+from tessaline.streaming import limits, state
 
 LOG = """log AS (
   SELECT *, row_number() OVER (PARTITION BY key ORDER BY now, seq) AS n FROM (
@@ -64,6 +65,29 @@ def st3_two_tiers(spark, sf_dir):
     return state.two_tiers(_requests(spark, sf_dir).withColumn("user", F.col("bucket_id")).drop("bucket_id"), "ip", "user", FIRST, SECOND)
 
 
+def _streamed(spark, sf_dir, decide):
+    """What a stream of the requests in several batches decides, from a file sink."""
+    folder = shared_folder(spark, "limits")
+    rows = _requests(spark, sf_dir).select("bucket_id", F.col("bucket_id").alias("user"), "ip", "seq", F.timestamp_micros(F.round(F.col("now") * 1e6).cast("long")).alias("ts"), "cost")
+    limits.write_batches(rows, "ts", f"{folder}/in", 3)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    found = decide(stream)
+    limits.run_available(found, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
+@query("st1_token_bucket_stream", "WITH RECURSIVE " + LOG.format(key="'u' || user_id", source="events") + ", " + bucket_sql("run", "log", 3.0, DAY) + BUCKET_ROWS.format(rate=DAY))
+def st1_token_bucket_stream(spark, sf_dir):
+    """The same decisions by a stream with keyed state that expires."""
+    return _streamed(spark, sf_dir, lambda rows: limits.token_bucket_stream(rows, 3.0, DAY))
+
+
+@query("st3_two_tiers_stream", registry.ORACLE["st3_two_tiers"])
+def st3_two_tiers_stream(spark, sf_dir):
+    """Both tiers as one stream of two stateful steps."""
+    return _streamed(spark, sf_dir, lambda rows: limits.two_tier_stream(rows, "ip", "user", FIRST, SECOND))
+
+
 FAILED = "CASE WHEN event_type = 'signup' AND seq % 50 = 0 THEN NULL ELSE event_type = 'error' END"
 
 
