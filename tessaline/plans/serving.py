@@ -45,6 +45,15 @@ def v16_encode(spark, sf_dir):
     return rows.select("item_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
 
 
+@query("v16_token_vectors")
+def v16_token_vectors(spark, sf_dir):
+    """The catalog by the tokenising encoder, over a public vocabulary."""
+    import public_tokenizers
+
+    model = encoder.TokenEncoder(public_tokenizers.path("word_bpe_49k.json"), 32)
+    return fx.catalog(spark, sf_dir).select("item_id", encoder.encode(text.item_text(F.col("title"), F.col("description")), model).alias("embedding"))
+
+
 DIM, RUN_BUCKETS = 8, 8
 
 
