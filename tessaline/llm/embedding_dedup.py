@@ -1,6 +1,6 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Equal vectors are one row from the start. In each pass every vector gets a
+Equal vectors are one row from the start, under a number of their own (rep). In each pass every vector gets a
 string of signs of random projections; vectors are ordered by these strings
 lexicographically (a range partition and a sort) and compared with the next WINDOW
 neighbours, also across partition borders. Verified pairs are united over all passes. At
@@ -23,8 +23,10 @@ the core. That work grows with the vectors outside the core times all of the com
 
 Defined results: vectors that are null, empty, zero or that hold null or non-finite
 components link with nothing; vectors of different lengths do not link; equal vectors link
-with each other; rows that share vec_id and vector are one vector and get a row each; a null
-vec_id links with nothing; ties in a sort order are broken by the least vec_id; vectors of any length
+with each other; rows that share vec_id and vector are one vector and get a row each; rows that share a vec_id
+and differ in the vector are vectors of their own, which the id alone does not link, each with its own links and
+the smallest vec_id of its own component; a null
+vec_id links with nothing; ties in a sort order are broken by the vector's number; vectors of any length
 are compared whole; other columns are ignored, whatever their names; an empty table works.
 """
 
@@ -275,8 +277,8 @@ def near_duplicates(rows: DataFrame, least: float = MIN_COSINE, window: int = WI
     own = own.withColumn("vector", F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x)))  # no -0.0
     ok = F.col("vec_id").isNotNull() & _usable("vector")
     usable = own.filter(ok)
-    copies = usable.distinct().groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    copies = cut(copies)
+    copies = usable.distinct().groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
+    copies = cut(copies.withColumn("rep", F.monotonically_increasing_id()))
     prefix, passes = schedule(copies.count(), least, window, miss)
 
     keyed = copies.select("rep", "vector").mapInArrow(partial(_keys, passes=passes), f"dim int, pass int, key long, rep long, vector array<{kind}>")
@@ -296,7 +298,10 @@ def near_duplicates(rows: DataFrame, least: float = MIN_COSINE, window: int = WI
         parts = cut(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b"))
     counted = count_links(copies, parts, least)
 
-    known = copies.join(parts, copies["rep"] == parts["node"], "left").select("rep", "copies", F.coalesce("component", "rep").alias("component_id"), copies["vector"])
+    ids = copies.select("rep", "least_id").join(parts, F.col("rep") == F.col("node"))
+    least_ids = ids.groupBy(F.col("component").alias("_component")).agg(F.min("least_id").alias("_least"))
+    parts = parts.join(least_ids, F.col("component") == F.col("_component")).select("node", F.col("_least").alias("component"))
+    known = copies.join(parts, copies["rep"] == parts["node"], "left").select("rep", "copies", F.coalesce("component", "least_id").alias("component_id"), copies["vector"])
     known = known.join(counted.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep"), "left")
     known = known.select(F.col("vector").alias("_vector"), F.xxhash64("vector").alias("_h"), "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     mine = own.withColumn("ok", ok).withColumn("h", F.when(F.col("ok"), F.xxhash64("vector")))

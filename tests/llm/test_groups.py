@@ -208,3 +208,33 @@ def test_embeddings_of_a_dense_group(spark):
     missed = sum(near.sum(axis=1).tolist()) - sum(n for n, _ in got.values())
     assert missed <= 2, f"{missed // 2} of {len(links)} links"
     assert sum(got[i][1] != want[i] for i in want) <= 1
+
+
+def test_embeddings_of_shared_ids(spark):
+    """Rows that share an id and differ in the vector are vectors of their own; equal rows are one."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((12, 8))
+    rows = [(int(rng.integers(0, 40)), (centres[rng.integers(0, 12)] + 0.08 * rng.standard_normal(8)).astype(np.float32).tolist()) for _ in range(150)]
+    rows += rows[:30] + [(i % 40, rows[3][1]) for i in range(25)]
+    probe = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.001]), (3, [0.001, 1.0])]
+    for case in (probe, rows):
+        nodes = sorted({(i, tuple(v)) for i, v in case})
+        x = np.array([v for _, v in nodes], dtype=np.float32).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near = x @ x.T >= 0.95
+        root = least_reachable(range(len(nodes)), [(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True) if a < b])  # nodes are sorted by id
+        want = {n: (int(near[k].sum()) - 1, nodes[root[k]][0]) for k, n in enumerate(nodes)}
+        df = spark.createDataFrame(case, "vec_id long, embedding array<float>").repartition(3)
+        assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == sorted((i, *want[i, tuple(v)]) for i, v in case)
+
+
+def test_links_of_a_whole_table_by_brute_force(spark):
+    """Every row of a given table, ids divisible by 20 against all: the links that brute force finds, and none else."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    data = rows.select("vec_id", "embedding").toPandas()
+    x = np.array(data.embedding.tolist(), dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    asked = np.flatnonzero(data.vec_id.to_numpy() % 20 == 0)
+    want = dict(zip(data.vec_id.to_numpy()[asked].tolist(), ((x[asked] @ x.T >= 0.95).sum(axis=1) - 1).tolist(), strict=True))
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(rows).filter("vec_id % 20 = 0").collect()}
+    assert got == want
