@@ -6,9 +6,9 @@ smaller doc_id. Texts are UTF-8 bytes; matches never cross documents.
 Routing: of the hashes of the 16-byte strings in a window of LENGTH bytes the least is the
 window's key, so equal windows have equal keys wherever they stand. Runs of windows with one
 key are segments. Documents are dealt to blocks of about BLOCK_BYTES. Each block sends each
-of its keys once, with the size of its own group of documents, to the key's bucket; the bucket
+of its keys once, with the numbers of its own documents and segments that hold it, to the key's bucket; the bucket
 answers with the keys that two documents or more hold. Only segments with such keys travel, one
-copy per block and text, to the bucket of their key. A key with more than HOT occurrences
+copy per block and text, to the bucket of their key; of further copies in the same document, only the places travel. A key with more than HOT segments
 travels window by window instead, to the bucket of the whole window's hash, so that no
 bucket gathers such a family.
 
@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from tessaline.llm.common import shuffle_partitions, text_bytes
 
 LENGTH, GRAM = 50, 16
+PARTITIONS = 100_000  # at most, for any number of blocks; a task takes its blocks one by one
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 8
 HOT = 1 << 16  # occurrences of a key beyond which its windows are dealt one by one
 CHUNK = 1 << 17  # bytes of segments in one index; its arrays stay in the cache
@@ -137,7 +138,7 @@ def _by_bucket(bucket: np.ndarray, order: np.ndarray):
 
 
 def send_keys(block: int, table: pa.Table, buckets: int) -> pa.Table:
-    """(bucket, block, keys, sizes): each key of a block once, with the power of two of its documents."""
+    """(bucket, block, keys, sizes, times): each key of a block once, with the powers of two of its documents and of its segments."""
     own = Block(table)
     row, _, _, key = own.segments()
     doc = own.docs[row]
@@ -147,10 +148,13 @@ def send_keys(block: int, table: pa.Table, buckets: int) -> pa.Table:
     fresh = first | np.concatenate([[True], d[1:] != d[:-1]]) if len(k) else first
     starts = np.flatnonzero(first)
     docs = np.add.reduceat(fresh.astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
+    times = np.diff(np.append(starts, len(k)))
     bucket, low = split_key(k[starts], buckets)
     order = np.lexsort([low, bucket])
-    rows = [(b, low[at].tobytes(), np.ceil(np.log2(docs[at])).astype(np.uint8).tobytes()) for b, at in _by_bucket(bucket, order)]
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "sizes": pa.array([r[2] for r in rows], pa.binary())})
+    power = lambda n: np.ceil(np.log2(n)).astype(np.uint8).tobytes()
+    rows = [(b, low[at].tobytes(), power(docs[at]), power(times[at])) for b, at in _by_bucket(bucket, order)]
+    sent = {n: pa.array([r[i] for r in rows], pa.binary()) for i, n in ((1, "keys"), (2, "sizes"), (3, "times"))}
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), **sent})
 
 
 def answer_keys(bucket: int, table: pa.Table, hot: int) -> pa.Table:
@@ -158,30 +162,30 @@ def answer_keys(bucket: int, table: pa.Table, hot: int) -> pa.Table:
     parts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]
     blocks = table.column("block").to_numpy()
     keys = np.concatenate(parts)
-    size = np.int64(1) << np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("sizes")]).astype(np.int64)
+    size, times = (np.int64(1) << np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column(c)]).astype(np.int64) for c in ("sizes", "times"))
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     order = np.argsort(keys, kind="stable")
     starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-    total = np.repeat(np.add.reduceat(size[order], starts), np.diff(np.append(starts, len(keys))))
-    often = np.empty(len(keys), np.int64)
-    often[order] = total
+    often, load = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+    for total, of in ((often, size), (load, times)):
+        total[order] = np.repeat(np.add.reduceat(of[order], starts), np.diff(np.append(starts, len(keys))))
     chosen = np.flatnonzero(often >= 2)
     cuts = np.searchsorted(owner[chosen], np.arange(len(parts) + 1))
     out = [chosen[cuts[i] : cuts[i + 1]] for i in range(len(parts))]
     kept = [i for i in range(len(parts)) if len(out[i])]
-    return pa.table({"block": pa.array([int(blocks[i]) for i in kept], pa.int32()), "bucket": pa.array([bucket] * len(kept), pa.int32()), "keys": pa.array([keys[out[i]].tobytes() for i in kept], pa.binary()), "hot": pa.array([(often[out[i]] > hot).astype(np.uint8).tobytes() for i in kept], pa.binary())})
+    return pa.table({"block": pa.array([int(blocks[i]) for i in kept], pa.int32()), "bucket": pa.array([bucket] * len(kept), pa.int32()), "keys": pa.array([keys[out[i]].tobytes() for i in kept], pa.binary()), "hot": pa.array([(load[out[i]] > hot).astype(np.uint8).tobytes() for i in kept], pa.binary())})
 
 
-SENT = "bucket int, block int, texts binary, lengths binary, docs binary, rows binary, starts binary, keys binary"
+SENT = "bucket int, block int, texts binary, lengths binary, docs binary, rows binary, starts binary, keys binary, copies binary"
 
 
 def _sent(rows: list[tuple]) -> pa.Table:
-    names = ["bucket", "block", "texts", "lengths", "docs", "rows", "starts", "keys"]
+    names = ["bucket", "block", "texts", "lengths", "docs", "rows", "starts", "keys", "copies"]
     return pa.table({n: pa.array([r[i] for r in rows], pa.int32() if i < 2 else pa.binary()) for i, n in enumerate(names)})
 
 
 def send_segments(block: int, table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
-    """Segments with repeated keys, a copy for each text; and, with null texts, what repeats within the block itself."""
+    """Segments with repeated keys, one for each text, with the places (entry, row, start) of its further copies in the same document; and, with null texts, what repeats within the block itself."""
     if not table.num_rows or not answers.num_rows:
         return _sent([])
     own = Block(table)
@@ -211,7 +215,7 @@ def send_segments(block: int, table: pa.Table, answers: pa.Table, buckets: int)
         bucket = split_key(key, buckets)[0]
     else:
         row, at, windows, key, bucket = row[chosen], at[chosen], windows[chosen], key[chosen], bucket[chosen]
-    data, least, send, marks = own.data.tobytes(), {}, [], []
+    data, least, send, marks, place_of, entry, copy = own.data.tobytes(), {}, [], [], {}, [], []
     docs, begin = own.docs[row].tolist(), (at - own.bounds[row]).tolist()
     ends = (at + windows + LENGTH - 1).tolist()
     texts = [data[s:e] for s, e in zip(at.tolist(), ends)]
@@ -219,15 +223,28 @@ def send_segments(block: int, table: pa.Table, answers: pa.Table, buckets: int)
         if least.get(text, doc) >= doc:
             least[text] = doc
     for i, (text, doc) in enumerate(zip(texts, docs)):
-        (marks if least[text] < doc else send).append(i)
+        if least[text] < doc:
+            marks.append(i)
+        elif (first := place_of.setdefault(text, i)) == i:
+            send.append(i)
+        else:
+            entry.append(first)
+            copy.append(i)
+    entry, copy = np.array(entry, dtype=np.int64), np.array(copy, dtype=np.int64)
+    by_entry = np.argsort(entry, kind="stable")
+    entry, copy = entry[by_entry], copy[by_entry]
     rows = []
     if marks:
         m = np.array(marks)
-        rows.append((block % buckets, block, None, windows[m].astype(np.int32).tobytes(), None, row[m].astype(np.int32).tobytes(), np.array(begin)[m].astype(np.int32).tobytes(), None))
+        rows.append((block % buckets, block, None, windows[m].astype(np.int32).tobytes(), None, row[m].astype(np.int32).tobytes(), np.array(begin)[m].astype(np.int32).tobytes(), None, None))
     m = np.array(send, dtype=np.int64)
     for b, part in _by_bucket(bucket[m], np.argsort(bucket[m], kind="stable")):
         i = m[part]
-        rows.append((b, block, b"".join(texts[j] for j in i), (windows[i] + LENGTH - 1).astype(np.int32).tobytes(), own.docs[row[i]].tobytes(), row[i].astype(np.int32).tobytes(), (at[i] - own.bounds[row[i]]).astype(np.int32).tobytes(), key[i].tobytes()))
+        places = lambda j: (row[j].astype(np.int32), (at[j] - own.bounds[row[j]]).astype(np.int32))
+        nth, place = _matches(entry, i)
+        more = copy[place]
+        copies = np.stack([nth.astype(np.int32), *places(more)], axis=1).tobytes() if len(more) else None
+        rows.append((b, block, b"".join(texts[j] for j in i), (windows[i] + LENGTH - 1).astype(np.int32).tobytes(), own.docs[row[i]].tobytes(), *(x.tobytes() for x in places(i)), key[i].tobytes(), copies))
     return _sent(rows)
 
 
@@ -406,10 +423,20 @@ def _repeated_runs(texts: list[bytes], docs: np.ndarray, least: np.ndarray, most
     return asked[text], start - offset[text], end - start
 
 
+def _matches(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all wanted[i] == ordered[j]."""
+    low = np.searchsorted(ordered, wanted)
+    times = np.searchsorted(ordered, wanted, side="right") - low
+    i = np.repeat(np.arange(len(wanted)), times)
+    return i, np.repeat(low, times) + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+
+
 def mark_repeats(table: pa.Table, chunk: int) -> pa.Table:
     """(block, rows, starts, windows): runs of windows to remove."""
     texts: list[bytes] = []
     columns: list[list[np.ndarray]] = [[], [], [], [], []]  # block, doc, row, start, key
+    further: list[np.ndarray] = [np.empty((0, 3), np.int64)]  # entry, row, start of further copies
+    entries = 0
     found: list[tuple[np.ndarray, ...]] = []  # block, row, start, windows
     for r in table.to_pylist():
         lengths, rows, starts = (np.frombuffer(r[c], np.int32) for c in ("lengths", "rows", "starts"))
@@ -417,6 +444,9 @@ def mark_repeats(table: pa.Table, chunk: int) -> pa.Table:
         if r["texts"] is None:  # repeats within the block, for its own use
             found.append((block, rows, starts, lengths))
             continue
+        if r["copies"] is not None:
+            further.append(np.frombuffer(r["copies"], np.int32).reshape(-1, 3).astype(np.int64) + [entries, 0, 0])
+        entries += len(lengths)
         cuts = np.concatenate([[0], np.cumsum(lengths)]).tolist()
         texts += [r["texts"][s:e] for s, e in zip(cuts[:-1], cuts[1:])]
         for column, part in zip(columns, (block, np.frombuffer(r["docs"], np.int64), rows, starts, np.frombuffer(r["keys"], np.uint64))):
@@ -432,7 +462,7 @@ def mark_repeats(table: pa.Table, chunk: int) -> pa.Table:
         key = np.empty(len(distinct), np.uint64)
         key[of] = keys
         whole = docs > least[of]  # a smaller document holds all of the segment
-        found.append((blocks[whole], rows[whole], starts[whole], (sizes[of[whole]] - LENGTH + 1).astype(np.int32)))
+        gone = [(np.flatnonzero(whole), np.zeros(int(whole.sum()), np.int64), sizes[of[whole]] - LENGTH + 1)]  # entry, first window, windows
 
         order = np.argsort(key, kind="stable")
         first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
@@ -456,11 +486,13 @@ def mark_repeats(table: pa.Table, chunk: int) -> pa.Table:
             text, start, windows = map(np.concatenate, zip(*runs))
             own = np.flatnonzero(~whole)
             own = own[np.argsort(of[own], kind="stable")]
-            low = np.searchsorted(of[own], text)
-            times = np.searchsorted(of[own], text, side="right") - low
-            run = np.repeat(np.arange(len(text)), times)
-            entry = own[np.repeat(low, times) + np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)]
-            found.append((blocks[entry], rows[entry], (starts[entry] + start[run]).astype(np.int32), windows[run].astype(np.int32)))
+            run, place = _matches(of[own], text)
+            gone.append((own[place], start[run], windows[run]))
+        entry, start, windows = map(np.concatenate, zip(*gone))
+        found.append((blocks[entry], rows[entry], (starts[entry] + start).astype(np.int32), windows.astype(np.int32)))
+        copies = np.concatenate(further)  # of every entry in order
+        run, place = _matches(copies[:, 0], entry)
+        found.append((blocks[entry[run]], copies[place, 1].astype(np.int32), (copies[place, 2] + start[run]).astype(np.int32), windows[run].astype(np.int32)))
     out = []
     if found:
         blocks, *rest = map(np.concatenate, zip(*found))
@@ -494,7 +526,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = H
     buckets = blocks
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    dealt = own.repartition(max(blocks, shuffle_partitions(docs.sparkSession)), "block")  # one exchange, read three times
+    dealt = own.repartition(min(max(blocks, shuffle_partitions(docs.sparkSession)), PARTITIONS), "block")  # one exchange, read three times
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         return send_keys(key[0].as_py(), table, buckets)
@@ -511,7 +543,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = H
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         return remove_marked(left, right)
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, sizes binary")
+    asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, sizes binary, times binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, keys binary, hot binary")
     sent = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, SENT)
     marks = sent.groupBy("bucket").applyInArrow(mark, "block int, rows binary, starts binary, windows binary")

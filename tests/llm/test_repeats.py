@@ -102,3 +102,43 @@ def test_buckets_gather_what_blocks_send(spark):
     """Many blocks and few documents: messages go to buckets with keys only, and the result does not change."""
     rows = corpus(40)
     assert run(spark, rows, block_bytes=200) == plain(rows)
+
+
+def messages(rows, hot=1 << 16):
+    """What one block of these rows sends."""
+    import pyarrow as pa
+
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})
+    asked = run_index.send_keys(0, table, 4)
+    answers = pa.concat_tables([run_index.answer_keys(b, asked.filter(pa.compute.equal(asked["bucket"], b)), hot) for b in set(asked["bucket"].to_pylist())])
+    return run_index.send_segments(0, table, answers, 4).to_pylist()
+
+
+LINE = "The quick brown fox jumps over the lazy dog while seventy others sit.\n"
+
+
+@pytest.mark.parametrize("times", [2_000, 20_000])
+def test_copies_within_a_document_are_sent_once(times):
+    sent = [r for r in messages([(1, LINE * times), (2, LINE * 2)]) if r["texts"] is not None]
+    segments = sum(len(r["lengths"]) // 4 for r in sent)
+    assert segments <= 10 and sum(len(r["texts"]) for r in sent) < 2_000
+    assert sum(len(r["copies"] or b"") for r in sent) < 12 * 5 * times  # places only
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 2_000}, {"block_bytes": 2_000, "hot": 8}])
+def test_a_line_repeated_within_documents(spark, options):
+    """In the least document, in later ones, and in rows that share a doc_id; of copies in one document all or none go."""
+    rows = [(5, LINE * 40), (7, "head\n" + LINE * 30 + "tail"), (7, LINE * 3 + "another"), (9, LINE + "x" * 20 + LINE[:55]), (2, "nothing of the kind"), (11, LINE * 25), (11, None)]
+    assert run(spark, rows, **options) == plain(rows)
+    rows += [(1, "..." + LINE[5:62] + "...")]  # now a part of it starts before
+    assert run(spark, rows, **options) == plain(rows)
+
+
+def test_a_key_of_one_document_is_hot_by_its_segments():
+    import pyarrow as pa
+
+    table = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": pa.array([LINE * 300, LINE], pa.string())})
+    asked = run_index.send_keys(0, table, 1)
+    answer = run_index.answer_keys(0, asked, 100)
+    assert any(b"\1" in h for h in answer["hot"].to_pylist())
+    assert not any(b"\1" in h for h in run_index.answer_keys(0, asked, 4096)["hot"].to_pylist())
