@@ -12,7 +12,7 @@ from tessaline.functions.hashing import short_hash
 
 #: The longest item text, what stands between title and description, and the characters that count as white space.
 MAX_CHARS, SEPARATOR = 512, " | "
-SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+SPACE = r"(?U:[\s\x1C-\x1F])"  # \s: the white space of Unicode
 
 
 def nfkc(text: Column) -> Column:
@@ -30,6 +30,12 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+def collapse_head(text: Column, most: int) -> Column:
+    """collapse(text), of which only the first most characters count: a long text is read no further than it takes."""
+    head = collapse(F.substring(text, 1, 4 * most))
+    return F.when(F.length(head) > most, head).otherwise(collapse(text))
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
@@ -37,7 +43,7 @@ def strip(text: Column) -> Column:
 
 def item_text(title: Column, description: Column, normalise: bool = True) -> Column:
     """The text that represents an item: title, or title and description, at most MAX_CHARS characters."""
-    prepare = (lambda c: collapse(nfkc(c))) if normalise else collapse
+    prepare = lambda c: collapse_head(nfkc(c) if normalise else c, MAX_CHARS)
     title, description = prepare(title), prepare(description)
     both = F.when(F.length(description) > 0, F.concat(title, F.lit(SEPARATOR), description)).otherwise(title)
     return F.trim(F.substring(both, 1, MAX_CHARS))

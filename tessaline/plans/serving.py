@@ -12,7 +12,7 @@ from tessaline.plans import fixtures as fx
 from tessaline.plans import retrieval as rt
 from tessaline.plans.approximate import ALL, twentieth
 from tessaline.plans.registry import query
-from tessaline.session import shared_folder
+from tessaline.session import cut, shared_folder
 
 CONFIG = rt.CONFIG
 MMR = replace(CONFIG, mmr=True)
@@ -240,21 +240,22 @@ def _evaluated(then: str) -> str:
 def _ranked(spark, sf_dir, backend=backends.exact, name="exact_knn"):
     """(system, query_id, item_id, rank) of a backend and of its two re-ranked arms; what the arms' retrieval shares with exact search; and missing rates.
 
-    One retrieval serves both arms. It and the ranked rows, a few for each query, are kept for their several uses.
+    One retrieval serves all three: without its seeds, its best are the plain answer. It and the ranked rows, a few for each query, are
+    written for their several uses.
     """
     named = lambda df, system: df.select(F.lit(system).alias("system"), "query_id", "item_id", "rank")
-    seeds, items, asked = fx.seeds(spark, sf_dir), fx.items(spark, sf_dir), rt._asked(spark, sf_dir)
-    exact = rt.v6_exact_knn(spark, sf_dir).persist()
-    plain = exact if backend is backends.exact else search.drop_seeds(backend(rt._vectors(spark, sf_dir), items, fx.K + 3, None), seeds, fx.K).persist()
+    seeds, asked = fx.seeds(spark, sf_dir), rt._asked(spark, sf_dir)
     requests, retrieval = _retrieve(spark, sf_dir, CONFIG, backend=backend)
-    retrieval = replace(retrieval, candidates=retrieval.candidates.persist())
-    pool = search.drop_seeds(retrieval.candidates.select("query_id", "item_id", "score"), seeds, fx.K)
-    shared = evaluation.mean_fidelity(pool, exact, asked, fx.K, "", "ann_recall_vs_exact_pre_rerank")
-    rows, extra = named(plain, name), evaluation.mean_fidelity(plain, exact, asked, fx.K, name, "ann_recall_vs_exact")
+    retrieval = replace(retrieval, candidates=cut(retrieval.candidates))
+    plain = cut(search.drop_seeds(retrieval.candidates.select("query_id", "item_id", "score"), seeds, fx.K))
+    exact = plain if backend is backends.exact else cut(rt.v6_exact_knn(spark, sf_dir))
+    shared = cut(evaluation.mean_fidelity(plain, exact, asked, fx.K, name, "ann_recall_vs_exact"))
+    rows, extra = named(plain, name), shared
     for arm, config in ((f"{name}_blend", CONFIG), (f"{name}_blend_mmr", MMR)):
         rows = rows.unionByName(named(serving.respond(retrieval, requests, fx.K, config), arm))
         rates = [(arm, f"provider_missing_rate_{signal}", float(signal in retrieval.missing)) for signal in ("popularity", "recency")]
-        extra = extra.unionByName(shared.withColumn("system", F.lit(arm))).unionByName(spark.createDataFrame(rates, "system string, metric string, value double"))
+        own = shared.select(F.lit(arm).alias("system"), F.lit("ann_recall_vs_exact_pre_rerank").alias("metric"), "value")
+        extra = extra.unionByName(own).unionByName(spark.createDataFrame(rates, "system string, metric string, value double"))
     return rows, extra
 
 
@@ -262,7 +263,7 @@ def _systems(spark, sf_dir):
     named = lambda df, system: df.select(F.lit(system).alias("system"), "query_id", "item_id", "rank")
     rows, extra = _ranked(spark, sf_dir)
     baselines = named(rt.x11_random_baseline(spark, sf_dir), "random_baseline").unionByName(named(rt.x12_popularity_baseline(spark, sf_dir), "popularity_synthetic"))
-    return rows.unionByName(baselines).persist(), extra
+    return cut(rows.unionByName(baselines)), extra
 
 
 def _report(spark, sf_dir):
@@ -287,7 +288,7 @@ def x16_report(spark, sf_dir):
 def x16_ann_report(spark, sf_dir):
     """The same systems over the layered graph."""
     rows, extra = _ranked(spark, sf_dir, backends.backend("hnsw", fx.items(spark, sf_dir)), "hnsw")
-    return evaluation.report(evaluation.query_metrics(rows.persist(), fx.relevant(spark, sf_dir), fx.K), fx.K).unionByName(extra)
+    return evaluation.report(evaluation.query_metrics(cut(rows), fx.relevant(spark, sf_dir), fx.K), fx.K).unionByName(extra)
 
 
 LIMITS = [
