@@ -130,16 +130,16 @@ def p_value(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def holm(p_values: dict[str, float], alpha: float = 0.05) -> dict[str, bool]:
-    """Which hypotheses Holm's step-down procedure rejects."""
-    out, alive, m = {}, True, len(p_values)
-    for i, (name, p) in enumerate(sorted(p_values.items(), key=lambda x: x[1])):
-        alive = alive and p <= alpha / (m - i)
-        out[name] = alive
-    return out
+def holm(p_values: DataFrame, family: str, hypothesis: str, p: str, alpha: float = 0.05) -> DataFrame:
+    """(family, hypothesis, p, rejected): Holm's step-down procedure within each family of hypotheses; equal p-values go in the order of their names."""
+    order = Window.partitionBy(family).orderBy(p, hypothesis)
+    left = F.count("*").over(Window.partitionBy(family)) - F.row_number().over(order) + 1
+    rows = p_values.withColumn("_holds", F.col(p) <= F.lit(alpha) / left)
+    return rows.withColumn("rejected", F.min("_holds").over(order.rowsBetween(Window.unboundedPreceding, 0))).select(family, hypothesis, p, "rejected")
 
 
-def sample_size(base: float, effect: float, z_alpha: float = 1.959964, z_power: float = 0.841621) -> int:
-    """Rows per arm to see an absolute change of a rate."""
+def sample_size(base: Column, effect: Column, z_alpha: float = 1.959964, z_power: float = 0.841621) -> Column:
+    """Rows per arm to see an absolute change of a rate; null where the changed rate is none."""
     other = base + effect
-    return math.ceil((z_alpha + z_power) ** 2 * (base * (1 - base) + other * (1 - other)) / effect**2)
+    n = F.ceil(F.lit((z_alpha + z_power) ** 2) * (base * (1 - base) + other * (1 - other)) / (effect * effect))
+    return F.when(other.between(0, 1) & (effect != 0), n)

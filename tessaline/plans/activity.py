@@ -88,9 +88,13 @@ def x4_exposures(spark, sf_dir):
     return experiments.exposures(rows).select("event_id", "experiment", "variant")
 
 
-@query("w6_cumulative_allocation", f"WITH {ASSIGNED} SELECT experiment, variant, CAST(hi - pct * 100 AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi FROM bound")
+@query("w6_cumulative_allocation", "WITH share AS (SELECT 'g' || (user_id % 25) AS experiment, event_type AS variant, CAST(100 * count(*) // sum(count(*)) OVER (PARTITION BY user_id % 25) AS INTEGER) AS pct FROM events GROUP BY user_id % 25, event_type), bound AS (SELECT *, sum(pct) OVER (PARTITION BY experiment ORDER BY variant) * 100 AS hi FROM share) SELECT experiment, variant, CAST(hi - pct * 100 AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi FROM bound")
 def w6_cumulative_allocation(spark, sf_dir):
-    rows = fx.experiments(spark).select(F.col("name").alias("experiment"), F.explode(experiments.with_bounds(F.col("allocation"))).alias("b"))
+    """Buckets of experiments that are allocated by the events of groups of users."""
+    counts = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 25).alias("g"), "event_type").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("event_type", "n"))).alias("each"), F.sum("n").alias("total"))
+    allocation = F.transform("each", lambda e: F.struct(e["event_type"].alias("variant"), F.floor(100 * e["n"] / F.col("total")).cast("int").alias("pct")))
+    rows = groups.select(F.concat(F.lit("g"), F.col("g").cast("string")).alias("experiment"), F.explode(experiments.with_bounds(allocation)).alias("b"))
     return rows.select("experiment", "b.variant", "b.lo", "b.hi")
 
 

@@ -152,17 +152,31 @@ def x4_write_exposures(spark, sf_dir):
     return experiments.write_exposures(stored, rows)
 
 
-DEFINED = [
-    ("a", "s1", "running", [("x", 50), ("y", 50)], None), ("b", "s2", "running", [("x", 60), ("y", 50)], None), ("c", "s3", "running", [("x", 50), ("x", 50)], None), ("d", "s4", "stopped", [("x", 100)], None), ("e", "s5", "running", [("x", 100)], "2024-01-01"),
-    ("f", "s1", "paused", [("x", 100)], None), ("a", "s7", "stopped", [("x", 100)], "2024-01-01"), ("g", "s8", "paused", [("x", 99)], None),
-]
-
-
-@query("s15_invalid_experiments", "WITH d(name, salt, status, v, p, stopped_at) AS (VALUES " + ", ".join(f"('{n}', '{s}', '{t}', {[v for v, _ in a]}, {[p for _, p in a]}, {'NULL' if x is None else repr(x)})" for n, s, t, a, x in DEFINED) + """)
-SELECT name, CASE WHEN list_sum(p) <> 100 THEN 'allocation does not sum to 100' WHEN len(list_distinct(v)) < len(v) THEN 'repeated variant' ELSE 'stopped_at must be set exactly for stopped experiments' END AS reason FROM d WHERE list_sum(p) <> 100 OR len(list_distinct(v)) < len(v) OR (status = 'stopped') <> (stopped_at IS NOT NULL)
-UNION ALL SELECT min(name), 'repeated name' FROM d GROUP BY name HAVING count(*) > 1 UNION ALL SELECT min(name), 'repeated salt' FROM d GROUP BY salt HAVING count(*) > 1""")
+#: Experiments by user, wrong in several ways: names and salts that repeat, floored percentages, variants by another's name, stops without a time.
+DEFINED = """definition AS (
+  SELECT 'e' || (user_id // 2) AS name, 's' || (user_id % 101) AS salt, CASE WHEN user_id % 5 = 0 THEN 'stopped' ELSE 'running' END AS status, v, list_concat([p[1] + CASE WHEN user_id % 3 > 0 THEN 100 - list_sum(p) ELSE 0 END], p[2:]) AS p, CASE WHEN user_id % 10 = 0 OR user_id % 8 = 1 THEN last END AS stopped_at FROM (
+    SELECT user_id, max(last) AS last, list(CASE WHEN user_id % 7 = 0 AND event_type = 'error' THEN 'view' ELSE event_type END ORDER BY event_type) AS v, list(100 * n // total ORDER BY event_type) AS p
+    FROM (SELECT user_id, event_type, count(*) AS n, max(ts) AS last, sum(count(*)) OVER (PARTITION BY user_id) AS total FROM events GROUP BY user_id, event_type) GROUP BY user_id))"""
+
+
+def _definitions(spark, sf_dir):
+    u = F.col("user_id")
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    each = F.array_sort(F.collect_list(F.struct("event_type", "n")))
+    users = counts.groupBy("user_id").agg(each.alias("each"), F.sum("n").alias("total"), F.max("last").alias("last"))
+    share = lambda e: F.floor(100 * e["n"] / F.col("total")).cast("int")
+    users = users.withColumn("rest", F.when(u % 3 > 0, 100 - F.aggregate("each", F.lit(0), lambda s, e: s + share(e))).otherwise(0))
+    variant = lambda e: F.when((u % 7 == 0) & (e["event_type"] == "error"), "view").otherwise(e["event_type"])
+    allocation = F.transform("each", lambda e, i: F.struct(variant(e).alias("variant"), (share(e) + F.when(i == 0, F.col("rest")).otherwise(0)).alias("pct")))
+    stopped_at = F.when((u % 10 == 0) | (u % 8 == 1), F.col("last").cast("string"))
+    return users.select(F.concat(F.lit("e"), F.floor(u / 2).cast("string")).alias("name"), F.concat(F.lit("s"), (u % 101).cast("string")).alias("salt"), F.when(u % 5 == 0, "stopped").otherwise("running").alias("status"), allocation.alias("allocation"), stopped_at.alias("stopped_at"))
+
+
+@query("s15_invalid_experiments", f"""WITH {DEFINED}
+SELECT name, CASE WHEN list_sum(p) <> 100 THEN 'allocation does not sum to 100' WHEN len(list_distinct(v)) < len(v) THEN 'repeated variant' ELSE 'stopped_at must be set exactly for stopped experiments' END AS reason FROM definition WHERE list_sum(p) <> 100 OR len(list_distinct(v)) < len(v) OR (status = 'stopped') <> (stopped_at IS NOT NULL)
+UNION ALL SELECT min(name), 'repeated name' FROM definition GROUP BY name HAVING count(*) > 1 UNION ALL SELECT min(name), 'repeated salt' FROM definition GROUP BY salt HAVING count(*) > 1""")
 def s15_invalid_experiments(spark, sf_dir):
-    return experiments.invalid_experiments(spark.createDataFrame(DEFINED, "name string, salt string, status string, allocation array<struct<variant:string,pct:int>>, stopped_at string"))
+    return experiments.invalid_experiments(_definitions(spark, sf_dir))
 
 
 # Counters
@@ -209,17 +223,26 @@ def ext_two_proportions(spark, sf_dir):
     return statistics.two_proportions(rows, "arm", "hit").select(*[F.round(c, 6).alias(c) for c in ("z", "difference", "low", "high")])
 
 
-P_VALUES = {"a": 0.001, "b": 0.02, "c": 0.03, "d": 0.2, "e": 0.0126}
+#: For each third of the users and event type, how many of 40 groups of users have a mean value as high as the first group's.
+RANKED = "WITH g AS (SELECT 'third ' || (user_id % 3) AS family, event_type, user_id % 40 AS arm, avg(value) AS m FROM events GROUP BY ALL), own AS (SELECT family, event_type, m AS own FROM g WHERE arm = (SELECT min(arm) FROM g x WHERE x.family = g.family AND x.event_type = g.event_type)), p AS (SELECT family, event_type, count(*) FILTER (m >= own) / 41 AS p FROM g JOIN own USING (family, event_type) GROUP BY ALL)"
 
 
-@query("ext_holm", "WITH p(name, p) AS (VALUES " + ", ".join(f"('{n}', {p})" for n, p in P_VALUES.items()) + "), r AS (SELECT name, p, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p) SELECT name, bool_and(p <= 0.05 / (m - i + 1)) OVER (ORDER BY p) AS rejected FROM r")
+@query("ext_holm", f"{RANKED}, r AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY family) AS m FROM p WINDOW w AS (PARTITION BY family ORDER BY p, event_type)) SELECT family, event_type, p, bool_and(p <= 0.3 / (m - i + 1)) OVER (PARTITION BY family ORDER BY p, event_type) AS rejected FROM r")
 def ext_holm(spark, sf_dir):
-    return spark.createDataFrame(list(statistics.holm(P_VALUES).items()), "name string, rejected boolean")
+    """Randomisation p-values of every event type, corrected within thirds of the users."""
+    g = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("third "), (F.col("user_id") % 3).cast("string")).alias("family"), "event_type", (F.col("user_id") % 40).alias("arm")).agg(F.avg("value").alias("m"))
+    own = g.groupBy("family", "event_type").agg(F.min_by("m", "arm").alias("own"))
+    p = g.join(own, ["family", "event_type"]).groupBy("family", "event_type").agg((F.count_if(F.col("m") >= F.col("own")) / 41).alias("p"))
+    return statistics.holm(p, "family", "event_type", "p", 0.3)
 
 
-@query("ext_sample_size", "SELECT effect, CAST(ceil(pow(1.959964 + 0.841621, 2) * (0.1 * 0.9 + (0.1 + effect) * (0.9 - effect)) / (effect * effect)) AS BIGINT) AS n FROM (SELECT unnest([0.005, 0.01, 0.02]::DOUBLE[]) AS effect)")
+@query("ext_sample_size", "SELECT event_type, effect, CAST(ceil(pow(1.959964 + 0.841621, 2) * (base * (1 - base) + (base + effect) * (1 - base - effect)) / (effect * effect)) AS BIGINT) AS n FROM (SELECT event_type, count(*) / (SELECT count(*) FROM events) AS base FROM events GROUP BY 1), (SELECT unnest([0.005, 0.01, 0.02]::DOUBLE[]) AS effect)")
 def ext_sample_size(spark, sf_dir):
-    return spark.createDataFrame([(e, statistics.sample_size(0.1, e)) for e in (0.005, 0.01, 0.02)], "effect double, n long")
+    """Rows per arm to see each event type's share change."""
+    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    total = rows.agg(F.sum("n").alias("total"))
+    rows = rows.crossJoin(F.broadcast(total)).select("event_type", (F.col("n") / F.col("total")).alias("base"), F.explode(F.array(*map(F.lit, (0.005, 0.01, 0.02)))).alias("effect"))
+    return rows.select("event_type", "effect", statistics.sample_size(F.col("base"), F.col("effect")).alias("n"))
 
 
 @query("ext_guardrails", "SELECT variant, n, round(error_rate, 6) AS error_rate, round(p95, 6) AS p95, error_rate > 0.2 OR p95 > 190 AS breached FROM (SELECT user_id % 3 AS variant, count(*) AS n, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS error_rate, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1)")

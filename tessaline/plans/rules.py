@@ -191,10 +191,10 @@ def a7_a8_status(spark, sf_dir):
 
 
 @query("a18_readiness", """SELECT day, CASE WHEN count(*) FILTER (required AND NOT ok) > 0 THEN 'not_ready' WHEN count(*) FILTER (NOT required AND NOT ok) > 0 THEN 'degraded' ELSE 'ready' END AS status, CASE WHEN count(*) FILTER (required AND NOT ok) > 0 THEN 503 ELSE 200 END AS http_code FROM (
-  SELECT date_trunc('day', ts)::DATE AS day, event_type <> 'error' AS required, value > 1 OR event_type <> 'error' AND user_id % 17 <> day(ts) AS ok FROM events WHERE user_id % 5 = 0) GROUP BY 1""")
+  SELECT date_trunc('day', ts)::DATE AS day, event_type <> 'error' AS required, value > 1 OR event_type <> 'error' AND (user_id % 17 <> day(ts) OR value > 0.2) AS ok FROM events) GROUP BY 1""")
 def a18_readiness(spark, sf_dir):
     """Checks by day: errors stand for the optional ones."""
-    rows = table(spark, sf_dir, "events").filter("user_id % 5 = 0").select(F.to_date("ts").alias("day"), (F.col("event_type") != "error").alias("required"), ((F.col("value") > 1) | ((F.col("event_type") != "error") & (F.col("user_id") % 17 != F.dayofmonth("ts")))).alias("ok"))
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), (F.col("event_type") != "error").alias("required"), ((F.col("value") > 1) | ((F.col("event_type") != "error") & ((F.col("user_id") % 17 != F.dayofmonth("ts")) | (F.col("value") > 0.2)))).alias("ok"))
     return sets.readiness(rows, "day")
 
 

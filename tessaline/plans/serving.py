@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from tessaline.functions import encoder, text, vectors
 from tessaline.operators import backends, cache, evaluation, lifecycle, merge, providers, rerank, search, serving
+from tessaline.operators.percentiles import exact_percentiles
 from tessaline.plans import fixtures as fx
 from tessaline.plans import retrieval as rt
 from tessaline.plans.approximate import ALL, twentieth
 from tessaline.plans.registry import query
-from tessaline.session import cut, shared_folder
+from tessaline.session import cut, shared_folder, table
 
 CONFIG = rt.CONFIG
 MMR = replace(CONFIG, mmr=True)
@@ -95,14 +96,13 @@ def d1_full_run(spark, sf_dir):
 
 
 def _text_seeds(spark, sf_dir):
-    """(query_id, item_id): three documents for each of some queries, one of them twice, one unknown."""
-    rows = fx.catalog(spark, sf_dir).filter("doc_id % 10 < 3").select(F.concat(F.lit("t"), F.floor(F.col("doc_id") / 100).cast("string")).alias("query_id"), "item_id", "doc_id")
-    some = rows.filter("doc_id % 100 < 3").select("query_id", "item_id")
+    """(query_id, item_id): every document, three for each query, some of them twice, one unknown."""
+    some = fx.catalog(spark, sf_dir).select(F.concat(F.lit("t"), F.floor(F.col("doc_id") / 3).cast("string")).alias("query_id"), "item_id")
     return some.unionByName(some.limit(5)).unionByName(spark.createDataFrame([("t0", "unknown"), ("none", "unknown")], "query_id string, item_id string"))
 
 
-@query("v4_encoded_queries", fx.with_("catalog", then="").rstrip() + f""", texts AS (SELECT item_id AS id, regexp_replace(title, '^{fx.PYTHON_SPACE}+|{fx.PYTHON_SPACE}+$', '', 'g') || ' | ' || regexp_replace(description, '^{fx.PYTHON_SPACE}+|{fx.PYTHON_SPACE}+$', '', 'g') AS t FROM catalog WHERE doc_id % 100 < 3), {encoded_sql(16)},
-means AS (SELECT 't' || (CAST(substr(id, 3) AS BIGINT) // 100) AS query_id, d, avg(x) AS x FROM encoded GROUP BY ALL)
+@query("v4_encoded_queries", fx.with_("catalog", then="").rstrip() + f""", texts AS (SELECT item_id AS id, regexp_replace(title, '^{fx.PYTHON_SPACE}+|{fx.PYTHON_SPACE}+$', '', 'g') || ' | ' || regexp_replace(description, '^{fx.PYTHON_SPACE}+|{fx.PYTHON_SPACE}+$', '', 'g') AS t FROM catalog), {encoded_sql(16)},
+means AS (SELECT 't' || (CAST(substr(id, 3) AS BIGINT) // 3) AS query_id, d, avg(x) AS x FROM encoded GROUP BY ALL)
 SELECT query_id, list(round(x / n, 4) ORDER BY d) AS vector FROM means JOIN (SELECT query_id, sqrt(sum(x * x)) AS n FROM means GROUP BY 1) USING (query_id) GROUP BY 1""")
 def v4_encoded_queries(spark, sf_dir):
     """Query vectors from the seeds' texts, encoded again."""
@@ -313,27 +313,60 @@ def x17_gate(spark, sf_dir):
     return rows.withColumn("value", F.round("value", 6))
 
 
-HEADERS = [("version", "v2", "abc", "2024-01-30T00:00:00Z"), ("commit", "v1", "abd", "2024-01-30T00:00:00Z"), ("no_time", "v1", "abc", None), ("bad_time", "v1", "abc", "yesterday"), ("old", "v1", "abc", "2024-01-28T23:59:00+00:00"), ("fresh", "v1", "abc", "2024-01-29T02:00:00+02:00"), ("missing", "v1", "abc", "2024-01-30T00:00:00Z")]
+#: Seven reports of the events: another version, another commit, no time, a time without an offset, an old one, a system that is absent, and one that is sound.
+REPORTS = ("sound", "version", "commit", "no_time", "bad_time", "old", "absent")
+GATE_NOW = "2024-01-31T00:00:00Z"
+GATE_SQL = f"""WITH e AS (SELECT user_id % 7 AS g, event_type AS system, value, ts FROM events),
+value AS (SELECT g, system, 'mean' AS metric, avg(value) AS value FROM e GROUP BY ALL),
+limits AS (SELECT system, 'mean' AS metric, 'per_system' AS kind, avg(value) AS threshold FROM e GROUP BY ALL UNION ALL SELECT system, 'mean', 'absolute_floor', 0.5 * avg(value) FROM e GROUP BY ALL),
+header AS (SELECT g, CASE WHEN g = 5 THEN min(ts) ELSE max(ts) END AS created, list(DISTINCT system) AS systems FROM e GROUP BY g),
+stage AS (SELECT g, CASE WHEN g = 1 THEN 'golden_set_version' WHEN g = 2 THEN 'commit' WHEN g = 3 THEN 'created_at is missing' WHEN g = 4 THEN 'created_at is no time'
+  WHEN epoch(TIMESTAMP '2024-01-31') - epoch_us(created) / 1e6 > 24 * 3600 THEN 'age'
+  WHEN g = 6 OR NOT list_contains(systems, 'purchase') THEN 'missing: ' || array_to_string(list_sort(list_filter(CASE WHEN g = 6 THEN ['purchase', 'rental'] ELSE ['purchase'] END, lambda x: NOT list_contains(systems, x))), ', ') END AS reason FROM header),
+failing AS (SELECT g, system, metric, kind, round(value, 6) AS value, round(threshold, 6) AS threshold FROM value JOIN limits USING (system, metric) WHERE value < threshold)
+SELECT list_extract([{", ".join(f"'{r}'" for r in REPORTS)}], CAST(s.g AS INTEGER) + 1) AS report, s.reason IS NULL AND f.g IS NULL AS passed, s.reason, f.system, f.metric, f.kind, f.value, f.threshold FROM stage s LEFT JOIN failing f ON s.reason IS NULL AND f.g = s.g"""
 
 
-@query("x17_a17_gate_stages", """SELECT report, reason IS NULL AS passed, reason FROM (
-  SELECT report, CASE WHEN version <> 'v1' THEN 'golden_set_version' WHEN commit <> 'abc' THEN 'commit' WHEN created IS NULL THEN 'created_at is missing' WHEN TRY_CAST(created AS TIMESTAMPTZ) IS NULL THEN 'created_at is no time'
-    WHEN epoch(TIMESTAMPTZ '2024-01-30 00:00:00+00') - epoch(TRY_CAST(created AS TIMESTAMPTZ)) > 24 * 3600 THEN 'age' WHEN report = 'missing' THEN 'missing: inverted_file, other' END AS reason
-  FROM (VALUES """ + ", ".join(f"('{a}', '{b}', '{c}', {'NULL' if d is None else repr(d)})" for a, b, c, d in HEADERS) + ") t(report, version, commit, created))")
+@query("x17_a17_gate_stages", GATE_SQL)
 def x17_gate_stages(spark, sf_dir):
-    """Reports that fail before their metrics count, and one that passes."""
-    values = spark.createDataFrame([("exact_knn", "mrr", 0.5), ("random_baseline", "mrr", None)], "system string, metric string, value double")
-    limits = spark.createDataFrame([("exact_knn", "mrr", "per_system", 0.5)], "system string, metric string, kind string, threshold double")
+    """Reports that fail before their metrics count, and one whose metrics do."""
+    log = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("g"), F.col("event_type").alias("system"), "value", "ts")
+    mean = log.groupBy("system").agg(F.avg("value").alias("m"))
+    limits = mean.select("system", F.lit("mean").alias("metric"), F.explode(F.array(F.struct(F.lit("per_system").alias("kind"), F.col("m").alias("threshold")), F.struct(F.lit("absolute_floor").alias("kind"), (0.5 * F.col("m")).alias("threshold")))).alias("limit")).select("system", "metric", "limit.*")
     out = None
-    for name, *header in HEADERS:
-        required = ("exact_knn", "other", "inverted_file") if name == "missing" else ("exact_knn",)
-        rules = evaluation.GateRules("v1", "abc", "2024-01-30T00:00:00Z", 24.0, required)
-        one = evaluation.gate(values, limits, spark.createDataFrame([tuple(header)], "golden_set_version string, commit string, created_at string"), rules)
-        one = one.select(F.lit(name).alias("report"), "passed", "reason")
+    for g, name in enumerate(REPORTS):
+        own = log.filter(F.col("g") == g)
+        values = own.groupBy("system").agg(F.lit("mean").alias("metric"), F.avg("value").alias("value"))
+        created = F.date_format(F.min("ts") if name == "old" else F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" + ("" if name == "bad_time" else "'Z'"))
+        header = own.groupBy("g").agg((F.lit(None).cast("string") if name == "no_time" else created).alias("created_at"))
+        header = header.select(F.lit("v0" if name == "version" else "v1").alias("golden_set_version"), F.lit("xyz" if name == "commit" else "abc").alias("commit"), "created_at")
+        rules = evaluation.GateRules("v1", "abc", GATE_NOW, 24.0, ("purchase", "rental") if name == "absent" else ("purchase",))
+        one = evaluation.gate(values, limits, header, rules).select(F.lit(name).alias("report"), "passed", "reason", "system", "metric", "kind", *[F.round(c, 6).alias(c) for c in ("value", "threshold")])
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query("j15_a17_gate_passes", "SELECT count(*) = 0 AS passed, CASE WHEN count(*) > 0 THEN min(system) END AS first_failing FROM (SELECT event_type AS system, avg(value) AS value, quantile_cont(value, 0.25) AS threshold FROM events GROUP BY 1) WHERE value < threshold")
+def j15_gate_passes(spark, sf_dir):
+    """A report whose means are held against the lower quartiles of their own systems: a single row that passed, unless a distribution is very skewed."""
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("system"), "value", "ts")
+    values = log.groupBy("system").agg(F.lit("mean").alias("metric"), F.avg("value").alias("value"))
+    limits = exact_percentiles(log, "value", [0.25], "system").select("system", F.lit("mean").alias("metric"), F.lit("per_system").alias("kind"), F.col("value").alias("threshold"))
+    header = log.agg(F.lit("v1").alias("golden_set_version"), F.lit("abc").alias("commit"), F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("created_at"))
+    found = evaluation.gate(values, limits, header, evaluation.GateRules("v1", "abc", None, None, ("purchase", "view")))
+    return found.agg(F.bool_and("passed").alias("passed"), F.min("system").alias("first_failing"))
+
+
+WINDOWED = replace(MMR, mmr_window=6)
+
+
+@query("u5_rerank_window", _with_choice(6, "SELECT query_id, item_id, blend, CAST(place AS INTEGER) AS rank FROM diverse JOIN blended USING (query_id, item_id) UNION ALL SELECT query_id, item_id, blend, CAST(place AS INTEGER) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blend DESC, item_id) AS place FROM blended) WHERE place BETWEEN 7 AND 10").replace("pool AS (SELECT query_id, item_id, blend, vector FROM blended JOIN item USING (item_id))", "pool AS (SELECT query_id, item_id, blend, vector FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blend DESC, item_id) AS place FROM blended) JOIN item USING (item_id) WHERE place <= 6)"))
+def u5_rerank_window(spark, sf_dir):
+    """A window of six within pools of forty: four rows follow it in the order of the blend."""
+    rows = rerank.blend(rt._candidates(spark, sf_dir), WINDOWED).join(fx.items(spark, sf_dir).select("item_id", "vector"), "item_id")
+    return rerank.mmr(rows, fx.K, WINDOWED)
+
+
 @query("ext_cache_warm", fx.with_("item", "popularity", then=f"""
 , popular AS (SELECT item_id, vector FROM item LEFT JOIN popularity USING (item_id) ORDER BY coalesce(popularity, 0) DESC, item_id LIMIT 5),
 scored AS (SELECT p.item_id AS query_id, i.item_id, round(list_inner_product(i.vector, p.vector) / sqrt(list_inner_product(p.vector, p.vector)), 6) AS score FROM item i JOIN popular p ON i.item_id <> p.item_id)

@@ -9,6 +9,7 @@ from tessaline.operators import baselines, lifecycle, search, sets
 from tessaline.plans import fixtures as fx
 from tessaline.plans import retrieval as rt
 from tessaline.plans.registry import query
+from tessaline.session import table
 
 CUT, VECTOR = rt.CUT, rt.VECTOR
 
@@ -29,10 +30,11 @@ def x8_cached_snapshot(spark, sf_dir):
     return baselines.read_snapshot(cached, 5, {"language": "fr"}).withColumn("score", F.round("score", 6))
 
 
-@query("s19_sample_catalog", "SELECT printf('i_%04d', n) AS item_id, 'topic ' || ((n - 1) // 10) AS topic, 'brand ' || ((n - 1) % 10 % 5) AS brand, CASE WHEN (n - 1) % 10 < 3 THEN 'seed' ELSE 'relevant' END AS role FROM (SELECT unnest(range(1, 201)) AS n)")
+@query("s19_sample_catalog", "SELECT printf('i_%04d', n) AS item_id, 'topic ' || ((n - 1) // 10) AS topic, 'brand ' || ((n - 1) % 10 % (SELECT count(*) FROM region)) AS brand, CASE WHEN (n - 1) % 10 < 3 THEN 'seed' ELSE 'relevant' END AS role FROM (SELECT unnest(range(1, (SELECT count(*) FROM part) // 10 * 10 + 1)) AS n)")
 def s19_sample_catalog(spark, sf_dir):
-    """20 topics of 10 items, five brands in turn; a topic's first three items are seeds."""
-    return sets.sample_catalog(spark, topics=20, each=10, brands=5)
+    """As many topics of ten items as there are tens of parts, a brand for each region in turn; a topic's first three items are seeds."""
+    parts, regions = table(spark, sf_dir, "part").count(), table(spark, sf_dir, "region").count()
+    return sets.sample_catalog(spark, topics=parts // 10, each=10, brands=regions)
 
 
 @query("ext_drift", fx.with_("item", then="SELECT round(list_inner_product(a.c, b.c) / sqrt(list_inner_product(a.c, a.c) * list_inner_product(b.c, b.c)), 6) AS cosine FROM (SELECT list(m ORDER BY p) AS c FROM (SELECT p, avg(x) AS m FROM (SELECT unnest(vector) AS x, generate_subscripts(vector, 1) AS p FROM item WHERE vec_id % 2 = 0) GROUP BY 1)) a, (SELECT list(m ORDER BY p) AS c FROM (SELECT p, avg(x) AS m FROM (SELECT unnest(vector) AS x, generate_subscripts(vector, 1) AS p FROM item WHERE vec_id % 2 = 1) GROUP BY 1)) b"))

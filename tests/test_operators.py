@@ -365,5 +365,7 @@ def test_chi_square_tail():
 
 def test_statistics():
     assert statistics.p_value(1.959964) == pytest.approx(0.05, abs=1e-6)
-    assert statistics.holm({"a": 0.01, "b": 0.04, "c": 0.03}) == {"a": True, "c": False, "b": False}
-    assert statistics.sample_size(0.1, 0.02) == 3839
+    rows = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03), ("g", "b", 0.02), ("g", "a", 0.02), ("h", "a", 0.05)], "family string, name string, p double")
+    assert {(r.family, r.name): r.rejected for r in statistics.holm(rows, "family", "name", "p").collect()} == {("f", "a"): True, ("f", "c"): False, ("f", "b"): False, ("g", "a"): True, ("g", "b"): True, ("h", "a"): True}
+    size = spark.range(1).select(statistics.sample_size(F.lit(0.1), F.lit(0.02)).alias("n"), statistics.sample_size(F.lit(0.99), F.lit(0.02)).alias("none")).first()
+    assert (size.n, size.none) == (3839, None)
