@@ -52,14 +52,22 @@ def exposures(assignments: DataFrame) -> DataFrame:
 
 
 def write_exposures(existing: DataFrame, assignments: DataFrame) -> DataFrame:
-    """(event_id, experiment, request_id, inserted, skipped_reason) of every assignment: not logged, a duplicate of a stored or an earlier row (by seq), or inserted."""
-    rows = assignments.withColumn("event_id", exposure_id(F.col("experiment"), F.col("request_id")))
-    first = F.row_number().over(Window.partitionBy("event_id", "log_exposure").orderBy("seq")) == 1
+    """(event_id, experiment, request_id, inserted, skipped_reason) of every assignment: not logged, one that no store would take (failed), a duplicate of a stored or an earlier row (by seq), or inserted. A row that fails never keeps another from being written."""
+    rows = assignments.withColumn("event_id", exposure_id(F.coalesce("experiment", F.lit("")), F.coalesce("request_id", F.lit(""))))
+    failed = ~F.coalesce((F.length("experiment") > 0) & (F.length("variant") > 0) & (F.length("request_id") > 0), F.lit(False))
+    rows = rows.withColumn("failed", failed)
+    first = F.row_number().over(Window.partitionBy("event_id", "log_exposure", "failed").orderBy("seq")) == 1
     rows = rows.withColumn("first", first).join(existing.select("event_id", F.lit(True).alias("stored")), "event_id", "left")
-    reason = F.when(~F.col("log_exposure"), "log_exposure_false").when(F.col("stored") | ~F.col("first"), "duplicate")
+    reason = F.when(~F.col("log_exposure"), "log_exposure_false").when(F.col("failed"), "failed").when(F.col("stored") | ~F.col("first"), "duplicate")
     return rows.withColumn("skipped_reason", reason).select("event_id", "experiment", "request_id", F.col("skipped_reason").isNull().alias("inserted"), "skipped_reason")
 
 
+def first_reported(assignments: DataFrame, order: list[str]) -> DataFrame:
+    """(request_id, experiment, variant): of each request's assignments, the experiment that was declared first, whether or not its exposure was written."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("experiment"))
+    return assignments.filter(place > 0).groupBy("request_id").agg(F.min_by(F.struct("experiment", "variant"), F.struct(place, "variant")).alias("r")).select("request_id", "r.*")
+
+
 FALLBACK_REASONS = ("disabled", "stopped", "paused", "allocation_gap")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessaline.functions.hashing import sha256
 from tessaline.functions.ordered_digest import ordered_sha256
+from tessaline.session import cut
 
 
 def change_plan(new: DataFrame, previous: DataFrame) -> DataFrame:
@@ -19,6 +20,7 @@ def change_plan(new: DataFrame, previous: DataFrame) -> DataFrame:
 
 def snapshot_hash(items: DataFrame) -> DataFrame:
     """One row: the identity of a catalog, over its id:hash lines sorted by both. The lines stream through one hash state; no value holds them."""
+    items = cut(items.select("item_id", "content_hash"))  # hashed once; dealing by ranges reads it twice
     lines = items.select("item_id", "content_hash", F.concat_ws(":", "item_id", "content_hash").alias("line"))
     found = ordered_sha256(lines, [], [F.col("item_id"), F.col("content_hash")], F.col("line"), "\n")
     whole = F.coalesce(F.max("sha256"), sha256(F.lit("")))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaline.functions.hashing import synthetic_popularity
 from tessaline.functions.vectors import age_days
+from tessaline.session import cut
 
 MAX_BATCH = 1000  # ids of one query
 
@@ -84,10 +87,10 @@ def table_lookup(items: DataFrame) -> EmbeddingLookup:
 
 
 def fetch(provider: Provider, ids: DataFrame, most: int = MAX_BATCH, per_query: int = 0) -> DataFrame | None:
-    """The provider's values for distinct ids, or None if it fails; per_query (ids that one query may ask for) beyond most is a failure too."""
+    """The provider's values for distinct ids, or None if it fails, be it when it is asked or when its values are computed; per_query (ids that one query may ask for) beyond most is a failure too. The values, one for each candidate at most, are written, so that a later failure cannot come from here."""
     try:
         if per_query > most:
             raise ProviderError(f"{per_query} ids, {most} at most")
-        return provider.get(ids)
-    except ProviderError:
+        return cut(provider.get(ids))
+    except (ProviderError, PySparkException, Py4JJavaError):
         return None

@@ -35,12 +35,17 @@ def two_proportions(rows: DataFrame, arm: str, hit: str, z: float = 1.959964) ->
     return g.select(score.alias("z"), (p1 - p0).alias("difference"), (p1 - p0 - z * spread).alias("low"), (p1 - p0 + z * spread).alias("high"))
 
 
-def welch(rows: DataFrame, arm: str, value: str) -> DataFrame:
-    """(t, df) of the mean in arm 1 against arm 0."""
+def welch(rows: DataFrame, arm: str, value: str, confidence: float = 0.95) -> DataFrame:
+    """(t, df, difference, p_value, low, high) of the mean in arm 1 against arm 0: two-sided, with the interval of the difference; null where an arm has fewer than two rows or nothing varies."""
     of = lambda f, a: f(F.when(F.col(arm) == a, F.col(value)))
     g = rows.agg(*[of(f, a).alias(f"{n}{a}") for a in (0, 1) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
-    s0, s1 = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
-    return g.select(((F.col("m1") - F.col("m0")) / F.sqrt(s0 + s1)).alias("t"), ((s0 + s1) ** 2 / (s0**2 / (F.col("n0") - 1) + s1**2 / (F.col("n1") - 1))).alias("df"))
+    s0, s1 = F.try_divide("v0", "n0"), F.try_divide("v1", "n1")
+    spread, difference = F.sqrt(s0 + s1), F.col("m1") - F.col("m0")
+    df = F.try_divide((s0 + s1) ** 2, s0**2 / (F.col("n0") - 1) + s1**2 / (F.col("n1") - 1))
+    g = g.filter("n0 > 1 AND n1 > 1").select(F.try_divide(difference, spread).alias("t"), df.alias("df"), difference.alias("difference"), spread.alias("_s"))
+    tail, border = F.udf(lambda t, df: None if t is None or df is None else t_tail(t, df), "double"), F.udf(lambda df: None if df is None else t_border(confidence, df), "double")  # one row
+    g = g.withColumn("p_value", tail("t", "df")).withColumn("_b", border("df") * F.col("_s"))
+    return g.select("t", "df", "difference", "p_value", (F.col("difference") - F.col("_b")).alias("low"), (F.col("difference") + F.col("_b")).alias("high"))
 
 
 def guardrails(rows: DataFrame, variant: str, failed: str, latency: str, limits: dict[str, float]) -> DataFrame:
@@ -125,6 +130,38 @@ def chi2_tail(x: float, df: int) -> float:
     return h * scale
 
 
+def t_tail(t: float, df: float) -> float:
+    """Two-sided chance of a t value of this size or more: the regularised incomplete beta function at df / (df + t^2), by its continued fraction."""
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= 1.0:
+        return 1.0
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        x, a, b = 1 - x, b, a
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a if x > 0 else 0.0
+    tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+    h = d
+    for m in range(1, 500):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d or tiny)
+            c = 1 + step / c or tiny
+            h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return 1 - front * h if swap else front * h
+
+
+def t_border(confidence: float, df: float) -> float:
+    """The t value that is exceeded in size with chance 1 - confidence."""
+    low, high = 0.0, 1.0
+    while t_tail(high, df) > 1 - confidence:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_tail(middle, df) > 1 - confidence else (low, middle)
+    return (low + high) / 2
+
+
 def p_value(z: float) -> float:
     """Two-sided, normal."""
     return math.erfc(abs(z) / math.sqrt(2))

@@ -138,6 +138,12 @@ def ext_welch(spark, sf_dir):
     return statistics.welch(rows, "arm", "value").select(F.round("t", 6).alias("t"), F.round("df", 3).alias("df"))
 
 
+@query("ext_welch_interval")
+def ext_welch_interval(spark, sf_dir):
+    """The same comparison with its p-value and the interval of the difference."""
+    return statistics.welch(table(spark, sf_dir, "events").select((F.col("user_id") % 2).alias("arm"), "value"), "arm", "value")
+
+
 @query("ext_event_popularity", fx.with_("batch", then="SELECT item_id, CAST(count(*) AS DOUBLE) AS popularity FROM batch WHERE event_type IN ('impression', 'click', 'conversion') GROUP BY 1"))
 def ext_event_popularity(spark, sf_dir):
     rows = fx.event_batch(spark, sf_dir).filter(F.col("event_type").isin(*events.EVENT_TYPES))

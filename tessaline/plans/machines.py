@@ -152,6 +152,31 @@ def x4_write_exposures(spark, sf_dir):
     return experiments.write_exposures(stored, rows)
 
 
+SPOILT = f"""WITH {act.ASSIGNED},
+asked AS (SELECT * REPLACE (CASE WHEN experiment = 'layout' AND CAST(user_id AS BIGINT) % 3 = 0 THEN NULL ELSE variant END AS variant), 'r' || user_id AS request_id FROM assigned)"""
+
+
+def _spoilt(spark, sf_dir):
+    """Assignments of which one experiment loses some variants."""
+    lost = (F.col("experiment") == "layout") & (F.col("user_id").cast("long") % 3 == 0)
+    rows = act._assigned(spark, sf_dir).withColumn("variant", F.when(~lost, F.col("variant")))
+    return rows.withColumn("request_id", F.concat(F.lit("r"), "user_id")).withColumn("seq", F.col("user_id").cast("long"))
+
+
+@query("x5_independent_failures", f"{SPOILT} SELECT experiment, CASE WHEN NOT log_exposure THEN 'log_exposure_false' WHEN variant IS NULL THEN 'failed' ELSE 'inserted' END AS outcome, count(*) AS n FROM asked GROUP BY ALL")
+def x5_independent_failures(spark, sf_dir):
+    """Exposures of one experiment that cannot be written keep no other from being written."""
+    rows = _spoilt(spark, sf_dir)
+    found = experiments.write_exposures(rows.limit(0).select(F.lit("").alias("event_id")), rows)
+    return found.groupBy("experiment", F.when(F.col("inserted"), "inserted").otherwise(F.col("skipped_reason")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("x5_first_reported", f"{SPOILT} SELECT request_id, experiment, variant FROM asked WHERE experiment = 'layout'")
+def x5_first_reported(spark, sf_dir):
+    """The experiment declared first is the one a response names, written or not."""
+    return experiments.first_reported(_spoilt(spark, sf_dir), ["layout", "ranker", "gap", "old"])
+
+
 #: Experiments by user, wrong in several ways: names and salts that repeat, floored percentages, variants by another's name, stops without a time.
 DEFINED = """definition AS (
   SELECT 'e' || (user_id // 2) AS name, 's' || (user_id % 101) AS salt, CASE WHEN user_id % 5 = 0 THEN 'stopped' ELSE 'running' END AS status, v, list_concat([p[1] + CASE WHEN user_id % 3 > 0 THEN 100 - list_sum(p) ELSE 0 END], p[2:]) AS p, CASE WHEN user_id % 10 = 0 OR user_id % 8 = 1 THEN last END AS stopped_at FROM (

@@ -132,3 +132,26 @@ def test_area_by_group(spark):
     assert got == {"a": pytest.approx(want), "b": None}
     alone = statistics.area_under_curve(spark.createDataFrame(rows, "g string, score double, label int").filter(F.col("g") == "a")).first()
     assert alone.auc == pytest.approx(want)
+
+
+def test_t_distribution():
+    """Against known values, and against the integral of the density."""
+    import math
+
+    assert statistics.t_tail(2.228139, 10) == pytest.approx(0.05, abs=1e-6) and statistics.t_border(0.95, 10) == pytest.approx(2.228139, abs=1e-5)
+    assert statistics.t_border(0.99, 1e7) == pytest.approx(2.575829, abs=1e-5) and statistics.t_tail(0.0, 3.3) == 1.0
+    for df in (1.0, 2.5, 17.3, 400.0):
+        for t in (0.1, 0.8, 2.0, 6.0):
+            x = np.linspace(0, t, 200_001)
+            density = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + x * x / df) ** (-(df + 1) / 2)
+            assert statistics.t_tail(t, df) == statistics.t_tail(-t, df) == pytest.approx(1 - 2 * np.trapezoid(density, x), abs=1e-8)
+
+
+def test_welch_interval(spark):
+    rows = [(0, float(x)) for x in (1, 2, 3, 4, 5)] + [(1, float(x)) for x in (2, 4, 6, 8)]
+    r = statistics.welch(spark.createDataFrame(rows, "arm int, v double"), "arm", "v").first()
+    assert r.difference == 2.0 and r.low < 0 < r.high and r.high - 2.0 == pytest.approx(2.0 - r.low)
+    assert r.p_value == pytest.approx(statistics.t_tail(r.t, r.df)) and r.p_value > 0.05
+    assert statistics.welch(spark.createDataFrame(rows[:6], "arm int, v double"), "arm", "v").collect() == []
+    same = statistics.welch(spark.createDataFrame([(0, 1.0), (0, 1.0), (1, 1.0), (1, 1.0)], "arm int, v double"), "arm", "v").first()
+    assert (same.t, same.p_value, same.low) == (None, None, None)

@@ -311,6 +311,8 @@ def test_providers_and_serving(spark):
     assert dict(map(tuple, providers.TableSignal(table, None).get(ids).collect())) == {"i_1": 5.0}
     assert providers.SyntheticPopularity().get(ids).count() == 4
     assert providers.fetch(providers.Unavailable(), ids) is None and providers.fetch(providers.SyntheticPopularity(), ids, per_query=1001) is None
+    broken = providers.TableSignal(table.withColumn("value", F.raise_error(F.lit("lost")).cast("double")))
+    assert providers.fetch(broken, ids) is None  # only its execution fails
     assert providers.table_lookup(items)(ids.filter("item_id = 'i_1'")).count() == 1
     recency = providers.CreatedAtRecency(items, F.lit(dt.datetime(2024, 1, 3)))
     assert {r.value for r in recency.get(ids).collect()} == {2.0}
@@ -363,7 +365,7 @@ def test_chi_square_tail():
     assert statistics.chi2_tail(0.0, 3) == 1.0
 
 
-def test_statistics():
+def test_statistics(spark):
     assert statistics.p_value(1.959964) == pytest.approx(0.05, abs=1e-6)
     rows = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03), ("g", "b", 0.02), ("g", "a", 0.02), ("h", "a", 0.05)], "family string, name string, p double")
     assert {(r.family, r.name): r.rejected for r in statistics.holm(rows, "family", "name", "p").collect()} == {("f", "a"): True, ("f", "c"): False, ("f", "b"): False, ("g", "a"): True, ("g", "b"): True, ("h", "a"): True}
