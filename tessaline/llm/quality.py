@@ -132,7 +132,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = [features(batch.column(1)[i].as_py()) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["role", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], ["role", "doc_id", "x"])
 
 
 def fold(doc_id) -> F.Column:
@@ -149,14 +149,12 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
     others = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).distinct().orderBy(by_hash, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("role"))
     chosen = positives.unionByName(others)  # max_positives + max_unlabelled rows at most
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "role").agg(F.min("text").alias("text"))  # however often a document occurs
-    rows = rows.select("role", "text").repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism))
-    sample = rows.mapInArrow(_features, "role int, x binary").toArrow()
+    rows = rows.select("role", "text", F.col("doc_id").cast("string")).repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism))
+    sample = rows.mapInArrow(_features, "role int, doc_id string, x binary").toArrow().sort_by([("role", "ascending"), ("doc_id", "ascending")])  # the same order however rows were dealt
     role = sample.column("role").to_numpy()
     if not (role == 1).any() or not (role == 0).any():
         return None, prior
     x = np.frombuffer(b"".join(sample.column("x").to_pylist()), dtype=np.float32).reshape(len(role), -1)
-    order = np.lexsort([*x.T[::40], role])  # the same order however rows were dealt
-    x, role = x[order], role[order]
     return fit(x[role == 1], x[role == 0], prior), prior
 
 

@@ -239,3 +239,56 @@ def test_quality_learns_from_positives_and_unlabelled_rows():
     assert (model.score(one) > 0.5).mean() > 0.97 and (model.score(zero) < 0.5).mean() > 0.97
     as_one, as_zero = quality.risk(model, np.concatenate([one[200:], zero[:400]]), one[:200], 0.5)
     assert as_one + max(0, as_zero) < 0.2
+
+
+def plain_features(text):
+    """The surface statistics by loops over bytes, words and lines."""
+    text = text or ""
+    data = text.encode()
+    n = max(len(data), 1)
+
+    def kind(b):
+        c = chr(b) if b < 128 else ""
+        return 8 if b >= 128 else 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4 if c == " " else 5 if c == "\n" else 6 if c in ".," else 7 if c in "!?;:'\"-()" else 0
+
+    marks, pairs = [0] * 94, [0] * 81
+    for b in data:
+        if 33 <= b < 127:
+            marks[b - 33] += 1
+    for a, b in zip(data, data[1:]):
+        pairs[9 * kind(a) + kind(b)] += 1
+    words, lines = text.split(), text.split("\n")
+    w, sizes = max(len(words), 1), [len(x) for x in words] or [0]
+    mean = sum(sizes) / len(sizes)
+    shape = [
+        np.log(1 + len(data)), np.log(1 + len(words)), len(set(words)) / w, max((words.count(x) for x in set(words)), default=0) / w if len(words) < 400 else max(np.unique(words, return_counts=True)[1]) / w, len({(a, b) for a, b in zip(words, words[1:])}) / w,
+        mean, (sum((s - mean) ** 2 for s in sizes) / len(sizes)) ** 0.5, sum(s <= 3 for s in sizes) / len(sizes), sum(s > 20 for s in sizes) / len(sizes), len(set(lines)) / len(lines), np.log(1 + len(lines)), np.log(1 + len(words) / len(lines)),
+        sum(x.isupper() for x in words) / w, sum(not x[-1].isalnum() for x in words) / w, sum(not x.isalnum() for x in words) / w,
+    ]
+    return np.array([(m / n) ** 0.5 for m in marks] + [(p / n) ** 0.5 for p in pairs] + shape, dtype=np.float32)
+
+
+def test_quality_scores_of_a_whole_table_by_a_plain_fit_and_scorer(spark):
+    """Rows to learn from chosen, measured, fitted and every row scored without Spark."""
+    import xxhash
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()]
+    learns = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    least = lambda ids, most: sorted(ids, key=lambda i: ((xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42) + 2**63) % 2**64, i))[:most]
+    texts, x = dict(docs), {i: plain_features(t) for i, t in docs}
+    marked = {i: q for i, q in labels if q is not None and learns(i)}
+    for limits in ((8_000, 16_000), (60, 200)):
+        prior = min(0.99, max(0.01, sum(marked.values()) / len(marked)))
+        positive = [i for i in least([i for i, q in marked.items() if q == 1], limits[0]) if i in texts]
+        unlabelled = least([i for i in texts if learns(i)], limits[1])
+        ordered = [np.array([x[i] for i in sorted(ids, key=str)]) for ids in (positive, unlabelled)]
+        model = quality.fit(*ordered, prior)
+        z = np.clip((np.array([x[i] for i, _ in docs]) - model.mean) / model.scale, -6, 6)
+        want = 1 / (1 + np.exp(-(np.tanh(z @ model.w1 + model.b1) @ model.w2 + model.b2)))
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+        found, known = quality.train(frame, spark.createDataFrame(labels, "doc_id long, quality int"), *limits)
+        got = {r.doc_id: (r.score, r.predicted) for r in quality.score(frame, found, known).collect()}
+        assert known == pytest.approx(prior)
+        assert max(abs(got[i][0] - s) for (i, _), s in zip(docs, want, strict=True)) < 1e-4
+        assert all(got[i][1] == (got[i][0] >= 0.7) for i, _ in docs)
