@@ -459,7 +459,7 @@ def encode(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> tupl
     return encoded, v
 
 
-PART = 2048
+PART, FAN = 2048, 64
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
@@ -494,13 +494,23 @@ def _fit(batches: Iterator[pa.RecordBatch], v: Vocabulary, flat: np.ndarray, rat
         yield pa.RecordBatch.from_arrays([pa.array([task] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["task", "chunk", "tokens", "part"])
 
 
+TRAINED = "task int, chunk int, tokens long, part binary"
+
+
 def _average(group: pa.Table) -> pa.Table:
-    """Mean of one part of the tasks' weights by their tokens."""
+    """Mean of one part of some tasks' weights by their tokens, in their order."""
     n = group.column("tokens").to_numpy().astype(np.float64)
     order = np.argsort(group.column("task").to_numpy(), kind="stable")
     parts = group.column("part")
     total = sum(n[i] * np.frombuffer(parts[int(i)].as_py(), np.float32) for i in order) / n.sum()
-    return pa.table({"chunk": group.column("chunk").slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    return pa.table({"task": pa.array([int(group.column("task").to_numpy().min())], pa.int32()), "chunk": group.column("chunk").slice(0, 1), "tokens": pa.array([int(n.sum())], pa.int64()), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
+def average(trained: DataFrame) -> DataFrame:
+    """Each part's mean over all tasks, in a tree: a group holds the parts of FAN tasks, or of FAN groups."""
+    for level in (FAN, FAN * FAN):
+        trained = trained.groupBy("chunk", F.floor(F.col("task") / level).alias("node")).applyInArrow(_average, TRAINED)
+    return trained.groupBy("chunk").applyInArrow(_average, TRAINED)
 
 
 def train(encoded: DataFrame, v: Vocabulary) -> np.ndarray:
@@ -514,8 +524,8 @@ def train(encoded: DataFrame, v: Vocabulary) -> np.ndarray:
         def fit(batches, rate=rate, begin=begin):
             return _fit(batches, v, begin, rate)
 
-        trained = encoded.filter(F.col("round") == number).select("inputs").mapInArrow(fit, "task int, chunk int, tokens long, part binary")
-        averaged = trained.groupBy("chunk").applyInArrow(_average, "chunk int, part binary").collect()  # the model's size
+        trained = encoded.filter(F.col("round") == number).select("inputs").mapInArrow(fit, TRAINED)
+        averaged = average(trained).collect()  # the model's size
         if averaged:
             flat = np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(averaged, key=lambda r: r.chunk)])
     return flat

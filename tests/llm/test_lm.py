@@ -168,3 +168,14 @@ def test_common_words_have_weights_of_their_own(spark, tmp_path):
     ids = np.frombuffer(encoded.first().inputs, np.uint16)
     assert len(set(ids.tolist())) == 2001 and v.class_of[ids].max() < v.n_top_classes and encoded.first().inner == 0
     assert v.shapes()["wo"] == (2001, 25) and v.shapes()["embed"][1] == 16
+
+
+def test_average_of_many_tasks_in_a_tree(spark):
+    """The weighted mean over more tasks than one group of the tree holds."""
+    rng = np.random.default_rng(3)
+    rows = [(t, c, int(rng.integers(1, 900)), rng.standard_normal(5).astype(np.float32)) for t in rng.permutation(9000)[:700].tolist() for c in range(2)]
+    got = {r.chunk: (r.tokens, np.frombuffer(r.part, np.float32)) for r in lm.average(spark.createDataFrame([(t, c, n, bytearray(w.tobytes())) for t, c, n, w in rows], lm.TRAINED)).collect()}
+    for c in range(2):
+        own = [(n, w.astype(float)) for _, chunk, n, w in rows if chunk == c]
+        assert got[c][0] == sum(n for n, _ in own)
+        assert np.allclose(got[c][1], sum(n * w for n, w in own) / sum(n for n, _ in own), atol=1e-5)
