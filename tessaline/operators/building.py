@@ -1,7 +1,8 @@
 """Index builds and promotions over stored tables: <folder>/index by version, <folder>/registry by number of its change.
 
 A registry is a small table that is written anew with each change; the highest number is the current one.
-Callers hold a lock (sources.config.RunLock) where several processes change one folder.
+A tool for a single writer: two that write at once would give their changes the same number. Callers hold a lock
+(sources.config.RunLock, of one machine) where several processes change one folder.
 """
 
 from __future__ import annotations
