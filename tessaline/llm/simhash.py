@@ -13,8 +13,9 @@ more than its t_i bits. Dynamic programming picks the thresholds with the fewest
 candidates, by the number of equal pairs counted in each partition and the share of pairs
 that one more differing bit adds, plus the probes themselves; the number of partitions m is
 the cheapest of 2 to THRESHOLD + 2. A row is indexed by its partition's value and probes all values
-within t_i bits. Values that more than HOT fingerprints share are split again into
-parts of the other bits, of which a linked pair shares one, so no task meets them whole. Pairs are verified
+within t_i bits. Values that more than HOT fingerprints share are split into
+parts of the other bits, of which a linked pair shares one, and again until no value has more, or FREE bits
+or fewer are left to differ, so no task meets a hot value whole. Pairs are verified
 in numpy within one value: with the rows that follow, or, where a value still has more rows than
 there are fingerprints within reach, by looking these up. A task emits a spanning forest, not all pairs.
 
@@ -43,7 +44,9 @@ from tessaline.llm.components import connected_components, local_roots
 
 BITS, THRESHOLD, SHINGLE, SEED = 64, 2, 3, 42
 HOT = 4096
+FREE = 12  # bits, whose values are no more than HOT
 LOOK_UP = 8192  # rows of a value from which looking up may be less work than comparing
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TO_LOWER = str.maketrans(UPPER, LOWER)
 
@@ -166,28 +169,45 @@ def _flips(bits: list[int], t: int) -> list[int]:
     return [_signed(sum(1 << b for b in some)) for k in range(1, t + 1) for some in itertools.combinations(bits, k)]
 
 
+def _split(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, probe, free) once for each of bits + 1 parts of their free bits: the key with the part's value, and the bits that stay free."""
+    for batch in batches:
+        key, fp, free = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1, 3))
+        for mask in np.unique(free):
+            at = np.flatnonzero(free == mask)
+            own = [b for b in range(BITS) if int(mask) >> b & 1]
+            for j in range(bits + 1):
+                part = np.uint64(sum(1 << b for b in own[j :: bits + 1]))
+                new = (key[at] ^ np.uint64(j + 1) * _MIX[0]) * _MIX[1] + (fp[at] & part) * _MIX[2]
+                new = (new ^ new >> np.uint64(29)) * _MIX[0]
+                new ^= new >> np.uint64(32)
+                probe = batch.column(2).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(fp[at].view(np.int64)), probe, pa.array(np.full(len(at), mask & ~part, np.uint64).view(np.int64))], ["key", "fp", "probe", "free"])
+
+
 def signatures(distinct: DataFrame, groups: list[list[int]], thresholds: list[int], bits: int = THRESHOLD) -> DataFrame:
-    """(part, value, sub, probe, fp): index rows have probe 0; probe rows carry a value within the part's threshold."""
+    """(key, fp, probe): index rows have probe 0; probe rows carry the key of a value within their part's threshold. Keys of more than HOT rows are split until they are small or few bits are free."""
     parts = []
     for i, (own, t) in enumerate(zip(groups, thresholds)):
         if t < 0:
             continue
         value = part_value(F.col("fp"), own)
         masks = F.array(*[F.lit(x) for x in [0, *_flips(own, t)]]).cast("array<bigint>")
-        parts.append(distinct.select(F.lit(i).alias("part"), F.explode(masks).alias("mask"), value.alias("own"), "fp").select("part", F.col("own").bitwiseXOR(F.col("mask")).alias("value"), (F.col("mask") != 0).cast("int").alias("probe"), "fp"))
+        free = F.lit(_signed(sum(1 << b for b in range(BITS) if b not in own))).cast("long")
+        rows = distinct.select(F.explode(masks).alias("mask"), value.alias("own"), "fp")
+        parts.append(rows.select(F.xxhash64(F.lit(i), F.col("own").bitwiseXOR(F.col("mask"))).alias("key"), "fp", (F.col("mask") != 0).cast("int").alias("probe"), free.alias("free")))
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    hot = rows.groupBy("part", "value").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(F.col("part").alias("p"), F.col("value").alias("w"))
-    rows = rows.join(hot, (F.col("part") == F.col("p")) & (F.col("value") == F.col("w")), "left")
-    sub = F.lit(None).cast("array<bigint>")
-    for i, own in enumerate(groups):
-        others = [b for b in range(BITS) if b not in own]
-        split = [others[k :: bits + 1] for k in range(bits + 1)]
-        keys = F.array(*[F.xxhash64(F.lit(k), part_value(F.col("fp"), some)) for k, some in enumerate(split)])
-        sub = F.when(F.col("part") == i, keys).otherwise(sub)
-    whole = F.array(F.lit(0).cast("bigint"))
-    return rows.select("part", "value", "probe", "fp", F.explode(F.when(F.col("p").isNull(), whole).otherwise(sub)).alias("sub"))
+    out = None
+    while True:
+        hot = rows.filter(F.bit_count("free") > FREE).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key")
+        hot = cut(hot)  # one of HOT rows at most
+        small = (rows if hot.isEmpty() else rows.join(hot, "key", "left_anti")).select("key", "fp", "probe")
+        out = small if out is None else out.unionByName(small)
+        if hot.isEmpty():
+            return out
+        rows = cut(rows.join(hot, "key", "left_semi").select("key", "fp", "probe", "free").mapInArrow(partial(_split, bits=bits), "key long, fp long, probe int, free long"))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -271,7 +291,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = THRESHOLD)
     distinct = cut(known.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     groups, thresholds = plan(distinct, bits)
     rows = signatures(distinct.select("fp"), groups, thresholds, bits)
-    rows = rows.select(F.xxhash64("part", "value", "sub").alias("key"), "fp", "probe")
     links = rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_links, most=bits), "a long, b long")
     several = known.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select(F.col("doc_id").alias("id"), "a")
     links = links.unionByName(known.join(several, F.col("doc_id") == F.col("id")).select("a", F.col("fp").alias("b")))  # one document, several texts

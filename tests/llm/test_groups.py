@@ -238,3 +238,22 @@ def test_links_of_a_whole_table_by_brute_force(spark):
     want = dict(zip(data.vec_id.to_numpy()[asked].tolist(), ((x[asked] @ x.T >= 0.95).sum(axis=1) - 1).tolist(), strict=True))
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(rows).filter("vec_id % 20 = 0").collect()}
     assert got == want
+
+
+def test_hot_values_are_split_until_they_are_small(spark, monkeypatch):
+    """Fingerprints that agree in most bits: no key keeps more than HOT index rows while enough bits are free, and no pair is lost."""
+    monkeypatch.setattr(simhash, "HOT", 40)
+    rng = np.random.default_rng(12)
+    low = np.unique(rng.integers(0, 1 << 16, 600)).astype(np.uint64)
+    fp = (low << np.uint64(3)) | np.uint64(1 << 60)
+    distinct = spark.createDataFrame([(int(f) - (1 << 64) if f >= 1 << 63 else int(f),) for f in fp], "fp long").repartition(3)
+    groups = [list(range(32, 64)), list(range(32))]
+    rows = simhash.signatures(distinct, groups, [0, -1], 2)
+    sizes = [r["count"] for r in rows.groupBy("key").count().collect()]
+    assert max(sizes) <= 64 and len(sizes) > 20  # 32 bits are equal; what is left varies in 16
+    keys = {}
+    for r in rows.collect():
+        keys.setdefault(r.key, set()).add(r.fp)
+    met = {frozenset(p) for k in keys.values() for p in itertools.combinations(k, 2)}
+    near = [(int(a), int(b)) for a, b in itertools.combinations(fp.tolist(), 2) if (a ^ b).bit_count() <= 2]
+    assert near and all(frozenset(p) in met for p in near)
