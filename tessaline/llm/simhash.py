@@ -170,7 +170,7 @@ def _flips(bits: list[int], t: int) -> list[int]:
 
 
 def _split(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, probe, free) once for each of bits + 1 parts of their free bits: the key with the part's value, and the bits that stay free."""
+    """Rows (key, fp, probe, free, others) once for each of bits + 1 parts of their free bits: the key with the part's value, and the bits that stay free."""
     for batch in batches:
         key, fp, free = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1, 3))
         for mask in np.unique(free):
@@ -181,21 +181,21 @@ def _split(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
                 new = (key[at] ^ np.uint64(j + 1) * _MIX[0]) * _MIX[1] + (fp[at] & part) * _MIX[2]
                 new = (new ^ new >> np.uint64(29)) * _MIX[0]
                 new ^= new >> np.uint64(32)
-                probe = batch.column(2).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(fp[at].view(np.int64)), probe, pa.array(np.full(len(at), mask & ~part, np.uint64).view(np.int64))], ["key", "fp", "probe", "free"])
+                probe, *others = (batch.column(i).take(pa.array(at)) for i in (2, *range(4, batch.num_columns)))
+                yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(fp[at].view(np.int64)), probe, pa.array(np.full(len(at), mask & ~part, np.uint64).view(np.int64)), *others], batch.schema.names)
 
 
 def signatures(distinct: DataFrame, groups: list[list[int]], thresholds: list[int], bits: int = THRESHOLD) -> DataFrame:
-    """(key, fp, probe): index rows have probe 0; probe rows carry the key of a value within their part's threshold. Keys of more than HOT rows are split until they are small or few bits are free."""
-    parts = []
+    """(key, fp, probe) and the other columns of distinct (long): index rows have probe 0; probe rows carry the key of a value within their part's threshold. Keys of more than HOT rows are split until they are small or few bits are free."""
+    parts, others = [], [c for c in distinct.columns if c != "fp"]
     for i, (own, t) in enumerate(zip(groups, thresholds)):
         if t < 0:
             continue
         value = part_value(F.col("fp"), own)
         masks = F.array(*[F.lit(x) for x in [0, *_flips(own, t)]]).cast("array<bigint>")
         free = F.lit(_signed(sum(1 << b for b in range(BITS) if b not in own))).cast("long")
-        rows = distinct.select(F.explode(masks).alias("mask"), value.alias("own"), "fp")
-        parts.append(rows.select(F.xxhash64(F.lit(i), F.col("own").bitwiseXOR(F.col("mask"))).alias("key"), "fp", (F.col("mask") != 0).cast("int").alias("probe"), free.alias("free")))
+        rows = distinct.select(F.explode(masks).alias("mask"), value.alias("own"), "fp", *others)
+        parts.append(rows.select(F.xxhash64(F.lit(i), F.col("own").bitwiseXOR(F.col("mask"))).alias("key"), "fp", (F.col("mask") != 0).cast("int").alias("probe"), free.alias("free"), *others))
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
@@ -203,11 +203,11 @@ def signatures(distinct: DataFrame, groups: list[list[int]], thresholds: list[in
     while True:
         hot = rows.filter(F.bit_count("free") > FREE).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key")
         hot = cut(hot)  # one of HOT rows at most
-        small = (rows if hot.isEmpty() else rows.join(hot, "key", "left_anti")).select("key", "fp", "probe")
+        small = (rows if hot.isEmpty() else rows.join(hot, "key", "left_anti")).select("key", "fp", "probe", *others)
         out = small if out is None else out.unionByName(small)
         if hot.isEmpty():
             return out
-        rows = cut(rows.join(hot, "key", "left_semi").select("key", "fp", "probe", "free").mapInArrow(partial(_split, bits=bits), "key long, fp long, probe int, free long"))
+        rows = cut(rows.join(hot, "key", "left_semi").select("key", "fp", "probe", "free", *others).mapInArrow(partial(_split, bits=bits), "key long, fp long, probe int, free long" + "".join(f", {c} long" for c in others)))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:

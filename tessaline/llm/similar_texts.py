@@ -1,0 +1,208 @@
+"""Groups of similar texts: candidates by several SimHash words, verified by their shingles.
+
+One word of 64 bits is a coarse estimate: at a similarity of 0.8 two texts differ in 10 bits, give or take 3. Each text
+therefore gets WORDS words from independent hashes of its distinct shingles. Each word is searched on its own by the general pigeonhole
+principle (``simhash``), with NEAR differing bits; a pair of which some word comes so near is compared by all
+words, and is a candidate at MOST differing bits. Texts with the same words are one node.
+
+Candidates are verified by the similarity (Jaccard) of their sets of shingles, which alone makes links. Every round verifies the
+nearest open candidate of each node, by one join with the texts; candidates within a component that
+is found, or that failed, are closed. The rounds end when none is open, so that of a large group about one candidate for each text
+is verified, not all pairs, and no link between components is left out.
+
+Defined results: as in ``simhash.near_duplicates``; texts without a word have one shingle, the empty one, and are similar to
+each other only; texts of fewer words than a shingle have one shingle of them all.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessaline.llm import simhash
+from tessaline.llm.common import cut
+from tessaline.llm.components import connected_components, local_roots
+from tessaline.llm.simhash import BITS, SEED, TO_LOWER, WORD
+
+WORDS, NEAR, MOST = 4, 8, 51  # words of a text, bits in which one of them and all of them may differ
+SIMILAR = 0.8
+STEPS = 4  # rows that follow, compared before a group's components are used
+LARGE = 64  # rows of a group from which these are used
+COLUMNS = [f"f{k}" for k in range(WORDS)]
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, in order; one for a text without words."""
+    words = WORD.findall((text or "").translate(TO_LOWER))
+    parts = map(" ".join, zip(*(words[i:] for i in range(size)))) if len(words) > size else [" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), dtype=np.uint64))
+
+
+def sketch(text: str | None, size: int) -> list[int]:
+    """WORDS words, each with the majority bits of hashes of its own, as signed longs."""
+    h, out = shingles(text, size), []
+    for k in range(WORDS):
+        z = h + np.uint64(k * int(simhash._MIX[0]) % (1 << 64))
+        z = (z ^ z >> np.uint64(30)) * simhash._MIX[1]
+        z = (z ^ z >> np.uint64(27)) * simhash._MIX[2]
+        z ^= z >> np.uint64(31)
+        ones = np.zeros(BITS, np.int64)
+        for i in range(0, len(z), 1 << 14):
+            ones += np.unpackbits(z[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(z), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = np.array([sketch(batch.column(2)[i].as_py(), size) for i in range(batch.num_rows)], dtype=np.int64).reshape(-1, WORDS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(rows[:, k]) for k in range(WORDS)]], ["doc_id", "rid", *COLUMNS])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of candidates (a, b, bits), nearest first, among rows (key, node, probe, words) with the same key, which come sorted by key and fp."""
+
+    def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, node, probe, words = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3:].view(np.uint64)
+        nodes, at = np.unique(node, return_inverse=True)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = np.append(starts[1:], len(key))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def compare(a: np.ndarray, b: np.ndarray) -> None:
+            ok = (probe[a] + probe[b] < 2) & (at[a] != at[b])
+            a, b = a[ok], b[ok]
+            bits = np.zeros(len(a), np.int64)
+            for k in range(WORDS):
+                bits += np.bitwise_count(words[a, k] ^ words[b, k])
+                close = bits <= MOST  # no word takes bits away
+                if k % 2:
+                    a, b, bits = a[close], b[close], bits[close]
+            if len(a):
+                found.append((at[a], at[b], bits))
+
+        alive = np.repeat(ends, ends - starts) - np.arange(len(key)) - 1  # rows of the same key that follow
+        row, step = np.flatnonzero(alive > 0), 1
+        while len(row):
+            compare(row, row + step)
+            step += 1
+            row = row[alive[row] >= step]
+            if step == STEPS + 1:  # in large groups, what is in one component already is not compared
+                roots = local_roots(len(nodes), *(np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1)))
+                for s, e in zip(starts[ends - starts > LARGE], ends[ends - starts > LARGE]):
+                    own, counts = np.unique(roots[at[s:e]], return_counts=True)
+                    inside = roots[at[s:e]] == own[counts.argmax()]
+                    others = s + np.flatnonzero(~inside)
+                    if 2 * len(others) > e - s:
+                        continue  # no large component
+                    for o in others:
+                        compare(np.full(e - s, o), np.arange(s, e))
+                    alive[s:e] = 0
+                row = row[alive[row] >= step]
+        if found:
+            a, b, bits = (np.concatenate([f[i] for f in found]) for i in range(3))
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((b, a, bits))
+            a, b, bits = a[order], b[order], bits[order]
+            roots = np.arange(len(nodes))
+            for own in np.unique(bits):  # nearest first; of equally near ones, all between components
+                now = np.flatnonzero(bits == own)
+                now = now[roots[a[now]] != roots[b[now]]]
+                if len(now):
+                    _, first = np.unique(np.stack([np.minimum(roots[a[now]], roots[b[now]]), np.maximum(roots[a[now]], roots[b[now]])]), axis=1, return_index=True)
+                    now = now[first]
+                    roots = local_roots(len(nodes), a[now], b[now], roots)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[a[now]]), pa.array(nodes[b[now]]), pa.array(bits[now].astype(np.int32))], ["a", "b", "bits"])
+
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3 + WORDS)], axis=1)
+        held.append(rows)
+        size += len(rows)
+        if size >= 100_000:
+            rows = np.concatenate(held)
+            last = int(np.searchsorted((rows[:, 0] != rows[-1, 0]).astype(np.int8)[::-1], 1))  # rows of the last key
+            if last < len(rows):
+                yield from solve(rows[: len(rows) - last])
+                rows = rows[len(rows) - last :]
+            held, size = [rows], len(rows)
+    if size:
+        yield from solve(np.concatenate(held))
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b, bits) of candidates, from (node, words)."""
+    out = None
+    for k, word in enumerate(COLUMNS):
+        own = nodes.select(F.col(word).alias("fp"), "node", *COLUMNS)
+        groups, thresholds = simhash.plan(own, NEAR)
+        rows = simhash.signatures(own, groups, thresholds, NEAR).withColumn("key", F.xxhash64(F.lit(k), "key"))
+        out = rows if out is None else out.unionByName(rows)
+    dealt = out.repartition("key").sortWithinPartitions("key", "fp").select("key", "node", F.col("probe").cast("long"), *COLUMNS)
+    found = dealt.mapInArrow(_near, "a long, b long, bits int")
+    return found.groupBy("a", "b").agg(F.min("bits").alias("bits"))
+
+
+def _similarity(size: int):
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = shingles(x, size), shingles(y, size)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / (len(x) + len(y) - both))
+        return pd.Series(out, dtype="float64")
+
+    return run
+
+
+def verified_links(open_: DataFrame, texts: DataFrame, size: int, similar: float) -> DataFrame | None:
+    """(a, b) of verified candidates that join all components of verified candidates, from (a, b, bits) and (node, text); None without any."""
+    similarity, links, parts = _similarity(size).asNondeterministic(), None, None
+    open_ = cut(open_)
+    while not open_.isEmpty():
+        ends = open_.select(F.col("a").alias("node"), F.struct("bits", "a", "b").alias("e")).unionByName(open_.select(F.col("b").alias("node"), F.struct("bits", "a", "b").alias("e")))
+        nearest = ends.groupBy("node").agg(F.min("e").alias("e")).select("e.a", "e.b").distinct()
+        left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+        right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+        tested = cut(nearest.join(left, "a").join(right, "b").select("a", "b", similarity("x", "y").alias("similarity")))
+        passed = tested.filter(F.col("similarity") >= similar).select("a", "b")
+        links = passed if links is None else links.unionByName(passed)
+        parts = connected_components(links, "a", "b").select(F.col("node").alias("_n"), "component")
+        open_ = open_.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            open_ = open_.join(parts.select(F.col("_n").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+        apart = F.coalesce(F.col("_a") != F.col("_b"), F.lit(True))
+        open_ = cut(open_.filter(apart).select("a", "b", "bits"))
+    return links
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, component) of every row that has a doc_id; component is the smallest doc_id reachable by links."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL").withColumn("rid", F.xxhash64("text"))
+    prints = cut(rows.select("doc_id", "rid", "text").mapInArrow(partial(_sketches, size=size), "doc_id long, rid long" + "".join(f", {c} long" for c in COLUMNS)))
+    nodes = prints.groupBy(*COLUMNS).agg(F.min(F.struct("doc_id", "rid")).alias("first"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()).select("node", F.col("first.doc_id").alias("least"), F.col("first.rid").alias("rid"), *COLUMNS))
+    found = cut(candidates(nodes.select("node", *COLUMNS)))
+    wanted = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "least", "rid"), "node")
+    texts = rows.join(wanted.withColumnRenamed("rid", "_rid"), (F.col("doc_id") == F.col("least")) & (F.col("rid") == F.col("_rid")))
+    texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")))
+    links = verified_links(found, texts, size, similar)
+    mine = prints.select("doc_id", *COLUMNS).distinct().join(nodes.select("node", *COLUMNS), COLUMNS).select("doc_id", "node")
+    # a document is one node with its texts: links of documents, by the least document of each node
+    ends = mine.join(nodes.select("node", "least"), "node").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    if links is not None:
+        names = nodes.select("node", "least")
+        named = links.join(names.select(F.col("node").alias("a"), F.col("least").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("least").alias("y")), "b")
+        ends = ends.unionByName(named.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    parts = connected_components(ends, "a", "b")
+    ids = rows.select("doc_id").distinct()
+    return ids.join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import sentencepiece
-from test_groups import plain_groups
 from test_native import plain_decontaminate, plain_line_dedup
+from test_similar import plain_similar
 
 import corpus_pipeline
 from tessaline.llm import pieces, quality
@@ -17,7 +17,7 @@ def test_pipeline(spark):
     scores = {r.doc_id: r.predicted for r in quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if scores[r.doc_id] == 1]
     rows = [(i, kept) for i, _, _, kept in plain_line_dedup(rows)]
-    least = plain_groups(rows, 5, 6)
+    least = plain_similar(rows)[1]
     rows = [(i, t) for i, t in rows if least[i] == i]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = {r[0] for r in plain_decontaminate(rows, items) if not r[5]}

@@ -1,0 +1,85 @@
+"""Groups of similar texts against brute force over their shingles."""
+
+from __future__ import annotations
+
+import itertools
+import random
+import re
+
+import pytest
+from test_groups import least_reachable
+
+from tessaline.llm import similar_texts
+
+
+def plain_shingles(text, size=5):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def plain_similar(rows, size=5, similar=0.8):
+    """(links, smallest reachable id) by all pairs; rows of one id are one node."""
+    sets = [(i, plain_shingles(t, size)) for i, t in rows if i is not None]
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if len(x & y) >= similar * len(x | y)]
+    return links, least_reachable([i for i, _ in sets], links)
+
+
+def groups(spark, rows, **options):
+    docs = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "doc_id long, text string, node int, component int").repartition(3)
+    return {r.doc_id: r.component for r in similar_texts.similar_groups(docs, **options).collect()}
+
+
+def copies(seed, families, each, low, high, edits):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for f in range(families):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(low, high))]
+        for c in range(each):
+            text = list(base)
+            for _ in range(rng.randrange(edits)):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+            rows.append((1000 * f + c, " ".join(text)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_near_copies(spark):
+    """Every link found is one, and nearly all are found."""
+    rows = [*copies(1, 25, 6, 60, 400, 4), (-1, None), (-2, ""), (-3, " \n"), (-4, "one"), (-5, "One"), (-6, "one two three four five"), (None, "one"), (-7, "a b c d e f"), (-8, "long " * 50_000), (-9, "long " * 50_000)]
+    links, want = plain_similar(rows)
+    got = groups(spark, rows)
+    assert set(got) == set(want)
+    assert all(want[i] == want[c] for i, c in got.items())  # no group beyond the right one
+    assert sum(got[a] == got[b] for a, b in links) >= 0.97 * len(links) and got[-1] == got[-2] == -3 and got[-4] == -5 and got[-8] == -9
+
+
+def test_shared_ids_and_odd_tables(spark):
+    a, b = ("some words about one thing and then another " * 3, "others on something else altogether for now " * 3)
+    rows = [(1, a), (5, a), (5, b), (9, b), (7, "neither of them"), (5, a)]
+    assert groups(spark, rows) == plain_similar(rows)[1] == {1: 1, 5: 1, 9: 1, 7: 7}
+    assert groups(spark, []) == {} == groups(spark, [(None, a)])
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(similar_texts, "LARGE", 8)
+    monkeypatch.setattr(similar_texts.simhash, "HOT", 200)
+    rows = copies(2, 1, 400, 300, 301, 3) + [(5000 + i, t) for i, t in enumerate(t for _, t in copies(3, 40, 1, 80, 200, 1))]
+    links, want = plain_similar(rows)
+    got = groups(spark, rows)
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[a] == got[b] for a, b in links) >= 0.98 * len(links)
+
+
+@pytest.mark.parametrize("similar", [0.8, 0.95])
+def test_recall_over_a_table(spark, similar):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r.text or "", r.doc_id)
+    links, _ = plain_similar([(i, t) for t, i in texts.items()], similar=similar)
+    got = {r.doc_id: r.component for r in similar_texts.similar_groups(docs, similar=similar).collect()}
+    _, want = plain_similar([(r.doc_id, r.text) for r in docs.collect()], similar=similar)
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
