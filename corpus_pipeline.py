@@ -5,10 +5,8 @@ again; a table goes as soon as the next one is written. All stages but the last
 of their input, whatever these are; they need doc_id and text. n_chars, where there is one,
 follows the text.
 
-The near-duplicate stage compares fingerprints of five-word shingles and links them at 6 of 64
-differing bits or fewer, the most that keeps chance links rare among 10^9 documents. Six bits stand for a
-similarity of about 0.92, so that every group holds documents alike in 0.8 or more; README.md states how
-many of the pairs at 0.8 it finds.
+The near-duplicate stage finds candidates by four SimHash words of five-word shingles and links those whose
+shingles are similar in 0.8 or more (Jaccard), so that every link is right; README.md states how many of all such pairs it finds.
 
 Defined results: a null text counts as an empty one in every decision and stays null where it is
 kept; empty texts are documents like others, and near-duplicates of one another; very long
@@ -23,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import decontaminate, line_dedup, pieces, quality, simhash
+from tessaline.llm import decontaminate, line_dedup, pieces, quality, similar_texts
 from tessaline.llm.common import remove_folder, scratch_folder, table, write_table
 
-WORDS, BITS = 5, 6  # of a shingle, and that may differ
+WORDS, SIMILAR = 5, 0.8  # of a shingle, and from which texts are near-duplicates
 OWN = ("doc_id", "text")
 
 
@@ -60,7 +58,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates."""
     own = _narrow(docs)
-    found = simhash.near_duplicates(own, WORDS, BITS)
+    found = similar_texts.similar_groups(own, WORDS, SIMILAR)
     gone = found.filter(F.col("component") < F.col("doc_id")).select(F.col("doc_id").alias("gone"))
     return _widen(own.join(gone, F.col("doc_id") == F.col("gone"), "left_anti"), docs)
 
