@@ -2,8 +2,8 @@
 
 One word of 64 bits is a coarse estimate: at a similarity of 0.8 two texts differ in 10 bits, give or take 3. Each text
 therefore gets WORDS words from independent hashes of its distinct shingles. Each word is searched on its own by the general pigeonhole
-principle (``simhash``), with NEAR differing bits; a pair of which some word comes so near is compared by all
-words, and is a candidate at MOST differing bits. Texts with the same words are one node.
+principle (``simhash``), with NEAR differing bits; a pair of which some word comes so near is compared by this word and
+the next, and is a candidate at MOST differing bits of the two. Texts with the same words are one node.
 
 Candidates are verified by the similarity (Jaccard) of their sets of shingles, which alone makes links. Every round verifies the
 nearest open candidate of each node, by one join with the texts; candidates within a component that
@@ -31,7 +31,7 @@ from tessaline.llm.common import cut
 from tessaline.llm.components import connected_components, local_roots
 from tessaline.llm.simhash import BITS, SEED, TO_LOWER, WORD
 
-WORDS, NEAR, MOST = 4, 8, 51  # words of a text, bits in which one of them and all of them may differ
+WORDS, NEAR, MOST = 4, 8, 26  # words of a text, bits in which one of them, and it with the next one, may differ
 SIMILAR = 0.8
 STEPS = 4  # rows that follow, compared before a group's components are used
 LARGE = 64  # rows of a group from which these are used
@@ -67,7 +67,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest of candidates (a, b, bits), nearest first, among rows (key, node, probe, words) with the same key, which come sorted by key and fp."""
+    """A forest of candidates (a, b, bits), nearest first, among rows (key, node, probe, two words) with the same key, which come sorted by key and fp."""
 
     def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         key, node, probe, words = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3:].view(np.uint64)
@@ -79,14 +79,10 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compare(a: np.ndarray, b: np.ndarray) -> None:
             ok = (probe[a] + probe[b] < 2) & (at[a] != at[b])
             a, b = a[ok], b[ok]
-            bits = np.zeros(len(a), np.int64)
-            for k in range(WORDS):
-                bits += np.bitwise_count(words[a, k] ^ words[b, k])
-                close = bits <= MOST  # no word takes bits away
-                if k % 2:
-                    a, b, bits = a[close], b[close], bits[close]
-            if len(a):
-                found.append((at[a], at[b], bits))
+            bits = np.bitwise_count(words[a, 0] ^ words[b, 0]).astype(np.int64) + np.bitwise_count(words[a, 1] ^ words[b, 1])
+            close = bits <= MOST
+            if close.any():
+                found.append((at[a[close]], at[b[close]], bits[close]))
 
         alive = np.repeat(ends, ends - starts) - np.arange(len(key)) - 1  # rows of the same key that follow
         row, step = np.flatnonzero(alive > 0), 1
@@ -124,7 +120,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     size = 0
     for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3 + WORDS)], axis=1)
+        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
         held.append(rows)
         size += len(rows)
         if size >= 100_000:
@@ -142,11 +138,11 @@ def candidates(nodes: DataFrame) -> DataFrame:
     """(a, b, bits) of candidates, from (node, words)."""
     out = None
     for k, word in enumerate(COLUMNS):
-        own = nodes.select(F.col(word).alias("fp"), "node", *COLUMNS)
+        own = nodes.select(F.col(word).alias("fp"), "node", F.col(COLUMNS[(k + 1) % WORDS]).alias("other"))
         groups, thresholds = simhash.plan(own, NEAR)
         rows = simhash.signatures(own, groups, thresholds, NEAR).withColumn("key", F.xxhash64(F.lit(k), "key"))
         out = rows if out is None else out.unionByName(rows)
-    dealt = out.repartition("key").sortWithinPartitions("key", "fp").select("key", "node", F.col("probe").cast("long"), *COLUMNS)
+    dealt = out.repartition("key").sortWithinPartitions("key", "fp").select("key", "node", "probe", "fp", "other")
     found = dealt.mapInArrow(_near, "a long, b long, bits int")
     return found.groupBy("a", "b").agg(F.min("bits").alias("bits"))
 

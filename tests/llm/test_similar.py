@@ -72,7 +72,7 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert sum(got[a] == got[b] for a, b in links) >= 0.98 * len(links)
 
 
-@pytest.mark.parametrize("similar", [0.8, 0.95])
+@pytest.mark.parametrize("similar", [0.8])
 def test_recall_over_a_table(spark, similar):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     texts = {}
