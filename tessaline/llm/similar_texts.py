@@ -6,9 +6,9 @@ principle (``simhash``), with NEAR differing bits; a pair of which some word com
 the next, and is a candidate at MOST differing bits of the two. Texts with the same words are one node.
 
 Candidates are verified by the similarity (Jaccard) of their sets of shingles, which alone makes links. Every round verifies the
-nearest open candidate of each node, by one join with the texts; candidates within a component that
-is found, or that failed, are closed. The rounds end when none is open, so that of a large group about one candidate for each text
-is verified, not all pairs, and no link between components is left out.
+AT_ONCE nearest open candidates of each node, by one join with the texts; candidates within a component that
+is found, or that failed, are closed. The rounds end when none is open, so that of a large group a few candidates for each text
+are verified, not all pairs, and no link between components is left out.
 
 Defined results: as in ``simhash.near_duplicates``; texts without a word have one shingle, the empty one, and are similar to
 each other only; texts of fewer words than a shingle have one shingle of them all.
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaline.llm import simhash
@@ -32,7 +32,7 @@ from tessaline.llm.components import connected_components, local_roots
 from tessaline.llm.simhash import BITS, SEED, TO_LOWER, WORD
 
 WORDS, NEAR, MOST = 4, 8, 26  # words of a text, bits in which one of them, and it with the next one, may differ
-SIMILAR = 0.8
+SIMILAR, AT_ONCE = 0.8, 4
 STEPS = 4  # rows that follow, compared before a group's components are used
 LARGE = 64  # rows of a group from which these are used
 COLUMNS = [f"f{k}" for k in range(WORDS)]
@@ -136,13 +136,11 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """(a, b, bits) of candidates, from (node, words)."""
-    out = None
-    for k, word in enumerate(COLUMNS):
-        own = nodes.select(F.col(word).alias("fp"), "node", F.col(COLUMNS[(k + 1) % WORDS]).alias("other"))
-        groups, thresholds = simhash.plan(own, NEAR)
-        rows = simhash.signatures(own, groups, thresholds, NEAR).withColumn("key", F.xxhash64(F.lit(k), "key"))
-        out = rows if out is None else out.unionByName(rows)
-    dealt = out.repartition("key").sortWithinPartitions("key", "fp").select("key", "node", "probe", "fp", "other")
+    each = F.array(*[F.struct(F.lit(k).cast("long").alias("word"), F.col(c).alias("fp"), F.col(COLUMNS[(k + 1) % WORDS]).alias("other")) for k, c in enumerate(COLUMNS)])
+    own = cut(nodes.select("node", F.explode(each).alias("w")).select("node", "w.*"))  # one plan for all words, whose bits are alike
+    groups, thresholds = simhash.plan(own.select("fp"), NEAR)
+    rows = simhash.signatures(own, groups, thresholds, NEAR).withColumn("key", F.xxhash64("word", "key"))
+    dealt = rows.select("key", "node", "probe", "fp", "other").repartition("key").sortWithinPartitions("key", "fp")
     found = dealt.mapInArrow(_near, "a long, b long, bits int")
     return found.groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
@@ -166,7 +164,7 @@ def verified_links(open_: DataFrame, texts: DataFrame, size: int, similar: float
     open_ = cut(open_)
     while not open_.isEmpty():
         ends = open_.select(F.col("a").alias("node"), F.struct("bits", "a", "b").alias("e")).unionByName(open_.select(F.col("b").alias("node"), F.struct("bits", "a", "b").alias("e")))
-        nearest = ends.groupBy("node").agg(F.min("e").alias("e")).select("e.a", "e.b").distinct()
+        nearest = ends.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("e"))).filter(F.col("nth") <= AT_ONCE).select("e.a", "e.b").distinct()
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
         tested = cut(nearest.join(left, "a").join(right, "b").select("a", "b", similarity("x", "y").alias("similarity")))
