@@ -167,6 +167,12 @@ def p_value(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def exact_mean(value: str) -> Column:
+    """Mean from a decimal sum to ten places, the same in any order of the rows, so that equal means compare equal; of doubles where a value is no such decimal (not finite, or 1e18 and more)."""
+    exact = F.col(value).try_cast("decimal(28,10)")
+    return F.when(F.count(exact) == F.count(value), F.avg(exact).cast("double")).otherwise(F.avg(value))
+
+
 def holm(p_values: DataFrame, family: str, hypothesis: str, p: str, alpha: float = 0.05) -> DataFrame:
     """(family, hypothesis, p, rejected): Holm's step-down procedure within each family of hypotheses; equal p-values go in the order of their names."""
     order = Window.partitionBy(family).orderBy(p, hypothesis)

@@ -255,7 +255,7 @@ RANKED = "WITH g AS (SELECT 'third ' || (user_id % 3) AS family, event_type, use
 @query("ext_holm", f"{RANKED}, r AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY family) AS m FROM p WINDOW w AS (PARTITION BY family ORDER BY p, event_type)) SELECT family, event_type, p, bool_and(p <= 0.3 / (m - i + 1)) OVER (PARTITION BY family ORDER BY p, event_type) AS rejected FROM r")
 def ext_holm(spark, sf_dir):
     """Randomisation p-values of every event type, corrected within thirds of the users."""
-    g = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("third "), (F.col("user_id") % 3).cast("string")).alias("family"), "event_type", (F.col("user_id") % 40).alias("arm")).agg(F.avg("value").alias("m"))
+    g = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("third "), (F.col("user_id") % 3).cast("string")).alias("family"), "event_type", (F.col("user_id") % 40).alias("arm")).agg(statistics.exact_mean("value").alias("m"))
     own = g.groupBy("family", "event_type").agg(F.min_by("m", "arm").alias("own"))
     p = g.join(own, ["family", "event_type"]).groupBy("family", "event_type").agg((F.count_if(F.col("m") >= F.col("own")) / 41).alias("p"))
     return statistics.holm(p, "family", "event_type", "p", 0.3)
