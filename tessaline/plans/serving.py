@@ -107,7 +107,7 @@ SELECT query_id, list(round(x / n, 4) ORDER BY d) AS vector FROM means JOIN (SEL
 def v4_encoded_queries(spark, sf_dir):
     """Query vectors from the seeds' texts, encoded again."""
     rows = serving.encoded_query_vectors(_text_seeds(spark, sf_dir), fx.catalog(spark, sf_dir), encoder.HashingEncoder(16))
-    return rows.select("query_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+    return rows.select("query_id", F.transform("vector", lambda x: vectors.signed_round(x, 4)).alias("vector"))
 
 
 # Diversification
