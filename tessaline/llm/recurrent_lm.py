@@ -211,7 +211,9 @@ class GatedModel:
         kind = h.dtype
         at = inputs.ravel()
         x = w["embed"][at]
-        gates = (x @ w["wx"] + w["b"]).reshape(steps, streams, -1)
+        gates = x @ w["wx"]
+        gates += w["b"]
+        gates = gates.reshape(steps, streams, -1)
         before, n, inner = (np.empty((steps, streams, STATE), kind) for _ in range(3))
         zr = np.empty((steps, streams, 2 * STATE), kind)
         states = np.ones((steps, streams, STATE + 1), kind)
@@ -224,26 +226,33 @@ class GatedModel:
         dstate = np.zeros((steps * streams, STATE), kind)
         dstate[ok] = back[:, :STATE]
         dstate = dstate.reshape(steps, streams, STATE)
-        z, r = zr[..., :STATE], zr[..., STATE:]
-        slope = (1 - z) * (1 - n * n)
-        factor = np.empty((steps, streams, 3, STATE), kind)  # of the state's gradient, for each gate's recurrent part
-        np.multiply((before - n) * z, 1 - z, out=factor[:, :, 0])
-        np.multiply(slope, r, out=factor[:, :, 2])
-        np.multiply(factor[:, :, 2], inner * (1 - r), out=factor[:, :, 1])
-        dg, to_before = np.empty_like(factor), np.ascontiguousarray(w["wh"].T)
+        dg, to_before = np.empty((steps, streams, 3 * STATE), kind), np.ascontiguousarray(w["wh"].T)
+        outer = np.empty((steps, streams, STATE), kind)  # of the candidate before its recurrent part is scaled
         after = np.zeros((streams, STATE), kind)
-        for t in range(steps - 1, -1, -1):
-            dh = dstate[t]
+        for t in range(steps - 1, -1, -1):  # a step's arrays are small enough for the cache
+            dh, z, r, own = dstate[t], zr[t, :, :STATE], zr[t, :, STATE:], dg[t]
             dh += after
-            np.multiply(factor[t], dh[:, None, :], out=dg[t])
-            after = dg[t].reshape(streams, -1) @ to_before
-            after += dh * z[t]
+            rest = 1 - z
+            rest *= dh
+            slope = n[t] * n[t]
+            np.subtract(1, slope, out=slope)
+            np.multiply(rest, slope, out=outer[t])
+            np.multiply(outer[t], r, out=own[:, 2 * STATE :])
+            np.subtract(1, r, out=slope)
+            slope *= inner[t]
+            np.multiply(slope, own[:, 2 * STATE :], out=own[:, STATE : 2 * STATE])
+            np.subtract(before[t], n[t], out=slope)
+            slope *= z
+            np.multiply(slope, rest, out=own[:, :STATE])
+            after = own @ to_before
+            np.multiply(dh, z, out=slope)
+            after += slope
             after *= keep[t][:, None]
-        np.matmul(before.reshape(-1, STATE).T, dg.reshape(len(at), -1), out=grads["wh"])
-        np.multiply(dstate, slope, out=dg[:, :, 2])
         dg = dg.reshape(len(at), -1)
+        np.matmul(before.reshape(-1, STATE).T, dg, out=grads["wh"])
+        dg[:, 2 * STATE :] = outer.reshape(len(at), -1)
         np.matmul(x.T, dg, out=grads["wx"])
-        grads["b"][:] = dg.sum(axis=0)
+        np.matmul(np.ones(len(at), kind), dg, out=grads["b"])
         dx = dg @ w["wx"].T
         for d in range(EMBED):
             grads["embed"][:, d] = np.bincount(at, dx[:, d], len(w["embed"]))

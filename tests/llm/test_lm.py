@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -179,3 +180,16 @@ def test_average_of_many_tasks_in_a_tree(spark):
         own = [(n, w.astype(float)) for _, chunk, n, w in rows if chunk == c]
         assert got[c][0] == sum(n for n, _ in own)
         assert np.allclose(got[c][1], sum(n * w for n, w in own) / sum(n for n, _ in own), atol=1e-5)
+
+
+def test_a_window_holds_few_arrays_of_all_its_steps():
+    v = vocabulary()
+    model, shape = lm.GatedModel(v, v.start()), (16, 512)
+    ids, ones_, h = np.random.default_rng(0).integers(0, 5, shape).astype(np.uint16), np.ones(shape, np.float32), np.zeros((512, lm.STATE), np.float32)
+    tracemalloc.start()
+    try:
+        model.window(ids, ones_, ids, ones_ > 0, h, v.views(np.zeros_like(model.flat)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 18.5 * 4 * lm.STATE * 16 * 512  # the way back over whole windows took 19.9
