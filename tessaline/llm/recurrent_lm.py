@@ -37,11 +37,13 @@ ways on how the input is split into tasks; counts and base scores do not.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,16 +53,21 @@ from tessaline.llm.common import remove_folder, scratch_folder, write_table
 FOLDS, HELD_OUT = 7, 2
 MAX_WORDS, TOP_CLASSES = 2048, 32
 EMBED, STATE, STEPS, STREAMS = 16, 24, 16, 512
+LANES = 1024  # documents scored side by side
 LONGEST_WINDOW = 256
-BLOCK_BYTES = 32 << 20
+LARGEST_LOGIT = 80.0  # sums of exp of what is below stay within float32
+BLOCK_BYTES, PIECE_BYTES = 32 << 20, 1 << 19
 CHUNK_TOKENS, SCORE_TOKENS, FLUSH_TOKENS = 8 << 20, 4 << 20, 1 << 14
 SHARES = 16
 ROUNDS = ((1, 1e-2), (4, 5e-3), (16, 2e-3))  # the first share that is not in the round, and its learning rate
 END = b""
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*text.encode().lower().split(), END] if text else [END]
+def tokens(texts: pa.Array) -> pa.ListArray:
+    """The tokens of each text (null: empty)."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    empty = pc.equal(pc.binary_length(texts), 0)
+    return pc.ascii_split_whitespace(pc.if_else(empty, "", pc.binary_join_element_wise(texts, "", " ")))  # nothing after the last space: the end
 
 
 @dataclass
@@ -131,129 +138,154 @@ class Vocabulary:
         return flat
 
 
-def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(x) in place of x, its sums by row; and the log probability of each row's target."""
-    rows = np.arange(len(x))
-    picked = x[rows, target]
-    with np.errstate(over="ignore"):
-        e = np.exp(x)
-        total = e @ np.ones(x.shape[1], x.dtype)
-    if not np.isfinite(total).all() or not total.all():  # logits beyond the range of exp
-        top = x.max(axis=1, keepdims=True)
-        picked = picked - top[:, 0]
-        e = np.exp(x - top)
-        total = e.sum(axis=1)
-    x[:] = e
-    return total, picked - np.log(total)
+def _by_gate(rows: np.ndarray) -> np.ndarray:
+    """A view (3, rows, STATE) of rows of three gates."""
+    return rows.reshape(len(rows), 3, STATE).swapaxes(0, 1)
+
+
+def _softmax(x: np.ndarray, target: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """exp(x) in place of x, its sums by row; and the log probability of each row's target, if given."""
+    if x.size and (x.max() > LARGEST_LOGIT or x.min() < -LARGEST_LOGIT):  # logits that may leave the range of exp
+        x -= x.max(axis=1, keepdims=True)
+    picked = None if target is None else x.reshape(-1).take(np.arange(0, x.size, x.shape[1]) + target)
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return total, None if target is None else picked - np.log(total)
 
 
 class GatedModel:
     def __init__(self, vocabulary: Vocabulary, flat: np.ndarray):
         self.v, self.flat = vocabulary, flat.copy()
         self.w = vocabulary.views(self.flat)
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array to fill, in memory that the next call for this name takes again."""
+        size = math.prod(shape)
+        if name not in self.rooms or self.rooms[name].size < size:
+            self.rooms[name] = np.empty(size, self.flat.dtype)
+        return self.rooms[name][:size].reshape(shape)
+
+    def projected(self) -> np.ndarray:
+        """What each input adds to the update gate, the reset gate and the candidate: (3, inputs, STATE), so that each is one run of memory."""
+        return _by_gate(self.w["embed"] @ self.w["wx"] + self.w["b"]).copy()
 
     def step(self, gates: np.ndarray, h: np.ndarray, out: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
-        """The next state; out receives the update and reset gates, the candidate and its recurrent part for the way back."""
-        g = h @ self.w["wh"]
-        zr = np.add(gates[:, : 2 * STATE], g[:, : 2 * STATE], out=out[0] if out else None)
+        """The next state, from rows of gates or from (3, rows, STATE); out receives the update and reset gates with the candidate's recurrent part, and the candidate, for the way back."""
+        if gates.ndim == 2:
+            gates = _by_gate(gates)
+        own = _by_gate(h @ self.w["wh"])
+        zr, inner = np.add(own[:2], gates[:2], out=out[0][:2] if out else np.empty((2, *h.shape), h.dtype)), own[2]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        inner = g[:, 2 * STATE :]
-        n = np.multiply(zr[:, STATE:], inner, out=out[1] if out else None)
-        n += gates[:, 2 * STATE :]
-        np.tanh(n, out=n)
         if out:
-            out[2][:] = inner
+            out[0][2] = inner
+        n = np.multiply(zr[1], inner, out=out[1] if out else np.empty_like(h))
+        n += gates[2]
+        np.tanh(n, out=n)
         new = h - n
-        new *= zr[:, :STATE]
+        new *= zr[0]
         new += n
         return new
 
-    def outputs(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None, scale: float = 1.0):
-        """Natural log probability of each target input number (shares within rare classes left out), and the gradient for h if grads is given. h has a last column of ones."""
-        w, classes = self.w, self.v.class_of[target]
+    def outputs(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None, scale: float = 1.0) -> np.ndarray:
+        """Natural log probability of each target input number (shares within rare classes left out); with grads, fills those of the outputs and returns the gradient for the state instead. h has a last column of ones."""
+        w, classes = self.w, self.v.class_of.take(target)
         order = np.argsort(classes, kind="stable")
-        h, target, classes = h[order], target[order].astype(np.int64), classes[order].astype(np.int64)
-        x = h @ w["wc"]
-        total, found = _softmax(x, classes)
-        found = found.astype(np.float64)
-        if grads is not None:
-            scale = h.dtype.type(scale)
+        h, target, classes = h.take(order, 0, self.room("sorted", *h.shape), "clip"), target.take(order).astype(np.int64), classes.take(order).astype(np.int64)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        scale = h.dtype.type(scale)
+
+        def slopes(x: np.ndarray, total: np.ndarray, at: np.ndarray):
             x *= (scale / total)[:, None]
-            x[np.arange(len(h)), classes] -= scale
+            x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at] -= scale
+
+        x = np.matmul(h, w["wc"], out=self.room("classes", len(h), self.v.n_classes))
+        total, found = _softmax(x, classes if grads is None else None)
+        if grads is None:
+            found = found.astype(np.float64)
+        else:
+            slopes(x, total, classes)
             np.matmul(h.T, x, out=grads["wc"])
-            dh = x @ w["wc"].T
+            dh = np.matmul(x, w["wc"][:STATE].T, out=self.room("slopes", len(h), STATE))
             grads["wo"][:] = 0
-        at = np.searchsorted(classes, np.arange(self.v.n_top_classes + 1))
+        at = np.searchsorted(classes, np.arange(self.v.n_top_classes + 1)).tolist()
+        starts = self.v.starts.tolist()
         for k in range(self.v.n_top_classes):
-            s, e = self.v.starts[k], self.v.starts[k + 1]
+            s, e = starts[k], starts[k + 1]
             if e - s < 2 or at[k] == at[k + 1]:
                 continue
             own = slice(at[k], at[k + 1])
             mine, hk, wo = target[own] - s, h[own], w["wo"][s:e]
             x = hk @ wo.T
-            total, logq = _softmax(x, mine)
-            found[own] += logq
-            if grads is not None:
-                x *= (scale / total)[:, None]
-                x[np.arange(len(hk)), mine] -= scale
+            total, logq = _softmax(x, mine if grads is None else None)
+            if grads is None:
+                found[own] += logq
+            else:
+                slopes(x, total, mine)
                 np.matmul(x.T, hk, out=grads["wo"][s:e])
-                dh[own] += x @ wo
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        return (found[back], dh[back]) if grads is not None else found[back]
+                dh[own] += x @ wo[:, :STATE]
+        return found.take(back) if grads is None else dh.take(back, 0)
 
     def window(self, inputs, keep, target, valid, h, grads):
         """One window of truncated backpropagation: fills grads and returns the last state. Arrays are (steps, streams)."""
         w, (steps, streams) = self.w, inputs.shape
         kind = h.dtype
-        at = inputs.ravel()
-        x = w["embed"][at]
-        gates = x @ w["wx"]
-        gates += w["b"]
-        gates = gates.reshape(steps, streams, -1)
-        before, n, inner = (np.empty((steps, streams, STATE), kind) for _ in range(3))
-        zr = np.empty((steps, streams, 2 * STATE), kind)
-        states = np.ones((steps, streams, STATE + 1), kind)
+        at = inputs.ravel().astype(np.intp)
+        gates = self.projected().take(at, 1, self.room("gates", 3, len(at), STATE), "clip").reshape(3, steps, streams, STATE)
+        g = self.room("g", *gates.shape)
+        before, n = (self.room(name, steps, streams, STATE) for name in ("before", "n"))
+        states = self.room("states", steps, streams, STATE + 1)
+        states[:, :, STATE] = 1
+        resets = [np.flatnonzero(k == 0) for k in keep]
         for t in range(steps):
-            np.multiply(h, keep[t][:, None], out=before[t])
-            h = self.step(gates[t], before[t], (zr[t], n[t], inner[t]))
+            before[t] = h
+            before[t, resets[t]] = 0
+            h = self.step(gates[:, t], before[t], (g[:, t], n[t]))
             states[t, :, :STATE] = h
-        ok = np.flatnonzero(valid.ravel())
-        _, back = self.outputs(states.reshape(-1, STATE + 1)[ok], target.ravel()[ok], grads, 1.0 / max(len(ok), 1))
-        dstate = np.zeros((steps * streams, STATE), kind)
-        dstate[ok] = back[:, :STATE]
+        states, ok = states.reshape(-1, STATE + 1), valid.ravel()
+        if ok.all():
+            dstate = self.outputs(states, target.ravel(), grads, 1.0 / len(ok))
+        else:
+            ok = np.flatnonzero(ok)
+            dstate = np.zeros((steps * streams, STATE), kind)
+            dstate[ok] = self.outputs(states.take(ok, 0), target.ravel().take(ok), grads, 1.0 / max(len(ok), 1))
         dstate = dstate.reshape(steps, streams, STATE)
-        dg, to_before = np.empty((steps, streams, 3 * STATE), kind), np.ascontiguousarray(w["wh"].T)
-        outer = np.empty((steps, streams, STATE), kind)  # of the candidate before its recurrent part is scaled
+        outer = gates[2]  # slope of the candidate before its recurrent part is scaled
+        to_before = _by_gate(w["wh"]).swapaxes(1, 2)
         after = np.zeros((streams, STATE), kind)
         for t in range(steps - 1, -1, -1):  # a step's arrays are small enough for the cache
-            dh, z, r, own = dstate[t], zr[t, :, :STATE], zr[t, :, STATE:], dg[t]
+            dh, (z, r, inner) = dstate[t], g[:, t]
             dh += after
             rest = 1 - z
             rest *= dh
+            dh *= z
             slope = n[t] * n[t]
             np.subtract(1, slope, out=slope)
             np.multiply(rest, slope, out=outer[t])
-            np.multiply(outer[t], r, out=own[:, 2 * STATE :])
             np.subtract(1, r, out=slope)
-            slope *= inner[t]
-            np.multiply(slope, own[:, 2 * STATE :], out=own[:, STATE : 2 * STATE])
+            slope *= inner
+            np.multiply(outer[t], r, out=inner)  # from here on g holds slopes
+            np.multiply(slope, inner, out=r)
             np.subtract(before[t], n[t], out=slope)
-            slope *= z
-            np.multiply(slope, rest, out=own[:, :STATE])
-            after = own @ to_before
-            np.multiply(dh, z, out=slope)
-            after += slope
-            after *= keep[t][:, None]
-        dg = dg.reshape(len(at), -1)
-        np.matmul(before.reshape(-1, STATE).T, dg, out=grads["wh"])
-        dg[:, 2 * STATE :] = outer.reshape(len(at), -1)
-        np.matmul(x.T, dg, out=grads["wx"])
-        np.matmul(np.ones(len(at), kind), dg, out=grads["b"])
-        dx = dg @ w["wx"].T
+            slope *= rest
+            z *= slope
+            after, reset, candidate = np.matmul(g[:, t], to_before)
+            after += reset
+            after += candidate
+            after += dh
+            after[resets[t]] = 0
+        g = g.reshape(3, len(at), STATE)
+        np.matmul(before.reshape(-1, STATE).T, g, out=_by_gate(grads["wh"]))
+        g[2] = outer.reshape(-1, STATE)
+        np.matmul(w["embed"].take(at, 0).T, g, out=_by_gate(grads["wx"]))
+        np.matmul(np.ones(len(at), kind), g, out=grads["b"].reshape(3, STATE))
+        dx, *rest = np.matmul(g, _by_gate(w["wx"]).swapaxes(1, 2), out=self.room("dx", 3, len(at), EMBED))
+        for part in rest:
+            dx += part
         for d in range(EMBED):
             grads["embed"][:, d] = np.bincount(at, dx[:, d], len(w["embed"]))
         return h
@@ -285,7 +317,7 @@ class GatedModel:
         lane_begin = np.cumsum(lengths) - lengths
         h = np.zeros((streams, STATE), np.float32)
         gradient = np.zeros_like(self.flat)
-        grads = self.v.views(gradient)
+        grads, change = self.v.views(gradient), np.empty_like(gradient)
         one, two = (moments.setdefault(k, np.zeros_like(self.flat)) for k in ("one", "two"))
         s = 0
         while s < lengths[0]:
@@ -294,14 +326,18 @@ class GatedModel:
             ahead = s + np.arange(steps)[:, None]
             valid = ahead < lengths[:live]
             at = np.minimum(lane_begin[:live] + ahead, len(target) - 1)
-            keep = (~first[at]).astype(np.float32)
-            h = self.window(inputs[at], keep, target[at], valid, h[:live], grads)
+            keep = (~first.take(at)).astype(np.float32)
+            h = self.window(inputs.take(at), keep, target.take(at), valid, h[:live], grads)
             s += steps
             gradient *= np.float32(min(1.0, 1.0 / (np.sqrt(float(gradient @ gradient)) + 1e-9)))
             moments["steps"] = number = moments.get("steps", 0) + 1
-            one += np.float32(0.1) * (gradient - one)
+            np.subtract(gradient, one, out=change)
+            change *= np.float32(0.1)
+            one += change
             gradient *= gradient
-            two += np.float32(0.01) * (gradient - two)
+            np.subtract(gradient, two, out=change)
+            change *= np.float32(0.01)
+            two += change
             np.sqrt(two, out=gradient)
             gradient += np.float32(1e-6)
             np.divide(one, gradient, out=gradient)
@@ -311,13 +347,18 @@ class GatedModel:
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each whole document, without the shares within rare classes."""
-        w, n = self.w, len(docs)
+        order = np.argsort([-len(d) for d in docs], kind="stable")
+        projected, out = self.projected(), np.empty(len(docs))
+        for begin in range(0, len(order), LANES):  # documents of like lengths; a step's arrays are small enough for the cache
+            part = order[begin : begin + LANES]
+            out[part] = self._score_lanes([docs[i] for i in part], projected)
+        return out
+
+    def _score_lanes(self, docs: list[np.ndarray], projected: np.ndarray) -> np.ndarray:
+        """Scores of documents side by side, the longest first."""
+        n, ids = len(docs), np.concatenate(docs)
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
-        order = np.argsort(-sizes, kind="stable")
-        ids = np.concatenate([docs[i] for i in order])
-        sizes = sizes[order]
         begin = np.cumsum(sizes) - sizes
-        projected = w["embed"] @ w["wx"] + w["b"]  # of each input
         found = np.zeros(n)
         h = np.zeros((n, STATE), np.float32)
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -326,8 +367,8 @@ class GatedModel:
         def flush():
             at = np.concatenate([a for a, _ in held])
             states = np.ones((len(at), STATE + 1), np.float32)
-            states[:, :STATE] = np.concatenate([s for _, s in held])
-            logs, done = self.outputs(states, ids[at]), 0
+            np.concatenate([s for _, s in held], out=states[:, :STATE])
+            logs, done = self.outputs(states, ids.take(at)), 0
             for a, _ in held:  # the documents still running come first
                 found[: len(a)] += logs[done : done + len(a)]
                 done += len(a)
@@ -337,8 +378,8 @@ class GatedModel:
             if sizes[live - 1] <= t:
                 live = int(np.searchsorted(-sizes, -t))
             at = begin[:live] + t
-            previous = ids[at - 1] if t else np.full(live, self.v.end)
-            h = self.step(projected[previous], h[:live])
+            previous = ids.take(at - 1) if t else np.full(live, self.v.end)
+            h = self.step(projected.take(previous, 1), h[:live])
             held.append((at, h))
             waiting += live
             if waiting >= FLUSH_TOKENS:
@@ -346,9 +387,7 @@ class GatedModel:
                 held, waiting = [], 0
         if held:
             flush()
-        out = np.empty(n)
-        out[order] = found
-        return out
+        return found
 
 
 # Spark
@@ -358,15 +397,12 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
-class _Numbers(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+BLOCKS = "block long, doc_id long, held boolean, share int, ids binary, number int, word binary, n long"
 
 
-BLOCKS = "block long, doc_id long, held boolean, share int, ids binary, number int, word binary, n long"
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of the values from each bound to the next."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(values.itemsize * bounds), pa.py_buffer(values)]).cast(pa.binary())
 
 
 def _read_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -375,35 +411,37 @@ def _read_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterato
     block = TaskContext.get().partitionId() << 24
 
     def rows(size: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
-
-    numbers, counted, size = _Numbers(), [], 0
-
-    def words() -> Iterator[pa.RecordBatch]:
-        n = np.bincount(np.concatenate(counted), minlength=len(numbers)) if counted else np.zeros(len(numbers), np.int64)
-        names = list(numbers)
+        return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+    def done() -> Iterator[pa.RecordBatch]:
+        coded = pa.chunked_array([own.flatten() for _, own in pieces]).dictionary_encode()  # numbers words as they come
+        names = coded.chunk(coded.num_chunks - 1).dictionary.cast(pa.binary())
+        n = np.zeros(len(names), np.int64)
+        for (docs, own), numbers in zip(pieces, coded.chunks):
+            bounds, at = own.offsets.to_numpy().astype(np.int64), numbers.indices.to_numpy()
+            training = np.repeat(~docs["held"].to_numpy(zero_copy_only=False), np.diff(bounds))
+            n += np.bincount(at[training], minlength=len(n))
+            yield rows(len(own), block=np.full(len(own), block), ids=_binary(at, bounds), **docs)
         for s in range(0, len(names), 50_000):
             part = names[s : s + 50_000]
             yield rows(len(part), block=np.full(len(part), block), number=np.arange(s, s + len(part), dtype=np.int32), word=part, n=n[s : s + 50_000])
 
+    pieces: list[tuple[dict[str, pa.Array], pa.ListArray]] = []
+    size = 0
     for batch in batches:
         doc_ids, helds, shares, texts = batch.columns
-        for begin in range(0, batch.num_rows, 256):
-            out: list[bytes] = []
-            for i in range(begin, min(begin + 256, batch.num_rows)):
-                own = tokens(texts[i].as_py())
-                ids = np.fromiter(map(numbers.__getitem__, own), dtype=np.int32, count=len(own))
-                out.append(ids.tobytes())
-                if not helds[i].as_py():
-                    counted.append(ids)
-                size += 5 * len(own)
-            part = slice(begin, begin + len(out))
-            yield rows(len(out), block=np.full(len(out), block), doc_id=doc_ids[part], held=helds[part], share=shares[part], ids=out)
+        piece = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // min(PIECE_BYTES, block_bytes)
+        ends = [*(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+        for begin, end in zip([0, *ends], ends):
+            part = slice(begin, end)
+            own = tokens(texts[part])
+            pieces.append(({"doc_id": doc_ids[part], "held": helds[part], "share": shares[part]}, own))
+            size += 5 * len(own.values)
             if size >= block_bytes:
-                yield from words()
-                numbers, counted, size, block = _Numbers(), [], 0, block + 1
-    if numbers:
-        yield from words()
+                yield from done()
+                pieces, size, block = [], 0, block + 1
+    if pieces:
+        yield from done()
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -437,16 +475,18 @@ def _encode(docs: pa.Table, words: pa.Table, v: Vocabulary) -> pa.Table:
     top[number] = words.column("top").to_numpy()
     inputs, inner = v.place(top, counts)
     base = np.log10((counts + 1.0) / (v.total + v.distinct + 1))
+    seen = (counts > 0).astype(np.int64)
     found: list[tuple] = []
-    for ids in docs.column("ids"):
-        at = np.frombuffer(ids.as_py(), np.int32)
-        found.append((len(at), int((counts[at] > 0).sum()), float(base[at].sum()), float(inner[at].sum()), inputs[at].tobytes()))
-    sizes, known, bases, inners, arrays = zip(*found) if found else ((),) * 5
+    for ids in (chunk.slice(i, 1000) for chunk in docs.column("ids").chunks for i in range(0, len(chunk), 1000)):
+        sizes, at = pc.binary_length(ids).to_numpy().astype(np.int64) // 4, np.frombuffer(b"".join(ids.to_pylist()), np.int32)
+        begin = np.cumsum(sizes) - sizes  # no document is without tokens
+        found.append((sizes, *(np.add.reduceat(x[at], begin) for x in (seen, base, inner)), _binary(inputs[at], np.append(begin, len(at)))))
+    sizes, known, bases, inners, arrays = (pa.chunked_array(x) for x in zip(*(map(pa.array, part) for part in found))) if found else (pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))
     held = docs.column("held")
     share = docs.column("share").to_numpy()
     rounds = np.searchsorted([last for last, _ in ROUNDS], share, side="right").astype(np.int32)
     rounds[held.to_numpy()] = len(ROUNDS)  # never trained on
-    return pa.table({"doc_id": docs.column("doc_id"), "held_out": held, "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(bases, pa.float64()), "inner": pa.array(inners, pa.float64()), "inputs": pa.array(arrays, pa.binary()), "round": pa.array(rounds)})
+    return pa.table({"doc_id": docs.column("doc_id"), "held_out": held, "n_tokens": sizes, "n_known": known, "base_score": bases, "inner": inners, "inputs": arrays, "round": pa.array(rounds)})
 
 
 def encode(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Vocabulary]:

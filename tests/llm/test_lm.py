@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,22 @@ def test_a_window_holds_few_arrays_of_all_its_steps():
     finally:
         tracemalloc.stop()
     assert peak < 18.5 * 4 * lm.STATE * 16 * 512  # the way back over whole windows took 19.9
+
+
+def test_windows_take_the_memory_of_earlier_windows():
+    v = vocabulary()
+    model, shape = lm.GatedModel(v, v.start()), (16, 512)
+    ids, ones_, h = np.random.default_rng(0).integers(0, 5, shape).astype(np.uint16), np.ones(shape, np.float32), np.zeros((512, lm.STATE), np.float32)
+    model.window(ids, ones_, ids, ones_ > 0, h, v.views(np.zeros_like(model.flat)))
+    tracemalloc.start()
+    try:
+        model.window(ids, ones_, ids, ones_ > 0, h, v.views(np.zeros_like(model.flat)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 6 * 4 * lm.STATE * 16 * 512  # each window took 17.1 of its own
+
+
+def test_tokens_of_odd_texts():
+    texts = ["", None, " \t", " A  b\t\nC ", "\x1c x\x85y  z\x00q\x1f\x0b\x0c\r", "ÄİK K k　", "\n", "a "]
+    assert lm.tokens(pa.array(texts)).cast(pa.list_(pa.binary())).to_pylist() == [[w.encode() for w in split(t)] for t in texts]
